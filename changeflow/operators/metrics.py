@@ -94,9 +94,9 @@ def sliding(samples: DataFrame, by: list[str], ts: str, aggregates: list[Column]
     pane = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / slide)
     panes = samples.groupBy(*by, pane.alias("_pane")).agg(*aggregates)
     steps = length // slide
-    first = F.explode(F.sequence(F.col("_pane") - (steps - 1), F.col("_pane")))
-    spread = panes.withColumn("window_start_s", first * slide)
-    return spread.groupBy(*by, "window_start_s").agg(*[F.sum(c).alias(c) for c in sums])
+    spread = panes.withColumn("_first", F.explode(F.sequence(F.col("_pane") - (steps - 1), F.col("_pane"))))
+    start = (F.col("_first") * slide).alias("window_start_s")
+    return spread.groupBy(*by, start).agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def histogram_quantiles(samples: DataFrame, by: list[str], ts: str, value: str = "latency_ms",
@@ -168,7 +168,7 @@ def dashboard_alerts(streams: DataFrame) -> DataFrame:
 
 def throughput_matrix(metrics: DataFrame, targets: list[str], newest: int = 30) -> DataFrame:
     """Records by minute label and target from the newest rows; the last row of a cell counts."""
-    rows = metrics.orderBy(F.desc("window_end"), F.desc("config_id")).limit(newest)
+    rows = metrics.orderBy(F.desc("window_end"), F.desc("config_id"), F.desc("target_type")).limit(newest)
     cells = rows.withColumn("label", minute_label(F.col("window_end")))
     return cells.groupBy("label").pivot("target_type", targets).agg(
         F.max_by("records_in_window", F.struct("window_end", "config_id"))
