@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from changeflow.functions.times import severity_rank
 from changeflow.operators.metrics import SLA_MS, histogram_quantiles, rates
 from changeflow.operators.sequence import held_for
-from changeflow.session import lookup_join
+from changeflow.session import checkpointed, lookup_join
 
 # Accepted alert conditions.
 CONDITION_TYPES = ["latency_breach", "error_rate", "consumer_down", "hana_cpu", "custom"]
 
 _ROWS = "rule_id string, cooldown_us long, block long, entry long, leave long"
-_FIRED = "rule_id string, entry long"
+_FIRED = "rule_id string, cooldown_us long, entry long"
 
 
 def matching_rules(events: DataFrame, rules: DataFrame, channels: DataFrame) -> DataFrame:
@@ -80,7 +80,8 @@ def _walk(rows: pd.DataFrame, start: int) -> pd.DataFrame:
     while at < len(entry):
         fired.append(entry[at])
         at = int(follow[at])
-    return pd.DataFrame({"rule_id": rows["rule_id"].iat[0], "entry": fired})
+    return pd.DataFrame({
+        "rule_id": rows["rule_id"].iat[0], "cooldown_us": rows["cooldown_us"].iat[0], "entry": fired})
 
 
 def cooldown_firings(candidates: DataFrame, fan: int = 32, levels: int = 2) -> DataFrame:
@@ -102,34 +103,30 @@ def cooldown_firings(candidates: DataFrame, fan: int = 32, levels: int = 2) -> D
     resting = timed.where(F.col("cooldown_us") > 0)
     instants = resting.groupBy("rule_id", "cooldown_us", "entry").agg(F.min("event_id").alias("event_id"))
 
-    def blocked(rows: DataFrame, level: int) -> DataFrame:
-        block = F.expr(f"CAST(floor(entry / (cooldown_us * {fan**level})) AS BIGINT)")
-        return rows.withColumn("block", block).select("rule_id", "cooldown_us", "block", "entry", "leave")
+    def block(level: int, of: str) -> Column:
+        return F.expr(f"CAST(floor({of} / (cooldown_us * {fan**level})) AS BIGINT)").alias("block")
 
+    # Each layer is read on the way up and again on the way down.
+    instants = checkpointed(instants)
     layers = [instants.select("rule_id", "cooldown_us", "entry", F.col("entry").alias("leave"))]
     for level in range(1, levels + 1):
-        rows = blocked(layers[-1], level)
-        layers.append(rows.groupBy("rule_id", "block").applyInPandas(_close_block(fan, level), _ROWS).drop("block"))
+        rows = layers[-1].select("rule_id", "cooldown_us", block(level, "entry"), "entry", "leave")
+        closed = rows.groupBy("rule_id", "block").applyInPandas(_close_block(fan, level), _ROWS).drop("block")
+        layers.append(checkpointed(closed) if level < levels else closed)
 
     def from_first(rows: pd.DataFrame) -> pd.DataFrame:
         return _walk(rows, int(rows["entry"].min()))
 
+    def from_entry(rows: pd.DataFrame) -> pd.DataFrame:
+        return _walk(rows, int(rows["start"].iat[0]))
+
     fired = layers[-1].groupBy("rule_id").applyInPandas(from_first, _FIRED)
     for level in range(levels, 0, -1):
-        rows = blocked(layers[level - 1], level)
-        entries = fired.withColumnRenamed("entry", "start")
-        # An entry lies in its own block, so the block follows from the entry alone.
-        width = rows.select("rule_id", "cooldown_us").distinct()
-        entries = entries.join(width, "rule_id").select(
-            "rule_id", "start", F.expr(f"CAST(floor(start / (cooldown_us * {fan**level})) AS BIGINT)").alias("block")
-        )
-
-        def from_entry(rows: pd.DataFrame) -> pd.DataFrame:
-            return _walk(rows, int(rows["start"].iat[0]))
-
-        reached = rows.join(entries, ["rule_id", "block"])
-        fired = reached.groupBy("rule_id", "block").applyInPandas(from_entry, _FIRED)
-    chosen = instants.join(fired, ["rule_id", "entry"]).select("rule_id", "event_id")
+        rows = layers[level - 1].select("rule_id", "cooldown_us", block(level, "entry"), "entry", "leave")
+        # A block is entered once, at a row of its own, so the block follows from the entry.
+        entries = fired.select("rule_id", block(level, "entry"), F.col("entry").alias("start"))
+        fired = rows.join(entries, ["rule_id", "block"]).groupBy("rule_id", "block").applyInPandas(from_entry, _FIRED)
+    chosen = instants.join(fired.drop("cooldown_us"), ["rule_id", "entry"]).select("rule_id", "event_id")
     return chosen.unionByName(timed.where(F.col("cooldown_us") == 0).select("rule_id", "event_id"))
 
 

@@ -81,7 +81,7 @@ nxt AS MATERIALIZED (
   FROM (SELECT x.*, x.at + x.rest AS due FROM pairs x WHERE cooldown_minutes > 0) a
   ASOF LEFT JOIN pairs b ON a.rule_id = b.rule_id AND a.due <= b.at),
 fired AS (
-  SELECT rule_id, arg_min(event_id, at) AS event_id FROM pairs WHERE cooldown_minutes > 0 GROUP BY rule_id
+  SELECT rule_id, arg_min(event_id, pairs.at) AS event_id FROM pairs WHERE cooldown_minutes > 0 GROUP BY rule_id
   UNION ALL
   SELECT n.rule_id, n.next_id FROM fired f JOIN nxt n ON f.rule_id = n.rule_id AND f.event_id = n.event_id
   WHERE n.next_id IS NOT NULL)

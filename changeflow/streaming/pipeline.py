@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from changeflow.functions.keys import row_key_of_map
@@ -102,7 +103,7 @@ def start(source: DataFrame, run: Callable[[DataFrame, int], None], checkpoint:
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
 
 
-def replay(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
+def replay(spark: SparkSession, path: str, schema: str | T.StructType, files_per_trigger: int = 1) -> DataFrame:
     """Parquet files as a stream, a bounded number of files per batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 

@@ -38,14 +38,9 @@ def latency_windows(samples: DataFrame, by: list[str], ts: str, value: str = "la
 
 def sliding_rates(events: DataFrame, by: list[str], ts: str, length: str = "5 minutes", slide: str = "15 seconds",
                   late: str = "10 minutes") -> DataFrame:
-    """Events per second over sliding windows.
-
-    Rows are counted per slide first, and the windows are built over those counts.
-    """
-    panes = events.withWatermark(ts, late).groupBy(*by, F.window(ts, slide).alias("pane")).agg(
-        F.count("*").alias("n"))
-    windows = panes.groupBy(*by, F.window(F.window_time("pane"), length, slide).alias("w")).agg(
-        F.sum("n").alias("events"))
+    """Events per second over sliding windows; counts combine on the map side before they move."""
+    window = F.window(ts, length, slide).alias("w")
+    counts = events.withWatermark(ts, late).groupBy(*by, window).agg(F.count("*").alias("events"))
     seconds: Column = F.unix_seconds("w.end") - F.unix_seconds("w.start")
-    return windows.select(*by, F.col("w.start").alias("window_start"), "events",
-                          (F.col("events") / seconds).alias("per_second"))
+    return counts.select(*by, F.col("w.start").alias("window_start"), "events",
+                         (F.col("events") / seconds).alias("per_second"))
