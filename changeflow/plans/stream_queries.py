@@ -164,11 +164,10 @@ def stream_latency(spark, sf_dir):
 
 
 @query("stream_rates", """
-SELECT event_type, (epoch_us(ts) // 60000000 - o) * 60 AS start_s, count(*) AS events,
-       count(*) / CAST(300 AS DOUBLE) AS per_second
-FROM events, range(0, 5) r(o)
-GROUP BY ALL
-HAVING (start_s + 300 + 600) * 1000000 <= (SELECT epoch_us(max(ts)) FROM events)
+WITH m AS (SELECT epoch_us(max(ts)) AS newest FROM events),
+w AS (SELECT event_type, (epoch_us(ts) // 60000000 - o) * 60 AS start_s FROM events, range(0, 5) r(o))
+SELECT event_type, start_s, count(*) AS events, count(*) / CAST(300 AS DOUBLE) AS per_second
+FROM w, m WHERE (start_s + 900) * 1000000 <= newest GROUP BY event_type, start_s
 """)
 def stream_rates(spark, sf_dir):
     rows = _stream(spark, sf_dir).select("event_type", F.col("ts").cast("timestamp").alias("ts"))
