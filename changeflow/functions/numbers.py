@@ -18,10 +18,16 @@ _NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
 def parse_float(x: Column) -> Column:
     """Text to double, null when it is no number.
 
-    Accepts digit groups joined by ``_`` and refuses the type suffixes that a plain cast takes.
+    A plain cast settles nearly every value. It would take type suffixes and hexadecimal text,
+    and it refuses digit groups joined by ``_``; such text goes through the patterns.
     """
-    plain = F.regexp_replace(strip(x.cast("string")), r"(?<=\d)_(?=\d)", "")
-    return F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
+    text = x.cast("string")
+    low = F.lower(text)
+    odd = low.endswith("d") | low.endswith("f") | low.contains("x")
+    plain = F.regexp_replace(strip(text), r"(?<=\d)_(?=\d)", "")
+    return F.coalesce(
+        F.when(~odd, text.try_cast("double")), F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
+    )
 
 
 def parse_int(x: Column) -> Column:

@@ -41,7 +41,7 @@ def _not_null(field: str, value: Column, params: dict[str, Any]) -> Column:
 
 
 def _range(field: str, value: Column, params: dict[str, Any]) -> Column:
-    number = parse_float(value)
+    number = value.cast("double") if params.get("_numeric") else parse_float(value)
     # Spark orders NaN above every number, so it has to be set aside.
     number = F.when(~F.isnan(number), number)
     return _bounds(number, params, float, ["value ", value.cast("string")], field)
@@ -87,9 +87,12 @@ def register_rule(name: str, builder: Builder) -> None:
     RULES[name] = builder
 
 
-def rule_message(rule: Rule, value: Column) -> Column:
-    """Message column of one rule; unknown rule types always pass."""
+def rule_message(rule: Rule, value: Column, numeric: bool = False) -> Column:
+    """Message column of one rule; unknown rule types always pass.
+
+    ``numeric`` says that the field is a number already and needs no parsing.
+    """
     builder = RULES.get(rule.rule_type)
     if builder is None:
         return F.lit(None).cast("string")
-    return builder(rule.field_name, value, rule.params)
+    return builder(rule.field_name, value, {**rule.params, "_numeric": numeric})

@@ -1,7 +1,6 @@
 """Text predicates and masks.
 
-Whitespace and digits follow the Unicode classes, hence the ``(?U)`` flag; the four
-information separators count as whitespace as well.
+White space is meant in the Unicode sense and digits likewise, hence the ``(?U)`` flag there.
 """
 
 from __future__ import annotations
@@ -9,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = r"[\s\x1c-\x1f]"
+# White space in a pattern that starts with ``(?U)``; the four separators count as well.
+_SPACE, _NO_SPACE = r"[\s\x1c-\x1f]", r"[^\s\x1c-\x1f]"
 
 
 def strip(x: Column) -> Column:
@@ -104,8 +104,8 @@ def mask_ssn(x: Column) -> Column:
 
 
 def mask_name(x: Column) -> Column:
-    words = F.filter(F.split(x, rf"(?U){_SPACE}+", -1), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.concat(F.left(w, F.lit(1)), F.lit("***"))), " ")
+    words = F.regexp_replace(x, rf"(?U)({_NO_SPACE}){_NO_SPACE}*", "$1***")
+    return F.trim(F.regexp_replace(words, rf"(?U){_SPACE}+", " "))
 
 
 MASKS = {

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changeflow.functions.numbers import parse_float
 from changeflow.functions.rules import rule_message
@@ -39,17 +40,18 @@ def validate(
     field's own masking chain, and messages that quote a value do not.
     """
     masking = {name: chain for name, chain in chains(masks).items() if any(t.transform_type == "mask" for t in chain)}
-    found = []
-    for rule in rules:
-        if not rule.is_enabled:
-            continue
+    numeric = {f.name for f in rows.schema.fields if isinstance(f.dataType, T.NumericType)} if field is F.col else set()
+    messages, found = {}, []
+    for rule in (r for r in rules if r.is_enabled):
         value = field(rule.field_name)
-        message = rule_message(rule, value)
+        message = rule_message(rule, value, rule.field_name in numeric)
         shown = value.cast("string")
         if rule.field_name in masking:
             shown = fold_chain(shown, masking[rule.field_name], in_text=True)
             if rule.rule_type != "not_null":
                 message = F.when(message.isNotNull(), F.lit(f"Field '{rule.field_name}' fails {rule.rule_type}"))
+        name = f"_message_{len(messages)}"
+        messages[name] = message if present is None else F.when(present, message)
         struct = F.struct(
             F.lit(rule.id).alias("rule_id"),
             F.lit(config_id).alias("config_id"),
@@ -58,19 +60,23 @@ def validate(
             row_key.alias("row_key"),
             F.lit(rule.rule_type).alias("violation_type"),
             F.lit(rule.severity).alias("severity"),
-            message.alias("message"),
+            F.col(name).alias("message"),
             seq.cast("bigint").alias("event_seq"),
         )
-        failed = message.isNotNull() if present is None else present & message.isNotNull()
-        found.append(F.when(failed, struct))
+        found.append(F.when(F.col(name).isNotNull(), struct))
     fields = ",".join(column.strip().replace(" ", ":") for column in VIOLATION.split(","))
     empty = F.array().cast(f"array<struct<{fields}>>")
-    return rows.withColumn("violations", F.array_compact(F.array(*found)) if found else empty)
+    # Messages are columns of their own first, so that each rule is evaluated once per row.
+    checked = rows.withColumns(messages) if messages else rows
+    violations = F.array_compact(F.array(*found)) if found else empty
+    return checked.withColumn("violations", violations).drop(*messages)
 
 
 def violation_rows(validated: DataFrame) -> DataFrame:
     """One row per violated rule."""
-    return validated.select(F.explode("violations").alias("_v")).select("_v.*")
+    # A plain explode would make the optimizer check all rules once more in a filter on the scan.
+    exploded = validated.select(F.explode_outer("violations").alias("_v"))
+    return exploded.where(F.col("_v").isNotNull()).select("_v.*")
 
 
 def with_route(validated: DataFrame, quarantine_blocks: bool = True) -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql.streaming import DataStreamReader
 from changeflow.functions import keys
 
 REQUIRED = ["source", "schema", "table", "op", "key", "ts_ms", "seq"]
-_TYPES = {
-    "source": "string", "schema": "string", "table": "string", "op": "string", "ts_ms": "bigint", "seq": "bigint",
-    "key": "map<string,string>", "before": "map<string,string>", "after": "map<string,string>",
-}
+# ``before`` and ``after`` are read as variants, which keep the written digits of numbers.
+_BODY = (
+    "source string, schema string, `table` string, op string, key map<string,string>, before variant, after variant, "
+    "ts_ms bigint, seq bigint, _broken string"
+)
+_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
 
 
 def to_records(events: DataFrame, prefix: str = "cdc") -> DataFrame:
@@ -30,16 +32,14 @@ def parse(messages: DataFrame, value: str = "value") -> DataFrame:
 
     The text is kept, so a message goes on as an event or as a dead letter and none is lost.
     """
-    body = messages.withColumn("_body", F.try_parse_json(F.col(value).cast("string")))
-    parsed = body.select(
-        *[F.col(c) for c in messages.columns],
-        *[F.try_variant_get("_body", f"$.{name}", kind).alias(name) for name, kind in _TYPES.items()],
-        F.col("_body").isNull().alias("_broken"),
-    )
-    missing = F.array_compact(F.array(*[F.when(F.col(f"`{c}`").isNull(), F.lit(c)) for c in REQUIRED]))
-    error: Column = F.when(F.col("_broken"), F.lit("malformed")).when(
-        F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ","))
-    )
+    body = messages.withColumn("_body", F.from_json(F.col(value).cast("string"), _BODY, _OPTIONS))
+    fields = body.select(*[F.col(c) for c in messages.columns], "_body.*")
+    as_map = "map<string,string>"
+    parsed = fields.withColumns({c: F.try_variant_get(c, "$", as_map) for c in ("before", "after")})
+    absent = [F.when(F.col(f"`{c}`").isNull(), F.lit(c)) for c in REQUIRED]
+    broken = F.col("_broken").isNotNull() | F.col(value).isNull()
+    missing = F.concat_ws(",", *absent)
+    error: Column = F.when(broken, F.lit("malformed")).when(missing != "", F.concat(F.lit("missing "), missing))
     return parsed.withColumn("parse_error", error).drop("_broken")
 
 

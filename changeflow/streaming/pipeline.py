@@ -53,13 +53,15 @@ def keyed_payload(events: DataFrame, key_columns: list[str], columns: list[str]
 class Pipeline:
     """Applies micro-batches of events to a target and keeps side outputs by batch id.
 
-    ``columns`` are the payload columns of a replace target; None feeds a patch target.
+    ``columns`` are the payload columns of a replace target; None feeds a patch target. A batch
+    that comes in fewer than ``least_tasks`` partitions is spread over that many.
     """
 
     target: Target
     side_path: str
     settings: Callable[[], Settings]
     columns: list[str] | None = None
+    least_tasks: int = 8
 
     def process(self, events: DataFrame, batch_id: int) -> None:
         """Apply one batch. An error stops the query, and the batch is replayed from its checkpoint."""
@@ -86,7 +88,10 @@ class Pipeline:
 def parsed_batches(pipeline: Pipeline, value: str = "value") -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function over JSON messages; bad ones go to ``dead_letters``."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        parsed = messages.parse(batch.select(value), value).persist()
+        texts = batch.select(value)
+        if texts.rdd.getNumPartitions() < pipeline.least_tasks:
+            texts = texts.repartition(pipeline.least_tasks)
+        parsed = messages.parse(texts, value).persist()
         try:
             pipeline._side(messages.dead_letters(parsed, [value]), "dead_letters", batch_id)
             pipeline.process(messages.good_events(parsed).drop(value), batch_id)
