@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changeflow.schemas import META_OP, META_SEQ, META_TS
+from changeflow.schemas import META_OP, META_SEQ, META_TS, META_UPDATED
 
 
 def effective(changes: DataFrame, after: str | None = "after") -> DataFrame:
@@ -40,9 +40,10 @@ def current_state(changes: DataFrame, key_columns: list[str], order: str = "seq"
     return latest_change(changes, key_columns, order).where(F.col("op") != "D")
 
 
-def with_meta(changes: DataFrame) -> DataFrame:
-    """Rename op, ts_ms and seq to the target's meta columns."""
-    return changes.withColumnsRenamed({"op": META_OP, "ts_ms": META_TS, "seq": META_SEQ})
+def with_meta(changes: DataFrame, updated_ms: Column | None = None) -> DataFrame:
+    """Rename op, ts_ms and seq to the target's meta columns; optionally add the time of writing."""
+    rows = changes.withColumnsRenamed({"op": META_OP, "ts_ms": META_TS, "seq": META_SEQ})
+    return rows if updated_ms is None else rows.withColumn(META_UPDATED, updated_ms)
 
 
 def payload_columns(columns: list[str], key_columns: list[str]) -> list[str]:

@@ -137,9 +137,15 @@ def violation_summary(violations: DataFrame) -> DataFrame:
     return violations.where(~F.col("resolved")).groupBy("severity", "violation_type").agg(F.count("*").alias("count"))
 
 
-def violation_kpis(violations: DataFrame) -> DataFrame:
-    """Unresolved violations in all, and those that held a row back."""
-    return violations.where(~F.col("resolved")).agg(
-        F.count("*").alias("total_violations"),
-        F.count_if(F.col("severity") == "reject").alias("rejected"),
+def violation_kpis(violations: DataFrame, rules: DataFrame, transforms: DataFrame) -> DataFrame:
+    """Unresolved violations, those that held a row back, active rules and active transforms."""
+    open_ones = violations.where(~F.col("resolved")).select(
+        F.when(F.col("severity") == "reject", "rejected").otherwise("other").alias("kind"))
+    kinds = open_ones.unionByName(rules.where("is_enabled").select(F.lit("rule").alias("kind"))).unionByName(
+        transforms.where("is_enabled").select(F.lit("transform").alias("kind")))
+    return kinds.agg(
+        F.count_if(F.col("kind").isin("rejected", "other")).alias("total_violations"),
+        F.count_if(F.col("kind") == "rejected").alias("rejected"),
+        F.count_if(F.col("kind") == "rule").alias("active_rules"),
+        F.count_if(F.col("kind") == "transform").alias("active_transforms"),
     )

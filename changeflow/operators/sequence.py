@@ -54,10 +54,13 @@ def sequence_summary(log: DataFrame, by: list[str], seq: str = "seq_id") -> Data
     return summary.withColumn("gap_free", (F.col("missing") == 0) & (F.col("repeated") == 0))
 
 
-def _collapse(rows: DataFrame, by: list[str], order: str, last: str) -> DataFrame:
-    """Join neighbouring rows of equal ``state`` into one run."""
+def _collapse(rows: DataFrame, by: list[str], order: str, last: str, cut: Column | None = None) -> DataFrame:
+    """Join neighbouring rows of equal ``state`` into one run; ``cut`` starts a run regardless."""
     window = Window.partitionBy(*by).orderBy(order)
-    starts = F.coalesce((F.col("state") != F.lag("state").over(window)).cast("int"), F.lit(1))
+    begins = F.col("state") != F.lag("state").over(window)
+    if cut is not None:
+        begins = begins | cut
+    starts = F.coalesce(begins.cast("int"), F.lit(1))
     numbered = rows.withColumn("_run", F.sum(starts).over(window.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*by, "_run").agg(
         F.first("state").alias("state"),
@@ -70,7 +73,8 @@ def _collapse(rows: DataFrame, by: list[str], order: str, last: str) -> DataFram
 def runs(samples: DataFrame, by: list[str], ts: str, condition: Column, block_seconds: int = 86_400) -> DataFrame:
     """Longest stretches of samples over which a condition keeps its value.
 
-    Runs are built per day and then joined across days, where only the runs are left.
+    Runs are built per day. Only the first and the last run of a day can go on in another day, so
+    at most two rows per day meet in the second step.
     """
     rows = samples.select(
         *by,
@@ -80,8 +84,15 @@ def runs(samples: DataFrame, by: list[str], ts: str, condition: Column, block_se
         F.lit(1).cast("bigint").alias("samples"),
     )
     pieces = _collapse(rows, [*by, "_block"], "_ts", "_ts")
-    pieces = pieces.select(*by, "state", F.col("run_start").alias("_from"), F.col("run_end").alias("_to"), "samples")
-    return _collapse(pieces, by, "_from", "_to").drop("_run")
+    outer = (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(Window.partitionBy(*by, "_block")))
+    pieces = pieces.withColumn("_outer", outer)
+    inner = pieces.where(~F.col("_outer")).select(*by, "state", "run_start", "run_end", "samples")
+    edges = pieces.where("_outer").select(
+        *by, "_block", "state", F.col("run_start").alias("_from"), F.col("run_end").alias("_to"), "samples")
+    # Two runs of one day are never the same run, even if the ones between them are left out here.
+    same_day = F.col("_block") == F.lag("_block").over(Window.partitionBy(*by).orderBy("_from"))
+    joined = _collapse(edges, by, "_from", "_to", cut=same_day)
+    return inner.unionByName(joined.drop("_run"))
 
 
 def held_for(samples: DataFrame, by: list[str], ts: str, condition: Column, seconds: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from changeflow.operators import apply, status
 from changeflow.plans.inputs import CHANGES_SQL, HALF, at, changes, load
 from changeflow.plans.registry import query
-from changeflow.schemas import META_OP, META_SEQ, META_TS, TARGET_TYPES
+from changeflow.schemas import META_OP, META_SEQ, META_TS, META_UPDATED, TARGET_TYPES
 from changeflow.session import shared_dir
 from changeflow.sources import snapshot
 
@@ -39,12 +39,13 @@ def current_state(spark, sf_dir):
 
 
 @query("current_state_deletes_first", f"""
-SELECT row_key, k, op AS _cdc_op, ts_ms AS _cdc_ts, seq AS _cdc_seq FROM ({CHANGES_SQL}) WHERE op <> 'D'
+SELECT row_key, k, op AS _cdc_op, ts_ms AS _cdc_ts, seq AS _cdc_seq, 1706659200000 AS _cdc_updated_at FROM ({CHANGES_SQL}) WHERE op <> 'D'
 QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY seq DESC) = 1
 """)
 def current_state_deletes_first(spark, sf_dir):
     rows = _keyed(spark, sf_dir).drop("changed_at")
-    return apply.with_meta(apply.current_state(rows, ["row_key"], order="deletes_first")).select(*_STATE)
+    state = apply.current_state(rows, ["row_key"], order="deletes_first")
+    return apply.with_meta(state, updated_ms=F.lit(1706659200000)).select(*_STATE, META_UPDATED)
 
 
 @query("apply_merge_replace", f"SELECT * FROM ({_STATE_SQL}) WHERE _cdc_op <> 'D'")
@@ -191,7 +192,7 @@ FROM orders GROUP BY 1
 """)
 def bulk_append(spark, sf_dir):
     rows = snapshot.with_chunk(load(spark, sf_dir, "orders"), "o_orderkey", 1000)
-    return snapshot.bulk_append_all(rows, shared_dir(spark, "bulk"))
+    return snapshot.bulk_append(rows, shared_dir(spark, "bulk"))
 
 
 _CHUNK_SQL = """

@@ -170,18 +170,13 @@ def snapshot_diff(spark, sf_dir):
 
 
 @query("capture_sequence", f"""
-SELECT op_type, count(*) AS changes, CAST(1 AS BIGINT) AS lowest,
-       (SELECT count(*) FROM ({_DIFF_SQL})) AS highest, (SELECT count(*) FROM ({_DIFF_SQL})) AS numbers
-FROM ({_DIFF_SQL}) GROUP BY op_type
+SELECT count(*) AS changes, CAST(1 AS BIGINT) AS lowest, count(*) AS highest, count(*) AS numbers FROM ({_DIFF_SQL})
 """)
 def capture_sequence(spark, sf_dir):
     numbered = changelog.number_changes(_order_changes(spark, sf_dir), ["o_orderkey"])
     per_number = numbered.groupBy("seq_id").agg(F.count("*").alias("n"))
-    span = per_number.agg(F.min("seq_id").alias("lowest"), F.max("seq_id").alias("highest"),
-                          F.count("*").alias("numbers"))
-    by_op = numbered.groupBy("op_type").agg(F.count("*").alias("changes"))
-    # One row on the right side.
-    return by_op.join(F.broadcast(span))
+    return per_number.agg(F.sum("n").alias("changes"), F.min("seq_id").alias("lowest"),
+                          F.max("seq_id").alias("highest"), F.count("*").alias("numbers"))
 
 
 _HOLED_SQL = f"""

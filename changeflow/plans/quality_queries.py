@@ -225,13 +225,13 @@ def violation_summary(spark, sf_dir):
 
 @query("violation_kpis", f"""
 SELECT count(*) AS total_violations, count(*) FILTER (WHERE severity = 'reject') AS rejected,
-       (SELECT count(*) FROM ({_RULES_SQL}) WHERE is_enabled) AS active_rules
+       (SELECT count(*) FROM ({_RULES_SQL}) WHERE is_enabled) AS active_rules,
+       (SELECT count(*) FROM part WHERE p_size > 10) AS active_transforms
 FROM ({_STORED_SQL}) WHERE NOT resolved
 """)
 def violation_kpis(spark, sf_dir):
-    rules = _tenant_rules(spark, sf_dir).where("is_enabled").agg(F.count("*").alias("active_rules"))
-    # Both sides are one row.
-    return quality.violation_kpis(_stored(spark, sf_dir)).join(F.broadcast(rules))
+    transforms = load(spark, sf_dir, "part").select((F.col("p_size") > 10).alias("is_enabled"))
+    return quality.violation_kpis(_stored(spark, sf_dir), _tenant_rules(spark, sf_dir), transforms)
 
 
 @query("violation_resolve", f"""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Above this many rows a lookup side is no longer broadcast or compiled to literals.
-SMALL_SIDE_ROWS = 100_000
+SMALL_SIDE_ROWS = 20_000
 
 
 def build_session(app: str = "changeflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -79,3 +79,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(spark, "lineage"))
     return df.checkpoint()
+
+
+def committed_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders matching ``pattern`` that carry Spark's success mark; one without it is unfinished."""
+    context = spark.sparkContext
+    marks = context._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+    found = marks.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(marks)
+    return sorted(f.getPath().getParent().toString() for f in (found or []))

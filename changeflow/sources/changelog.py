@@ -89,7 +89,7 @@ def capture(old: DataFrame, new: DataFrame, key_columns: list[str], monitored: l
     ).where(F.col("op_type").isNotNull())
 
 
-def number_changes(changes: DataFrame, order: list[str], start: int = 1, buckets: int = 512) -> DataFrame:
+def number_changes(changes: DataFrame, order: list[str], start: int = 1, buckets: int = 4096) -> DataFrame:
     """Give captured changes a ``seq_id``: unique, gap-free, the same on every run.
 
     Rows are numbered inside hash buckets of ``order`` and shifted by the size of the buckets

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from changeflow.functions.numbers import percent
 from changeflow.operators.sequence import running_totals
+from changeflow.session import committed_folders
 
 
 def key_bounds(table: DataFrame, key: str) -> tuple[int, int] | None:
@@ -83,28 +84,25 @@ def load_progress(table: DataFrame, key: str, chunk_size: int = 10_000) -> DataF
     )
 
 
-def bulk_append(rows: DataFrame, path: str, chunk_id: int) -> DataFrame:
-    """Write one chunk into its own folder; a retry overwrites it. Gives the written count."""
-    target = f"{path}/chunk={chunk_id}"
-    rows.write.mode("overwrite").parquet(target)
-    return rows.sparkSession.read.parquet(target).agg(
-        F.lit(chunk_id).alias("chunk_id"), F.count("*").alias("records_written")
-    )
-
-
-def bulk_append_all(rows: DataFrame, path: str, chunks_per_folder: int = 1000) -> DataFrame:
-    """Write all chunks of ``rows`` (column ``chunk_id``) in one job and count each chunk.
+def bulk_append(rows: DataFrame, path: str, load_id: int = 0) -> DataFrame:
+    """Write rows (column ``chunk_id``) as one load, and count each chunk.
 
-    Neighbouring chunks share a folder, and only the folders at hand are replaced: a retry of
-    the same chunks does not double rows.
+    A load has a folder of its own, so a retry under the same id replaces it and doubles nothing.
     """
-    grouped = rows.withColumn("chunk_group", F.expr(f"chunk_id div {chunks_per_folder}"))
-    writer = grouped.repartitionByRange("chunk_id").write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy("chunk_group").parquet(path)
-    written = rows.sparkSession.read.parquet(path)
+    folder = f"{path}/load={load_id}"
+    rows.write.mode("overwrite").parquet(folder)
+    written = rows.sparkSession.read.parquet(folder)
     return written.groupBy("chunk_id").agg(F.count("*").alias("records_written"))
 
 
+def finished_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger: chunks of all finished loads."""
+    folders = committed_folders(spark, f"{path}/load=*")
+    if not folders:
+        return spark.createDataFrame([], "chunk_id bigint")
+    return spark.read.parquet(*folders).select(F.col("chunk_id").cast("bigint").alias("chunk_id")).distinct()
+
+
 def snapshot_as_changes(snapshot: DataFrame, ts_ms: int = 0) -> DataFrame:
     """Loaded rows as inserts with sequence 0, older than any logged change."""
     return snapshot.select(

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from changeflow.functions.times import older_than
 from changeflow.operators import apply
 from changeflow.schemas import META_OP, META_SEQ, META_TS
+from changeflow.session import committed_folders
 
 
 class Target(ABC):
@@ -65,7 +66,7 @@ class Target(ABC):
 
     def stored(self) -> DataFrame:
         """All committed rows of the current generation."""
-        return self.spark.read.schema(self.layout).parquet(*self._committed(f"{self._home()}/*"))
+        return self.spark.read.schema(self.layout).parquet(*committed_folders(self.spark, f"{self._home()}/*"))
 
     def compact(self, drop_deletes_before: Column | None = None, retention: str = "1 HOUR") -> None:
         """Fold everything into the base of a new generation; run it between batches.
@@ -84,15 +85,8 @@ class Target(ABC):
     def _write(self, rows: DataFrame, folder: str) -> None:
         rows.write.mode("overwrite").parquet(folder)
 
-    def _committed(self, pattern: str) -> list[str]:
-        """Folders that carry Spark's success mark; one without it is unfinished."""
-        context = self.spark.sparkContext
-        marks = context._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
-        found = marks.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(marks)
-        return sorted(f.getPath().getParent().toString() for f in (found or []))
-
     def _generation(self) -> int | None:
-        bases = self._committed(f"{self.path}/gen=*/base")
+        bases = committed_folders(self.spark, f"{self.path}/gen=*/base")
         return max((int(b.rsplit("gen=", 1)[-1].split("/")[0]) for b in bases), default=None)
 
     def _home(self) -> str:

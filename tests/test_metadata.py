@@ -37,13 +37,17 @@ def test_resume_skips_finished_chunks(spark):
     assert sorted(r.k for r in snapshot.chunk_read(rows, "k", 25, done).collect()) == list(range(25, 75))
 
 
-def test_bulk_append_twice(spark):
+def test_bulk_append_retry_and_resume(spark):
     path = shared_dir(spark, "bulk")
-    rows = snapshot.with_chunk(spark.range(100).withColumnRenamed("id", "k"), "k", 30)
+    table = spark.range(100).withColumnRenamed("id", "k")
+    assert snapshot.finished_chunks(spark, path).count() == 0
+    first = snapshot.with_chunk(table, "k", 30).where("chunk_id < 2")
     for _ in range(2):
-        written = snapshot.bulk_append_all(rows, path, chunks_per_folder=2)
-        assert {tuple(r) for r in written.collect()} == {(0, 30), (1, 30), (2, 30), (3, 10)}
-    assert snapshot.bulk_append(rows, shared_dir(spark, "one"), 4).first().records_written == 100
+        assert {tuple(r) for r in snapshot.bulk_append(first, path, 0).collect()} == {(0, 30), (1, 30)}
+    rest = snapshot.chunk_read(table, "k", 30, done=snapshot.finished_chunks(spark, path))
+    assert {tuple(r) for r in snapshot.bulk_append(rest, path, 1).collect()} == {(2, 30), (3, 10)}
+    assert spark.read.parquet(path).count() == 100
+    assert snapshot.finished_chunks(spark, path).count() == 4
 
 
 def test_unit_prices(spark):

@@ -132,4 +132,5 @@ def test_summaries(spark):
         [("reject", "range", False), ("reject", "range", False), ("warn", "enum", False), ("warn", "enum", True)],
         "severity string, violation_type string, resolved boolean")
     assert {tuple(r) for r in quality.violation_summary(rows).collect()} == {("reject", "range", 2), ("warn", "enum", 1)}
-    assert tuple(quality.violation_kpis(rows).first()) == (3, 2)
+    flags = spark.createDataFrame([(True,), (False,), (True,)], "is_enabled boolean")
+    assert tuple(quality.violation_kpis(rows, flags, flags.limit(1)).first()) == (3, 2, 2, 1)

@@ -123,7 +123,7 @@ def test_cooldown_example(spark):
         ("z", m) for m in minutes]
 
 
-@pytest.mark.parametrize("seed,fan,levels", [(1, 2, 3), (2, 3, 2), (3, 2, 1), (4, 32, 2)])
+@pytest.mark.parametrize("seed,fan,levels", [(1, 2, 3), (2, 3, 2), (3, 2, 1), (4, 32, 2), (5, 4, None)])
 def test_cooldown_against_the_plain_loop(spark, seed, fan, levels):
     rng = random.Random(seed)
     events, expected = [], []
