@@ -7,6 +7,7 @@ which gives the same state in whatever order batches arrive, and however often o
 
 from __future__ import annotations
 
+import hashlib
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 
@@ -48,7 +49,7 @@ class Target(ABC):
     def ensure(self) -> None:
         """Create the target unless it is there."""
         if self._generation() is None:
-            self._write(self.spark.createDataFrame([], self.layout), f"{self.path}/gen=0/base")
+            self._write_base(self.spark.createDataFrame([], self.layout), f"{self.path}/gen=0/base")
 
     def apply(self, changes: DataFrame, batch_id: int) -> None:
         """Store a batch; the same id twice leaves one copy."""
@@ -64,9 +65,15 @@ class Target(ABC):
     def count(self) -> int:
         return self.read().count()
 
-    def stored(self) -> DataFrame:
-        """All committed rows of the current generation."""
-        return self.spark.read.schema(self.layout).parquet(*committed_folders(self.spark, f"{self._home()}/*"))
+    def stored(self, folders: str = "*") -> DataFrame:
+        """Committed rows of the current generation."""
+        paths = committed_folders(self.spark, f"{self._home()}/{folders}")
+        reader = self.spark.read.schema(self.layout)
+        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], self.layout)
+
+    def state(self) -> DataFrame:
+        """One row per unit, deletes included."""
+        return self.fold(self.stored())
 
     def compact(self, drop_deletes_before: Column | None = None, retention: str = "1 HOUR") -> None:
         """Fold everything into the base of a new generation; run it between batches.
@@ -75,12 +82,15 @@ class Target(ABC):
         older change could otherwise revive their key; given a time, markers older than
         ``retention`` before it are dropped.
         """
-        folded = self.fold(self.stored())
+        folded = self.state()
         if drop_deletes_before is not None:
             at = F.timestamp_millis(F.col(self.ts_column))
             old = older_than(at, drop_deletes_before, retention)
             folded = folded.where(~((F.col(self.op_column) == "D") & old))
-        self._write(folded, f"{self.path}/gen={self._generation() + 1}/base")
+        self._write_base(folded, f"{self.path}/gen={self._generation() + 1}/base")
+
+    def _write_base(self, rows: DataFrame, folder: str) -> None:
+        self._write(rows, folder)
 
     def _write(self, rows: DataFrame, folder: str) -> None:
         rows.write.mode("overwrite").parquet(folder)
@@ -95,12 +105,16 @@ class Target(ABC):
 
 
 class ReplaceTarget(Target):
-    """Rows as columns; a change replaces the whole row."""
+    """Rows as columns; a change replaces the whole row.
+
+    With ``buckets`` the base is a bucketed table over its folder: reading and compacting then
+    shuffle only what came after the base, however large the base is.
+    """
 
     def __init__(self, spark: SparkSession, path: str, key_columns: list[str], columns: T.StructType,
-                 order: str = "seq"):
+                 order: str = "seq", buckets: int = 0):
         super().__init__(spark, path, key_columns)
-        self.columns, self.order = columns, order
+        self.columns, self.order, self.buckets = columns, order, buckets
 
     @property
     def layout(self) -> T.StructType:
@@ -122,7 +136,40 @@ class ReplaceTarget(Target):
         return folded.select(*[f.name for f in self.layout.fields])
 
     def read(self) -> DataFrame:
-        return self.fold(self.stored()).where(F.col(META_OP) != "D")
+        return self.state().where(F.col(META_OP) != "D")
+
+    def state(self) -> DataFrame:
+        if not self.buckets:
+            return super().state()
+        base, later = self._base(), self.stored("*=*")
+        # A join never matches keys with a missing part; those few rows are folded instead.
+        whole = F.lit(True)
+        for key in self.key_columns:
+            whole = whole & F.col(key).isNotNull()
+        changes = later.where(whole).withColumnsRenamed({META_OP: "op", META_TS: "ts_ms", META_SEQ: "seq"})
+        merged = apply.merge_replace(base.where(whole), changes, self.key_columns, keep_deleted=True)
+        rest = self.fold(base.where(~whole).unionByName(later.where(~whole)))
+        return merged.select(*rest.columns).unionByName(rest)
+
+    def _table(self, folder: str) -> str:
+        return "changeflow_" + hashlib.md5(folder.encode()).hexdigest()
+
+    def _write_base(self, rows: DataFrame, folder: str) -> None:
+        if not self.buckets:
+            return super()._write_base(rows, folder)
+        writer = rows.repartition(self.buckets, *self.key_columns).write.mode("overwrite").option("path", folder)
+        writer = writer.bucketBy(self.buckets, *self.key_columns).sortBy(*self.key_columns)
+        writer.format("parquet").saveAsTable(self._table(folder))
+
+    def _base(self) -> DataFrame:
+        """The base as a bucketed table; a new session has to be told about it."""
+        folder = f"{self._home()}/base"
+        name, keys = self._table(folder), ", ".join(f"`{k}`" for k in self.key_columns)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.layout.fields)
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) "
+            f"INTO {self.buckets} BUCKETS LOCATION '{folder}'")
+        return self.spark.table(name)
 
 
 class PatchTarget(Target):
@@ -147,7 +194,7 @@ class PatchTarget(Target):
         return apply.fold_entries(stored, self.key_columns)
 
     def read(self) -> DataFrame:
-        return apply.documents_from_entries(self.fold(self.stored()), self.key_columns)
+        return apply.documents_from_entries(self.state(), self.key_columns)
 
 
 _TARGETS: dict[str, Callable[..., Target]] = {"replace": ReplaceTarget, "patch": PatchTarget}

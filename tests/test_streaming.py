@@ -142,6 +142,35 @@ def test_compaction_keeps_deletes_until_they_expire(spark):
     assert rows_of(target) == before and target.stored().count() == 2
 
 
+def test_bucketed_base_agrees_and_is_not_shuffled(spark):
+    base = shared_dir(spark, "t")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "v")])
+    target = create_target("replace", spark, f"{base}/target", ["id"], schema, buckets=4)
+    plain = create_target("replace", spark, f"{base}/plain", ["id"], schema)
+    changes = random_changes(7)
+    changes.append((500, "I", None, {"v": "n"}))
+    random.Random(7).shuffle(changes)
+    for i in range(4):
+        batch = events(spark, changes[i * 30:i * 30 + 30])
+        rows = pipeline.keyed_payload(apply.effective(batch), ["id"], ["v"])
+        target.apply(rows, i)
+        plain.apply(rows, i)
+        if i % 2:
+            target.compact()
+        assert rows_of(target) == rows_of(plain)
+    assert rows_of(target) == live(changes)
+    target.apply(rows, 9)
+    spark.sql(f"DROP TABLE {target._table(target._home() + '/base')}")
+    assert rows_of(target) == live(changes)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = target.read()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join = plan[plan.index("SortMergeJoin"):plan.index("SortAggregate", plan.index("SortMergeJoin"))]
+    assert "Bucketed: true" in join and "Exchange" not in join.split("Bucketed: true")[0]
+
+
 def test_unfinished_folders_are_not_read(spark):
     base = shared_dir(spark, "t")
     flow = replace_pipeline(spark, base)
