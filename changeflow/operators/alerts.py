@@ -84,15 +84,17 @@ def _walk(rows: pd.DataFrame, start: int) -> pd.DataFrame:
         "rule_id": rows["rule_id"].iat[0], "cooldown_us": rows["cooldown_us"].iat[0], "entry": fired})
 
 
-def cooldown_firings(candidates: DataFrame, fan: int = 32, levels: int | None = None,
+def cooldown_firings(candidates: DataFrame, fan: int | None = None, levels: int | None = None,
                      rows_per_task: int = 1_000_000) -> DataFrame:
     """The candidates that fire: a rule rests for its cooldown after each firing.
 
     ``candidates``: rule_id, at, event_id, cooldown_minutes, last_fired_at. Firing is sequential
     per rule, so a busy rule is cut into blocks of ``fan`` cooldowns, ``fan**2`` and so on. Going
     up, each block is reduced to its possible entries; the top is walked once; going down, each
-    block is walked from the entry it was reached at. No task holds more than one block, and
-    there are as many levels as the busiest rule needs to end below ``rows_per_task``. Of candidates at the same instant the lowest event_id fires; a rule without cooldown fires on all.
+    block is walked from the entry it was reached at. The width of a block follows from the
+    densest stretch and the number of levels from the busiest rule, so that no task holds many
+    more than ``rows_per_task`` rows. Of candidates at the same instant the lowest event_id fires;
+    a rule without cooldown fires on all.
     """
     at = F.unix_micros(F.col("at").cast("timestamp"))
     cooldown = F.col("cooldown_minutes").cast("bigint") * 60_000_000
@@ -104,16 +106,22 @@ def cooldown_firings(candidates: DataFrame, fan: int = 32, levels: int | None =
     resting = timed.where(F.col("cooldown_us") > 0)
     instants = resting.groupBy("rule_id", "cooldown_us", "entry").agg(F.min("event_id").alias("event_id"))
 
-    def block(level: int, of: str) -> Column:
-        return F.expr(f"CAST(floor({of} / (cooldown_us * {fan**level})) AS BIGINT)").alias("block")
-
     # Each layer is read on the way up and again on the way down.
     instants = checkpointed(instants)
+    per_window = instants.groupBy("rule_id", F.expr("entry div cooldown_us").alias("w")).agg(
+        F.count("*").alias("n"))
+    per_rule = per_window.groupBy("rule_id").agg(F.sum("n").alias("total"), F.max("n").alias("densest"))
+    busiest, densest = per_rule.agg(F.max("total"), F.max("densest")).first()
+    if fan is None:
+        fan = max(2, min(1024, rows_per_task // (densest or 1)))
     if levels is None:
-        busiest = instants.groupBy("rule_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        levels = 0
-        while busiest > rows_per_task:
-            busiest, levels = busiest // fan, levels + 1
+        levels, left = 0, busiest or 0
+        while left > rows_per_task:
+            left, levels = left // fan, levels + 1
+
+    def block(level: int, of: str) -> Column:
+        return F.expr(f"{of} div (cooldown_us * {fan**level})").alias("block")
+
     layers = [instants.select("rule_id", "cooldown_us", "entry", F.col("entry").alias("leave"))]
     for level in range(1, levels + 1):
         rows = layers[-1].select("rule_id", "cooldown_us", block(level, "entry"), "entry", "leave")

@@ -54,7 +54,8 @@ class Pipeline:
     """Applies micro-batches of events to a target and keeps side outputs by batch id.
 
     ``columns`` are the payload columns of a replace target; None feeds a patch target. A batch
-    that comes in fewer than ``least_tasks`` partitions is spread over that many.
+    that comes in fewer than ``least_tasks`` partitions is spread over that many. With
+    ``compact_every`` the target is compacted after every so many batches.
     """
 
     target: Target
@@ -62,6 +63,7 @@ class Pipeline:
     settings: Callable[[], Settings]
     columns: list[str] | None = None
     least_tasks: int = 8
+    compact_every: int = 0
 
     def process(self, events: DataFrame, batch_id: int) -> None:
         """Apply one batch. An error stops the query, and the batch is replayed from its checkpoint."""
@@ -75,6 +77,8 @@ class Pipeline:
                 held = rows.where(F.col("route") != PASS)
                 self._side(held.select("route", "key", "after", "op", "ts_ms", "seq"), "held", batch_id)
             self._side(apply.op_counts(passed, ["table"]), "counts", batch_id)
+            if self.compact_every and (batch_id + 1) % self.compact_every == 0:
+                self.target.compact()
         finally:
             rows.unpersist()
 

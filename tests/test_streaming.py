@@ -67,6 +67,7 @@ def test_interleaved_batches_restart_and_replay(spark):
     changes = random_changes(1)
     write_files(spark, changes[:60], base, 3)
     flow = replace_pipeline(spark, base)
+    flow.compact_every = 2
     run(spark, flow, base)
     assert rows_of(flow.target) == live(changes[:60])
     write_files(spark, changes[60:], base, 2)
