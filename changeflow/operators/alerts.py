@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,9 @@ from changeflow.operators.metrics import SLA_MS, histogram_quantiles, rates
 from changeflow.operators.sequence import held_for
 from changeflow.session import checkpointed, lookup_join
 
+# Send this module's functions with the tasks, so that executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Accepted alert conditions.
 CONDITION_TYPES = ["latency_breach", "error_rate", "consumer_down", "hana_cpu", "custom"]
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from changeflow.functions.times import iso_text
 from changeflow.operators import costs, metrics
+from changeflow.operators.reports import newest as newest_rows
 from changeflow.operators.status import status_code
 from changeflow.plans.inputs import CHANGES_SQL, HALF, LOG_SQL, SAMPLES_SQL, at, change_log, changes, load, samples
 from changeflow.plans.registry import query
@@ -97,6 +98,19 @@ def sla_levels(spark, sf_dir):
     return rows.select("hour_s", "p95", metrics.sla_level(F.col("p95")).alias("level"))
 
 
+@query("latency_report", f"""
+SELECT strftime(make_timestamp(hour_s * 1000000), '%Y-%m-%dT%H:%M:%S') AS window_start, p50 AS p50_latency_ms,
+       p95 AS p95_latency_ms, p99 AS p99_latency_ms, max AS max_latency_ms, records_in_window
+FROM ({_percentile_sql("hour_s")}) ORDER BY hour_s DESC LIMIT 100
+""")
+def latency_report(spark, sf_dir):
+    """The newest hours under the column names of the stored metric."""
+    rows = metrics.latency_percentiles(_hourly(spark, sf_dir), ["hour_s"])
+    names = {f: f"{f}_latency_ms" for f in ("p50", "p95", "p99", "max")}
+    newest = newest_rows(rows.withColumnsRenamed(names), "hour_s", "hour_s", 100)
+    return newest.withColumn("window_start", iso_text(F.timestamp_seconds("hour_s"))).drop("hour_s")
+
+
 # One stream per user: its status follows from its newest event.
 _STREAMS_SQL = f"""
 SELECT CAST(user_id AS VARCHAR) AS config_id,

@@ -15,7 +15,7 @@ from changeflow.operators import apply
 from changeflow.operators.quality import PASS, map_field, validate, violation_rows, with_route
 from changeflow.operators.transform import transform_payload
 from changeflow.schemas import Rule, Transform
-from changeflow.sources import messages
+from changeflow.sources import messages, metadata
 from changeflow.streaming.targets import Target
 
 
@@ -89,13 +89,17 @@ class Pipeline:
         return self.target.spark.read.parquet(f"{self.side_path}/{name}")
 
 
+def _parsed(batch: DataFrame, value: str, least_tasks: int) -> DataFrame:
+    texts = batch.select(value)
+    if texts.rdd.getNumPartitions() < least_tasks:
+        texts = texts.repartition(least_tasks)
+    return messages.parse(texts, value).persist()
+
+
 def parsed_batches(pipeline: Pipeline, value: str = "value") -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function over JSON messages; bad ones go to ``dead_letters``."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        texts = batch.select(value)
-        if texts.rdd.getNumPartitions() < pipeline.least_tasks:
-            texts = texts.repartition(pipeline.least_tasks)
-        parsed = messages.parse(texts, value).persist()
+        parsed = _parsed(batch, value, pipeline.least_tasks)
         try:
             pipeline._side(messages.dead_letters(parsed, [value]), "dead_letters", batch_id)
             pipeline.process(messages.good_events(parsed).drop(value), batch_id)
@@ -105,6 +109,37 @@ def parsed_batches(pipeline: Pipeline, value: str = "value") -> Callable[[DataFr
     return run
 
 
+def routed_batches(routes: dict[str, Pipeline], side_path: str, value: str = "value",
+                   least_tasks: int = 8) -> Callable[[DataFrame, int], None]:
+    """The same for a stream of many tables: messages are parsed once, each table has its pipeline.
+
+    Events of a table without a pipeline are kept with the dead letters.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        parsed = _parsed(batch, value, least_tasks)
+        try:
+            lost = F.when(~F.col("table").isin(list(routes)), F.lit("no pipeline for table"))
+            known = parsed.withColumn("parse_error", F.coalesce("parse_error", lost))
+            dead = messages.dead_letters(known, [value])
+            dead.write.mode("overwrite").parquet(f"{side_path}/dead_letters/batch={batch_id}")
+            good = messages.good_events(known).drop(value)
+            for table, flow in routes.items():
+                flow.process(good.where(F.col("table") == table), batch_id)
+        finally:
+            parsed.unpersist()
+
+    return run
+
+
+def settings_from_tables(read: Callable[[], tuple[DataFrame, DataFrame]], config_id: str) -> Callable[[], Settings]:
+    """Settings read anew for every batch; ``read`` gives the rule and the transform table."""
+    def settings() -> Settings:
+        rules, transforms = read()
+        return Settings(config_id, metadata.load_rules(rules, config_id), metadata.load_transforms(transforms, config_id))
+
+    return settings
+
+
 def start(source: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str,
           every: str | None = "5 seconds") -> StreamingQuery:
     """Start a query; ``every=None`` takes what is there and stops."""

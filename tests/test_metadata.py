@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from changeflow.operators import catalog, costs, metrics, reports, status
 from changeflow.plans.inputs import at
+from changeflow.schemas import target_schema
 from changeflow.session import lookup_join, shared_dir
 from changeflow.sources import catalog as catalog_source
 from changeflow.sources import metadata, snapshot
@@ -118,6 +119,16 @@ def test_catalog_of_spark_tables(spark):
     assert tuple(catalog_source.table_counts(tables, "SHOP").first()) == ("SHOP", "ORDERS", "TABLE", 1)
 
 
+def test_create_empty_target_keeps_an_existing_one(spark):
+    path = shared_dir(spark, "empty")
+    schema = target_schema([("ID", "BIGINT"), ("V", "DECIMAL")])
+    catalog_source.create_empty(spark, schema, path)
+    assert spark.read.parquet(path).columns == [f.name for f in schema]
+    spark.createDataFrame([(1, None, "I", 1, 1)], schema).write.mode("append").parquet(path)
+    catalog_source.create_empty(spark, schema, path)
+    assert spark.read.parquet(path).count() == 1
+
+
 def test_orphans(spark):
     child = spark.createDataFrame([(1,), (1,), (2,), (None,)], "fk long")
     parent = spark.createDataFrame([(2,)], "id long")

@@ -66,6 +66,12 @@ def test_percentile_places(spark):
     assert tuple(got) == ("k", 51, 96, 100, 100, 100)
 
 
+def test_approximate_percentiles(spark):
+    rows = spark.range(1, 1001).select(F.lit("k").alias("k"), F.col("id").alias("latency_ms"))
+    got = metrics.approximate_percentiles(rows, ["k"]).first()
+    assert abs(got.p50 - 500) <= 2 and abs(got.p99 - 990) <= 2 and got.records_in_window == 1000
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_percentiles_against_sorting(spark, seed):
     rng = random.Random(seed)

@@ -211,6 +211,27 @@ def test_target_registry(spark):
     assert create_target("mine") == "made"
 
 
+def test_many_tables_and_settings_from_tables(spark):
+    base = shared_dir(spark, "t")
+    rules = spark.createDataFrame(
+        [("1", "A", "v", "range", '{"max": 5}', "reject", True)],
+        "id string, config_id string, field_name string, rule_type string, rule_params string, severity string, "
+        "is_enabled boolean")
+    transforms = spark.createDataFrame(
+        [("B", "v", "replace", '{"pattern": "9", "replacement": "n"}', 1, True)],
+        "config_id string, source_field string, transform_type string, transform_params string, execution_order int, "
+        "is_enabled boolean")
+    routes = {name: replace_pipeline(spark, f"{base}/{name}", pipeline.settings_from_tables(
+        lambda: (rules, transforms), name)) for name in "AB"}
+    rows = [("s", "x", t, "I", {"id": "k"}, None, {"v": v}, 1, i) for i, (t, v) in enumerate(
+        [("A", "3"), ("A", "9"), ("B", "9"), ("C", "1")])]
+    records = messages.to_records(spark.createDataFrame(rows, ENVELOPE)).select("value")
+    pipeline.routed_batches(routes, f"{base}/side", least_tasks=1)(records, 0)
+    assert rows_of(routes["A"].target) == {"k": ("3", 0)} and rows_of(routes["B"].target) == {"k": ("n", 2)}
+    dead = spark.read.parquet(f"{base}/side/dead_letters").collect()
+    assert [r.parse_error for r in dead] == ["no pipeline for table"]
+
+
 def stream_out(spark, rows, base):
     writer = rows.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint")
     writer.trigger(availableNow=True).start(f"{base}/out").awaitTermination()
