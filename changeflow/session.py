@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +32,27 @@ def build_session(app: str = "changeflow", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers of all executors, once for a context, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if getattr(context, "_changeflow_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                info = zipfile.ZipInfo(os.path.relpath(path, os.path.dirname(root)))
+                archive.writestr(info, open(path, "rb").read())
+    tag = hashlib.sha256(packed.getvalue()).hexdigest()[:12]
+    target = os.path.join(tempfile.mkdtemp(prefix="changeflow-code-"), f"changeflow-{tag}.zip")
+    with open(target, "wb") as out:
+        out.write(packed.getvalue())
+    context.addPyFile(target)
+    context._changeflow_shipped = True
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's checkpoint folder.
 
