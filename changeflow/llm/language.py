@@ -23,6 +23,8 @@ SAMPLE_CHARS_TOTAL = 1 << 20
 DOCUMENT_CHARS = 2_048
 # Letters that get a symbol of their own; rarer ones match nothing in any language.
 MAX_SYMBOLS = 250
+# Smaller samples are normalised as if they had this many characters; else few characters would make phrases cheap.
+SMALL_SAMPLE = 1_024
 # Texts are walked in pieces of this length, each from the start state, many pieces at once.
 PIECE = 128
 SPACE, UNKNOWN = 0, 1
@@ -92,16 +94,20 @@ def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """All code points that are letters."""
+    return np.fromiter((c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()), np.int64)
+
+
 @lru_cache(maxsize=2)
 def _model(samples: tuple[tuple[str, str], ...]):
     """Symbol of each code point, its number of symbols, and each language's automaton; built once in a worker."""
     seen = np.bincount(np.frombuffer("".join(s for _, s in samples).encode("utf-32-le"), np.uint32), minlength=0x110000)
     seen[ord(" ")] = 0
     common = [c for c in np.argsort(-seen, kind="stable")[:MAX_SYMBOLS].tolist() if seen[c]]
-    symbol = np.zeros(0x110000, np.uint8)
-    symbol[:] = SPACE
-    letters = np.fromiter((c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()), np.int64)
-    symbol[letters] = UNKNOWN
+    symbol = np.full(0x110000, SPACE, np.uint8)
+    symbol[_letters()] = UNKNOWN
     symbol[common] = np.arange(2, len(common) + 2)
     size = len(common) + 2
     tables = []
@@ -165,7 +171,7 @@ def parse_counts(raw: list[bytes], samples: tuple[tuple[str, str], ...]) -> tupl
     starts = first[owner] + within * PIECE
     for i, (table, size) in enumerate(zip(tables, sizes, strict=True)):
         found = np.bincount(owner, weights=phrases(flat, starts, table), minlength=len(raw))
-        score[:, i] = found * np.log2(max(2, size)) / np.maximum(1, lengths)
+        score[:, i] = found * np.log2(max(SMALL_SAMPLE, size)) / np.maximum(1, lengths)
     return lengths, score
 
 

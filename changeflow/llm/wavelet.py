@@ -29,7 +29,7 @@ from changeflow.session import shared_dir
 MAGIC = b"WMX1"
 BLOCK = 4096
 SUFFIX = ".wmx"
-# A shard ends with the document that reaches this many ids; a longer document is split over shards.
+# A shard ends with the document that reaches this many ids.
 SHARD_TOKENS = 1 << 22
 
 
@@ -182,8 +182,8 @@ def write_token_files(
     """Encode whole texts, end each with ``end_id``, and write shard files in ascending key order; returns the manifest.
 
     ``folder`` is reachable from all executors. Null keys come first, null and empty texts are their end id alone, and
-    rows with the same key follow one another in an order that their texts decide. A task holds one shard at a time; a
-    document that does not fit goes on in the next shard. An empty table writes no file.
+    rows with the same key follow one another in an order that their texts decide. A task holds one shard at a time, which
+    has whole documents. An empty table writes no file.
     """
     path = tokenizer or default_tokenizer()
     end = np.array([end_id], "<u4").tobytes()
@@ -209,16 +209,12 @@ def write_token_files(
             kind = batch.column("k").type
             for name, raw in zip(batch.column("k").to_pylist(), texts(batch, "t"), strict=True):
                 ids = (encode(raw.decode("utf-8", "replace")) if raw else b"") + end
-                at = 0
-                while at < len(ids):
-                    piece = ids[at:at + 4 * (shard_tokens - n)]
-                    at += len(piece)
-                    keys.append(name)
-                    lengths.append(len(piece) // 4)
-                    parts.append(piece)
-                    n += len(piece) // 4
-                    if n >= shard_tokens:
-                        flush()
+                keys.append(name)
+                lengths.append(len(ids) // 4)
+                parts.append(ids)
+                n += len(ids) // 4
+                if n >= shard_tokens:
+                    flush()
         if n:
             flush()
         columns = list(zip(*made, strict=True)) or [(), (), (), ()]
@@ -229,12 +225,12 @@ def write_token_files(
     return stored(prepared(ordered).mapInArrow(run, MANIFEST), "token-manifest")
 
 
-def read_token_files(folder: str, manifest: DataFrame, key: str, kind: T.DataType, end_id: int = 0) -> DataFrame:
+def read_token_files(folder: str, manifest: DataFrame, key: str, kind: T.DataType) -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of each document, decoded from the shard files."""
     spark = manifest.sparkSession
     schema = T.StructType([
         T.StructField(key, kind), T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()),
-        T.StructField("n", T.LongType()), T.StructField("crc", T.LongType()), T.StructField("ended", T.BooleanType())])
+        T.StructField("n", T.LongType()), T.StructField("crc", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,9 +244,8 @@ def read_token_files(folder: str, manifest: DataFrame, key: str, kind: T.DataTyp
                 n = len(ends)
                 yield pa.RecordBatch.from_arrays([
                     keys, pa.array([head["part"]] * n, pa.int32()), pa.array(starts + head["first"]),
-                    pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64()), pa.array(ids[ends - 1] == end_id),
-                ], schema=pa.schema([(key, keys.type), ("part", pa.int32()), ("at", pa.int64()), ("n", pa.int64()),
-                                     ("crc", pa.int64()), ("ended", pa.bool_())]))
+                    pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64()),
+                ], names=[key, "part", "at", "n", "crc"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder).select("content")
     pieces = prepared(files).mapInArrow(run, schema)
@@ -259,7 +254,7 @@ def read_token_files(folder: str, manifest: DataFrame, key: str, kind: T.DataTyp
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     placed = pieces.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("at"))
-    return placed.select(key, "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"), "ended")
+    return placed.select(key, "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 
 def token_table(
@@ -272,4 +267,4 @@ def token_table(
     if manifest.limit(1).count() == 0:
         empty = T.StructType([T.StructField(key, kind), *(T.StructField(c, T.LongType()) for c in ("start", "n_tokens", "ids_crc32"))])
         return df.sparkSession.createDataFrame([], empty)
-    return read_token_files(folder, manifest, key, kind, end_id).select(key, "start", "n_tokens", "ids_crc32")
+    return read_token_files(folder, manifest, key, kind)
