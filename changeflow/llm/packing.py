@@ -202,9 +202,9 @@ def pack_documents(
     path = tokenizer or default_tokenizer()
 
     def read(batch: pa.RecordBatch):
-        encode = encoder(path).ids
-        for name, raw in zip(batch.column(key).to_pylist(), texts(batch, text), strict=True):
-            ids = np.frombuffer((encode(raw.decode("utf-8", "replace")) if raw else b"") + end_id.to_bytes(4, "little"), "<u4")
+        codes = encoder(path).many([(raw or b"").decode("utf-8", "replace") for raw in texts(batch, text)])
+        for name, code in zip(batch.column(key).to_pylist(), codes, strict=True):
+            ids = np.frombuffer(code + end_id.to_bytes(4, "little"), "<u4")
             yield Item(name, ids, _plain_sums(len(ids)), 0, len(ids))
 
     return _packed(df.select(key, text), key, limits, read, with_ids)

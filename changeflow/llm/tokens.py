@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 from tokenizers import Tokenizer
 
-# A chunk is white space and what follows up to the next white space. Byte-level tokenizers never join what stands on
-# both sides of a chunk's start, as long as no other white space than these touches it.
-CHUNK = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
-OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# A chunk is white space and a run of letters, or white space and a run of other characters (with the letters after an
+# apostrophe). Byte-level tokenizers of this family never join what stands on both sides of a chunk's start in texts of
+# ASCII and these letters; other texts are encoded whole.
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+SPACE = "\t-\r "
+CHUNK = re.compile(f"[{SPACE}]*(?:[{LETTERS}]+|[^{LETTERS}{SPACE}]+(?:(?<=')[{LETTERS}]+)?)|[{SPACE}]+")
+OTHER = re.compile("[\x1c-\x1f]|[^\0-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u024f]")
+CONTROL = re.compile("[\x1c-\x1f]")
 # Chunks kept in one of the two generations of a worker's memory, and the longest that is kept.
-KEPT = 400_000
+KEPT = 600_000
 KEPT_CHARS = 64
+TOGETHER_CHARS = 1 << 20
 
 
 def default_tokenizer() -> str:
@@ -28,38 +35,55 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _encoded(self, pieces: list[str]) -> list[bytes]:
-        many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(e.ids, "<u4").tobytes() for e in many(pieces, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() if len(e.ids) > 64 else pack(f"<{len(e.ids)}I", *e.ids)
+                for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def ids(self, text: str) -> bytes:
-        if OTHER_SPACE.search(text):
-            return self._encoded([text])[0]
-        chunks = CHUNK.findall(text)
-        try:
-            return b"".join(map(self.new.__getitem__, chunks))
-        except KeyError:
-            pass
-        own: dict[str, bytes] = {}
-        missing = []
-        for c in set(chunks):
-            have = self.new.get(c)
-            if have is None and (have := self.old.get(c)) is not None:
-                self.new[c] = have
-            if have is None:
-                missing.append(c)
-            else:
-                own[c] = have
-        for c, code in zip(missing, self._encoded(missing) if missing else [], strict=True):
-            own[c] = code
-            if len(c) <= KEPT_CHARS:
-                self.new[c] = code
+    def _learned(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that the newer generation lacks; they enter it."""
+        own = {c: code for c in missing if (code := self.old.get(c)) is not None}
+        fresh = [c for c in missing if c not in own]
+        own.update(zip(fresh, self._encoded(fresh), strict=True))
+        self.new.update((c, code) for c, code in own.items() if len(c) <= KEPT_CHARS)
         if len(self.new) > KEPT:
             self.old, self.new = self.new, {}
-        return b"".join(map(own.__getitem__, chunks))
+        return own
+
+    def _whole(self, text: str) -> bool:
+        odd = CONTROL if text.isascii() else OTHER
+        return odd.search(text) is not None or any(t in text for t in self.special)
+
+    def ids(self, text: str) -> bytes:
+        return self._together([text])[0]
+
+    def many(self, given: list[str]) -> Iterator[bytes]:
+        """Ids of each text, in order; texts of about a million characters are looked up together."""
+        at = 0
+        while at < len(given):
+            end, size = at, 0
+            while end < len(given) and (size := size + len(given[end])) <= TOGETHER_CHARS:
+                end += 1
+            yield from self._together(given[at:max(end, at + 1)])
+            at = max(end, at + 1)
+
+    def _together(self, given: list[str]) -> list[bytes]:
+        look = self.new.get
+        chunks = [None if self._whole(t) else CHUNK.findall(t) for t in given]
+        codes = [None if own is None else list(map(look, own)) for own in chunks]
+        missing = {c for own, code in zip(chunks, codes, strict=True) if own is not None and None in code
+                   for c, x in zip(own, code, strict=True) if x is None}
+        known = self._learned(missing) if missing else {}
+        out = []
+        for text, own, code in zip(given, chunks, codes, strict=True):
+            if own is None:
+                out.append(self._encoded([text])[0])
+            else:
+                out.append(b"".join([known[c] if x is None else x for c, x in zip(own, code, strict=True)] if None in code else code))
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -43,15 +43,17 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         depth = max(1, int(ids.max()).bit_length()) if len(ids) else 1
         current = ids.astype(np.uint16 if depth <= 16 else np.uint32)
+        after = np.empty_like(current)
         planes, zeros, ranks = [], [], []
         for shift in range(depth - 1, -1, -1):
-            bit = (current >> shift & 1).astype(bool)
+            bit = (current & current.dtype.type(1 << shift)) != 0
             packed = np.packbits(bit)
             planes.append(packed)
             ranks.append(cls._sampled(packed))
-            low = current[~bit]
-            zeros.append(len(low))
-            current = np.concatenate((low, current[bit]))
+            zeros.append(len(current) - int(np.count_nonzero(bit)))
+            np.compress(bit, current, out=after[zeros[-1]:])
+            np.compress(np.logical_not(bit, out=bit), current, out=after[:zeros[-1]])
+            current, after = after, current
         return cls(planes, zeros, ranks, len(ids))
 
     @staticmethod
@@ -123,8 +125,8 @@ class WaveletMatrix:
         for shift, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1], strict=True)):
             bit = np.unpackbits(plane, count=self.n).view(bool)
             before = np.empty_like(current)
-            before[~bit] = current[:zeros]
-            before[bit] = current[zeros:] | current.dtype.type(1 << shift)
+            before[np.flatnonzero(bit)] = current[zeros:] | current.dtype.type(1 << shift)
+            before[np.flatnonzero(~bit)] = current[:zeros]
             current = before
         return current
 
@@ -192,7 +194,7 @@ def write_token_files(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encode = encoder(path).ids
+        encode = encoder(path).many
         made, written, shard = [], 0, 0
         keys, lengths, parts, n, kind = [], [], [], 0, None
 
@@ -207,8 +209,9 @@ def write_token_files(
 
         for batch in batches:
             kind = batch.column("k").type
-            for name, raw in zip(batch.column("k").to_pylist(), texts(batch, "t"), strict=True):
-                ids = (encode(raw.decode("utf-8", "replace")) if raw else b"") + end
+            codes = encode([(raw or b"").decode("utf-8", "replace") for raw in texts(batch, "t")])
+            for name, code in zip(batch.column("k").to_pylist(), codes, strict=True):
+                ids = code + end
                 keys.append(name)
                 lengths.append(len(ids) // 4)
                 parts.append(ids)
