@@ -17,6 +17,7 @@ SYMBOLS = b"#*$%&|<>"
 TERMINAL = (".", "!", "?", "…", ":", ";", "\"", "'", ")", "]", "»", "”", "’", "。", "！", "？", "؟", "।")
 TERMINAL_BYTES = tuple(c.encode() for c in TERMINAL)
 SEPARATORS = {c.encode() for c in ("|", "||", ">", ">>", "»", "›", "•", "·", "/", "::")}
+SENTENCE_END = re.compile(rb"[.!?]['\")]*[ \t]")
 MARK_RUN = re.compile(rb"[#*$%&|<>!?~^=_]{2,}")
 BOILERPLATE = re.compile(
     rb"(?i)lorem ipsum|enable javascript|uses? cookies|cookie policy|privacy policy|terms of (?:use|service)"
@@ -26,9 +27,10 @@ BOILERPLATE = re.compile(
 
 @dataclass(frozen=True)
 class LineRules:
-    """``marked``: share of a line's words with runs of marks. ``separators``: share of a line's words that only
+    """``sentence``: words for which a line that ends without a sentence's end needs one inside. ``marked``: share of a line's words with runs of marks. ``separators``: share of a line's words that only
     separate. ``least_kept``: share of the document's words that must stay. ``least_words``: fewest words."""
 
+    sentence: int = 50
     marked: float = 0.3
     separators: float = 0.2
     least_kept: float = 0.5
@@ -39,9 +41,9 @@ class LineRules:
 
 def failed_rule(line: bytes, words: list[bytes], rules: LineRules) -> str | None:
     """The first rule that a line with words breaks: punctuation, navigation or boilerplate."""
-    if not line.rstrip(WHITE).endswith(TERMINAL_BYTES):
-        return "punctuation"
     n = len(words)
+    if not line.rstrip(WHITE).endswith(TERMINAL_BYTES) and len(SENTENCE_END.findall(line)) * rules.sentence < n:
+        return "punctuation"
     if len(MARK_RUN.findall(line)) > rules.marked * n:
         return "punctuation"
     if sum(w in SEPARATORS for w in words) > rules.separators * n:
