@@ -3,21 +3,16 @@
 from __future__ import annotations
 
 
-import sys
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeflow.functions.times import severity_rank
 from changeflow.operators.metrics import SLA_MS, histogram_quantiles, rates
 from changeflow.operators.sequence import held_for
-from changeflow.session import checkpointed, lookup_join
-
-# Send this module's functions with the tasks, so that executors need not have the package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from changeflow.session import checkpointed, lookup_join, ship_package
 
 # Accepted alert conditions.
 CONDITION_TYPES = ["latency_breach", "error_rate", "consumer_down", "hana_cpu", "custom"]
@@ -39,7 +34,7 @@ def matching_rules(events: DataFrame, rules: DataFrame, channels: DataFrame) ->
         "rule_id", F.col("condition_type").alias("alert_type"), "severity_filter", "channel_id",
         "cooldown_minutes", "last_fired_at", F.col("org_id").alias("rule_org"),
     )
-    pairs = lookup_join(events, usable, ["alert_type"], spread_by=F.xxhash64("event_id"))
+    pairs = lookup_join(events, usable, ["alert_type"])
     same_org = F.col("org_id").isNull() | (F.col("org_id") == F.col("rule_org"))
     severe = F.col("severity_filter").isNull() | (
         severity_rank(F.col("severity")) >= severity_rank(F.col("severity_filter"))
@@ -102,6 +97,7 @@ def cooldown_firings(candidates: DataFrame, fan: int | None = None, levels: int
     more than ``rows_per_task`` rows. Of candidates at the same instant the lowest event_id fires;
     a rule without cooldown fires on all.
     """
+    ship_package(candidates.sparkSession)
     at = F.unix_micros(F.col("at").cast("timestamp"))
     cooldown = F.col("cooldown_minutes").cast("bigint") * 60_000_000
     ready = F.coalesce(F.unix_micros(F.col("last_fired_at").cast("timestamp")) + cooldown, F.lit(-(2**62)))

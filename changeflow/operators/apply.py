@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeflow.schemas import META_OP, META_SEQ, META_TS, META_UPDATED
@@ -16,6 +16,14 @@ def effective(changes: DataFrame, after: str | None = "after") -> DataFrame:
     return changes.where((F.col("op") == "D") | upsert)
 
 
+def ineffective(changes: DataFrame, after: str | None = "after") -> DataFrame:
+    """The rows that ``effective`` leaves out: unknown operations, and upserts without fields."""
+    upsert = F.col("op").isin("I", "U")
+    if after is not None:
+        upsert = upsert & F.col(after).isNotNull()
+    return changes.where(~F.coalesce((F.col("op") == "D") | upsert, F.lit(False)))
+
+
 def _precedence(order: str) -> Column:
     """What makes a change win: its sequence, or being an upsert when deletes run first."""
     if order == "deletes_first":
@@ -140,6 +148,14 @@ def documents_from_entries(folded: DataFrame, key_columns: list[str]) -> DataFra
     )
 
 
+def without_hidden(folded: DataFrame, key_columns: list[str]) -> DataFrame:
+    """Folded entries but for those that their key's last delete hides; once they are gone, the delete may go too."""
+    is_delete = F.col("field").isNull() & (F.col("op") == "D")
+    last = F.max(F.when(is_delete, F.col("seq"))).over(Window.partitionBy(*key_columns))
+    marked = folded.withColumn("_deleted", last)
+    return marked.where(is_delete | F.col("_deleted").isNull() | (F.col("seq") > F.col("_deleted"))).drop("_deleted")
+
+
 def merge_patch(entries: DataFrame, changes: DataFrame, key_columns: list[str], after: str = "after") -> DataFrame:
     """Folded entries after a batch that sets single fields; absent fields survive."""
     return fold_entries(entries.unionByName(patch_entries(changes, key_columns, after)), key_columns)
@@ -160,10 +176,18 @@ def op_counts(changes: DataFrame, by: list[str], after: str | None = "after") ->
 
 
 def reconcile(source: DataFrame, target: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """Row counts and an order-free content hash of two tables, side by side."""
+    """Row counts and an order-free content hash of two tables, side by side.
+
+    A row's hash holds each column's place and whether it is null. The hashes are combined both by xor and by sum, as
+    equal rows cancel in an xor.
+    """
+    parts = [p for i, c in enumerate(columns) for p in (F.lit(i), F.col(c).isNull(), F.col(c))]
+
     def digest(df: DataFrame, side: str) -> DataFrame:
-        return df.groupBy(*by).agg(
-            F.count("*").alias(f"{side}_rows"), F.bit_xor(F.xxhash64(*columns)).alias(f"{side}_hash")
+        row = df.select(*by, F.xxhash64(*parts).alias("_hash"))
+        return row.groupBy(*by).agg(
+            F.count("*").alias(f"{side}_rows"),
+            F.struct(F.bit_xor("_hash"), F.sum(F.col("_hash").cast("decimal(28,0)"))).alias(f"{side}_hash"),
         )
 
     both = digest(source, "source").join(digest(target, "target"), by, "full_outer")

@@ -72,6 +72,22 @@ def validate(
     return checked.withColumn("violations", violations).drop(*messages)
 
 
+RULES_AT_ONCE = 250
+
+
+def validate_many(rows: DataFrame, rules: Iterable[Rule], row_key: Column, seq: Column, *args, **options) -> DataFrame:
+    """``validate`` for any number of rules: they are compiled in groups, whose violations are joined in rule order."""
+    rules = list(rules)
+    if len(rules) <= RULES_AT_ONCE:
+        return validate(rows, rules, row_key, seq, *args, **options)
+    parts = []
+    for at in range(0, len(rules), RULES_AT_ONCE):
+        parts.append(f"_violations_{at}")
+        group = validate(rows, rules[at:at + RULES_AT_ONCE], row_key, seq, *args, **options)
+        rows = group.withColumnRenamed("violations", parts[-1])
+    return rows.withColumn("violations", F.concat(*parts)).drop(*parts)
+
+
 def violation_rows(validated: DataFrame) -> DataFrame:
     """One row per violated rule."""
     # A plain explode would make the optimizer check all rules once more in a filter on the scan.
@@ -105,7 +121,7 @@ def validate_with_table(events: DataFrame, rules: DataFrame, max_rules: int = SM
         "min_value", "max_value", "pattern", "allowed",
     )
     rows = events.where(F.col("after").isNotNull())
-    paired = lookup_join(rows, active, ["config_id"], max_rows=max_rules, spread_by=F.xxhash64("row_key", "seq"))
+    paired = lookup_join(rows, active, ["config_id"], max_rows=max_rules)
     value = F.try_element_at("after", F.col("field_name"))
     paired = paired.withColumn("field_value", value)
     x = F.col("field_value")
@@ -119,7 +135,8 @@ def validate_with_table(events: DataFrame, rules: DataFrame, max_rules: int = SM
         .when((kind == "range") & (number > high), F.lit("above maximum"))
         .when((kind == "length") & (size < low), F.lit("length below minimum"))
         .when((kind == "length") & (size > high), F.lit("length above maximum"))
-        .when((kind == "enum") & ~F.array_contains("allowed", x), F.lit("not in allowed set"))
+        .when((kind == "enum") & x.isNotNull() & ~F.coalesce(F.array_contains("allowed", x), F.lit(False)),
+              F.lit("not in allowed set"))
         .when(
             (kind == "regex") & ~F.rlike(x, F.concat(F.lit("(?U)^(?:"), F.col("pattern"), F.lit(")"))),
             F.lit("doesn't match pattern"),

@@ -69,10 +69,13 @@ def status_code(status: Column, paused: Column | None = None) -> Column:
 def advance_state(state: DataFrame, batch: DataFrame) -> DataFrame:
     """Stream state after a batch: highest sequence, added record count, active status.
 
-    ``batch``: config_id, consumer_group, seq, at. Counting is per config before the join.
+    ``batch``: config_id, consumer_group, seq, at. Only rows beyond the stored sequence count, so that a replayed batch
+    changes nothing.
     """
     key = ["config_id", "consumer_group"]
-    moved = batch.groupBy(*key).agg(
+    known = state.select(*key, F.col("last_seq").alias("_known"))
+    fresh = batch.join(known, key, "left").where(F.col("_known").isNull() | (F.col("seq") > F.col("_known")))
+    moved = fresh.groupBy(*key).agg(
         F.max("seq").alias("_seq"), F.count("*").alias("_n"), F.max("at").alias("_at")
     )
     joined = state.join(moved, key, "full_outer")

@@ -124,7 +124,9 @@ WITH c AS ({CHANGES_SQL}),
 s AS (SELECT table_name AS config_id, max(seq) AS last_seq, count(*) AS n, max(changed_at) AS updated_at
       FROM c WHERE changed_at < TIMESTAMP '{HALF}' GROUP BY 1),
 b AS (SELECT table_name AS config_id, max(seq) AS seq, count(*) AS n, max(changed_at) AS updated_at
-      FROM c WHERE changed_at >= TIMESTAMP '{HALF}' AND table_name <> 'events_3' GROUP BY 1)
+      FROM c LEFT JOIN s ON s.config_id = c.table_name
+      WHERE changed_at >= TIMESTAMP '{HALF}' AND table_name <> 'events_3' AND (s.last_seq IS NULL OR c.seq > s.last_seq)
+      GROUP BY 1)
 SELECT config_id, 'main' AS consumer_group, greatest(s.last_seq, b.seq) AS last_seq,
        COALESCE(s.n, 0) + COALESCE(b.n, 0) AS records_processed_total,
        CASE WHEN b.n IS NOT NULL THEN 'active' ELSE 'error' END AS status,

@@ -123,7 +123,7 @@ SELECT seq_id, is_consumed OR seq_id % 5 = 0 AS is_consumed FROM ({LOG_SQL})
 """)
 def mark_consumed(spark, sf_dir):
     log = change_log(spark, sf_dir)
-    delivered = log.where(F.col("seq_id") % 5 == 0).select("seq_id")
+    delivered = log.where(F.col("seq_id") % 5 == 0).select("table_name", "seq_id")
     return changelog.mark_consumed(log, delivered).select("seq_id", "is_consumed")
 
 

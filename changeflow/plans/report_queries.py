@@ -61,7 +61,7 @@ def log_search(spark, sf_dir):
 @query("log_preview", """
 SELECT doc_id, left(lang || '-' || source, 8) AS short_id, left('{"doc_id":' || doc_id || ',"lang":"' || lang ||
        '","source":"' || source || '","n_chars":' || n_chars || ',"quality":' || COALESCE(CAST(quality AS VARCHAR),
-       'null') || ',"toxic":' || COALESCE(CAST(toxic AS VARCHAR), 'null') || '}', 60) AS preview
+       'null') || ',"toxic":' || COALESCE(CAST(toxic AS VARCHAR), 'null') || '}', 120) AS preview
 FROM documents LEFT JOIN labels USING (doc_id)
 """)
 def log_preview(spark, sf_dir):
@@ -70,7 +70,7 @@ def log_preview(spark, sf_dir):
     columns = [F.col(c) for c in ("doc_id", "lang", "source", "n_chars", "quality", "toxic")]
     return documents.select(
         "doc_id", F.left(F.concat_ws("-", "lang", "source"), F.lit(8)).alias("short_id"),
-        reports.preview(row_json(*columns), 60).alias("preview"))
+        reports.preview(row_json(*columns), 120).alias("preview"))
 
 
 @query("report_newest", f"SELECT event_id, entity_type FROM ({_AUDIT_SQL}) ORDER BY ts DESC, event_id DESC LIMIT 100")

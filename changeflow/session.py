@@ -9,11 +9,12 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Above this many rows a lookup side is no longer broadcast or compiled to literals.
+# A lookup side is broadcast up to this many rows and bytes.
 SMALL_SIDE_ROWS = 20_000
+SMALL_SIDE_BYTES = 32 << 20
 
 
 def build_session(app: str = "changeflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -68,33 +69,24 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/changeflow/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def is_small(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> bool:
-    """True when the frame has at most ``max_rows`` rows; reads no more than that plus one."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS, max_bytes: int = SMALL_SIDE_BYTES) -> bool:
+    """True when the frame has at most ``max_rows`` rows and ``max_bytes`` as text; reads one row more at most."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))
+    found = df.limit(max_rows + 1).agg(F.count("*").alias("rows"), size.alias("bytes")).first()
+    return found["rows"] <= max_rows and (found["bytes"] or 0) <= max_bytes
 
 
 def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: list[str],
-    how: str = "inner",
-    max_rows: int = SMALL_SIDE_ROWS,
-    salt: int = 32,
-    spread_by: Column | None = None,
+    facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", max_rows: int = SMALL_SIDE_ROWS,
 ) -> DataFrame:
     """Join a large side with a lookup side whose keys may be few and hot.
 
-    The lookup is broadcast once its row count is known to fit. A larger one is copied
-    ``salt`` times and the facts are spread over the copies, so that no join key lands in a
-    single task however often it occurs. Works for ``inner``, ``left`` and ``left_semi``/
-    ``left_anti``: every fact row meets exactly one copy of each lookup row.
+    The lookup is broadcast once its rows and bytes are known to fit. Beyond that it is an ordinary join of both sides,
+    whose hot partitions of facts the adaptive skew join splits at run time. Both ways give the same rows.
     """
     if is_small(lookup, max_rows):
         return facts.join(F.broadcast(lookup), on, how)
-    spread = spread_by if spread_by is not None else F.xxhash64(*facts.columns)
-    salted = facts.withColumn("_salt", F.pmod(spread, F.lit(salt)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return facts.join(lookup, on, how)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

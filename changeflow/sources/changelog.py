@@ -42,8 +42,11 @@ def envelope(decoded: DataFrame, source: str, schema: str, table: str, key_field
 
 
 def mark_consumed(log: DataFrame, delivered: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """Set ``is_consumed`` on the rows named in ``delivered``."""
-    on = on or ["seq_id"]
+    """Set ``is_consumed`` on the rows named in ``delivered``.
+
+    A sequence is unique within its table only, so the table counts too where both sides have it.
+    """
+    on = on or [c for c in ("table_name", "seq_id") if c in log.columns and c in delivered.columns]
     acked = delivered.select(*on).distinct().withColumn("_acked", F.lit(True))
     marked = log.join(acked, on, "left").withColumn("is_consumed", F.col("is_consumed") | F.col("_acked").isNotNull())
     return marked.select(*log.columns)

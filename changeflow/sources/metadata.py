@@ -1,4 +1,4 @@
-"""Rules, transforms and configs from metadata tables."""
+"""Rules, transforms and mappings of one config from metadata tables. They become expressions, so they come to the driver."""
 
 from __future__ import annotations
 
@@ -9,23 +9,12 @@ from pyspark.sql import functions as F
 
 from changeflow.schemas import Mapping, Rule, Transform
 
-# A config with more rules than this belongs to the table-driven validation.
-MAX_COMPILED = 2_000
-
-
-def _bounded(rows: DataFrame) -> list:
-    found = rows.limit(MAX_COMPILED + 1).collect()
-    if len(found) > MAX_COMPILED:
-        raise ValueError(f"more than {MAX_COMPILED} rows for one config; use validate_with_table")
-    return found
-
-
 def load_rules(rules: DataFrame, config_id: str) -> list[Rule]:
     """Enabled rules of one config."""
     rows = rules.where((F.col("config_id") == config_id) & F.col("is_enabled"))
     columns = rows.select("id", "field_name", "rule_type", "rule_params", "severity").orderBy("field_name", "id")
     return [Rule(r.id, r.field_name, r.rule_type, json.loads(r.rule_params or "{}"), r.severity or "warn")
-            for r in _bounded(columns)]
+            for r in columns.collect()]
 
 
 def load_transforms(transforms: DataFrame, config_id: str) -> list[Transform]:
@@ -33,10 +22,10 @@ def load_transforms(transforms: DataFrame, config_id: str) -> list[Transform]:
     rows = transforms.where((F.col("config_id") == config_id) & F.col("is_enabled"))
     columns = rows.select("source_field", "transform_type", "transform_params", "execution_order")
     return [Transform(r.source_field, r.transform_type, json.loads(r.transform_params or "{}"), r.execution_order or 0)
-            for r in _bounded(columns.orderBy("execution_order", "source_field"))]
+            for r in columns.orderBy("execution_order", "source_field").collect()]
 
 
 def load_mappings(configs: DataFrame, config_id: str) -> list[Mapping]:
     """Field mappings of one config."""
     rows = configs.where(F.col("id") == config_id).select(F.explode("field_mappings").alias("m")).select("m.*")
-    return [Mapping(r.source, r.target, r.transform) for r in _bounded(rows)]
+    return [Mapping(r.source, r.target, r.transform) for r in rows.collect()]

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from changeflow.functions.keys import row_key_of_map
 from changeflow.operators import apply
-from changeflow.operators.quality import PASS, map_field, validate, violation_rows, with_route
+from changeflow.operators.quality import PASS, map_field, validate_many, violation_rows, with_route
 from changeflow.operators.transform import transform_payload
 from changeflow.schemas import Rule, Transform
 from changeflow.sources import messages, metadata
@@ -32,7 +32,7 @@ class Settings:
 
 def checked(events: DataFrame, settings: Settings) -> DataFrame:
     """Events with violations, route and transformed payload. Rules see the raw values."""
-    validated = validate(
+    validated = validate_many(
         events, settings.rules, row_key_of_map(F.col("key")), F.col("seq"), settings.config_id,
         field=map_field, present=F.col("after").isNotNull(),
         masks=settings.transforms if settings.mask_violations else (),
@@ -70,13 +70,15 @@ class Pipeline:
         settings = self.settings()
         rows = checked(events, settings).persist()
         try:
-            passed = apply.effective(rows.where(F.col("route") == PASS))
-            self.target.apply(keyed_payload(passed, self.target.key_columns, self.columns), batch_id)
+            passed = rows.where(F.col("route") == PASS)
+            self.target.apply(keyed_payload(apply.effective(passed), self.target.key_columns, self.columns), batch_id)
             if settings.rules:
                 self._side(violation_rows(rows), "violations", batch_id)
                 held = rows.where(F.col("route") != PASS)
                 self._side(held.select("route", "key", "after", "op", "ts_ms", "seq"), "held", batch_id)
             self._side(apply.op_counts(passed, ["table"]), "counts", batch_id)
+            skipped = apply.ineffective(passed).select("table", "key", "after", "op", "ts_ms", "seq")
+            self._side(skipped, "skipped", batch_id)
             if self.compact_every and (batch_id + 1) % self.compact_every == 0:
                 self.target.compact()
         finally:

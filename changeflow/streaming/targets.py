@@ -82,13 +82,17 @@ class Target(ABC):
         older change could otherwise revive their key; given a time, markers older than
         ``retention`` before it are dropped.
         """
-        folded = self.state()
+        folded = self.live_entries(self.state())
         if drop_deletes_before is not None:
             at = F.timestamp_millis(F.col(self.ts_column))
             old = older_than(at, drop_deletes_before, retention)
             folded = folded.where(~((F.col(self.op_column) == "D") & old))
         self._write_base(folded, f"{self.path}/gen={self._generation() + 1}/base")
 
+    def live_entries(self, folded: DataFrame) -> DataFrame:
+        """Folded rows without those that must not come back when a delete marker goes."""
+        return folded
+
     def _write_base(self, rows: DataFrame, folder: str) -> None:
         self._write(rows, folder)
 
@@ -193,6 +197,9 @@ class PatchTarget(Target):
     def fold(self, stored: DataFrame) -> DataFrame:
         return apply.fold_entries(stored, self.key_columns)
 
+    def live_entries(self, folded: DataFrame) -> DataFrame:
+        return apply.without_hidden(folded, self.key_columns)
+
     def read(self) -> DataFrame:
         return apply.documents_from_entries(self.state(), self.key_columns)
 

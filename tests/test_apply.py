@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from changeflow import session
 from changeflow.operators import apply, status
 
 DDL = "id int, v string, op string, ts_ms long, seq long"
@@ -141,3 +142,34 @@ def test_control_commands(spark):
     state = spark.sql("""select * from values ('a', 5L, timestamp'2024-01-01'), ('c', 7L, timestamp'2024-01-01'),
       ('c', 6L, timestamp'2023-01-01') as t(config_id, last_seq, updated_at)""")
     assert {tuple(r) for r in status.start_positions(state, rows).collect()} == {("a", 5), ("c", 0)}
+
+
+def test_reconcile_sees_cancelling_and_moved_values(spark):
+    def frame(rows):
+        return spark.createDataFrame([("g", *r) for r in rows], "g string, a string, b string")
+
+    def matches(left, right):
+        return apply.reconcile(frame(left), frame(right), ["a", "b"], ["g"]).first().matches
+
+    assert not matches([("a", "x"), ("a", "x")], [("b", "x"), ("b", "x")])
+    assert not matches([("a", None)], [(None, "a")])
+    assert matches([("a", None), ("b", "c")], [("b", "c"), ("a", None)])
+
+
+def test_replayed_batch_leaves_state(spark):
+    state = spark.createDataFrame([("c", "g", 10, 5, "error", 1)], "config_id string, consumer_group string, last_seq long, records_processed_total long, status string, updated_at long")
+    batch = spark.createDataFrame([("c", "g", 11, 2), ("c", "g", 12, 3), ("d", "g", 1, 1)], "config_id string, consumer_group string, seq long, at long")
+    once = status.advance_state(state, batch)
+    twice = status.advance_state(once, batch)
+    wanted = {("c", 12, 7, "active"), ("d", 1, 1, "active")}
+    for got in (once, twice):
+        assert {(r.config_id, r.last_seq, r.records_processed_total, r.status) for r in got.collect()} == wanted
+
+
+def test_paused_rows_with_maps_beyond_the_small_side(spark, monkeypatch):
+    monkeypatch.setattr(session, "SMALL_SIDE_BYTES", 0)
+    rows = spark.createDataFrame([("a", {"k": "1"}), ("b", {"k": "2"})], "config_id string, key map<string,string>")
+    paused = spark.createDataFrame([("b",)], "config_id string")
+    for how in ("left_anti", "inner", "left"):
+        kept = session.lookup_join(rows, paused, ["config_id"], how, max_rows=0)
+        assert {r.config_id for r in kept.collect()} == {"left_anti": {"a"}, "inner": {"b"}, "left": {"a", "b"}}[how]

@@ -134,3 +134,13 @@ def test_summaries(spark):
     assert {tuple(r) for r in quality.violation_summary(rows).collect()} == {("reject", "range", 2), ("warn", "enum", 1)}
     flags = spark.createDataFrame([(True,), (False,), (True,)], "is_enabled boolean")
     assert tuple(quality.violation_kpis(rows, flags, flags.limit(1)).first()) == (3, 2, 2, 1)
+
+
+def test_any_number_of_rules(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "x"), (2, None)], "id int, v string")
+    rules = [Rule(f"r{i:04}", "v", "not_null" if i % 2 else "length", {"min": 2}, "warn") for i in range(23)]
+    key, seq = F.col("id").cast("string"), F.col("id")
+    whole = quality.validate(rows, rules, key, seq).collect()
+    monkeypatch.setattr(quality, "RULES_AT_ONCE", 4)
+    assert quality.validate_many(rows, rules, key, seq).collect() == whole
+    assert [len(r.violations) for r in whole] == [12, 11]

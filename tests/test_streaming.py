@@ -258,3 +258,14 @@ def test_hourly_usage_windows(spark):
     out = stream_out(spark, windows.hourly_usage(pipeline.replay(spark, f"{base}/in", ddl)), base)
     got = sorted((r.period_start.hour, r.records_processed, r.compute_ms) for r in out.collect())
     assert got == [(0, 4, 2000), (1, 4, 2000)]
+
+
+def test_patch_expiry_keeps_deleted_fields_deleted(spark):
+    target = create_target("patch", spark, shared_dir(spark, "patch-expiry"), ["id"])
+    target.ensure()
+    for batch, rows in enumerate([[(1, "I", "a", {"x": "1"}), (2, "I", "b", {"x": "2"})], [(3, "D", "a", None), (4, "D", "b", None)],
+                                  [(5, "I", "b", {"y": "3"})]]):
+        target.apply(pipeline.keyed_payload(events(spark, rows), ["id"], None), batch)
+    before = {r["id"]: r.document for r in target.read().collect()}
+    target.compact(drop_deletes_before=F.lit("1970-01-01 09:00:00").cast("timestamp"))
+    assert {r["id"]: r.document for r in target.read().collect()} == before == {"b": {"y": "3"}}
