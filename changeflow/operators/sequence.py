@@ -73,16 +73,14 @@ def _collapse(rows: DataFrame, by: list[str], order: str, last: str, cut: Column
 def runs(samples: DataFrame, by: list[str], ts: str, condition: Column, block_seconds: int = 86_400) -> DataFrame:
     """Longest stretches of samples over which a condition keeps its value.
 
-    Runs are built per day. Only the first and the last run of a day can go on in another day, so
+    Samples of one instant are one first, on the map side: the condition holds at an instant if it holds for all of
+    them. Runs are built per day. Only the first and the last run of a day can go on in another day, so
     at most two rows per day meet in the second step.
     """
-    rows = samples.select(
-        *by,
-        F.col(ts).alias("_ts"),
-        F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / block_seconds).alias("_block"),
-        F.coalesce(condition, F.lit(False)).alias("state"),
-        F.lit(1).cast("bigint").alias("samples"),
-    )
+    instants = samples.select(*by, F.col(ts).alias("_ts"), F.coalesce(condition, F.lit(False)).alias("state")).groupBy(
+        *by, "_ts").agg(F.bool_and("state").alias("state"), F.count("*").alias("samples"))
+    day = F.floor(F.unix_seconds(F.col("_ts").cast("timestamp")) / block_seconds)
+    rows = instants.select(*by, "_ts", day.alias("_block"), "state", "samples")
     pieces = _collapse(rows, [*by, "_block"], "_ts", "_ts")
     outer = (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(Window.partitionBy(*by, "_block")))
     pieces = pieces.withColumn("_outer", outer)

@@ -54,10 +54,11 @@ def stream_lag_view(state: DataFrame, configs: DataFrame) -> DataFrame:
 
 
 def stream_metrics(state: DataFrame, metrics: DataFrame, newest: int = 100) -> DataFrame:
-    """Newest latency rows of streams that have state."""
+    """Newest latency rows of streams that have state; equal times are ordered by all other columns."""
     known = state.select("config_id").distinct()
-    return metrics.join(known, "config_id", "left_semi").orderBy(
-        F.desc("window_end"), "config_id", "target_type").limit(newest)
+    first = ["config_id", "target_type"]
+    rest = [c for c in metrics.columns if c not in (*first, "window_end")]
+    return metrics.join(known, "config_id", "left_semi").orderBy(F.desc("window_end"), *first, *rest).limit(newest)
 
 
 def status_code(status: Column, paused: Column | None = None) -> Column:

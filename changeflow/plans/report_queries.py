@@ -442,7 +442,7 @@ def start_positions(spark, sf_dir):
 SELECT config_id, event_type AS target_type, event_id FROM (
   SELECT user_id AS config_id, event_type, event_id, ts FROM events
   WHERE user_id IN (SELECT config_id FROM ({_STATE_SQL}) WHERE event_type = 'purchase'))
-ORDER BY ts DESC, config_id, target_type LIMIT 100
+ORDER BY ts DESC, config_id, target_type, event_id LIMIT 100
 """)
 def stream_metrics(spark, sf_dir):
     metrics = load(spark, sf_dir, "events").select(

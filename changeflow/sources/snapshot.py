@@ -35,7 +35,7 @@ def chunk_plan(table: DataFrame, key: str, chunk_size: int = 10_000) -> DataFram
 
 
 def with_chunk(table: DataFrame, key: str, chunk_size: int = 10_000, low: int | None = None) -> DataFrame:
-    """Add the chunk a row belongs to. Rows without a key belong to none and are left out."""
+    """Add the chunk a row belongs to. Rows without a key belong to none; ``keyless`` has them."""
     if low is None:
         bounds = key_bounds(table, key)
         low = bounds[0] if bounds else 0
@@ -43,6 +43,11 @@ def with_chunk(table: DataFrame, key: str, chunk_size: int = 10_000, low: int |
     return table.where(F.col(key).isNotNull()).withColumn("chunk_id", chunk)
 
 
+def keyless(table: DataFrame, key: str) -> DataFrame:
+    """Rows without a key, which no chunk or range holds; a load writes them to an output of their own."""
+    return table.where(F.col(key).isNull())
+
+
 def chunk_read(table: DataFrame, key: str, chunk_size: int = 10_000, done: DataFrame | None = None) -> DataFrame:
     """Rows in chunk order, sorted by key within a task; chunks in the ledger ``done`` are skipped."""
     rows = with_chunk(table, key, chunk_size)

@@ -156,3 +156,11 @@ def test_matching_rules(spark):
     channels = spark.createDataFrame([("c1", True), ("off", False)], "channel_id string, is_active boolean")
     got = sorted((r.rule_id, r.event_id) for r in alerts.matching_rules(events, rules, channels).collect())
     assert got == [("a", 1), ("b", 2), ("e", 3)]
+
+
+def test_samples_of_one_instant_count_once(spark):
+    rows = [("a", "2024-01-01 00:00:00", 1), ("a", "2024-01-01 00:00:10", 1), ("a", "2024-01-01 00:00:10", 9), ("a", "2024-01-01 00:00:20", 9)]
+    df = spark.createDataFrame(rows * 2, "s string, ts string, v int").withColumn("ts", F.col("ts").cast("timestamp"))
+    for parts in (1, 3):
+        found = sequence.runs(df.repartition(parts), ["s"], "ts", F.col("v") > 5).orderBy("run_start").collect()
+        assert [(r.state, r.samples) for r in found] == [(False, 6), (True, 2)]
