@@ -31,6 +31,8 @@ BLOCK = 4096
 SUFFIX = ".wmx"
 # A shard ends with the document that reaches this many ids.
 SHARD_TOKENS = 1 << 22
+# Ids that are split or merged at a time, so that their places stay in a core's cache.
+STRIDE = 1 << 15
 
 
 class WaveletMatrix:
@@ -51,8 +53,13 @@ class WaveletMatrix:
             planes.append(packed)
             ranks.append(cls._sampled(packed))
             zeros.append(len(current) - int(np.count_nonzero(bit)))
-            np.compress(bit, current, out=after[zeros[-1]:])
-            np.compress(np.logical_not(bit, out=bit), current, out=after[:zeros[-1]])
+            low, high = 0, zeros[-1]
+            for start in range(0, len(current), STRIDE):
+                here, there = current[start:start + STRIDE], bit[start:start + STRIDE]
+                ones, others = np.flatnonzero(there), np.flatnonzero(~there)
+                here.take(ones, out=after[high:high + len(ones)], mode="clip")
+                here.take(others, out=after[low:low + len(others)], mode="clip")
+                low, high = low + len(others), high + len(ones)
             current, after = after, current
         return cls(planes, zeros, ranks, len(ids))
 
@@ -122,12 +129,18 @@ class WaveletMatrix:
     def all(self) -> np.ndarray:
         """All ids in order: planes are undone from the last to the first."""
         current = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
+        before = np.empty_like(current)
         for shift, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1], strict=True)):
             bit = np.unpackbits(plane, count=self.n).view(bool)
-            before = np.empty_like(current)
-            before[np.flatnonzero(bit)] = current[zeros:] | current.dtype.type(1 << shift)
-            before[np.flatnonzero(~bit)] = current[:zeros]
-            current = before
+            current[zeros:] |= current.dtype.type(1 << shift)
+            low, high = 0, zeros
+            for start in range(0, self.n, STRIDE):
+                here, there = before[start:start + STRIDE], bit[start:start + STRIDE]
+                ones, others = np.flatnonzero(there), np.flatnonzero(~there)
+                here[ones] = current[high:high + len(ones)]
+                here[others] = current[low:low + len(others)]
+                low, high = low + len(others), high + len(ones)
+            current, before = before, current
         return current
 
 
