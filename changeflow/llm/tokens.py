@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from struct import pack
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 # A chunk is white space and a run of letters, or white space and a run of other characters (with the letters after an
 # apostrophe). Byte-level tokenizers of this family never join what stands on both sides of a chunk's start in texts of
@@ -17,7 +17,10 @@ LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 SPACE = "\t-\r "
 CHUNK = re.compile(f"[{SPACE}]*(?:[{LETTERS}]+|[^{LETTERS}{SPACE}]+(?:(?<=')[{LETTERS}]+)?)|[{SPACE}]+")
 OTHER = re.compile("[\x1c-\x1f]|[^\0-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u024f]")
-CONTROL = re.compile("[\x1c-\x1f]")
+# A chunk that such a tokenizer takes as one word, and a character that no chunk of this kind holds.
+WORD = re.compile(f" ?[{LETTERS}]+")
+MARK = "\x1e"
+BUNDLE = 2000
 # Chunks kept in one of the two generations of a worker's memory, and the longest that is kept.
 KEPT = 600_000
 KEPT_CHARS = 64
@@ -36,26 +39,49 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words = self._word_tokenizer(path)
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() if len(e.ids) > 64 else pack(f"<{len(e.ids)}I", *e.ids)
-                for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _word_tokenizer(self, path: str) -> Tokenizer:
+        """The same tokenizer without its search for words, where that is the byte-level one."""
+        words = Tokenizer.from_file(path)
+        own = words.pre_tokenizer
+        kind = {} if own is None else json.loads(own.__getstate__())
+        if kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space"):
+            words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        return words
+
+    def _encoded(self, pieces: list[str], tokenizer: Tokenizer) -> list[bytes]:
+        """Ids of chunks; a bundle of them, with a mark after each, shares one result of the library."""
+        if self.mark is None:
+            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        out = []
+        for at in range(0, len(pieces), BUNDLE):
+            marked = [x for piece in pieces[at:at + BUNDLE] for x in (piece, MARK)]
+            found = tokenizer.encode_batch_fast([marked], is_pretokenized=True, add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
+            raw, ends = ids.tobytes(), (np.flatnonzero(ids == self.mark) * 4).tolist()
+            out += [raw[start:end] for start, end in zip([0] + [end + 4 for end in ends], ends)]
+        return out
 
     def _learned(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that the newer generation lacks; they enter it."""
+        """Ids of chunks that the newer generation lacks; they enter it. One with other characters has no ids."""
         own = {c: code for c in missing if (code := self.old.get(c)) is not None}
-        fresh = [c for c in missing if c not in own]
-        own.update(zip(fresh, self._encoded(fresh), strict=True))
+        fresh = [c for c in missing if c not in own and not OTHER.search(c)]
+        plain = [c for c in fresh if WORD.fullmatch(c)]
+        mixed = [c for c in fresh if not WORD.fullmatch(c)]
+        own.update(zip(plain, self._encoded(plain, self.words), strict=True))
+        own.update(zip(mixed, self._encoded(mixed, self.tokenizer), strict=True))
         self.new.update((c, code) for c, code in own.items() if len(c) <= KEPT_CHARS)
         if len(self.new) > KEPT:
             self.old, self.new = self.new, {}
         return own
 
-    def _whole(self, text: str) -> bool:
-        odd = CONTROL if text.isascii() else OTHER
-        return odd.search(text) is not None or any(t in text for t in self.special)
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         return self._together([text])[0]
@@ -72,17 +98,16 @@ class Encoder:
 
     def _together(self, given: list[str]) -> list[bytes]:
         look = self.new.get
-        chunks = [None if self._whole(t) else CHUNK.findall(t) for t in given]
+        chunks = [None if any(t in text for t in self.special) else CHUNK.findall(text) for text in given]
         codes = [None if own is None else list(map(look, own)) for own in chunks]
         missing = {c for own, code in zip(chunks, codes, strict=True) if own is not None and None in code
                    for c, x in zip(own, code, strict=True) if x is None}
         known = self._learned(missing) if missing else {}
         out = []
         for text, own, code in zip(given, chunks, codes, strict=True):
-            if own is None:
-                out.append(self._encoded([text])[0])
-            else:
-                out.append(b"".join([known[c] if x is None else x for c, x in zip(own, code, strict=True)] if None in code else code))
+            if own is not None and None in code:
+                code = [known.get(c) if x is None else x for c, x in zip(own, code, strict=True)]
+            out.append(self._alone(text) if own is None or None in code else b"".join(code))
         return out
 
 
