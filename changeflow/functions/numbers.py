@@ -48,6 +48,11 @@ def percent(done: Column, total: Column) -> Column:
     return (whole + up.cast("int")).cast("double") / 10
 
 
+def in_dollars(cost: Column, places: int = 4) -> Column:
+    """A cost rounded to the reported places, ties away from zero."""
+    return F.round(cost.cast("decimal(38,12)"), places).cast("double")
+
+
 def usage_cost(records: Column, byte_count: Column, compute_ms: Column) -> dict[str, Column]:
     """Cost of each component in dollars, and their sum."""
     by_records = records.cast("double") / 1_000_000 * USD_PER_MILLION_RECORDS

@@ -34,12 +34,17 @@ def matching_rules(events: DataFrame, rules: DataFrame, channels: DataFrame) ->
         "rule_id", F.col("condition_type").alias("alert_type"), "severity_filter", "channel_id",
         "cooldown_minutes", "last_fired_at", F.col("org_id").alias("rule_org"),
     )
-    pairs = lookup_join(events, usable, ["alert_type"])
-    same_org = F.col("org_id").isNull() | (F.col("org_id") == F.col("rule_org"))
+    # A rule stands twice, for its own org and for events without one, so that events meet no rule of another org.
+    places = F.array(F.struct(F.lit(True).alias("_every"), F.lit("").alias("_org")),
+                     F.struct(F.lit(False).alias("_every"), F.col("rule_org").cast("string").alias("_org")))
+    usable = usable.select("*", F.inline(places))
+    placed = events.select("*", F.col("org_id").isNull().alias("_every"),
+                           F.coalesce(F.col("org_id").cast("string"), F.lit("")).alias("_org"))
+    pairs = lookup_join(placed, usable, ["alert_type", "_every", "_org"]).drop("_every", "_org")
     severe = F.col("severity_filter").isNull() | (
         severity_rank(F.col("severity")) >= severity_rank(F.col("severity_filter"))
     )
-    return pairs.where(F.coalesce(same_org, F.lit(False)) & severe)
+    return pairs.where(severe)
 
 
 def _follow(entry: np.ndarray, leave: np.ndarray, cooldown: int) -> np.ndarray:
@@ -155,6 +160,14 @@ def alert_history(candidates: DataFrame, firings: DataFrame) -> DataFrame:
     )
 
 
+def rules_after(rules: DataFrame, history: DataFrame) -> DataFrame:
+    """The rules with the clock that the next batch starts from: the newest firing, or the old one without any."""
+    fired = history.groupBy(F.col("rule_id").alias("_fired_rule")).agg(F.max("fired_at").alias("_fired"))
+    joined = rules.join(fired, F.col("rule_id").cast("string") == F.col("_fired_rule"), "left")
+    newest = F.greatest(F.col("last_fired_at").cast("timestamp"), F.col("_fired").cast("timestamp"))
+    return joined.withColumn("last_fired_at", newest).select(*rules.columns)
+
+
 def latency_breach(samples: DataFrame, by: list[str], ts: str, value: str = "latency_ms",
                    threshold: int = SLA_MS, seconds: int = 300) -> DataFrame:
     """Stretches over which the 5-minute p95 stayed above the target."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changeflow.functions.numbers import usage_cost
+from changeflow.functions.numbers import in_dollars, usage_cost
 from changeflow.functions.times import within_days
 
 _MEASURES = ["records_processed", "bytes_transferred", "compute_ms"]
@@ -46,14 +46,15 @@ def _recent(hours: DataFrame, now: Column, days: int, **equal: str | None) -> Da
 
 
 def cost_summary(hours: DataFrame, now: Column, days: int = 30, org_id: str | None = None) -> DataFrame:
-    """Usage and cost per target, and the grand total as target ``all``."""
+    """Usage and cost per target, and the grand total as target ``all``; dollars have four places."""
     target = F.coalesce(F.col("target_type"), F.lit("unknown"))
     rows = _recent(hours, now, days, org_id=org_id).withColumn("_target", target)
     sums = rows.rollup("_target").agg(
         *[F.sum(m).alias(m) for m in _MEASURES], F.grouping("_target").alias("_all")
     )
     label = F.when(F.col("_all") == 1, F.lit("all")).otherwise(F.col("_target"))
-    return with_costs(sums.select(label.alias("target_type"), *_MEASURES))
+    costs = with_costs(sums.select(label.alias("target_type"), *_MEASURES))
+    return costs.withColumns({c: in_dollars(F.col(c)) for c in costs.columns if c.endswith("_usd")})
 
 
 def daily_costs(hours: DataFrame, now: Column, days: int = 30, config_id: str | None = None) -> DataFrame:

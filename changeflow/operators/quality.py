@@ -114,16 +114,22 @@ def validate_with_table(events: DataFrame, rules: DataFrame, max_rules: int = SM
 
     ``events``: config_id, row_key, seq, after (map). ``rules``: id, config_id, field_name,
     rule_type, severity, is_enabled, min_value, max_value (double), pattern, allowed
-    (array of text). Events meet only the rules of their own config.
+    (array of text). A field meets only the rules of its own config and name.
     """
     active = rules.where("is_enabled").select(
         "config_id", F.col("id").alias("rule_id"), "field_name", "rule_type", "severity",
         "min_value", "max_value", "pattern", "allowed",
     )
     rows = events.where(F.col("after").isNotNull())
-    paired = lookup_join(rows, active, ["config_id"], max_rows=max_rules)
-    value = F.try_element_at("after", F.col("field_name"))
-    paired = paired.withColumn("field_value", value)
+    # Each field meets its own rules only. Fields that a config requires and a row lacks are added as nulls.
+    required = active.where(F.col("rule_type") == "not_null").groupBy("config_id").agg(
+        F.collect_set("field_name").alias("_required"))
+    rows = lookup_join(rows, required, ["config_id"], "left", max_rules)
+    lacking = F.array_except(F.coalesce("_required", F.array().cast("array<string>")), F.map_keys("after"))
+    entries = F.concat(F.map_entries("after"), F.transform(
+        lacking, lambda name: F.struct(name.alias("key"), F.lit(None).cast("string").alias("value"))))
+    fields = rows.select("config_id", "row_key", "seq", F.inline(entries).alias("field_name", "field_value"))
+    paired = lookup_join(fields, active, ["config_id", "field_name"], max_rows=max_rules)
     x = F.col("field_value")
     number = parse_float(x)
     number = F.when(~F.isnan(number), number)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changeflow.functions.times import iso_text
 from changeflow.operators import alerts
 from changeflow.operators.sequence import running_totals
 from changeflow.plans.inputs import LOG_SQL, at, change_log, load, samples
@@ -104,6 +105,19 @@ def alert_fire(spark, sf_dir):
     return alerts.alert_history(candidates, alerts.cooldown_firings(candidates)).drop("fired_at")
 
 
+@query("alert_rules_after", f"""
+SELECT r.rule_id, strftime(greatest(any_value(r.last_fired_at), max(e.at)), '%Y-%m-%dT%H:%M:%S') AS last_fired_at
+FROM ({_RULES_SQL}) r LEFT JOIN ({_FIRED_SQL}) f ON r.rule_id = f.rule_id
+LEFT JOIN ({_ALERTS_SQL}) e ON f.event_id = e.event_id GROUP BY r.rule_id
+""")
+def alert_rules_after(spark, sf_dir):
+    """The clock of every rule after the firings."""
+    candidates = _candidates(spark, sf_dir)
+    history = alerts.alert_history(candidates, alerts.cooldown_firings(candidates))
+    rules = alerts.rules_after(_rules(spark, sf_dir), history)
+    return rules.select("rule_id", iso_text(F.col("last_fired_at")).alias("last_fired_at"))
+
+
 def _islands_sql(rows: str, by: str, condition: str, seconds: int) -> str:
     """Runs of a condition of at least ``seconds``; ``rows`` has ``at_s``, the time in seconds."""
     return f"""

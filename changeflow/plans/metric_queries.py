@@ -270,12 +270,18 @@ def cost_hourly(spark, sf_dir):
         "period_end", iso_text(F.col("period_end")))
 
 
+_ROUNDED = ", ".join(
+    f"CAST(round(CAST({c} AS DECIMAL(38, 12)), 4) AS DOUBLE) AS {c}"
+    for c in ("records_usd", "transfer_usd", "compute_usd", "cost_usd"))
+
+
 @query("cost_summary", f"""
-SELECT target_type, records_processed, bytes_transferred, compute_ms, {_COST_COLUMNS} FROM (
+SELECT target_type, records_processed, bytes_transferred, compute_ms, {_ROUNDED} FROM (
+  SELECT target_type, records_processed, bytes_transferred, compute_ms, {_COST_COLUMNS} FROM (
   SELECT COALESCE(target_type, 'unknown') AS target_type, {_SUMS} FROM ({_BATCHES_SQL})
   WHERE org_id = 'o3' AND date_trunc('hour', ts) >= TIMESTAMP '{_NOW}' - INTERVAL 20 DAY GROUP BY 1
   UNION ALL SELECT 'all', {_SUMS} FROM ({_BATCHES_SQL})
-  WHERE org_id = 'o3' AND date_trunc('hour', ts) >= TIMESTAMP '{_NOW}' - INTERVAL 20 DAY)
+  WHERE org_id = 'o3' AND date_trunc('hour', ts) >= TIMESTAMP '{_NOW}' - INTERVAL 20 DAY))
 """)
 def cost_summary(spark, sf_dir):
     hours = costs.hourly_usage(_batches(spark, sf_dir))

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changeflow.functions.times import iso_text
-from changeflow.operators import costs
+from changeflow.operators import costs, status
 from changeflow.plans.inputs import CHANGES_SQL, LOG_SQL, load, log_of
 from changeflow.plans.metric_queries import _BATCHES_SQL, _SUMS, _target
 from changeflow.plans.registry import query
@@ -111,6 +112,22 @@ def stream_side_outputs(spark, sf_dir):
         applied.select(F.lit("counts").alias("output"), F.lit("applied").alias("kind"), "n"))
 
 
+def _updated(spark: SparkSession, rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Run an update query, keep the changed windows of each batch, and read the newest state of every window.
+
+    A repeated batch replaces its own folder. Windows that are still open are there with what they hold so far.
+    """
+    base = shared_dir(spark, name)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    writer = rows.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{base}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])
+    return status.latest_by(spark.read.schema(schema).parquet(f"{base}/out"), by, ["batch"]).drop("batch")
+
+
 def _written(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     """Run an append query into Parquet and read it back."""
     base = shared_dir(spark, name)
@@ -123,10 +140,9 @@ def _written(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
 SELECT config_id, org_id, target_type, strftime(h, '%Y-%m-%dT%H:%M:%S') AS period_start, records_processed,
        bytes_transferred, compute_ms
 FROM (SELECT config_id, org_id, target_type, date_trunc('hour', ts) AS h, {_SUMS} FROM ({_BATCHES_SQL}) GROUP BY ALL)
-WHERE h + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)
 """)
 def stream_costs(spark, sf_dir):
-    """Closed hours only: an hour is final once the watermark, one hour late, has passed its end."""
+    """All hours, open ones too; an hour is final once the watermark, one hour late, has passed its end."""
     key = F.col("event_id")
     batches = _stream(spark, sf_dir).select(
         F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("config_id"),
@@ -134,7 +150,8 @@ def stream_costs(spark, sf_dir):
         _target().alias("target_type"), ((key * 31) % 5000 + 1).alias("records"),
         ((key * 104729) % 50000000).alias("bytes"), ((key * 7919) % 60000).alias("compute_ms"),
         F.col("ts").cast("timestamp").alias("ts"))
-    hours = costs.with_costs(_written(spark, windows.hourly_usage(batches), "stream-costs"))
+    by = ["config_id", "org_id", "target_type", "period_start"]
+    hours = costs.with_costs(_updated(spark, windows.hourly_usage(batches), by, "stream-costs"))
     return hours.select(
         "config_id", "org_id", "target_type", iso_text(F.col("period_start")).alias("period_start"),
         "records_processed", "bytes_transferred", "compute_ms")
@@ -153,24 +170,24 @@ def stream_dedup(spark, sf_dir):
 SELECT event_type, epoch_us(m) // 1000000 AS start_s, count(*) FILTER (WHERE latency_ms <= 1000) AS le_1000,
        count(*) FILTER (WHERE latency_ms <= 30000) AS le_30000, count(*) AS le_inf, max(latency_ms) AS max
 FROM (SELECT event_type, date_trunc('minute', ts) AS m, (event_id * 7919) % 60000 AS latency_ms FROM events)
-WHERE m + INTERVAL 11 MINUTE <= (SELECT max(ts) FROM events) GROUP BY event_type, m
+GROUP BY event_type, m
 """)
 def stream_latency(spark, sf_dir):
     rows = _stream(spark, sf_dir).select(
         "event_type", F.col("ts").cast("timestamp").alias("ts"), ((F.col("event_id") * 7919) % 60000).alias("latency_ms"))
-    closed = _written(spark, windows.latency_windows(rows, ["event_type"], "ts"), "stream-latency")
-    return closed.select("event_type", F.unix_seconds("window_start").alias("start_s"), "le_1000", "le_30000", "le_inf",
+    counts = windows.latency_windows(rows, ["event_type"], "ts")
+    minutes = _updated(spark, counts, ["event_type", "window_start"], "stream-latency")
+    return minutes.select("event_type", F.unix_seconds("window_start").alias("start_s"), "le_1000", "le_30000", "le_inf",
                          "max")
 
 
 @query("stream_rates", """
-WITH m AS (SELECT epoch_us(max(ts)) AS newest FROM events),
-w AS (SELECT event_type, (epoch_us(ts) // 60000000 - o) * 60 AS start_s FROM events, range(0, 5) r(o))
+WITH w AS (SELECT event_type, (epoch_us(ts) // 60000000 - o) * 60 AS start_s FROM events, range(0, 5) r(o))
 SELECT event_type, start_s, count(*) AS events, count(*) / CAST(300 AS DOUBLE) AS per_second
-FROM w, m WHERE (start_s + 900) * 1000000 <= newest GROUP BY event_type, start_s
+FROM w GROUP BY event_type, start_s
 """)
 def stream_rates(spark, sf_dir):
     rows = _stream(spark, sf_dir).select("event_type", F.col("ts").cast("timestamp").alias("ts"))
     rates = windows.sliding_rates(rows, ["event_type"], "ts", "5 minutes", "1 minute")
-    return _written(spark, rates, "stream-rates").select(
+    return _updated(spark, rates, ["event_type", "window_start"], "stream-rates").select(
         "event_type", F.unix_seconds("window_start").alias("start_s"), "events", "per_second")
