@@ -100,6 +100,26 @@ def test_chunks_encode_as_whole(encode, text):
     assert tokens.encoder(tokens.default_tokenizer()).ids(text) == np.array(encode(text), "<u4").tobytes()
 
 
+def test_bundles_and_other_characters(encode, documents, monkeypatch):
+    monkeypatch.setattr(tokens, "BUNDLE", 3)
+    own = tokens.Encoder(tokens.default_tokenizer())
+    given = [t for _, t in documents[:20]] + ["a\x1eb", "a \x1e", "日本 b", "", "<|endoftext|> a", "b\x1c", "a b c d e f g"] * 2
+    assert list(own.many(given)) == [np.array(encode(t), "<u4").tobytes() for t in given]
+    assert not any(tokens.OTHER.search(c) for c in own.new)
+
+
+@pytest.mark.parametrize("top", [2, 50257, 1 << 20])
+def test_planes_across_strides(top):
+    ids = np.random.default_rng(top).integers(0, top, 3 * wavelet.STRIDE + 17, dtype=np.uint32)
+    matrix = wavelet.WaveletMatrix.build(ids)
+    assert (matrix.all() == ids).all()
+    for at in (0, wavelet.STRIDE - 1, wavelet.STRIDE, len(ids) - 1):
+        assert matrix.access(at) == ids[at]
+        places = np.flatnonzero(ids == ids[at])
+        assert matrix.count(int(ids[at])) == len(places)
+        assert matrix.select(int(ids[at]), len(places) - 1) == places[-1]
+
+
 def test_encoder_forgets(encode, documents, monkeypatch):
     monkeypatch.setattr(tokens, "KEPT", 50)
     own = tokens.Encoder(tokens.default_tokenizer())
