@@ -84,19 +84,41 @@ def bucket_quantile(q: float, bounds: list[int] = LATENCY_BOUNDS) -> Column:
     return result.otherwise(F.lit(float(bounds[-1])))
 
 
+def windows_of_panes(panes: DataFrame, by: list[str], sums: list[str], steps: int, block: int = 4096) -> DataFrame:
+    """(by, _first, sums): sums over the ``steps`` panes from ``_first`` on, for each window that holds a pane.
+
+    ``panes``: by, ``_pane`` (a whole number, once in a series) and the columns ``sums``. A series is cut into blocks of
+    panes. A pane also goes into the block before if windows of that one reach it, so it is copied at most once.
+    """
+    width = max(block, steps)
+    own, back = F.floor(F.col("_pane") / width), F.floor((F.col("_pane") - (steps - 1)) / width)
+    placed = panes.where(F.col("_pane").isNotNull()).withColumn("_block", F.explode(F.array_distinct(F.array(own, back))))
+    inside = Window.partitionBy(*by, "_block")
+    start = F.col("_block") * width
+    # The windows that hold this pane and not the one before it.
+    first = F.greatest(F.col("_pane") - (steps - 1), F.lag("_pane").over(inside.orderBy("_pane")) + 1, start)
+    last = F.least(F.col("_pane"), start + (width - 1))
+    placed = placed.withColumn("_from", first).withColumn("_to", last)
+    opened = F.when(F.col("_from") <= F.col("_to"), F.sequence("_from", "_to")).otherwise(F.array().cast("array<bigint>"))
+    places = placed.withColumn("_first", F.explode(F.array_union(opened, F.array("_pane"))))
+    here = F.col("_first") == F.col("_pane")
+    frame = inside.orderBy("_first").rangeBetween(0, steps - 1)
+    summed = places.select(*by, "_block", "_first", *[F.when(here, F.col(c)).alias(c) for c in sums]).select(
+        *by, "_block", "_first", *[F.sum(c).over(frame).alias(c) for c in sums])
+    return summed.where(F.col("_first") < start + width).drop("_block")
+
+
 def sliding(samples: DataFrame, by: list[str], ts: str, aggregates: list[Column], sums: list[str],
             length: int = 300, slide: int = 15) -> DataFrame:
     """Sliding windows from tumbling panes.
 
-    Rows are aggregated once per pane of ``slide`` seconds; only panes are copied into the
-    windows that hold them. ``aggregates`` must be counts or sums, ``sums`` their names.
+    Rows are aggregated once per pane of ``slide`` seconds; windows are frames over panes.
+    ``aggregates`` must be counts or sums, ``sums`` their names.
     """
     pane = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / slide)
     panes = samples.groupBy(*by, pane.alias("_pane")).agg(*aggregates)
-    steps = length // slide
-    spread = panes.withColumn("_first", F.explode(F.sequence(F.col("_pane") - (steps - 1), F.col("_pane"))))
-    start = (F.col("_first") * slide).alias("window_start_s")
-    return spread.groupBy(*by, start).agg(*[F.sum(c).alias(c) for c in sums])
+    windows = windows_of_panes(panes, by, sums, length // slide)
+    return windows.select(*by, (F.col("_first") * slide).alias("window_start_s"), *sums)
 
 
 def histogram_quantiles(samples: DataFrame, by: list[str], ts: str, value: str = "latency_ms",
@@ -114,6 +136,14 @@ def rates(events: DataFrame, by: list[str], ts: str, length: int = 300, slide: i
     return windows.withColumn("per_second", F.col("events") / F.lit(float(length)))
 
 
+def rates_of_panes(panes: DataFrame, by: list[str], start: str, length: int = 300, slide: int = 15) -> DataFrame:
+    """The same from stored counts of tumbling panes: by, ``start`` (a timestamp) and events."""
+    numbered = panes.withColumn("_pane", F.floor(F.unix_seconds(start) / slide)).select(*by, "_pane", "events")
+    windows = windows_of_panes(numbered, by, ["events"], length // slide)
+    return windows.select(*by, (F.col("_first") * slide).alias("window_start_s"), "events",
+                          (F.col("events") / F.lit(float(length))).alias("per_second"))
+
+
 def message_counts(events: DataFrame, by: list[str]) -> DataFrame:
     return events.groupBy(*by).agg(F.count("*").alias("messages"))
 

@@ -37,6 +37,16 @@ def page(rows: DataFrame, order: str, tie: str, limit: int = PAGE_ROWS, offset:
     return rows.orderBy(F.desc(order), F.desc(tie)).offset(offset).limit(limit)
 
 
+def page_after(rows: DataFrame, order: str, tie: str, last: tuple, limit: int = PAGE_ROWS) -> DataFrame:
+    """The page that follows the row with ``last`` = (order, tie), at the same cost however far down it is."""
+    at, key = last
+    same = F.col(tie) < F.lit(key)
+    if at is None:
+        return page(rows.where(F.col(order).isNull() & same), order, tie, limit)
+    older = (F.col(order) < F.lit(at)) | ((F.col(order) == F.lit(at)) & same) | F.col(order).isNull()
+    return page(rows.where(older), order, tie, limit)
+
+
 def total(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total"))
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from changeflow.session import checkpointed
+
 
 def running_totals(rows: DataFrame, order: str, totals: dict[str, str], by: list[str] | None = None,
                    block: int = 4096) -> DataFrame:
@@ -54,43 +56,69 @@ def sequence_summary(log: DataFrame, by: list[str], seq: str = "seq_id") -> Data
     return summary.withColumn("gap_free", (F.col("missing") == 0) & (F.col("repeated") == 0))
 
 
-def _collapse(rows: DataFrame, by: list[str], order: str, last: str, cut: Column | None = None) -> DataFrame:
-    """Join neighbouring rows of equal ``state`` into one run; ``cut`` starts a run regardless."""
-    window = Window.partitionBy(*by).orderBy(order)
+def _micros(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
+def _collapse(rows: DataFrame, by: list[str], cut: str | None = None) -> DataFrame:
+    """Join neighbouring rows of equal ``state`` into one run; two rows with the same ``cut`` are never one run."""
+    window = Window.partitionBy(*by).orderBy("run_start")
     begins = F.col("state") != F.lag("state").over(window)
     if cut is not None:
-        begins = begins | cut
+        begins = begins | (F.col(cut) == F.lag(cut).over(window))
     starts = F.coalesce(begins.cast("int"), F.lit(1))
     numbered = rows.withColumn("_run", F.sum(starts).over(window.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*by, "_run").agg(
         F.first("state").alias("state"),
-        F.min(order).alias("run_start"),
-        F.max(last).alias("run_end"),
+        F.min("run_start").alias("run_start"),
+        F.max("run_end").alias("run_end"),
         F.sum("samples").alias("samples"),
     )
 
 
-def runs(samples: DataFrame, by: list[str], ts: str, condition: Column, block_seconds: int = 86_400) -> DataFrame:
+def _block_widths(instants: DataFrame, by: list[str], width: int, rows_per_task: int) -> list[int]:
+    """Widths in microseconds: the first so narrow that no block of a series is too large, each next one so wide that
+    few enough blocks meet in it, until a whole series does."""
+    while True:
+        counts = instants.groupBy(*by, F.expr(f"_us div {width}").alias("_block")).agg(F.count("*").alias("n"))
+        densest, low, high = counts.agg(F.max("n"), F.min("_block"), F.max("_block")).first()
+        if width == 1 or (densest or 0) <= rows_per_task:
+            break
+        width = max(1, width // (2 * -(-densest // rows_per_task)))
+    widths, blocks = [width], 0 if low is None else high - low + 1
+    fan = max(2, rows_per_task // 2)
+    while blocks * 2 > max(4, rows_per_task):
+        widths.append(widths[-1] * fan)
+        blocks = blocks // fan + 2
+    return widths
+
+
+def runs(samples: DataFrame, by: list[str], ts: str, condition: Column, block_seconds: int = 86_400,
+         rows_per_task: int = 1_000_000) -> DataFrame:
     """Longest stretches of samples over which a condition keeps its value.
 
     Samples of one instant are one first, on the map side: the condition holds at an instant if it holds for all of
-    them. Runs are built per day. Only the first and the last run of a day can go on in another day, so
-    at most two rows per day meet in the second step.
+    them. Runs are built in blocks, of ``block_seconds`` or so much less that the densest block of a series has at most
+    ``rows_per_task`` instants. Only the first and the last run of a block can go on in another one, so two rows of a
+    block meet in the next wider blocks, and in the end in the series.
     """
-    instants = samples.select(*by, F.col(ts).alias("_ts"), F.coalesce(condition, F.lit(False)).alias("state")).groupBy(
-        *by, "_ts").agg(F.bool_and("state").alias("state"), F.count("*").alias("samples"))
-    day = F.floor(F.unix_seconds(F.col("_ts").cast("timestamp")) / block_seconds)
-    rows = instants.select(*by, "_ts", day.alias("_block"), "state", "samples")
-    pieces = _collapse(rows, [*by, "_block"], "_ts", "_ts")
-    outer = (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(Window.partitionBy(*by, "_block")))
-    pieces = pieces.withColumn("_outer", outer)
-    inner = pieces.where(~F.col("_outer")).select(*by, "state", "run_start", "run_end", "samples")
-    edges = pieces.where("_outer").select(
-        *by, "_block", "state", F.col("run_start").alias("_from"), F.col("run_end").alias("_to"), "samples")
-    # Two runs of one day are never the same run, even if the ones between them are left out here.
-    same_day = F.col("_block") == F.lag("_block").over(Window.partitionBy(*by).orderBy("_from"))
-    joined = _collapse(edges, by, "_from", "_to", cut=same_day)
-    return inner.unionByName(joined.drop("_run"))
+    instants = samples.select(*by, F.col(ts).alias("run_start"), F.coalesce(condition, F.lit(False)).alias("state")).groupBy(
+        *by, "run_start").agg(F.bool_and("state").alias("state"), F.count("*").alias("samples"))
+    instants = checkpointed(instants.withColumn("_us", _micros("run_start")))
+    rows = instants.select(*by, "state", "run_start", F.col("run_start").alias("run_end"), "samples")
+    out, found = [*by, "state", "run_start", "run_end", "samples"], None
+    for number, width in enumerate(_block_widths(instants, by, block_seconds * 1_000_000, rows_per_task)):
+        if number:
+            rows = rows.withColumnRenamed("_block", "_before")
+        blocked = rows.withColumn("_block", F.expr(f"unix_micros(CAST(run_start AS TIMESTAMP)) div {width}"))
+        group = [*by, "_block"]
+        pieces = _collapse(blocked, group, "_before" if number else None)
+        outer = (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(Window.partitionBy(*group)))
+        pieces = checkpointed(pieces.withColumn("_outer", outer))
+        inner = pieces.where(~F.col("_outer")).select(*out)
+        found = inner if found is None else found.unionByName(inner)
+        rows = pieces.where("_outer").select("_block", *out)
+    return found.unionByName(_collapse(rows, by, "_block").select(*out))
 
 
 def held_for(samples: DataFrame, by: list[str], ts: str, condition: Column, seconds: int) -> DataFrame:

@@ -67,15 +67,17 @@ def status_code(status: Column, paused: Column | None = None) -> Column:
     return code if paused is None else F.when(paused, 0).otherwise(code)
 
 
-def advance_state(state: DataFrame, batch: DataFrame) -> DataFrame:
+def advance_state(state: DataFrame, batch: DataFrame, only_newer: bool = True) -> DataFrame:
     """Stream state after a batch: highest sequence, added record count, active status.
 
     ``batch``: config_id, consumer_group, seq, at. Only rows beyond the stored sequence count, so that a replayed batch
-    changes nothing.
+    changes nothing. A caller that gives the state of the batches before may count all rows, late ones too.
     """
     key = ["config_id", "consumer_group"]
-    known = state.select(*key, F.col("last_seq").alias("_known"))
-    fresh = batch.join(known, key, "left").where(F.col("_known").isNull() | (F.col("seq") > F.col("_known")))
+    fresh = batch
+    if only_newer:
+        known = state.select(*key, F.col("last_seq").alias("_known"))
+        fresh = batch.join(known, key, "left").where(F.col("_known").isNull() | (F.col("seq") > F.col("_known")))
     moved = fresh.groupBy(*key).agg(
         F.max("seq").alias("_seq"), F.count("*").alias("_n"), F.max("at").alias("_at")
     )

@@ -197,7 +197,7 @@ FROM (SELECT table_name, seq_id, lag(seq_id) OVER (PARTITION BY table_name ORDER
 WHERE seq_id - after_seq > 1
 """)
 def seq_check(spark, sf_dir):
-    return sequence.sequence_gaps(_holed(spark, sf_dir), ["table_name"], block=10_000)
+    return sequence.sequence_gaps(_holed(spark, sf_dir), ["table_name"])
 
 
 @query("seq_summary", f"""

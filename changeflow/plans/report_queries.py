@@ -38,6 +38,22 @@ def log_page(spark, sf_dir):
         "event_id", iso_text(F.col("ts")).alias("at"), "entity_type", "entity_id", "action")
 
 
+@query("log_page_after", f"""
+WITH r AS (SELECT * FROM ({_AUDIT_SQL}) WHERE entity_type = 'purchase' AND action = 'updated'),
+l AS (SELECT ts, event_id FROM r ORDER BY ts DESC, event_id DESC LIMIT 1 OFFSET 99)
+SELECT r.event_id, strftime(r.ts, '%Y-%m-%dT%H:%M:%S') AS at, r.entity_type, r.entity_id, r.action FROM r, l
+WHERE r.ts < l.ts OR (r.ts = l.ts AND r.event_id < l.event_id) ORDER BY r.ts DESC, r.event_id DESC LIMIT 50
+""")
+def log_page_after(spark, sf_dir):
+    """The page after the row that a first page of 100 ended with."""
+    rows = reports.maybe_where(_audit(spark, sf_dir), entity_type="purchase", entity_id=None, action="updated")
+    shown = reports.page(rows, "ts", "event_id", limit=100).select("ts", "event_id")
+    ended = shown.orderBy("ts", "event_id").first()
+    last = (ended["ts"], ended["event_id"]) if ended else (None, 0)
+    return reports.page_after(rows, "ts", "event_id", last, limit=50).select(
+        "event_id", iso_text(F.col("ts")).alias("at"), "entity_type", "entity_id", "action")
+
+
 @query("log_total", f"SELECT count(*) AS total FROM ({_AUDIT_SQL}) WHERE entity_type = 'purchase' AND action = 'updated'")
 def log_total(spark, sf_dir):
     return reports.total(reports.maybe_where(_audit(spark, sf_dir), entity_type="purchase", action="updated"))

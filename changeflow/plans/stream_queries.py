@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changeflow.functions.times import iso_text
-from changeflow.operators import costs, status
+from changeflow.operators import costs, metrics, status
 from changeflow.plans.inputs import CHANGES_SQL, LOG_SQL, load, log_of
 from changeflow.plans.metric_queries import _BATCHES_SQL, _SUMS, _target
 from changeflow.plans.registry import query
@@ -54,7 +54,7 @@ def _run(spark: SparkSession, sf_dir: str, kind: str) -> pipeline.Pipeline:
         target = create_target("replace", spark, f"{base}/target", KEYS, spark.createDataFrame([], text).schema)
     else:
         target = create_target("patch", spark, f"{base}/target", KEYS)
-    flow = pipeline.Pipeline(target, f"{base}/side", _settings, ["k"] if kind == "replace" else None)
+    flow = pipeline.Pipeline(target, f"{base}/side", _settings, ["k"] if kind == "replace" else None, spread=8)
     source = _messages(spark, sf_dir)
     pipeline.start(source, pipeline.parsed_batches(flow), f"{base}/checkpoint", every=None).awaitTermination()
     return flow
@@ -112,6 +112,19 @@ def stream_side_outputs(spark, sf_dir):
         applied.select(F.lit("counts").alias("output"), F.lit("applied").alias("kind"), "n"))
 
 
+@query("stream_state_written", f"""
+SELECT 'shop' AS config_id, 'target' AS consumer_group, max(seq) AS last_seq, count(*) AS records_processed_total,
+       'active' AS status, (SELECT count(*) FROM ({_APPLIED_SQL})) AS latency_samples
+FROM ({CHANGES_SQL}) WHERE seq % 29 <> 0
+""")
+def stream_state_written(spark, sf_dir):
+    """What the pipeline says of itself: state after the last batch, and how many applied events gave a latency."""
+    flow = _run(spark, sf_dir, "replace")
+    samples = flow.side_output("latency").groupBy(F.lit("shop").alias("config_id")).agg(F.sum("le_inf").alias("latency_samples"))
+    state = flow.state().select("config_id", "consumer_group", "last_seq", "records_processed_total", "status")
+    return state.join(samples, "config_id")
+
+
 def _updated(spark: SparkSession, rows: DataFrame, by: list[str], name: str) -> DataFrame:
     """Run an update query, keep the changed windows of each batch, and read the newest state of every window.
 
@@ -188,6 +201,6 @@ FROM w GROUP BY event_type, start_s
 """)
 def stream_rates(spark, sf_dir):
     rows = _stream(spark, sf_dir).select("event_type", F.col("ts").cast("timestamp").alias("ts"))
-    rates = windows.sliding_rates(rows, ["event_type"], "ts", "5 minutes", "1 minute")
-    return _updated(spark, rates, ["event_type", "window_start"], "stream-rates").select(
-        "event_type", F.unix_seconds("window_start").alias("start_s"), "events", "per_second")
+    panes = _updated(spark, windows.event_panes(rows, ["event_type"], "ts", "1 minute"), ["event_type", "pane_start"],
+                     "stream-rates")
+    return metrics.rates_of_panes(panes, ["event_type"], "pane_start", 300, 60).withColumnRenamed("window_start_s", "start_s")

@@ -16,13 +16,13 @@ def key_bounds(table: DataFrame, key: str) -> tuple[int, int] | None:
     return None if low is None else (int(low), int(high))
 
 
-def chunk_plan(table: DataFrame, key: str, chunk_size: int = 10_000) -> DataFrame:
+def chunk_plan(table: DataFrame, key: str, chunk_size: int = 10_000, bounds: tuple[int, int] | None = None) -> DataFrame:
     """Inclusive key ranges of equal width: chunk_id, start_pk, end_pk, chunks_total.
 
-    Only the two bounds reach the driver; the ranges come from a distributed ``range``.
+    Only the two bounds reach the driver, unless they are given; the ranges come from a distributed ``range``.
     """
     spark = table.sparkSession
-    bounds = key_bounds(table, key)
+    bounds = bounds or key_bounds(table, key)
     low, high = bounds if bounds else (0, -1)
     total = (high - low) // chunk_size + 1
     start = F.col("id") * chunk_size + low
@@ -48,11 +48,24 @@ def keyless(table: DataFrame, key: str) -> DataFrame:
     return table.where(F.col(key).isNull())
 
 
-def chunk_read(table: DataFrame, key: str, chunk_size: int = 10_000, done: DataFrame | None = None) -> DataFrame:
-    """Rows in chunk order, sorted by key within a task; chunks in the ledger ``done`` are skipped."""
-    rows = with_chunk(table, key, chunk_size)
+def chunk_read(table: DataFrame, key: str, chunk_size: int = 10_000, done: DataFrame | None = None,
+               bounds: tuple[int, int] | None = None) -> DataFrame:
+    """Rows in chunk order, sorted by key within a task; chunks in the ledger ``done`` are skipped.
+
+    The first and the last chunk that are left bound the keys that are read at all, as a filter of the scan; finished
+    chunks between them are dropped after it.
+    """
+    bounds = bounds or key_bounds(table, key)
+    low = bounds[0] if bounds else 0
+    rows = table
+    if done is not None and bounds:
+        done = done.select("chunk_id").distinct()
+        left = chunk_plan(table, key, chunk_size, bounds).join(done, "chunk_id", "left_anti")
+        first, last = left.agg(F.min("start_pk"), F.max("end_pk")).first()
+        rows = table.where(F.lit(False)) if first is None else table.where(F.col(key).between(first, last))
+    rows = with_chunk(rows, key, chunk_size, low)
     if done is not None:
-        rows = rows.join(done.select("chunk_id").distinct(), "chunk_id", "left_anti")
+        rows = rows.join(done, "chunk_id", "left_anti")
     return rows.repartitionByRange("chunk_id", key).sortWithinPartitions("chunk_id", key)
 
 
@@ -73,8 +86,9 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, bounds: tuple
 
 def load_progress(table: DataFrame, key: str, chunk_size: int = 10_000) -> DataFrame:
     """State of the load after each chunk: rows read, running total, current key, percent."""
-    plan = chunk_plan(table, key, chunk_size)
-    counts = with_chunk(table, key, chunk_size).groupBy("chunk_id").agg(F.count("*").alias("rows_read"))
+    bounds = key_bounds(table, key)
+    plan = chunk_plan(table, key, chunk_size, bounds)
+    counts = with_chunk(table, key, chunk_size, bounds[0] if bounds else 0).groupBy("chunk_id").agg(F.count("*").alias("rows_read"))
     filled = plan.join(counts, "chunk_id", "left").withColumn("rows_read", F.coalesce("rows_read", F.lit(0)))
     progress = running_totals(filled, "chunk_id", {"rows_read": "records_read"})
     done = F.col("chunk_id") + 1

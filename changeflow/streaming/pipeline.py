@@ -11,14 +11,22 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from changeflow.functions.keys import row_key_of_map
-from changeflow.operators import apply
+from changeflow.operators import apply, status
+from changeflow.operators.metrics import bucket_counts
 from changeflow.operators.quality import PASS, map_field, validate_many, violation_rows, with_route
 from changeflow.operators.transform import transform_payload
 from changeflow.schemas import Rule, Transform
+from changeflow.session import committed_folders
 from changeflow.sources import messages, metadata
 from changeflow.streaming.targets import Target
 
 
+STATE = "config_id string, consumer_group string, last_seq long, records_processed_total long, status string, updated_at timestamp"
+FAILURE = "config_id string, consumer_group string, status string, error_message string"
+# An error message is a note for lists; the log has the whole.
+ERROR_CHARS = 2000
+
+
 @dataclass
 class Settings:
     """What a pipeline checks and rewrites; read anew for every batch."""
@@ -53,17 +61,19 @@ def keyed_payload(events: DataFrame, key_columns: list[str], columns: list[str]
 class Pipeline:
     """Applies micro-batches of events to a target and keeps side outputs by batch id.
 
-    ``columns`` are the payload columns of a replace target; None feeds a patch target. A batch
-    that comes in fewer than ``least_tasks`` partitions is spread over that many. With
-    ``compact_every`` the target is compacted after every so many batches.
+    ``columns`` are the payload columns of a replace target; None feeds a patch target. ``spread`` deals the messages of
+    a batch over that many tasks; 0 leaves them as the source splits them. With ``compact_every`` the target is compacted
+    after every so many batches. Side outputs are violations, held, skipped, counts, latency (bucket counts of the time
+    from change to apply), state and errors; a repeated batch replaces its own.
     """
 
     target: Target
     side_path: str
     settings: Callable[[], Settings]
     columns: list[str] | None = None
-    least_tasks: int = 8
+    spread: int = 0
     compact_every: int = 0
+    consumer_group: str = "target"
 
     def process(self, events: DataFrame, batch_id: int) -> None:
         """Apply one batch. An error stops the query, and the batch is replayed from its checkpoint."""
@@ -71,7 +81,9 @@ class Pipeline:
         rows = checked(events, settings).persist()
         try:
             passed = rows.where(F.col("route") == PASS)
-            self.target.apply(keyed_payload(apply.effective(passed), self.target.key_columns, self.columns), batch_id)
+            applied = apply.effective(passed)
+            self.target.apply(keyed_payload(applied, self.target.key_columns, self.columns), batch_id)
+            self._side(self._latency(applied), "latency", batch_id)
             if settings.rules:
                 self._side(violation_rows(rows), "violations", batch_id)
                 held = rows.where(F.col("route") != PASS)
@@ -81,9 +93,52 @@ class Pipeline:
             self._side(skipped, "skipped", batch_id)
             if self.compact_every and (batch_id + 1) % self.compact_every == 0:
                 self.target.compact()
+            self._side(self._advanced(rows, settings.config_id, batch_id), "state", batch_id)
+        except Exception as error:
+            self._side(self._failure(settings.config_id, error), "errors", batch_id)
+            raise
         finally:
             rows.unpersist()
 
+    def _latency(self, applied: DataFrame) -> DataFrame:
+        elapsed = F.unix_millis(F.current_timestamp()) - F.col("ts_ms")
+        samples = applied.select("table", elapsed.alias("latency_ms"))
+        return samples.groupBy("table").agg(*bucket_counts("latency_ms"), F.max("latency_ms").alias("max"))
+
+    def _batches(self, name: str) -> dict[int, str]:
+        """Finished folders of a side output by batch id."""
+        folders = committed_folders(self.target.spark, f"{self.side_path}/{name}/batch=*")
+        return {int(f.rsplit("=", 1)[1]): f for f in folders}
+
+    def _state_before(self, batch_id: int | None = None) -> tuple[int, DataFrame]:
+        """The newest state before a batch, with the batch it stands for; -1 and no rows if there is none."""
+        found = {n: f for n, f in self._batches("state").items() if batch_id is None or n < batch_id}
+        spark = self.target.spark
+        if not found:
+            return -1, spark.createDataFrame([], STATE)
+        return max(found), spark.read.schema(STATE).parquet(found[max(found)])
+
+    def _advanced(self, rows: DataFrame, config_id: str, batch_id: int) -> DataFrame:
+        """State after a batch. It starts from the batches before, so that a repeated batch counts once."""
+        batch = rows.select(F.lit(config_id).alias("config_id"), F.lit(self.consumer_group).alias("consumer_group"), "seq",
+                            F.timestamp_millis("ts_ms").alias("at"))
+        return status.advance_state(self._state_before(batch_id)[1], batch, only_newer=False)
+
+    def _failure(self, config_id: str, error: Exception) -> DataFrame:
+        row = [(config_id, self.consumer_group, "error", str(error)[:ERROR_CHARS])]
+        return self.target.spark.createDataFrame(row, FAILURE)
+
+    def state(self) -> DataFrame:
+        """Stream state after the newest batch, with status and message of the error if a later one failed."""
+        at, state = self._state_before()
+        failed = {n: f for n, f in self._batches("errors").items() if n > at}
+        if not failed:
+            return state.withColumn("error_message", F.lit(None).cast("string"))
+        key = ["config_id", "consumer_group"]
+        errors = self.target.spark.read.schema(FAILURE).parquet(failed[max(failed)]).withColumnRenamed("status", "_failed")
+        joined = state.join(errors, key, "full_outer").withColumn("status", F.coalesce("_failed", "status"))
+        return joined.select(*state.columns, "error_message")
+
     def _side(self, rows: DataFrame, name: str, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.side_path}/{name}/batch={batch_id}")
 
@@ -91,17 +146,17 @@ class Pipeline:
         return self.target.spark.read.parquet(f"{self.side_path}/{name}")
 
 
-def _parsed(batch: DataFrame, value: str, least_tasks: int) -> DataFrame:
+def _parsed(batch: DataFrame, value: str, spread: int) -> DataFrame:
     texts = batch.select(value)
-    if texts.rdd.getNumPartitions() < least_tasks:
-        texts = texts.repartition(least_tasks)
+    if spread:
+        texts = texts.repartition(spread)
     return messages.parse(texts, value).persist()
 
 
 def parsed_batches(pipeline: Pipeline, value: str = "value") -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function over JSON messages; bad ones go to ``dead_letters``."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        parsed = _parsed(batch, value, pipeline.least_tasks)
+        parsed = _parsed(batch, value, pipeline.spread)
         try:
             pipeline._side(messages.dead_letters(parsed, [value]), "dead_letters", batch_id)
             pipeline.process(messages.good_events(parsed).drop(value), batch_id)
@@ -112,13 +167,13 @@ def parsed_batches(pipeline: Pipeline, value: str = "value") -> Callable[[DataFr
 
 
 def routed_batches(routes: dict[str, Pipeline], side_path: str, value: str = "value",
-                   least_tasks: int = 8) -> Callable[[DataFrame, int], None]:
+                   spread: int = 0) -> Callable[[DataFrame, int], None]:
     """The same for a stream of many tables: messages are parsed once, each table has its pipeline.
 
     Events of a table without a pipeline are kept with the dead letters.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        parsed = _parsed(batch, value, least_tasks)
+        parsed = _parsed(batch, value, spread)
         try:
             lost = F.when(~F.col("table").isin(list(routes)), F.lit("no pipeline for table"))
             known = parsed.withColumn("parse_error", F.coalesce("parse_error", lost))

@@ -1,8 +1,8 @@
-"""Streaming metrics: deduplicated logs, hourly usage, latency windows and rates."""
+"""Streaming metrics: deduplicated logs, hourly usage, latency windows and panes of rates."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeflow.operators.metrics import bucket_counts
@@ -36,11 +36,12 @@ def latency_windows(samples: DataFrame, by: list[str], ts: str, value: str = "la
                          *[c for c in counts.columns if c not in (*by, "w")])
 
 
-def sliding_rates(events: DataFrame, by: list[str], ts: str, length: str = "5 minutes", slide: str = "15 seconds",
-                  late: str = "10 minutes") -> DataFrame:
-    """Events per second over sliding windows; counts combine on the map side before they move."""
-    window = F.window(ts, length, slide).alias("w")
+def event_panes(events: DataFrame, by: list[str], ts: str, slide: str = "15 seconds",
+                late: str = "10 minutes") -> DataFrame:
+    """Events per tumbling pane; ``metrics.rates_of_panes`` turns stored panes into sliding rates.
+
+    A sliding window over the stream itself would copy each event into all the windows that hold it.
+    """
+    window = F.window(ts, slide).alias("w")
     counts = events.withWatermark(ts, late).groupBy(*by, window).agg(F.count("*").alias("events"))
-    seconds: Column = F.unix_seconds("w.end") - F.unix_seconds("w.start")
-    return counts.select(*by, F.col("w.start").alias("window_start"), "events",
-                         (F.col("events") / seconds).alias("per_second"))
+    return counts.select(*by, F.col("w.start").alias("pane_start"), "events")

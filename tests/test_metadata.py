@@ -175,3 +175,29 @@ def test_dashboard(spark):
     assert [r.c for r in codes.collect()] == [1, -1, -1, 0]
     assert [r.x for r in spark.createDataFrame([(30001,), (30000,)], "p int").select(
         metrics.sla_level(F.col("p")).alias("x")).collect()] == ["breach", "warning"]
+
+
+def test_finished_chunks_are_not_scanned(spark):
+    path = shared_dir(spark, "t")
+    spark.range(100).withColumnRenamed("id", "k").write.parquet(path)
+    table = spark.read.parquet(path)
+    done = spark.createDataFrame([(0,), (1,), (3,)], "chunk_id long")
+    rest = snapshot.chunk_read(table, "k", 20, done)
+    assert sorted(r.k for r in rest.collect()) == [*range(40, 60), *range(80, 100)]
+    plan = rest._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(k,40)" in plan and "LessThanOrEqual(k,99)" in plan
+    every = spark.range(5).select(F.col("id").alias("chunk_id"))
+    assert snapshot.chunk_read(table, "k", 20, every).count() == 0
+
+
+def test_pages_by_key(spark):
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else i // 3) for i in range(40)], "id long, at long")
+    whole = [tuple(r) for r in reports.page(rows, "at", "id", limit=50).collect()]
+    last, got = None, []
+    while True:
+        page = reports.page(rows, "at", "id", 9) if last is None else reports.page_after(rows, "at", "id", last, 9)
+        page = [tuple(r) for r in page.collect()]
+        if not page:
+            break
+        got, last = got + page, (page[-1][1], page[-1][0])
+    assert got == whole

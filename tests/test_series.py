@@ -164,3 +164,44 @@ def test_samples_of_one_instant_count_once(spark):
     for parts in (1, 3):
         found = sequence.runs(df.repartition(parts), ["s"], "ts", F.col("v") > 5).orderBy("run_start").collect()
         assert [(r.state, r.samples) for r in found] == [(False, 6), (True, 2)]
+
+
+@pytest.mark.parametrize("rows_per_task", [8, 50])
+def test_runs_of_a_dense_day(spark, rows_per_task):
+    rng = random.Random(rows_per_task)
+    at, samples = T0, []
+    for i in range(600):
+        at += dt.timedelta(microseconds=rng.choice([1, 3, 500])) if 100 < i < 400 else dt.timedelta(hours=rng.choice([1, 30]))
+        samples.append((at, rng.random() < 0.8))
+    rows = spark.createDataFrame([("s", a, o) for a, o in samples], "k string, at timestamp, ok boolean")
+    got = sequence.runs(rows, ["k"], "at", F.col("ok"), rows_per_task=rows_per_task).orderBy("run_start").collect()
+    assert [(r.state, r.run_start, r.run_end, r.samples) for r in got] == brute_runs(samples)
+
+
+@pytest.mark.parametrize("rows_per_task", [8, 50])
+def test_blocks_of_runs_are_bounded(spark, rows_per_task):
+    rows = spark.range(5000).select(F.lit("s").alias("k"), (F.col("id") * 7).alias("_us"))
+    widths = sequence._block_widths(rows, ["k"], 86_400_000_000, rows_per_task)
+    sizes = rows.groupBy("k", F.expr(f"_us div {widths[0]}")).count().agg(F.max("count")).first()[0]
+    assert sizes <= rows_per_task
+    for narrow, wide in zip(widths, widths[1:]):
+        assert wide // narrow * 2 <= max(4, rows_per_task)
+    assert 2 * (5000 * 7 // widths[-1] + 1) <= max(4, rows_per_task)
+
+
+def test_no_samples_have_no_runs(spark):
+    rows = spark.createDataFrame([], "k string, at timestamp, ok boolean")
+    assert sequence.runs(rows, ["k"], "at", F.col("ok")).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 7, 4096])
+def test_windows_of_panes(spark, block):
+    rng = random.Random(block)
+    panes = {(k, p): rng.randrange(1, 9) for k in "ab" for p in rng.sample(range(-40, 90), 40)}
+    rows = spark.createDataFrame([(k, p, n) for (k, p), n in panes.items()], "k string, _pane long, events long")
+    got = metrics.windows_of_panes(rows, ["k"], ["events"], 5, block).collect()
+    expected = {}
+    for (k, p), n in panes.items():
+        for first in range(p - 4, p + 1):
+            expected[k, first] = expected.get((k, first), 0) + n
+    assert len(got) == len(expected) and {(r.k, r["_first"]): r.events for r in got} == expected

@@ -47,7 +47,7 @@ def write_files(spark, changes, base, files):
 def replace_pipeline(spark, base, settings=pipeline.Settings, columns=("v",)):
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", *columns)])
     target = create_target("replace", spark, f"{base}/target", ["id"], schema)
-    return pipeline.Pipeline(target, f"{base}/side", settings, list(columns), least_tasks=2)
+    return pipeline.Pipeline(target, f"{base}/side", settings, list(columns), spread=2)
 
 
 def run(spark, flow, base, files_per_trigger=1):
@@ -226,7 +226,7 @@ def test_many_tables_and_settings_from_tables(spark):
     rows = [("s", "x", t, "I", {"id": "k"}, None, {"v": v}, 1, i) for i, (t, v) in enumerate(
         [("A", "3"), ("A", "9"), ("B", "9"), ("C", "1")])]
     records = messages.to_records(spark.createDataFrame(rows, ENVELOPE)).select("value")
-    pipeline.routed_batches(routes, f"{base}/side", least_tasks=1)(records, 0)
+    pipeline.routed_batches(routes, f"{base}/side", spread=1)(records, 0)
     assert rows_of(routes["A"].target) == {"k": ("3", 0)} and rows_of(routes["B"].target) == {"k": ("n", 2)}
     dead = spark.read.parquet(f"{base}/side/dead_letters").collect()
     assert [r.parse_error for r in dead] == ["no pipeline for table"]
@@ -269,3 +269,32 @@ def test_patch_expiry_keeps_deleted_fields_deleted(spark):
     before = {r["id"]: r.document for r in target.read().collect()}
     target.compact(drop_deletes_before=F.lit("1970-01-01 09:00:00").cast("timestamp"))
     assert {r["id"]: r.document for r in target.read().collect()} == before == {"b": {"y": "3"}}
+
+
+def test_state_and_errors_of_batches(spark):
+    base = shared_dir(spark, "t")
+    flow = replace_pipeline(spark, base, lambda: pipeline.Settings("c"))
+    assert flow.state().count() == 0
+    first = events(spark, [(5, "I", "a", {"v": "5"}), (6, "X", "a", {"v": "6"})])
+    second = events(spark, [(3, "I", "b", {"v": "3"}), (9, "D", "a", None)])
+
+    def seen():
+        row = flow.state().first()
+        return row.last_seq, row.records_processed_total, row.status
+
+    flow.process(first, 0)
+    assert seen() == (6, 2, "active")
+    flow.process(second, 1)
+    flow.process(second, 1)
+    assert seen() == (9, 4, "active")
+    assert flow.side_output("latency").agg(F.sum("le_inf")).first()[0] == 3
+    flow.process(first, 0)
+    assert seen() == (9, 4, "active")
+
+    apply_rows, flow.target.apply = flow.target.apply, lambda rows, batch_id: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        flow.process(second, 2)
+    assert seen() == (9, 4, "error") and "division" in flow.state().first().error_message
+    flow.target.apply = apply_rows
+    flow.process(events(spark, [(10, "I", "c", {"v": "1"})]), 2)
+    assert seen() == (10, 5, "active") and flow.state().first().error_message is None
