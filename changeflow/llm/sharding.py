@@ -2,8 +2,8 @@
 
 The first pass scatters records by seeded hashes: a record's shard follows from its key and the number of shards alone
 (the shard whose hash with the key is largest, so that one more shard takes records only into itself), and a hash of its
-key and position puts it into one of the shard's buckets, which are sized to fit in memory. The scattered records are
-written. The second pass reads them, orders each bucket by Fisher-Yates and numbers the records of a shard through.
+key and position puts it into one of the shard's buckets, as many as the shard's own size asks for, so that each fits in
+memory. The scattered records are written. The second pass reads them, orders each bucket by Fisher-Yates and numbers the records of a shard through.
 """
 
 from __future__ import annotations
@@ -27,6 +27,12 @@ def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
     return F.array_max(F.array(*drawn))["s"] if shards > 1 else F.lit(0)
 
 
+def buckets_of(placed: DataFrame, bucket_bytes: int, bucket_rows: int) -> dict[int, int]:
+    """Buckets of each shard by its bytes and records; ``placed`` has shard and size, one row for each record."""
+    sums = placed.groupBy("shard").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("rows"))
+    return {r["shard"]: max(1, -(-r["bytes"] // bucket_bytes), -(-r["rows"] // bucket_rows)) for r in sums.collect()}
+
+
 def shuffle_to_shards(
     df: DataFrame, key: str = "doc_id", size: str = "size", shards: int = 16, seed: int = SEED,
     bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS,
@@ -34,16 +40,18 @@ def shuffle_to_shards(
     """All columns of ``df`` with ``shard`` and ``slot``: each shard's records in random order, numbered from 0.
 
     ``size`` names a column with a record's bytes (null: 0). Null keys are one key; equal keys are in one shard but not
-    in one bucket, so that no key makes a bucket large. Repeated rows stay. Columns of ``df`` named shard or slot are
+    in one bucket, and a shard that a frequent key makes large has the more buckets, so that no key makes a bucket large. Repeated rows stay. Columns of ``df`` named shard or slot are
     replaced. An empty table stays empty. The order follows from the seed and the stored scatter.
     """
     columns = [c for c in df.columns if c not in ("shard", "slot")]
-    total = df.agg(F.sum(F.coalesce(F.col(size), F.lit(0))), F.count("*")).first()
-    buckets = max(1, -(-(total[0] or 0) // (shards * bucket_bytes)), -(-total[1] // (shards * bucket_rows)))
+    drawn = shard_of(F.col(key), shards, seed)
+    buckets = buckets_of(df.select(drawn.alias("shard"), F.col(size).alias("size")), bucket_bytes, bucket_rows)
+    counts = F.array(*[F.lit(int(buckets.get(s, 1))).cast("long") for s in range(shards)])
     scattered = stored(
-        df.select(F.struct(*columns).alias("record"), F.col(key).alias("k"), F.monotonically_increasing_id().alias("position"))
-        .select("record", "position", shard_of(F.col("k"), shards, seed).alias("shard"),
-                F.pmod(F.xxhash64("k", "position", F.lit(seed)), F.lit(buckets)).alias("bucket")), "shard-scatter")
+        df.select(F.struct(*columns).alias("record"), F.col(key).alias("k"), F.monotonically_increasing_id().alias("position"),
+                  drawn.alias("shard"))
+        .select("record", "position", "shard",
+                F.pmod(F.xxhash64("k", "position", F.lit(seed)), F.get(counts, F.col("shard"))).alias("bucket")), "shard-scatter")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = scattered.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select(
         "shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))

@@ -296,6 +296,10 @@ def test_many_buckets_and_hot_key(spark):
     for r in rows:
         slots[r["shard"]].append(r["slot"])
     assert len(rows) == 3000 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    placed = df.select(sharding.shard_of(F.col("doc_id"), 4).alias("shard"), "size")
+    assert sharding.buckets_of(placed, 1024, 10**6) == {s: -(-51 * len(v) // 1024) for s, v in slots.items()}
+    assert sharding.buckets_of(placed, 10**9, 100) == {s: -(-len(v) // 100) for s, v in slots.items()}
+    assert sharding.buckets_of(placed.limit(0), 1024, 10) == {}
 
 
 def test_written_shards(spark, sf_dir, documents):
