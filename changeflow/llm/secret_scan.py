@@ -22,7 +22,7 @@ PATTERNS = {
     "access": (("akia",), r"(?-i:AKIA[A-Z0-9]+)"),
     "github": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"(?-i:gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9]))"),
     "npm": (("npm_",), r"(?-i:npm_[A-Za-z0-9]{36}(?![A-Za-z0-9]))"),
-    "jwt": (("eyj",), r"(?-i:eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,})"),
+    "jwt": (("eyj",), r"(?-i:(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,})"),
     "private_key": (("-----begin",), r"(?-i:-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----([A-Za-z0-9+/=\s]{64,})-----END)"),
 }
 BASE = ("assign", "access", "hex")

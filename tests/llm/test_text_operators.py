@@ -43,6 +43,14 @@ def expected(documents, function):
     return sorted((str(k), *(str(v) for v in function(t))) for k, t in documents)
 
 
+def test_tokens_inside_words_are_none():
+    head, rest = "eyJhbGciOiJIUzI1NiJ9", ".eyJzdWIiOiIxIn0xyz.abcdefghijklmnopqrstuv"
+    kinds = [k for _, _, k in secret_scan.find_secrets(f"x={head}{rest} y".encode())]
+    assert kinds == ["jwt"]
+    assert not secret_scan.find_secrets(f"x{head}{rest}".encode())
+    assert not secret_scan.find_secrets(b"eyJ" * 200_000)
+
+
 def test_secrets(frame, documents):
     rows = secret_scan.scan_secrets(frame).collect()
     assert by_text(rows, "n_assign", "n_access", "n_hex", "base_sha256") == expected(documents, lambda t: brute.secrets(t)[0])
