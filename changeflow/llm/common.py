@@ -82,8 +82,8 @@ def field(name: str, kind: str) -> T.StructField:
     return T.StructField(name, plain[kind])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back, so that a lost executor costs no more than a reread."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,16 +8,20 @@ memory. The scattered records are written. The second pass reads them, orders ea
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changeflow.llm.common import stored
+from changeflow.session import shared_dir
 
 SEED = 17
 # A bucket's bytes; a task holds one bucket at a time.
 BUCKET_BYTES = 32 << 20
 # Records of a bucket, however small they are.
 BUCKET_ROWS = 200_000
+# Column that carries a record's bytes while it is dealt.
+SIZE = "__record_bytes"
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -51,11 +55,13 @@ def shuffle_to_shards(
         df.select(F.struct(*columns).alias("record"), F.col(key).alias("k"), F.monotonically_increasing_id().alias("position"),
                   drawn.alias("shard"))
         .select("record", "position", "shard",
-                F.pmod(F.xxhash64("k", "position", F.lit(seed)), F.get(counts, F.col("shard"))).alias("bucket")), "shard-scatter")
+                F.pmod(F.xxhash64("k", "position", F.lit(seed)), F.get(counts, F.col("shard"))).alias("bucket")), "shard-scatter", compression="zstd")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = scattered.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select(
         "shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    gathered = scattered.groupBy("shard", "bucket").agg(F.collect_list(F.struct("position", "record")).alias("records"))
+    # As many partitions as buckets: a task holds a few buckets at any size of the table.
+    dealt = scattered.repartition(max(shards, sum(buckets.values())), "shard", "bucket")
+    gathered = dealt.groupBy("shard", "bucket").agg(F.collect_list(F.struct("position", "record")).alias("records"))
     ordered = gathered.join(starts, ["shard", "bucket"]).select("shard", "bucket", "first", F.expr(
         "array_sort(records, (x, y) -> CASE WHEN x.position < y.position THEN -1 WHEN x.position > y.position THEN 1 ELSE 0 END)"
     ).alias("records")).sortWithinPartitions("shard", "bucket")
@@ -64,21 +70,37 @@ def shuffle_to_shards(
                         (F.col("first") + F.col("at")).cast("long").alias("slot"))
 
 
-def write_shards(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", shards: int = 16) -> None:
-    """Write whole records into a folder for each shard, in slot order within each file."""
-    sized = df.withColumn("size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1)
-    placed = shuffle_to_shards(sized, key, "size", shards)
-    placed.repartition("shard", F.floor(F.col("slot") / BUCKET_ROWS)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def record_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's texts and binaries and one more; what the buckets are sized by."""
+    wide = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    return sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in wide), F.lit(1)).cast("long")
+
+
+def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: int = 16) -> None:
+    """Write whole records with their slot into a folder for each shard, in slot order within each file.
+
+    A task writes the buckets that it ordered, so texts are not dealt again; a file is as large as these buckets.
+    """
+    placed = shuffle_to_shards(df.withColumn(SIZE, record_bytes(df)), key, SIZE, shards).drop(SIZE)
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The records of ``write_shards`` with shard and slot, from the files; ``schema`` is that of the records."""
+    own = [f for f in schema.fields if f.name not in ("shard", "slot")]
+    return spark.read.schema(T.StructType([*own, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])).parquet(path)
 
 
 def shard_records(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 16) -> DataFrame:
-    """(key, size, text_crc32, law, shard, slot, grown_shard) of each document.
+    """(key, size, text_crc32, law, shard, slot, grown_shard) of each record in the shards that it writes.
 
-    ``size`` is the text's UTF-8 bytes plus 1 (null text: 1, and the checksum of no bytes). The law is ``key``;
-    ``grown_shard`` is where the record would go with one shard more.
+    Whole records are written into the shared folder, and all of this is taken from the files read back. ``size`` is the
+    text's UTF-8 bytes plus 1 (null text: 1, and the checksum of no bytes). The law is ``key``; ``grown_shard`` is where
+    the record would go with one shard more.
     """
+    path = shared_dir(df.sparkSession, "shards")
+    write_shards(df, path, key, shards)
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    records = df.select(F.col(key), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    placed = shuffle_to_shards(records, key, "size", shards)
-    return placed.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
-                         shard_of(F.col(key), shards + 1).cast("int").alias("grown_shard"))
+    return read_shards(df.sparkSession, path, df.schema).select(
+        F.col(key), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
+        F.lit("key").alias("law"), "shard", "slot", shard_of(F.col(key), shards + 1).cast("int").alias("grown_shard"))

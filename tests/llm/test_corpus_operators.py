@@ -309,6 +309,28 @@ def test_written_shards(spark, sf_dir, documents):
     assert sorted((r["doc_id"], r["text"]) for r in back.collect()) == sorted(documents)
 
 
+def test_records_come_from_written_shards(spark, monkeypatch):
+    folders = []
+
+    def folder(session, name):
+        folders.append(shared_dir(session, name))
+        return folders[-1]
+
+    monkeypatch.setattr(sharding, "shared_dir", folder)
+    documents = [(7 if i % 3 == 0 else i, f"text {i} " * 30 if i else "very long " * 20_000) for i in range(600)] + [(None, None)]
+    df = spark.createDataFrame(documents, SCHEMA).withColumn("size", F.lit("own")).withColumn("slot", F.lit("clash"))
+    rows = sharding.shard_records(df, shards=4)
+    check_shards(rows.collect(), documents, 4)
+    back = spark.read.parquet(folders[0])
+    assert sorted(((r["doc_id"], r["text"]) for r in back.collect()), key=repr) == sorted(documents, key=repr)
+    assert back.columns == ["doc_id", "text", "size", "slot", "shard"] and back.first()["size"] == "own"
+    assert all(folders[0] in f for f in rows.inputFiles())
+    files = defaultdict(list)
+    for r in back.select("_metadata.file_path", "_metadata.row_index", "slot").collect():
+        files[r["file_path"]].append((r["row_index"], r["slot"]))
+    assert all([s for _, s in sorted(v)] == sorted(s for _, s in v) for v in files.values())
+
+
 # token files
 
 
