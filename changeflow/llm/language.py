@@ -21,8 +21,8 @@ SAMPLE_CHARS = 32_768
 SAMPLE_CHARS_TOTAL = 1 << 20
 # A sampled document gives at most this many characters, so that the sample has many documents.
 DOCUMENT_CHARS = 2_048
-# Letters that get a symbol of their own; rarer ones match nothing in any language.
-MAX_SYMBOLS = 250
+# Symbols of a language whose steps are a dense table, its most frequent letters; steps of all others are looked up.
+DENSE = 64
 # Smaller samples are normalised as if they had this many characters; else few characters would make phrases cheap.
 SMALL_SAMPLE = 1_024
 # Texts are walked in pieces of this length, each from the start state, many pieces at once.
@@ -60,8 +60,8 @@ def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
     return {k: v for k, v in samples.items() if v}
 
 
-def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
-    """Steps of the automaton of all substrings: ``table[state, symbol]``, state 0 the start, -1 for no step."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Steps of the automaton of all substrings, symbol to state for each state; state 0 is the start."""
     steps: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -87,11 +87,38 @@ def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.full((len(steps), size), -1, np.int32)
-    for state, out in enumerate(steps):
-        for c, to in out.items():
-            table[state, c] = to
-    return table
+    return steps
+
+
+class Steps:
+    """An automaton for many walks at once: dense for symbols under ``width``, sorted (state, symbol) pairs for the rest."""
+
+    def __init__(self, symbols: list[int], width: int):
+        steps = suffix_automaton(symbols)
+        self.width = width
+        self.table = np.full((len(steps), width), -1, np.int32)
+        rare = []
+        for state, out in enumerate(steps):
+            for c, to in out.items():
+                if c < width:
+                    self.table[state, c] = to
+                else:
+                    rare.append((state << 32 | c, to))
+        rare.sort()
+        self.pairs = np.array([k for k, _ in rare], np.int64)
+        self.to = np.array([v for _, v in rare], np.int32)
+
+    def follow(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The next states, -1 for no step."""
+        if not len(self.pairs):
+            return self.table[state, c]
+        to = self.table[state, np.where(c < self.width, c, UNKNOWN)]
+        other = np.flatnonzero(c >= self.width)
+        if len(other):
+            pair = state[other].astype(np.int64) << 32 | c[other]
+            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            to[other] = np.where(self.pairs[at] == pair, self.to[at], -1)
+        return to
 
 
 @lru_cache(maxsize=1)
@@ -102,24 +129,34 @@ def _letters() -> np.ndarray:
 
 @lru_cache(maxsize=2)
 def _model(samples: tuple[tuple[str, str], ...]):
-    """Symbol of each code point, its number of symbols, and each language's automaton; built once in a worker."""
-    seen = np.bincount(np.frombuffer("".join(s for _, s in samples).encode("utf-32-le"), np.uint32), minlength=0x110000)
-    seen[ord(" ")] = 0
-    common = [c for c in np.argsort(-seen, kind="stable")[:MAX_SYMBOLS].tolist() if seen[c]]
-    symbol = np.full(0x110000, SPACE, np.uint8)
+    """Symbol of each code point, and for each language its own symbols by those, its steps and its size; built once in a
+    worker.
+
+    Every letter of the samples has a symbol. A language numbers those that it has by frequency; to it, all others are
+    ``UNKNOWN``, from which no state has a step.
+    """
+    points = [np.frombuffer(s.encode("utf-32-le"), np.uint32) for _, s in samples]
+    letters = np.unique(np.concatenate(points))
+    letters = letters[letters != ord(" ")]
+    symbol = np.full(0x110000, SPACE, np.int32)
     symbol[_letters()] = UNKNOWN
-    symbol[common] = np.arange(2, len(common) + 2)
-    size = len(common) + 2
-    tables = []
-    for _, sample in samples:
-        codes = symbol[np.frombuffer(sample.encode("utf-32-le"), np.uint32)].tolist()
-        table = suffix_automaton(codes, size)
-        table[:, UNKNOWN] = -1
-        tables.append(table)
-    return symbol, tables, [len(s) for _, s in samples]
-
-
-def phrases(codes: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
+    symbol[letters] = np.arange(2, len(letters) + 2)
+    kind = np.uint8 if len(letters) + 2 <= 1 << 8 else np.uint16 if len(letters) + 2 <= 1 << 16 else np.int32
+    symbol = symbol.astype(kind)
+    languages = []
+    for own in points:
+        codes = symbol[own]
+        seen = np.bincount(codes, minlength=len(letters) + 2)
+        seen[[SPACE, UNKNOWN]] = 0
+        order = np.argsort(-seen, kind="stable")[:np.count_nonzero(seen)]
+        local = np.full(len(letters) + 2, UNKNOWN, kind)
+        local[SPACE] = SPACE
+        local[order] = np.arange(2, len(order) + 2)
+        languages.append((local, Steps(local[codes].tolist(), min(DENSE, len(order) + 2)), len(own)))
+    return symbol, languages
+
+
+def phrases(codes: np.ndarray, starts: np.ndarray, steps: Steps) -> np.ndarray:
     """Phrases of each piece; a piece begins at ``starts`` and ends at the next start. Pieces advance together."""
     ends = np.append(starts[1:], len(codes))
     order = np.argsort(-(ends - starts), kind="stable")
@@ -129,12 +166,12 @@ def phrases(codes: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndar
     alive = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right")
     for step, n in enumerate(alive.tolist()):
         c = codes[begin[:n] + step]
-        to = table[state[:n], c]
+        to = steps.follow(state[:n], c)
         stuck = np.flatnonzero(to < 0)
         if len(stuck):
             fresh = stuck[state[stuck] != 0]
             count[fresh] += 1
-            again = table[0, c[stuck]]
+            again = steps.follow(np.zeros(len(stuck), np.int32), c[stuck])
             lost = stuck[again < 0]
             to[stuck] = np.maximum(again, 0)
             if step + 1 < len(alive):
@@ -148,7 +185,7 @@ def phrases(codes: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndar
 
 def parse_counts(raw: list[bytes], samples: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, np.ndarray]:
     """Letters and spaces of each text, and its normalised phrase counts for each language."""
-    symbol, tables, sizes = _model(samples)
+    symbol, languages = _model(samples)
     codes, lengths = [], []
     for text in raw:
         points = np.frombuffer(text.decode("utf-8", "replace").lower().encode("utf-32-le"), np.uint32)
@@ -160,7 +197,7 @@ def parse_counts(raw: list[bytes], samples: tuple[tuple[str, str], ...]) -> tupl
         codes.append(c if (c != SPACE).any() else c[:0])
         lengths.append(len(codes[-1]))
     lengths = np.array(lengths, np.int64)
-    score = np.zeros((len(raw), len(tables)))
+    score = np.zeros((len(raw), len(languages)))
     pieces = -(-lengths // PIECE)
     if not pieces.sum():
         return lengths, score
@@ -169,8 +206,8 @@ def parse_counts(raw: list[bytes], samples: tuple[tuple[str, str], ...]) -> tupl
     first = np.cumsum(lengths) - lengths
     within = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     starts = first[owner] + within * PIECE
-    for i, (table, size) in enumerate(zip(tables, sizes, strict=True)):
-        found = np.bincount(owner, weights=phrases(flat, starts, table), minlength=len(raw))
+    for i, (local, steps, size) in enumerate(languages):
+        found = np.bincount(owner, weights=phrases(local[flat], starts, steps), minlength=len(raw))
         score[:, i] = found * np.log2(max(SMALL_SAMPLE, size)) / np.maximum(1, lengths)
     return lengths, score
 

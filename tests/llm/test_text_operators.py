@@ -7,6 +7,7 @@ import re
 import zlib
 
 import brute
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -178,6 +179,25 @@ def test_cross_parsing_is_longest_match(sample, text):
     assert scores[0, 0] == pytest.approx(wanted * 10 / len(flat))
 
 
+def test_languages_of_many_letters(spark):
+    draw = random.Random(5)
+    han = [chr(0x4E00 + i) for i in range(700)]
+    words = {"zh": ["".join(draw.choices(han, k=2)) for _ in range(900)], "ja": ["".join(draw.choices(han, k=3)) for _ in range(900)],
+             "ka": ["".join(draw.choices([chr(0x10D0 + i) for i in range(33)], k=5)) for _ in range(40)],
+             "hy": ["".join(draw.choices([chr(0x561 + i) for i in range(38)], k=5)) for _ in range(40)]}
+    samples = {k: " ".join(draw.choices(w, k=9000 if k in ("zh", "ja") else 60)) for k, w in words.items()}
+    texts = {k: " ".join(draw.choices(w, k=50)) for k, w in words.items()}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], SCHEMA)
+    rows = sorted(language.predict(df, samples).collect(), key=lambda r: r["doc_id"])
+    assert [r["lang_pred"] for r in rows] == list(texts)
+    model = tuple(sorted(samples.items()))
+    _, scores = language.parse_counts([t.encode() for t in texts.values()], model)
+    for i, t in enumerate(texts.values()):
+        for j, (_, sample) in enumerate(model):
+            wanted = sum(contains_parse(t[a:a + language.PIECE], sample) for a in range(0, len(t), language.PIECE))
+            assert scores[i, j] == pytest.approx(wanted * np.log2(max(language.SMALL_SAMPLE, len(sample))) / len(t))
+
+
 def test_language(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = queries.op3(spark, sf_dir).join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
