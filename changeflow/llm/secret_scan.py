@@ -10,6 +10,7 @@ import zlib
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -22,12 +23,15 @@ PATTERNS = {
     "access": (("akia",), r"(?-i:AKIA[A-Z0-9]+)"),
     "github": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"(?-i:gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9]))"),
     "npm": (("npm_",), r"(?-i:npm_[A-Za-z0-9]{36}(?![A-Za-z0-9]))"),
-    "jwt": (("eyj",), r"(?-i:(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,})"),
+    "jwt": (("eyj",), r"(?-i:[A-Za-z0-9_-]*)"),
     "private_key": (("-----begin",), r"(?-i:-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----([A-Za-z0-9+/=\s]{64,})-----END)"),
 }
 BASE = ("assign", "access", "hex")
 ORDER = ["assign", "access", "hex", "github", "npm", "jwt", "private_key"]
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+OPENSSH_MAGIC = b"openssh-key-v1\0"
+# Ciphers that append a tag, outside of all length fields.
+OPENSSH_SEALED, OPENSSH_TAG = (b"aes128-gcm", b"aes256-gcm", b"chacha20-poly1305"), 16
 HEX_LENGTH = 32
 HEX_CLASS = bytes(120 if 48 <= c <= 57 or 97 <= c <= 102 else 32 for c in range(256))
 
@@ -46,22 +50,108 @@ def _checksum62(secret: str) -> bool:
     return base62(zlib.crc32(body[:-6].encode()), 6) == body[-6:]
 
 
-def _jwt(secret: str) -> bool:
-    """The header decodes to JSON that names an algorithm."""
-    head = secret.split(".")[0]
+class Tokens:
+    """JWTs of a text: header, payload and signature are whole runs of the class between dots, but a header may start
+    inside its run, after a prefix. A run's ends and its decoded forms are found once, however many places it has."""
+
+    HEADER, PAYLOAD, SIGNATURE = 11, 8, 16
+
+    def __init__(self, text: str, run: re.Pattern):
+        self.text, self.run, self.runs = text, run, {}
+        self.head_end = self.end = -1
+        self.heads: dict[int, tuple[int, str, int, np.ndarray | None] | None] = {}
+
+    def _run_end(self, start: int) -> int:
+        if start not in self.runs:
+            self.runs[start] = self.run.match(self.text, start).end()
+        return self.runs[start]
+
+    def match(self, start: int) -> int:
+        """The end of the token whose header starts here, or -1."""
+        if start >= self.head_end:
+            self.head_end, self.end, self.heads = self._run_end(start), -1, {}
+            parts = [self.head_end]
+            for least in (self.PAYLOAD, self.SIGNATURE):
+                at = parts[-1]
+                if self.text[at:at + 1] != "." or self._run_end(at + 1) - at - 1 < least:
+                    break
+                parts.append(self._run_end(at + 1))
+            else:
+                self.end = parts[-1]
+        if self.end < 0 or self.head_end - start < self.HEADER or not self.text.startswith("eyJ", start):
+            return -1
+        return self.end if self._names_algorithm(start) else -1
+
+    def _names_algorithm(self, start: int) -> bool:
+        """The header decodes to JSON that names an algorithm. Starts four letters apart share their decoded form."""
+        phase = (self.head_end - start) % 4
+        if phase not in self.heads:
+            self.heads[phase] = None
+            if phase != 1:
+                raw = base64.urlsafe_b64decode(self.text[start:self.head_end] + "=" * (-phase % 4))
+                decoded = raw.decode("utf-8", "surrogateescape").rstrip(" \t\r\n")
+                if decoded.endswith("}") and '"' in decoded:
+                    bad = max((m.end() for m in re.finditer("[\udc80-\udcff]", decoded)), default=0)
+                    places = np.cumsum([0, *map(len, map(_utf8, decoded))]) if not decoded.isascii() else None
+                    self.heads[phase] = (start, decoded, bad, places)
+        if self.heads[phase] is None:
+            return False
+        first, decoded, bad, places = self.heads[phase]
+        at = (start - first) // 4 * 3
+        if places is not None:
+            at = int(np.searchsorted(places, at))
+        if at < bad:
+            return False
+        try:
+            found, end = json.JSONDecoder().raw_decode(decoded, at)
+        except (ValueError, RecursionError):
+            return False
+        return end == len(decoded) and isinstance(found, dict) and "alg" in found
+
+
+def _utf8(character: str) -> bytes:
+    return character.encode("utf-8", "surrogateescape")
+
+
+def _decoded(body: str) -> bytes:
     try:
-        found = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+        return base64.b64decode("".join(body.split()), validate=True)
     except ValueError:
+        return b""
+
+
+def _openssh(body: str) -> bool:
+    """The decoded key has OpenSSH's magic, and the length fields of its parts cover the rest exactly."""
+    raw = _decoded(body)
+    at = len(OPENSSH_MAGIC)
+    if not raw.startswith(OPENSSH_MAGIC):
         return False
-    return isinstance(found, dict) and "alg" in found
+
+    def number() -> int:
+        nonlocal at
+        at += 4
+        return int.from_bytes(raw[at - 4:at], "big") if at <= len(raw) else len(raw)
+
+    def part() -> bytes:
+        nonlocal at
+        size = number()
+        at += size
+        return raw[at - size:at]
+
+    cipher, _, _ = part(), part(), part()
+    keys = number()
+    for _ in range(keys):
+        if at >= len(raw):
+            return False
+        part()
+    private = part()
+    tag = OPENSSH_TAG if cipher.startswith(OPENSSH_SEALED) else 0
+    return keys > 0 and len(private) >= 8 and at + tag == len(raw)
 
 
 def _der(body: str) -> bool:
     """The decoded key is one DER sequence whose own length field covers it exactly."""
-    try:
-        der = base64.b64decode("".join(body.split()), validate=True)
-    except ValueError:
-        return False
+    der = _decoded(body)
     if len(der) < 4 or der[0] != 0x30:
         return False
     if der[1] < 0x80:
@@ -72,7 +162,7 @@ def _der(body: str) -> bool:
 
 VALID = {
     "assign": lambda m: len(m[1]) >= 8, "access": lambda m: len(m[0]) >= 16, "github": lambda m: _checksum62(m[0]),
-    "npm": lambda m: _checksum62(m[0]), "jwt": lambda m: _jwt(m[0]), "private_key": lambda m: _der(m[1]),
+    "npm": lambda m: _checksum62(m[0]), "private_key": lambda m: _der(m[1]) or _openssh(m[1]),
 }
 
 
@@ -109,9 +199,16 @@ def find_secrets(raw: bytes) -> list[tuple[int, int, str]]:
         return []
     text = raw.decode("utf-8", "replace")
     spans, reached = [], {}
+    tokens = Tokens(text, patterns["jwt"])
     for start, kind in hits:
         if start < reached.get(kind, 0):
             continue
+        if kind == "jwt":
+            end = tokens.match(start)
+            if end >= 0:
+                reached[kind] = end
+                spans.append((start, end, kind))
+            continue
         match = patterns[kind].match(text, start)
         if match:
             reached[kind] = match.end()
@@ -147,7 +244,7 @@ def scan_secrets(df: DataFrame, text: str = "text", redacted: str | None = None)
     """All columns of ``df`` and the secrets of each row's whole text; ``redacted`` names a column for the text without them.
 
     Kinds assign, access and hex are found by pattern alone; github and npm tokens need their CRC-32, a JWT a decodable
-    header and a private key a DER length that fits. A null or empty text has none; its redacted text is as it was.
+    header, which may stand straight after other letters, and a private key a DER length or OpenSSH lengths that fit. A null or empty text has none; its redacted text is as it was.
     Repeated rows are scanned one by one; columns of ``df`` with a result's name are replaced; an empty table stays empty.
     Rows are independent, so nothing is shuffled.
     """

@@ -4,6 +4,7 @@ import base64
 import json
 import random
 import re
+import time
 import zlib
 
 import brute
@@ -52,6 +53,52 @@ def test_tokens_inside_words_are_none():
     assert not secret_scan.find_secrets(b"eyJ" * 200_000)
 
 
+def web_token(header, payload="eyJzdWIiOiIxIn0xyz", signature="s" * 20):
+    return base64.urlsafe_b64encode(json.dumps(header, ensure_ascii=False).encode()).decode().rstrip("=") + f".{payload}.{signature}"
+
+
+@pytest.mark.parametrize("before", ["tok_", "-", "7", "a", "\\n", "%20", "eyJ", "eyJhbGciOiJ", "eyJunk_eyJ-", "x.y.", "eyJunkjunk.", "é"])
+@pytest.mark.parametrize("header", [{"alg": "HS256"}, {"alg": "none", "kid": "é𝄞"}, {"typ": {"a": [1]}, "alg": "x"}])
+def test_tokens_after_other_letters(before, header):
+    token = web_token(header)
+    text = f"see {before}{token} end"
+    start = 4 + len(before)
+    assert secret_scan.find_secrets(text.encode()) == [(start, start + len(token), "jwt")]
+    assert secret_scan.redact(text, secret_scan.find_secrets(text.encode())) == f"see {before}[jwt] end"
+
+
+def test_long_runs_of_token_starts():
+    end = ".abcdefgh." + "s" * 20
+    began = time.thread_time()
+    assert not secret_scan.find_secrets(b"eyJ" * 200_000)
+    assert not secret_scan.find_secrets(b"eyJ" * 200_000 + end.encode())
+    assert not secret_scan.find_secrets(b"eyJhbGciOiJ." * 50_000)
+    closed = "eyJ" * 200_000 + base64.urlsafe_b64encode(b'"alg":"x"}').decode().rstrip("=") + end
+    assert not secret_scan.find_secrets(closed.encode())
+    token = web_token({"alg": "HS256"})
+    text = "eyJ" * 200_000 + token
+    assert secret_scan.find_secrets(text.encode()) == [(600_000, len(text), "jwt")]
+    assert time.thread_time() - began < 30
+
+
+def test_openssh_keys():
+    def part(raw):
+        return len(raw).to_bytes(4, "big") + raw
+
+    def block(cipher, extra=b"", keys=1):
+        raw = b"openssh-key-v1\0" + part(cipher) + part(b"none") + part(b"") + keys.to_bytes(4, "big") + part(b"p" * 51) * keys
+        body = base64.encodebytes(raw + part(b"k" * 136) + extra).decode()
+        return f"-----BEGIN OPENSSH PRIVATE KEY-----\n{body}-----END OPENSSH PRIVATE KEY-----"
+
+    def kinds(text):
+        return [k for _, _, k in secret_scan.find_secrets(text.encode())]
+
+    assert kinds(block(b"none")) == kinds(block(b"none", keys=2)) == ["private_key"]
+    assert kinds(block(b"aes256-gcm@openssh.com", b"t" * 16)) == ["private_key"]
+    assert kinds(block(b"none", b"x")) == kinds(block(b"none", b"t" * 16)) == kinds(block(b"none", keys=0)) == []
+    assert kinds(block(b"none").replace("b3BlbnNzaC", "b3BlbnNzaD")) == []
+
+
 def test_secrets(frame, documents):
     rows = secret_scan.scan_secrets(frame).collect()
     assert by_text(rows, "n_assign", "n_access", "n_hex", "base_sha256") == expected(documents, lambda t: brute.secrets(t)[0])
