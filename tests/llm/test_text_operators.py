@@ -175,6 +175,32 @@ def test_license_notice_with_changes(spark):
     assert found[2]["labels"] == ""
 
 
+def test_similar_notices_are_told_apart(spark):
+    notices = dict(licenses.NOTICES)
+    cc = "This work is licensed under a Creative Commons Attribution-{} 4.0 International License"
+    changed = notices["lgpl"].replace("it and/or modify", "it or kindly modify")
+    given = [(n, k) for k, n in notices.items()] + [
+        ("word " * 40 + n + " noncommercial lesser", k) for k, n in notices.items()] + [
+        (cc.format("Non-Commercial"), "cc-by-nc"), (cc.format("Share Alike"), "cc-by-sa"), (cc.format("NoDerivatives"), ""),
+        ("This work is licensed under a Creative Commons Attribution 3.0 Unported License", "cc-by"), (changed, "lgpl"),
+        (notices["gpl"].replace("General", "Affero General"), ""),
+        (notices["cc-by"] + ". " + notices["cc-by-sa"] + ". " + notices["gpl"], "cc-by,cc-by-sa,gpl"),
+        (notices["isc"] + " " + notices["isc"], "isc")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(given)], SCHEMA)
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(df).collect()}
+    assert [found[i]["labels"] for i in range(len(given))] == [",".join(sorted(set(filter(None, (k + "," + found[i]["base_labels"]).split(","))))) for i, (_, k) in enumerate(given)]
+    assert all(found[i]["score"] == 1 for i in range(len(notices)))
+
+
+def test_alignment():
+    number = [label for label, _ in licenses.PHRASES + licenses.NOTICES].index("bsd")
+    bsd = licenses.plain_words(dict(licenses.NOTICES)["bsd"])
+    assert licenses.aligned(number, tuple(["x", "in", *bsd, "met", "y"])) == (2, 2 + len(bsd), len(bsd))
+    assert licenses.aligned(number, tuple(bsd[:5] + ["really"] + bsd[6:])) == (0, len(bsd), len(bsd) - 1)
+    assert licenses.aligned(number, tuple([bsd[0], "x", *bsd])) == (2, 2 + len(bsd), len(bsd))
+    assert licenses.aligned(number, tuple(bsd[::-1])) is None
+
+
 @pytest.fixture(scope="module")
 def items(spark, sf_dir):
     rows = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
