@@ -24,6 +24,8 @@ SHINGLE = 3
 DISTANCE = 3
 SEED = 42
 HALF, QUARTER = 32, 16
+# What tells rows apart, whatever their keys.
+TEXT_HASH, ROW_HASH = "__text_hash", "__row_hash"
 # Members of a bucket that are compared directly.
 DIRECT = 1024
 
@@ -262,11 +264,21 @@ def near_duplicates(
     return rows.join(of, "fp").select(F.col("k").alias(key), digits.alias("fingerprint"), "component_id")
 
 
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns of ``df``, one row of each group of near-duplicates: that with the smallest key.
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """The columns of ``df``, exactly one row of each group of near-duplicates: that with the smallest key.
 
-    Rows without a key can't be named, so they stay, but for exact repeats; repeated rows become one.
+    Groups are those of the fingerprints, whatever the keys: rows that share a key but not a text are not copies, and
+    rows without a key are compared like others and come last in their group. Of rows with one key, the smallest
+    fingerprint, then the hashes of text and row decide; of rows that are the same in all columns one stays.
     """
-    chosen = near_duplicates(df, key, text).filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    named = df.filter(F.col(key).isNotNull()).join(chosen, key, "left_semi").select(*df.columns)
-    return named.dropDuplicates([key]).unionByName(df.filter(F.col(key).isNull()).distinct())
+    whole = F.xxhash64(*df.columns, *[F.col(c).isNull() for c in df.columns])
+    marked = df.withColumns({TEXT_HASH: F.xxhash64(text), ROW_HASH: whole})
+    prints = with_fingerprint(marked.select(key, text, TEXT_HASH, ROW_HASH), text, name="__fp")
+    rows = stored(prints.select(F.col(key).alias("k"), F.col("__fp").alias("fp"), TEXT_HASH, ROW_HASH), "simhash-rows")
+    order = F.struct(F.col("k").isNull().alias("last"), "k", "fp", TEXT_HASH, ROW_HASH)
+    single = rows.groupBy("fp").agg(F.min(order).alias("first"))
+    roots = components(links(single.select("fp"), distance))
+    named = single.join(roots, single["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    chosen = named.groupBy("root").agg(F.min("first").alias("first")).select(f"first.{TEXT_HASH}", f"first.{ROW_HASH}")
+    kept = marked.join(chosen, [TEXT_HASH, ROW_HASH], "left_semi").dropDuplicates([TEXT_HASH, ROW_HASH])
+    return kept.select(*df.columns)

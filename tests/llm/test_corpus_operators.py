@@ -215,6 +215,26 @@ def test_near_duplicates(spark, documents):
     check_components(spark, [])
 
 
+def test_one_of_each_component(spark):
+    def words(seed):
+        draw = random.Random(seed)
+        return " ".join("".join(draw.choices("abcdefghij", k=6)) for _ in range(60))
+
+    a, b, c, d = map(words, range(4))
+    rows = [(7, t) for t in map(words, range(10, 30))]  # one key, unrelated texts
+    rows += [(1, a), (2, a), (2, b), (3, b), (3, b), (None, c), (None, c + " "), (None, d), (9, d), (None, None), (None, " "), (4, None)]
+    df = spark.createDataFrame([(k, t, i % 2) for i, (k, t) in enumerate(rows)], SCHEMA + ", n int").repartition(3)
+    got = simhash.one_of_each(df)
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr)
+    assert got.columns == df.columns and len(kept) == 20 + 5
+    groups = brute.component_ids({i: brute.simhash(t) for i, (_, t) in enumerate(rows)})
+    assert len(set(groups.values())) == len(kept)
+    assert {(k, t) for k, t in kept if t and k == 7} == set(rows[:20])
+    assert [(k, t) for k, t in kept if k != 7 and t and t.strip() != c] == [(1, a), (2, b), (9, d)]
+    assert [(k, t) for k, t in kept if not t or not t.strip()] == [(4, None)]
+    assert sorted(simhash.one_of_each(df.repartition(5, "n")).collect(), key=repr) == sorted(got.collect(), key=repr)
+
+
 def linked(spark, prints, distance=3):
     df = spark.createDataFrame([(int(np.array(p, np.uint64).view(np.int64)),) for p in prints], "fp long")
     rows = simhash.components(simhash.links(df.distinct(), distance)).collect()
