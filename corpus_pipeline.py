@@ -38,8 +38,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences."""
-    return packing.pack_documents(docs)
+    """Pieces of documents in sequences, with their token ids."""
+    return packing.pack_documents(docs, with_ids=True)
 
 
 STAGES = [

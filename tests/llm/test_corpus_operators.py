@@ -447,6 +447,14 @@ def test_stages_on_awkward_tables(spark, sf_dir):
         corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
 
 
+def test_packed_pieces_have_their_ids(spark, sf_dir, encode):
+    text = "a text of some words " * 500
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = corpus_pipeline.pack(spark, docs, sf_dir).collect()
+    ids = {k: [i for r in sorted(rows, key=lambda r: r["start"]) if r["doc_id"] == k for i in r["ids"]] for k in (1, 2)}
+    assert ids == {1: encode(text) + [1], 2: [1]}
+
+
 def test_contaminated_documents_go(spark, sf_dir):
     item = decontaminate and spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
     docs = spark.createDataFrame([(1, "before " + item + " after", "en", "s", 1), (2, "nothing of it", "en", "s", 1)],
