@@ -8,6 +8,7 @@ prefix's position in it, bounds discard places that leave the document, and the
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -90,19 +91,18 @@ def _index(items: tuple[tuple[str, bytes], ...], window: int, shingle: int) -> I
     return Index(list(items), window, shingle)
 
 
-def _blocks(benchmark: DataFrame, key: str, text: str) -> list[tuple[tuple[str, bytes], ...]]:
-    """The items in blocks of bounded size. The benchmark is the stated query set and is read block by block."""
+def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[tuple[tuple[str, bytes], ...]]:
+    """The distinct items in blocks of bounded size, one at a time. The benchmark is the stated query set."""
     rows = benchmark.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).cast("binary").alias("t"))
-    rows = rows.filter(F.col("t").isNotNull())
+    rows = rows.filter(F.col("t").isNotNull()).distinct()
     total = rows.agg(F.sum(F.octet_length("t") + F.octet_length("k") + 64)).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    out = []
     for i in range(blocks):
         part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == i)
-        items = sorted({(r["k"], bytes(r["t"])) for r in part.collect()})
+        items = tuple(sorted((r["k"], bytes(r["t"])) for r in part.collect()))
         if items:
-            out.append(tuple(items))
-    return out
+            yield items
+        del items
 
 
 def _rarity(docs: DataFrame, text: str, items: tuple, window: int, shingle: int) -> DataFrame:
@@ -161,15 +161,13 @@ def find_benchmark(
     repeated documents one by one. Columns of ``docs`` with a result's name are replaced. An empty benchmark leaves all
     documents clean. Documents are never shuffled: only shingle counts are.
     """
-    carried = docs
-    blocks = _blocks(benchmark, item, item_text)
-    for number, items in enumerate(blocks or [()]):
-        counts = {}
-        if items:
-            counts = {np.uint64(r["code"] & (2**64 - 1)).item(): r["n"]
-                      for r in _rarity(docs, text, items, window, shingle).collect()}
-        carried = _search(carried, text, items, counts, window, shingle, number > 0)
-    return carried
+    carried, again = docs, False
+    for items in _blocks(benchmark, item, item_text):
+        counts = {np.uint64(r["code"] & (2**64 - 1)).item(): r["n"]
+                  for r in _rarity(docs, text, items, window, shingle).collect()}
+        carried, again = _search(carried, text, items, counts, window, shingle, again), True
+        del items, counts  # before the next block is read
+    return carried if again else _search(docs, text, (), {}, window, shingle, False)
 
 
 def _search(df: DataFrame, text: str, items: tuple, counts: dict, window: int, shingle: int, again: bool) -> DataFrame:

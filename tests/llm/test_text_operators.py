@@ -220,6 +220,15 @@ def test_benchmark(spark, frame, documents, items, block, monkeypatch):
     assert any(r["contaminated"] for r in rows) and len(rows) == len(documents)
 
 
+def test_benchmark_is_read_by_blocks_of_distinct_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    rows = [(i % 4, f"item number {i % 4} " * 5) for i in range(400)]
+    blocks = decontaminate._blocks(spark.createDataFrame(rows, "item_id long, text string"), "item_id", "text")
+    assert iter(blocks) is blocks
+    got = list(blocks)
+    assert 1 <= len(got) <= 4 and sorted(x for b in got for x in b) == sorted({(str(k), t.encode()) for k, t in rows})
+
+
 def test_empty_benchmark(spark, frame, documents):
     rows = decontaminate.find_benchmark(frame, spark.createDataFrame([], "item_id long, text string")).collect()
     assert len(rows) == len(documents) and not any(r["contaminated"] for r in rows)
