@@ -116,6 +116,11 @@ def transform_hash_sha512(spark, sf_dir):
     return transform_columns(region, [_t("h_sha512", "hash", algorithm="sha512")])
 
 
+@query("transform_hash_sha512_customer")
+def transform_hash_sha512_customer(spark, sf_dir):
+    return _hash_input(spark, sf_dir, ["sha512"])
+
+
 _PII_SQL = """
 SELECT c_custkey,
        CASE c_custkey % 6 WHEN 0 THEN 'no-at-sign' WHEN 1 THEN 'a@b' WHEN 2 THEN '@x.com' WHEN 3 THEN 'x@y@z.com'

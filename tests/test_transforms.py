@@ -144,3 +144,14 @@ def test_percent_rounds_ties_to_even(spark):
     rows = spark.createDataFrame([(1, 3), (2, 3), (3, 3), (1, 16), (3, 16)], "d long, n long")
     got = [r.p for r in rows.select(numbers.percent(F.col("d"), F.col("n")).alias("p")).collect()]
     assert got == [round(d / n * 100, 1) for d, n in ((1, 3), (2, 3), (3, 3), (1, 16), (3, 16))]
+
+
+def test_sha512_of_all_customers(spark):
+    import hashlib
+
+    from changeflow.plans import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    names = {r["c_custkey"]: r["c_name"] for r in spark.read.parquet(f"{folder}/customer.parquet").collect()}
+    got = {r["c_custkey"]: r["h_sha512"] for r in QUERIES["transform_hash_sha512_customer"](spark, folder).collect()}
+    assert got == {k: hashlib.sha512(n.encode()).hexdigest() for k, n in names.items()} and len(got) > 100
