@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeflow.llm import (
-    chat, decontaminate, language, licenses, packing, quality_lines, secret_scan, sharding, simhash, wavelet,
+    chat, collocations, decontaminate, language, licenses, packing, quality_lines, secret_scan, sharding, simhash, wavelet,
 )
 
 QUERIES = {}
@@ -113,3 +113,48 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_wavelet_tokens")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_table(load(spark, sf_dir, "documents"))
+
+
+COLLOCATION_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), split AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+), placed AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split
+), grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM placed, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w)
+), f AS (
+  SELECT lang, k, phrase, CAST(count(*) AS BIGINT) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+), n AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM split GROUP BY lang
+), parts AS (
+  SELECT lang, f, k, unnest(range(1, k)) AS size, phrase FROM f WHERE k > 2
+), inside AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + size - 1], ' ') AS phrase, max(f) AS longer
+  FROM (SELECT *, unnest(range(1, k - size + 2)) AS i FROM parts) GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM f c LEFT JOIN inside USING (lang, phrase)
+  WHERE c.k > 1 AND (longer IS NULL OR 100 * longer::HUGEINT < 80 * c.f::HUGEINT)
+), cuts AS (
+  SELECT lang, phrase, f AS a, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS w FROM kept
+), sides AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r,
+         CAST((2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:], ' ')
+), least AS (
+  SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM least
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", COLLOCATION_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(load(spark, sf_dir, "documents").select("text", "lang"))
