@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,10 @@ SHARDS = 8
 # A bitmap has 2^28 bits, 32 MB; it is made in segments of 2^22.
 BITMAP, SEGMENT = 28, 22
 # Bytes of text that are taken at once, and keys or strings that a task adds up before it passes them on.
-SECTION = 4 << 20
+SECTION = 2 << 20
 HELD_KEYS, HELD_STRINGS = 4 << 20, 1 << 18
+# Rows of a batch that a task passes on.
+BATCH = 1 << 15
 
 # Every separator of pieces becomes a line break, a tab becomes a space, A-Z become a-z.
 PIECES = bytes(
@@ -139,13 +142,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
         found: dict[str, Counter] = {}
 
         def rows():
-            flat = [(name, word, n) for name, words in found.items() for word, n in words.items()]
-            flat += [(name, None, 0) for name, words in found.items() if not words]
+            for name, words in found.items():
+                for some in batched(words.items() or [(None, 0)], BATCH):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(some), pa.string()), pa.array([w for w, _ in some], pa.binary()).cast(pa.string()),
+                         pa.array([n for _, n in some], pa.int64())], names=["lang", "phrase", "n"])
             found.clear()
-            langs, words, counts = zip(*flat, strict=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())],
-                names=["lang", "phrase", "n"])
 
         for batch in batches:
             for raw, name in zip(texts(batch, "text"), batch.column("lang").to_pylist(), strict=True):
@@ -153,12 +155,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 for part, own in sections((raw or b"").translate(PIECES)):
                     mine.update(part[:own].split())
                     if len(mine) >= HELD_STRINGS:
-                        yield rows()
+                        yield from rows()
                         mine = found.setdefault(name, Counter())
             if sum(map(len, found.values())) + len(found) >= HELD_STRINGS:
-                yield rows()
-        if found:
-            yield rows()
+                yield from rows()
+        yield from rows()
 
     counts = prepared(docs.select("lang", "text")).mapInArrow(run, "lang string, phrase string, n long")
     return counts.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
@@ -191,8 +192,8 @@ def mine_shards(docs: DataFrame, languages: DataFrame, support: int, lengths: tu
 
         def passed_on(language):
             keys, counts = _added(*zip(*held.pop(language), strict=True))
-            for at in range(0, len(keys), 1 << 16):
-                yield rows(language, keys[at:at + (1 << 16)], counts[at:at + (1 << 16)])
+            for at in range(0, len(keys), BATCH):
+                yield rows(language, keys[at:at + BATCH], counts[at:at + BATCH])
 
         for chunk in _chunks(batches):
             found = Words(chunk)
@@ -267,12 +268,13 @@ def exact_counts(docs: DataFrame, candidates) -> DataFrame:
         found: dict[tuple[int, int], Counter] = {}
 
         def rows():
-            flat = [(g, size, phrase, n) for (g, size), some in found.items() for phrase, n in some.items()]
+            for (language, size), phrases in found.items():
+                for some in batched(phrases.items(), BATCH):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([language] * len(some), pa.int64()), pa.array([size] * len(some), pa.int32()),
+                        pa.array([p for p, _ in some], pa.binary()).cast(pa.string()), pa.array([n for _, n in some], pa.int64()),
+                    ], names=["lang_id", "size", "phrase", "n"])
             found.clear()
-            langs, sizes, phrases, counts = zip(*flat, strict=True)
-            return pa.RecordBatch.from_arrays([
-                pa.array(langs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()),
-                pa.array(counts, pa.int64())], names=["lang_id", "size", "phrase", "n"])
 
         for chunk in _chunks(batches):
             words = Words(chunk)
@@ -283,9 +285,8 @@ def exact_counts(docs: DataFrame, candidates) -> DataFrame:
                     mine = found.setdefault((language, size), Counter())
                     mine.update(words.strings(firsts[langs == language], size))
                 if sum(map(len, found.values())) >= HELD_STRINGS:
-                    yield rows()
-        if any(found.values()):
-            yield rows()
+                    yield from rows()
+        yield from rows()
 
     counts = prepared(docs.select("lang_id", "text")).mapInArrow(run, "lang_id long, size int, phrase string, n long")
     return counts.groupBy("lang_id", "size", "phrase").agg(F.sum("n").alias("f"))
