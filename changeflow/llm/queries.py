@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeflow.llm import (
-    chat, collocations, decontaminate, language, licenses, packing, quality_lines, secret_scan, sharding, simhash, wavelet,
+    chat, collocations, decontaminate, language, licenses, packing, quality_lines, repair, secret_scan, sharding, simhash,
+    warc, wavelet,
 )
 
 QUERIES = {}
@@ -158,3 +159,27 @@ SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score FROM ranked
 @query("op13_collocations", COLLOCATION_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(load(spark, sf_dir, "documents").select("text", "lang"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, strlen(html) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS INT), 1)), '')
+         AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+
+@query("op12_warc_revisits", WARC_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_pages(load(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(repair.damaged(load(spark, sf_dir, "conversations")))
