@@ -28,7 +28,7 @@ SHARDS = 8
 BITMAP, SEGMENT = 28, 22
 # Bytes of text that are taken at once, and keys or strings that a task adds up before it passes them on.
 SECTION = 2 << 20
-HELD_KEYS, HELD_STRINGS = 4 << 20, 1 << 18
+HELD_KEYS, HELD_STRINGS = 4 << 20, 1 << 19
 # Rows of a batch that a task passes on.
 BATCH = 1 << 15
 
@@ -175,7 +175,10 @@ def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 def mine_shards(docs: DataFrame, languages: DataFrame, support: int, lengths: tuple[int, ...], pairs=None,
                 shards: int = SHARDS) -> DataFrame:
-    """(key,): hashes of the phrases that are frequent in some shard at its share of ``support``; may repeat.
+    """(key,): hashes of the phrases that are frequent in some shard at its share of ``support``, and may be over all.
+
+    They may be if what the shards that report a phrase counted, and the most that it can occur in all others, make up
+    the support.
 
     ``docs`` has (lang_id, text), ``languages`` (lang_id, n). A task's documents belong to the shard of its number.
     """
@@ -225,9 +228,13 @@ def mine_shards(docs: DataFrame, languages: DataFrame, support: int, lengths: tu
     counts = prepared(docs.select("lang_id", "text")).mapInArrow(run, "share long, key long, n long")
     summed = stored(counts.repartition("share", "key").groupBy("share", "key").agg(F.sum("n").alias("n")), "phrase-shards")
     words = summed.filter("key IS NULL").select("share", F.col("n").alias("w"), F.floor(F.col("share") / shards).alias("lang_id"))
-    need = words.join(languages, "lang_id").select("share", F.expr(
-        f"cast((cast(w AS decimal(19,0)) * {support} + n - 1) div n AS bigint)").alias("need"))
-    return summed.filter("key IS NOT NULL").join(stored(need, "phrase-needs"), "share").filter("n >= need").select("key")
+    need = F.expr(f"cast((cast(w AS decimal(19,0)) * {support} + n - 1) div n AS bigint)")
+    needs = stored(words.join(languages, "lang_id").select("share", "lang_id", need.alias("need")), "phrase-needs")
+    # In a shard that doesn't report it, a phrase occurs less often than needed there.
+    most = needs.groupBy("lang_id").agg(F.sum(F.col("need") - 1).alias("most"))
+    frequent = summed.filter("key IS NOT NULL").join(needs, "share").filter("n >= need")
+    union = frequent.groupBy("lang_id", "key").agg(F.sum("n").alias("n"), F.sum(F.col("need") - 1).alias("own"))
+    return union.join(most, "lang_id").filter(F.col("n") + F.col("most") - F.col("own") >= support).select("key")
 
 
 def bitmap_of(keys: DataFrame) -> np.ndarray:
