@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from changeflow.functions.times import severity_rank
 from changeflow.operators.metrics import SLA_MS, histogram_quantiles, rates
+from changeflow.operators.ranges import nearest, placed
 from changeflow.operators.sequence import held_for
 from changeflow.session import checkpointed, lookup_join, ship_package
 
@@ -90,6 +89,54 @@ def _walk(rows: pd.DataFrame, start: int) -> pd.DataFrame:
         "rule_id": rows["rule_id"].iat[0], "cooldown_us": rows["cooldown_us"].iat[0], "entry": fired})
 
 
+def _links(instants: DataFrame, rows_per_task: int) -> DataFrame:
+    """(rule_id, entry, starts, jump): whether an instant fires whatever came before, and the one that fires after it.
+
+    An instant that comes a cooldown after the one before it always fires. ``jump`` is null where the next one is such a
+    start, or where there is none.
+    """
+    found = placed(instants.select("rule_id", "cooldown_us", "entry"), ["rule_id", "entry"], rows_per_task)
+    known = nearest(found, ["rule_id"], F.col("entry"), "before", after=False)
+    alone = F.coalesce(F.col("entry") - F.col("before") >= F.col("cooldown_us"), F.lit(True))
+    marked = known.select("rule_id", "cooldown_us", "entry", alone.alias("starts"))
+    # Instants, and the times at which their cooldown ends, just before an instant of that time.
+    points = marked.select("rule_id", F.col("entry").alias("at"), F.lit(1).alias("side"), "entry", "starts").unionByName(
+        marked.select("rule_id", (F.col("entry") + F.col("cooldown_us")).alias("at"), F.lit(0).alias("side"), "entry", "starts"))
+    target = F.when(F.col("side") == 1, F.struct("entry", "starts"))
+    ends = nearest(placed(points, ["rule_id", "at", "side", "entry"], rows_per_task), ["rule_id"], target, "next", after=True)
+    jump = F.when(~F.col("next.starts"), F.col("next.entry"))
+    return checkpointed(ends.where("side = 0").select("rule_id", "entry", "starts", jump.alias("jump")))
+
+
+def _twice(jumps: DataFrame, rows_per_task: int) -> DataFrame:
+    """Jumps of twice the length. Many instants may jump to the same one, so it is met by order and not by key."""
+    points = jumps.select("rule_id", F.col("entry").alias("at"), F.lit(0).alias("side"), "entry", "jump").unionByName(
+        jumps.select("rule_id", F.col("jump").alias("at"), F.lit(1).alias("side"), "entry", F.lit(None).cast("bigint").alias("jump")))
+    target = F.when(F.col("side") == 0, F.struct("at", "jump"))
+    met = nearest(placed(points, ["rule_id", "at", "side", "entry"], rows_per_task), ["rule_id"], target, "next", after=False)
+    return checkpointed(met.where((F.col("side") == 1) & (F.col("next.at") == F.col("at"))).select(
+        "rule_id", "entry", F.col("next.jump").alias("jump")))
+
+
+def _by_doubling(instants: DataFrame, rows_per_task: int) -> DataFrame:
+    """(rule_id, entry) that fire, for rules of any density.
+
+    All starts fire. In each round those known to fire add the ones that their jumps reach, and jumps double, so a chain
+    of n firings between two starts takes log2(n) rounds. No step gathers a rule or a cooldown: ranges of the order of
+    all instants are all that a task holds.
+    """
+    links = _links(instants, rows_per_task)
+    fired = links.where("starts").select("rule_id", "entry")
+    jumps = links.where("jump IS NOT NULL").select("rule_id", "entry", "jump")
+    while True:
+        # Jumps keep the order of a chain, so what is reached is new and reached once.
+        reached = checkpointed(fired.join(jumps, ["rule_id", "entry"]).select("rule_id", F.col("jump").alias("entry")))
+        if reached.isEmpty():
+            return fired
+        fired = checkpointed(fired.unionByName(reached))
+        jumps = _twice(jumps, rows_per_task)
+
+
 def cooldown_firings(candidates: DataFrame, fan: int | None = None, levels: int | None = None,
                      rows_per_task: int = 1_000_000) -> DataFrame:
     """The candidates that fire: a rule rests for its cooldown after each firing.
@@ -99,8 +146,9 @@ def cooldown_firings(candidates: DataFrame, fan: int | None = None, levels: int
     up, each block is reduced to its possible entries; the top is walked once; going down, each
     block is walked from the entry it was reached at. The width of a block follows from the
     densest stretch and the number of levels from the busiest rule, so that no task holds many
-    more than ``rows_per_task`` rows. Of candidates at the same instant the lowest event_id fires;
-    a rule without cooldown fires on all.
+    more than ``rows_per_task`` rows. A rule with more instants than that in one cooldown has no
+    such blocks; its firings are found by jumps over ranges of instants. Of candidates at the
+    same instant the lowest event_id fires; a rule without cooldown fires on all.
     """
     ship_package(candidates.sparkSession)
     at = F.unix_micros(F.col("at").cast("timestamp"))
@@ -118,7 +166,14 @@ def cooldown_firings(candidates: DataFrame, fan: int | None = None, levels: int
     per_window = instants.groupBy("rule_id", F.expr("entry div cooldown_us").alias("w")).agg(
         F.count("*").alias("n"))
     per_rule = per_window.groupBy("rule_id").agg(F.sum("n").alias("total"), F.max("n").alias("densest"))
-    busiest, densest = per_rule.agg(F.max("total"), F.max("densest")).first()
+    sparse = F.col("densest") <= rows_per_task
+    busiest, densest, n_dense = per_rule.agg(
+        F.max(F.when(sparse, F.col("total"))), F.max(F.when(sparse, F.col("densest"))), F.count_if(~sparse)).first()
+    everything, found = instants, None
+    if n_dense:
+        dense = per_rule.where(~sparse).select("rule_id")
+        found = _by_doubling(instants.join(dense, "rule_id", "left_semi"), rows_per_task)
+        instants = instants.join(dense, "rule_id", "left_anti")
     if fan is None:
         fan = max(2, min(1024, rows_per_task // (densest or 1)))
     if levels is None:
@@ -147,7 +202,8 @@ def cooldown_firings(candidates: DataFrame, fan: int | None = None, levels: int
         # A block is entered once, at a row of its own, so the block follows from the entry.
         entries = fired.select("rule_id", block(level, "entry"), F.col("entry").alias("start"))
         fired = rows.join(entries, ["rule_id", "block"]).groupBy("rule_id", "block").applyInPandas(from_entry, _FIRED)
-    chosen = instants.join(fired.drop("cooldown_us"), ["rule_id", "entry"]).select("rule_id", "event_id")
+    fired = fired.select("rule_id", "entry") if found is None else fired.select("rule_id", "entry").unionByName(found)
+    chosen = everything.join(fired, ["rule_id", "entry"]).select("rule_id", "event_id")
     return chosen.unionByName(timed.where(F.col("cooldown_us") == 0).select("rule_id", "event_id"))
 
 

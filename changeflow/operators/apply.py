@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeflow.schemas import META_OP, META_SEQ, META_TS, META_UPDATED
+from changeflow.session import same_join
 
 
 def effective(changes: DataFrame, after: str | None = "after") -> DataFrame:
@@ -66,13 +67,15 @@ def merge_replace(
     order: str = "seq",
     guard: bool = True,
     keep_deleted: bool = False,
+    null_keys: bool = True,
 ) -> DataFrame:
     """New state of a target after a batch of changes that replace whole rows.
 
     ``target`` has key, payload and meta columns; ``changes`` has key and payload columns plus
     op, ts_ms, seq. With ``guard`` a change older than the stored row is ignored, which makes a
     replay harmless. Payload columns missing from one side are null there. Both join sides hold
-    one row per key.
+    one row per key, and a null key part equals another; ``null_keys=False`` says that there is
+    none, which lets the join use buckets of the target.
     """
     batch = with_meta(latest_change(changes, key_columns, order))
     payload = list(dict.fromkeys(payload_columns(target.columns + batch.columns, key_columns)))
@@ -83,7 +86,7 @@ def merge_replace(
         row = [F.col(c) if c in df.columns else F.lit(None).cast(types[c]).alias(c) for c in columns]
         return df.select(*key_columns, F.struct(*row).alias(name))
 
-    both = pack(target, batch, "_tgt").join(pack(batch, target, "_src"), key_columns, "full_outer")
+    both = same_join(pack(target, batch, "_tgt"), pack(batch, target, "_src"), key_columns, "full_outer", null_keys)
     newer = F.col(f"_src.{META_SEQ}") > F.col(f"_tgt.{META_SEQ}") if guard else F.lit(True)
     take = F.col("_src").isNotNull() & (F.col("_tgt").isNull() | F.coalesce(newer, F.lit(True)))
     merged = both.select(*key_columns, F.when(take, F.col("_src")).otherwise(F.col("_tgt")).alias("_row"))
@@ -94,7 +97,7 @@ def merge_replace(
 def survivors_and_upserts(target: DataFrame, changes: DataFrame, key_columns: list[str]) -> DataFrame:
     """The same state as an unguarded merge, as untouched rows plus the batch's upserts."""
     batch = with_meta(latest_change(changes, key_columns))
-    survivors = target.join(batch.select(*key_columns), key_columns, "left_anti")
+    survivors = same_join(target, batch.select(*key_columns), key_columns, "left_anti")
     return survivors.unionByName(batch.where(F.col(META_OP) != "D"), allowMissingColumns=True)
 
 
@@ -190,7 +193,7 @@ def reconcile(source: DataFrame, target: DataFrame, columns: list[str], by: list
             F.struct(F.bit_xor("_hash"), F.sum(F.col("_hash").cast("decimal(28,0)"))).alias(f"{side}_hash"),
         )
 
-    both = digest(source, "source").join(digest(target, "target"), by, "full_outer")
+    both = same_join(digest(source, "source"), digest(target, "target"), by, "full_outer")
     rows = {s: F.coalesce(F.col(f"{s}_rows"), F.lit(0)) for s in ("source", "target")}
     same = (rows["source"] == rows["target"]) & F.col("source_hash").eqNullSafe(F.col("target_hash"))
     return both.select(

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changeflow.functions.times import minute_label
+from changeflow.session import checkpointed, same_join
 
 # Upper bounds of the latency buckets in milliseconds.
 LATENCY_BOUNDS = [100, 500, 1000, 2000, 5000, 10000, 15000, 20000, 25000, 30000, 60000]
@@ -15,36 +17,79 @@ SLA_MS = 30_000
 HIGH_LATENCY_MS = 25_000
 
 
+# Bits of a value that one round of the selection tells apart.
+DIGIT_BITS = 16
+
+
+def ordered_bits(value: Column, kind: T.DataType) -> Column:
+    """A whole number of 64 bits in the order of the values: NaN comes last, and -0.0 is 0.0."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        number = F.coalesce(value.cast("double"), F.lit(0.0)) + F.lit(0.0)
+        bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), number).cast("bigint")
+        return F.when(value.isNotNull(), F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits))
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(value.cast("timestamp"))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("bigint")
+    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        return (value * F.lit(10**kind.scale).cast("decimal(19,0)")).cast("bigint")
+    if isinstance(kind, T.IntegralType):
+        return value.cast("bigint")
+    raise ValueError(f"no order of bits for {kind.simpleString()}")
+
+
+def _digit(shift: int) -> Column:
+    return F.shiftright("_key", shift) if shift else F.col("_key")
+
+
 def latency_percentiles(samples: DataFrame, by: list[str], value: str = "latency_ms",
-                        quantiles: dict[str, float] | None = None, bin_width: int = 1000) -> DataFrame:
+                        quantiles: dict[str, float] | None = None, digit_bits: int = DIGIT_BITS) -> DataFrame:
     """Exact percentiles: the sample at zero-based place ``int(n * q)`` of the sorted samples.
 
-    Samples are counted per distinct value first. Places are then found through coarse bins and
-    the counts inside each bin, so a hot group is never sorted in one task.
+    Samples are counted per distinct value first. The wanted places are then selected by the bits of the values, from
+    the highest that differ: counts of one digit's bins show which bin holds a place, and only such bins are looked into
+    in the next round. So a bin is at most 2 ** ``digit_bits`` rows, whatever the values are. Null values don't count; null
+    groups do.
     """
     quantiles = quantiles or QUANTILES
-    counts = samples.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_bin", F.floor(F.col(value) / bin_width))
-    bins = counts.groupBy(*by, "_bin").agg(F.sum("_n").alias("_bin_n"))
-    group = Window.partitionBy(*by)
-    before = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select(
-        *by, "_bin",
-        F.coalesce(F.sum("_bin_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_bin_n").over(group).alias("_total"),
-    )
-    inside = Window.partitionBy(*by, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.join(bins, [*by, "_bin"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
-
-    def at(q: float) -> Column:
-        place = F.floor(F.col("_total").cast("double") * F.lit(float(q)))
-        return F.min(F.when(F.col("_upto") > place, F.col(value)))
-
-    return ranked.groupBy(*by).agg(
-        *[at(q).alias(name) for name, q in quantiles.items()],
-        F.max(value).alias("max"),
-        F.sum("_n").alias("records_in_window"),
-    )
+    known = samples.where(F.col(value).isNotNull())
+    kind = samples.schema[value].dataType
+    ends = known.agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    low, high = ends.select(ordered_bits(F.col("low"), kind), ordered_bits(F.col("high"), kind)).first()
+    bits = 0 if low is None else (low ^ high if (low < 0) == (high < 0) else (1 << 64) - 1).bit_length()
+    shifts = list(range(0, max(bits, 1), digit_bits))[::-1]
+    counts = known.groupBy(*by, F.col(value).alias("_value")).agg(F.count("*").alias("_n")).withColumn(
+        "_key", ordered_bits(F.col("_value"), kind))
+    if len(shifts) > 1:
+        # Read again in each round.
+        counts = checkpointed(counts)
+    totals = counts.groupBy(*by).agg(F.sum("_n").alias("records_in_window"), F.max("_value").alias("max"))
+    wanted = None
+    for round_number, shift in enumerate(shifts):
+        # Bins of a digit inside the bin of the digits before, which is the whole group in the first round.
+        outer = [*by, "_bin"] if round_number else by
+        rows = counts
+        if round_number:
+            live = wanted.select(*outer).distinct()
+            rows = same_join(counts.withColumn("_bin", _digit(shifts[round_number - 1])), live, outer, "left_semi")
+        cells = rows.groupBy(*outer, _digit(shift).alias("_cell")).agg(F.sum("_n").alias("_n"), F.min("_value").alias("_value"))
+        upto = F.sum("_n").over(Window.partitionBy(*outer).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
+        cells = cells.withColumn("_upto", upto)
+        if not round_number:
+            total = F.sum("_n").over(Window.partitionBy(*by))
+            places = F.array(*[F.struct(F.lit(n).alias("_name"), F.floor(F.col("_total").cast("double") * F.lit(float(q))).alias("_at"))
+                               for n, q in quantiles.items()])
+            found = cells.withColumn("_total", total).select("*", F.inline(places))
+        else:
+            found = same_join(cells, wanted.drop("_value"), outer)
+        found = found.where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_n") <= F.col("_at")))
+        wanted = found.select(*by, "_name", (F.col("_at") - F.col("_upto") + F.col("_n")).alias("_at"),
+                              F.col("_cell").alias("_bin"), "_value")
+        if round_number < len(shifts) - 1:
+            wanted = checkpointed(wanted)
+    # One row for each group and quantile; the value of the last, whole key is the only one in its bin.
+    values = wanted.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == n, F.col("_value"))).alias(n) for n in quantiles])
+    return same_join(values, totals, by).select(*by, *quantiles, "max", "records_in_window")
 
 
 def approximate_percentiles(samples: DataFrame, by: list[str], value: str = "latency_ms",
@@ -84,64 +129,85 @@ def bucket_quantile(q: float, bounds: list[int] = LATENCY_BOUNDS) -> Column:
     return result.otherwise(F.lit(float(bounds[-1])))
 
 
-def windows_of_panes(panes: DataFrame, by: list[str], sums: list[str], steps: int, block: int = 4096) -> DataFrame:
-    """(by, _first, sums): sums over the ``steps`` panes from ``_first`` on, for each window that holds a pane.
+def window_runs(panes: DataFrame, by: list[str], sums: list[str], steps: int, block: int = 4096) -> DataFrame:
+    """(by, _first, _last, sums): sums over ``steps`` panes, equal for all windows from ``_first`` to ``_last``.
 
-    ``panes``: by, ``_pane`` (a whole number, once in a series) and the columns ``sums``. A series is cut into blocks of
-    panes. A pane also goes into the block before if windows of that one reach it, so it is copied at most once.
+    ``panes``: by, ``_pane`` (a whole number, once in a series) and the columns ``sums``. A pane adds its counts where its
+    first window begins and takes them back after its last, so a pane is two change points and one running sum gives all
+    windows. A series is summed in blocks of change points, and blocks by one row each. Windows without a pane are left out.
     """
-    width = max(block, steps)
-    own, back = F.floor(F.col("_pane") / width), F.floor((F.col("_pane") - (steps - 1)) / width)
-    placed = panes.where(F.col("_pane").isNotNull()).withColumn("_block", F.explode(F.array_distinct(F.array(own, back))))
-    inside = Window.partitionBy(*by, "_block")
-    start = F.col("_block") * width
-    # The windows that hold this pane and not the one before it.
-    first = F.greatest(F.col("_pane") - (steps - 1), F.lag("_pane").over(inside.orderBy("_pane")) + 1, start)
-    last = F.least(F.col("_pane"), start + (width - 1))
-    placed = placed.withColumn("_from", first).withColumn("_to", last)
-    opened = F.when(F.col("_from") <= F.col("_to"), F.sequence("_from", "_to")).otherwise(F.array().cast("array<bigint>"))
-    places = placed.withColumn("_first", F.explode(F.array_union(opened, F.array("_pane"))))
-    here = F.col("_first") == F.col("_pane")
-    frame = inside.orderBy("_first").rangeBetween(0, steps - 1)
-    summed = places.select(*by, "_block", "_first", *[F.when(here, F.col(c)).alias(c) for c in sums]).select(
-        *by, "_block", "_first", *[F.sum(c).over(frame).alias(c) for c in sums])
-    return summed.where(F.col("_first") < start + width).drop("_block")
+    counted = [*sums, "_panes"]
+    opens = F.struct((F.col("_pane") - (steps - 1)).alias("_first"), *sums, F.lit(1).alias("_panes"))
+    closes = F.struct((F.col("_pane") + 1).alias("_first"), *[(-F.col(c)).alias(c) for c in sums], F.lit(-1).alias("_panes"))
+    points = panes.where(F.col("_pane").isNotNull()).select(*by, F.inline(F.array(opens, closes)))
+    points = points.groupBy(*by, "_first").agg(*[F.sum(c).alias(c) for c in counted])
+    points = points.withColumn("_block", F.floor(F.col("_first") / block))
+    blocks = points.groupBy(*by, "_block").agg(*[F.sum(c).alias(c) for c in counted], F.min("_first").alias("_begin"))
+    series = Window.partitionBy(*by).orderBy("_block")
+    before = series.rowsBetween(Window.unboundedPreceding, -1)
+    shifts = blocks.select(*by, "_block", F.lead("_begin").over(series).alias("_after"),
+                           *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_shift_{c}") for c in counted])
+    inside = Window.partitionBy(*by, "_block").orderBy("_first")
+    running = points.select(*by, "_block", "_first", F.lead("_first").over(inside).alias("_next"),
+                            *[F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in counted])
+    joined = same_join(running, shifts, [*by, "_block"]).where(F.col("_panes") + F.col("_shift__panes") > 0)
+    return joined.select(*by, "_first", (F.coalesce("_next", "_after") - 1).alias("_last"),
+                         *[(F.col(c) + F.col(f"_shift_{c}")).alias(c) for c in sums])
+
+
+def windows_of_runs(runs: DataFrame) -> DataFrame:
+    """A row for each window, ``_first`` its first pane, from rows for stretches of equal windows."""
+    rest = [c for c in runs.columns if c not in ("_first", "_last")]
+    return runs.select(F.explode(F.sequence("_first", "_last")).alias("_first"), *rest)
 
 
-def sliding(samples: DataFrame, by: list[str], ts: str, aggregates: list[Column], sums: list[str],
-            length: int = 300, slide: int = 15) -> DataFrame:
-    """Sliding windows from tumbling panes.
+def windows_of_panes(panes: DataFrame, by: list[str], sums: list[str], steps: int, block: int = 4096) -> DataFrame:
+    """(by, _first, sums): sums over the ``steps`` panes from ``_first`` on, for each window that holds a pane."""
+    return windows_of_runs(window_runs(panes, by, sums, steps, block)).select(*by, "_first", *sums)
 
-    Rows are aggregated once per pane of ``slide`` seconds; windows are frames over panes.
-    ``aggregates`` must be counts or sums, ``sums`` their names.
-    """
+
+def _pane_runs(samples: DataFrame, by: list[str], ts: str, aggregates: list[Column], sums: list[str],
+               length: int, slide: int) -> DataFrame:
+    """Rows are aggregated once per pane of ``slide`` seconds; ``aggregates`` are counts or sums, ``sums`` their names."""
     pane = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / slide)
     panes = samples.groupBy(*by, pane.alias("_pane")).agg(*aggregates)
-    windows = windows_of_panes(panes, by, sums, length // slide)
-    return windows.select(*by, (F.col("_first") * slide).alias("window_start_s"), *sums)
+    return window_runs(panes, by, sums, length // slide)
+
+
+def _with_start(runs: DataFrame, by: list[str], columns: list[str], slide: int) -> DataFrame:
+    return windows_of_runs(runs).select(*by, (F.col("_first") * slide).alias("window_start_s"), *columns)
+
+
+def sliding(samples: DataFrame, by: list[str], ts: str, aggregates: list[Column], sums: list[str],
+            length: int = 300, slide: int = 15) -> DataFrame:
+    """Sliding windows from tumbling panes; ``aggregates`` must be counts or sums, ``sums`` their names."""
+    return _with_start(_pane_runs(samples, by, ts, aggregates, sums, length, slide), by, sums, slide)
 
 
 def histogram_quantiles(samples: DataFrame, by: list[str], ts: str, value: str = "latency_ms",
                         quantiles: dict[str, float] | None = None, length: int = 300, slide: int = 15) -> DataFrame:
-    """Interpolated quantiles over sliding windows."""
+    """Interpolated quantiles over sliding windows, computed once for a stretch of equal windows."""
     names = [f"le_{b}" for b in LATENCY_BOUNDS] + ["le_inf"]
-    windows = sliding(samples, by, ts, bucket_counts(value), names, length, slide)
+    runs = _pane_runs(samples, by, ts, bucket_counts(value), names, length, slide)
     quantiles = quantiles or QUANTILES
-    return windows.select(*by, "window_start_s", *[bucket_quantile(q).alias(n) for n, q in quantiles.items()])
+    found = runs.select(*by, "_first", "_last", *[bucket_quantile(q).alias(n) for n, q in quantiles.items()])
+    return _with_start(found, by, list(quantiles), slide)
+
+
+def _per_second(runs: DataFrame, by: list[str], length: int, slide: int) -> DataFrame:
+    rate = F.col("events") / F.lit(float(length))
+    return _with_start(runs.withColumn("per_second", rate), by, ["events", "per_second"], slide)
 
 
 def rates(events: DataFrame, by: list[str], ts: str, length: int = 300, slide: int = 15) -> DataFrame:
     """Events per second over sliding windows; windows without events give no row."""
-    windows = sliding(events, by, ts, [F.count("*").alias("events")], ["events"], length, slide)
-    return windows.withColumn("per_second", F.col("events") / F.lit(float(length)))
+    return _per_second(_pane_runs(events, by, ts, [F.count("*").alias("events")], ["events"], length, slide), by, length, slide)
 
 
 def rates_of_panes(panes: DataFrame, by: list[str], start: str, length: int = 300, slide: int = 15) -> DataFrame:
     """The same from stored counts of tumbling panes: by, ``start`` (a timestamp) and events."""
     numbered = panes.withColumn("_pane", F.floor(F.unix_seconds(start) / slide)).select(*by, "_pane", "events")
-    windows = windows_of_panes(numbered, by, ["events"], length // slide)
-    return windows.select(*by, (F.col("_first") * slide).alias("window_start_s"), "events",
-                          (F.col("events") / F.lit(float(length))).alias("per_second"))
+    return _per_second(window_runs(numbered, by, ["events"], length // slide), by, length, slide)
 
 
 def message_counts(events: DataFrame, by: list[str]) -> DataFrame:
@@ -162,7 +228,7 @@ def consumer_lag(log: DataFrame, state: DataFrame, by: list[str], seq: str = "se
     marks = log.groupBy(*by).agg(F.max(seq).alias("high_watermark"))
     applied = state.groupBy(*by).agg(F.max("last_seq").alias("current_offset"))
     current = F.coalesce(F.col("current_offset"), F.lit(0))
-    return marks.join(applied, by, "left").select(
+    return same_join(marks, applied, by, "left").select(
         *by, "high_watermark", current.alias("current_offset"), (F.col("high_watermark") - current).alias("lag")
     )
 

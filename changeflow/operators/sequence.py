@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changeflow.session import checkpointed
+from changeflow.session import checkpointed, same_join
 
 
 def running_totals(rows: DataFrame, order: str, totals: dict[str, str], by: list[str] | None = None,
@@ -22,7 +22,7 @@ def running_totals(rows: DataFrame, order: str, totals: dict[str, str], by: list
         *by, "_block", *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in totals]
     )
     inside = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = blocked.join(shifts, [*by, "_block"])
+    joined = same_join(blocked, shifts, [*by, "_block"])
     for column, name in totals.items():
         joined = joined.withColumn(name, F.col(f"_before_{column}") + F.sum(column).over(inside))
     return joined.drop("_block", *[f"_before_{c}" for c in totals])
@@ -35,7 +35,7 @@ def sequence_gaps(log: DataFrame, by: list[str], seq: str = "seq_id", block: int
     previous = F.lag("_last").over(Window.partitionBy(*by).orderBy("_block"))
     entry = edges.select(*by, "_block", previous.alias("_entry"))
     inside = F.lag(seq).over(Window.partitionBy(*by, "_block").orderBy(seq))
-    rows = present.join(entry, [*by, "_block"]).withColumn("after_seq", F.coalesce(inside, F.col("_entry")))
+    rows = same_join(present, entry, [*by, "_block"]).withColumn("after_seq", F.coalesce(inside, F.col("_entry")))
     missing = F.col(seq) - F.col("after_seq") - 1
     return rows.select(*by, "after_seq", F.col(seq).alias("next_seq"), missing.alias("missing")).where(missing > 0)
 

@@ -170,23 +170,23 @@ def snapshot_diff(spark, sf_dir):
 
 
 @query("capture_sequence", f"""
-SELECT count(*) AS changes, CAST(1 AS BIGINT) AS lowest, count(*) AS highest, count(*) AS numbers FROM ({_DIFF_SQL})
+SELECT o_orderkey, op_type, row_number() OVER (ORDER BY o_orderkey DESC) + 99 AS seq_id FROM ({_DIFF_SQL})
 """)
 def capture_sequence(spark, sf_dir):
-    numbered = changelog.number_changes(_order_changes(spark, sf_dir), ["o_orderkey"])
-    per_number = numbered.groupBy("seq_id").agg(F.count("*").alias("n"))
-    return per_number.agg(F.sum("n").alias("changes"), F.min("seq_id").alias("lowest"),
-                          F.max("seq_id").alias("highest"), F.count("*").alias("numbers"))
+    """Captured changes numbered from 100, newest order first."""
+    ordered = _order_changes(spark, sf_dir).withColumn("newest", -F.col("o_orderkey"))
+    return changelog.number_changes(ordered, ["newest"], start=100).select("o_orderkey", "op_type", "seq_id")
 
 
 _HOLED_SQL = f"""
-SELECT table_name, seq_id FROM ({LOG_SQL}) WHERE seq_id % 17 NOT IN (3, 4)
-UNION ALL SELECT table_name, seq_id FROM ({LOG_SQL}) WHERE seq_id % 19 = 0
+SELECT NULLIF(table_name, 'events_3') AS table_name, seq_id FROM ({LOG_SQL}) WHERE seq_id % 17 NOT IN (3, 4)
+UNION ALL SELECT NULLIF(table_name, 'events_3'), seq_id FROM ({LOG_SQL}) WHERE seq_id % 19 = 0
 """
 
 
 def _holed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = change_log(spark, sf_dir).select("table_name", "seq_id")
+    """A log with holes and repeats; one series has no name."""
+    log = change_log(spark, sf_dir).select(F.nullif("table_name", F.lit("events_3")).alias("table_name"), "seq_id")
     return log.where(~(F.col("seq_id") % 17).isin(3, 4)).unionByName(log.where(F.col("seq_id") % 19 == 0))
 
 

@@ -37,9 +37,31 @@ def latency_percentiles(spark, sf_dir):
     return metrics.latency_percentiles(_hourly(spark, sf_dir), ["hour_s"])
 
 
-@query("latency_percentiles_by_type", _percentile_sql("event_type"))
+@query("latency_percentiles_by_type", _percentile_sql("event_type").replace(
+    "FROM (SELECT *, row_number()", "FROM (SELECT * REPLACE (NULLIF(event_type, 'view') AS event_type), row_number()").replace(
+    "PARTITION BY event_type", "PARTITION BY NULLIF(event_type, 'view')"))
 def latency_percentiles_by_type(spark, sf_dir):
-    return metrics.latency_percentiles(samples(spark, sf_dir), ["event_type"])
+    """Samples of one kind have no type; they are a group of their own."""
+    typed = samples(spark, sf_dir).withColumn("event_type", F.nullif("event_type", F.lit("view")))
+    return metrics.latency_percentiles(typed, ["event_type"])
+
+
+# Net price as a share: a double with nearly as many values as lines, all between 0 and 1.
+_SHARES_SQL = """
+SELECT NULLIF(l_returnflag, 'R') AS flag, l_extendedprice * (1 - l_discount) / CAST(1000000 AS DOUBLE) AS share FROM lineitem
+"""
+
+
+@query("percentiles_of_doubles", f"""
+SELECT flag, {", ".join(f"max(CASE WHEN rn = CAST(floor(CAST(n AS DOUBLE) * CAST({q} AS DOUBLE)) AS BIGINT) THEN share END) AS {name}"
+                        for name, q in metrics.QUANTILES.items())}, max(share) AS max, count(*) AS records_in_window
+FROM (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY share) - 1 AS rn, count(*) OVER (PARTITION BY flag) AS n
+      FROM ({_SHARES_SQL})) GROUP BY flag
+""")
+def percentiles_of_doubles(spark, sf_dir):
+    share = F.col("l_extendedprice") * (1 - F.col("l_discount")) / F.lit(1000000.0)
+    rows = load(spark, sf_dir, "lineitem").select(F.nullif("l_returnflag", F.lit("R")).alias("flag"), share.alias("share"))
+    return metrics.latency_percentiles(rows, ["flag"], "share")
 
 
 _BOUNDS = metrics.LATENCY_BOUNDS
@@ -54,10 +76,9 @@ def latency_histogram(spark, sf_dir):
 
 
 _WINDOW_SQL = f"""
-SELECT event_type, (floor(epoch_us(ts) / 15000000.0) - o) * 15 AS window_start_s, latency_ms
+SELECT event_type, (epoch_us(ts) // 15000000 - o) * 15 AS window_start_s, latency_ms
 FROM ({SAMPLES_SQL}), range(0, 20) r(o)
 """
-_WINDOW_SQL = _WINDOW_SQL.replace("floor(epoch_us(ts) / 15000000.0)", "epoch_us(ts) // 15000000")
 
 
 def _interpolated_sql(q: float) -> str:
@@ -214,15 +235,16 @@ def backlog(spark, sf_dir):
 
 @query("lag", f"""
 SELECT table_name, max(seq) AS high_watermark,
-       COALESCE(max(CASE WHEN changed_at < TIMESTAMP '{HALF}' AND table_name <> 'events_1' THEN seq END), 0)
+       COALESCE(max(CASE WHEN changed_at < TIMESTAMP '{HALF}' AND table_name IS DISTINCT FROM 'events_1' THEN seq END), 0)
          AS current_offset,
-       max(seq) - COALESCE(max(CASE WHEN changed_at < TIMESTAMP '{HALF}' AND table_name <> 'events_1' THEN seq END), 0)
+       max(seq) - COALESCE(max(CASE WHEN changed_at < TIMESTAMP '{HALF}' AND table_name IS DISTINCT FROM 'events_1' THEN seq END), 0)
          AS lag
-FROM ({CHANGES_SQL}) GROUP BY table_name
+FROM (SELECT * REPLACE (NULLIF(table_name, 'events_3') AS table_name) FROM ({CHANGES_SQL})) GROUP BY table_name
 """)
 def lag(spark, sf_dir):
-    rows = changes(spark, sf_dir)
-    applied = rows.where((F.col("changed_at") < at(HALF)) & (F.col("table_name") != "events_1"))
+    """Lag per table; one has no name."""
+    rows = changes(spark, sf_dir).withColumn("table_name", F.nullif("table_name", F.lit("events_3")))
+    applied = rows.where((F.col("changed_at") < at(HALF)) & ~F.col("table_name").eqNullSafe("events_1"))
     state = applied.groupBy("table_name").agg(F.max("seq").alias("last_seq"))
     return metrics.consumer_lag(rows, state, ["table_name"], seq="seq")
 

@@ -89,6 +89,26 @@ def lookup_join(
     return facts.join(lookup, on, how)
 
 
+def same_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", nulls: bool = True) -> DataFrame:
+    """Join on columns of the same name, where null meets null as in a grouping; each column is there once.
+
+    A frame that is joined with its own aggregate needs this, or its null groups are lost. ``nulls=False`` is a plain
+    join, for keys known to be whole: it can use an existing bucketing.
+    """
+    if not nulls:
+        return left.join(right, on, how)
+    own = {c: f"_same_{i}" for i, c in enumerate(on)}
+    condition = F.lit(True)
+    renamed = right.withColumnsRenamed(own)
+    for c, name in own.items():
+        condition = condition & F.col(c).eqNullSafe(F.col(name))
+    joined = left.join(renamed, condition, how)
+    if how in ("left_semi", "left_anti"):
+        return joined
+    keys = [F.coalesce(F.col(c), F.col(name)).alias(c) for c, name in own.items()]
+    return joined.select(*keys, *[c for c in joined.columns if c not in on and c not in own.values()])
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint in the shared folder."""
     spark = df.sparkSession

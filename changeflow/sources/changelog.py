@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeflow.functions import keys, text, times
+from changeflow.operators.ranges import ROWS_PER_RANGE, ranked
 
 
 def poll(log: DataFrame, last_seq: int = 0, limit: int | None = 1000) -> DataFrame:
@@ -25,8 +26,8 @@ def decode(log: DataFrame, now: Column | None = None) -> DataFrame:
     return log.withColumn("fields", fields).withColumn("ts_ms", times.epoch_ms(changed_at))
 
 
-def envelope(decoded: DataFrame, source: str, schema: str, table: str, key_fields: list[str]) -> DataFrame:
-    """Decoded rows as change events. Row order is carried by ``seq``."""
+def envelope(decoded: DataFrame, source: str, schema: str, table: str | Column, key_fields: list[str]) -> DataFrame:
+    """Decoded rows as change events, of one table or of the one that a column names. Row order is carried by ``seq``."""
     no_fields = F.lit(None).cast("map<string,string>")
     return decoded.select(
         F.lit(source).alias("source"),
@@ -92,18 +93,11 @@ def capture(old: DataFrame, new: DataFrame, key_columns: list[str], monitored: l
     ).where(F.col("op_type").isNotNull())
 
 
-def number_changes(changes: DataFrame, order: list[str], start: int = 1, buckets: int = 4096) -> DataFrame:
-    """Give captured changes a ``seq_id``: unique, gap-free, the same on every run.
+def number_changes(changes: DataFrame, order: list[str], start: int = 1,
+                   rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Give captured changes a ``seq_id`` in the true order of ``order``: unique, gap-free, the same on every run.
 
-    Rows are numbered inside hash buckets of ``order`` and shifted by the size of the buckets
-    before, so no task sorts more than one bucket.
+    ``order`` has to tell rows apart. Rows are numbered inside sampled ranges and shifted by the sizes of those before,
+    and there are as many ranges as the table needs, so no task sorts more than ``rows_per_range`` rows or so.
     """
-    bucket = F.pmod(F.xxhash64(*order), F.lit(buckets))
-    rows = changes.withColumn("_bucket", bucket)
-    sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    # At most ``buckets`` rows, so the broadcast side has a fixed bound.
-    numbered = rows.join(F.broadcast(shifts), "_bucket").withColumn("seq_id", F.col("_shift") + place + (start - 1))
-    return numbered.drop("_bucket", "_shift")
+    return ranked(changes, order, "seq_id", start, rows_per_range)

@@ -151,7 +151,7 @@ class ReplaceTarget(Target):
         for key in self.key_columns:
             whole = whole & F.col(key).isNotNull()
         changes = later.where(whole).withColumnsRenamed({META_OP: "op", META_TS: "ts_ms", META_SEQ: "seq"})
-        merged = apply.merge_replace(base.where(whole), changes, self.key_columns, keep_deleted=True)
+        merged = apply.merge_replace(base.where(whole), changes, self.key_columns, keep_deleted=True, null_keys=False)
         rest = self.fold(base.where(~whole).unionByName(later.where(~whole)))
         return merged.select(*rest.columns).unionByName(rest)
 

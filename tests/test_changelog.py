@@ -85,8 +85,8 @@ def test_capture_and_numbering(spark):
     got = {r.row_key: (r.op_type, r.changed_fields) for r in changes.collect()}
     assert got == {"2|x": ("U", '{"a":"z","b":2.0}'), "3|x": ("D", None), "4|x": ("I", '{"a":null,"b":4.5}')}
     many = spark.range(1000).selectExpr("id", "'I' op_type")
-    first = changelog.number_changes(many, ["id"], start=10, buckets=7)
-    again = changelog.number_changes(many.repartition(5), ["id"], start=10, buckets=7)
+    first = changelog.number_changes(many, ["id"], start=10, rows_per_range=20)
+    again = changelog.number_changes(many.repartition(5), ["id"], start=10, rows_per_range=20)
     numbers = {r.id: r.seq_id for r in first.collect()}
     assert sorted(numbers.values()) == list(range(10, 1010))
     assert numbers == {r.id: r.seq_id for r in again.collect()}

@@ -62,7 +62,7 @@ def test_held_for(spark):
 
 def test_percentile_places(spark):
     rows = spark.range(1, 101).select(F.lit("k").alias("k"), F.col("id").alias("latency_ms"))
-    got = metrics.latency_percentiles(rows, ["k"], bin_width=10).first()
+    got = metrics.latency_percentiles(rows, ["k"], digit_bits=3).first()
     assert tuple(got) == ("k", 51, 96, 100, 100, 100)
 
 
@@ -77,7 +77,7 @@ def test_percentiles_against_sorting(spark, seed):
     rng = random.Random(seed)
     samples = [("a" if rng.random() < 0.6 else "b", int(rng.expovariate(1 / 3000))) for _ in range(700)]
     rows = spark.createDataFrame(samples, "k string, latency_ms int")
-    for row in metrics.latency_percentiles(rows, ["k"], bin_width=rng.choice([1, 50, 5000])).collect():
+    for row in metrics.latency_percentiles(rows, ["k"], digit_bits=rng.choice([2, 5, 16])).collect():
         values = sorted(v for k, v in samples if k == row.k)
         n = len(values)
         assert (row.p50, row.p95, row.p99, row.max, row.records_in_window) == (
