@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changeflow.functions.numbers import parse_float
-from changeflow.functions.rules import rule_message
+from changeflow.functions.rules import RULES, rule_message
 from changeflow.functions.transforms import chains, fold_chain
 from changeflow.schemas import VIOLATION, Rule, Transform
 from changeflow.session import SMALL_SIDE_ROWS, lookup_join
@@ -109,49 +110,117 @@ def with_route(validated: DataFrame, quarantine_blocks: bool = True) -> DataFram
     return validated.withColumn("route", route.otherwise(F.lit(PASS)))
 
 
-def validate_with_table(events: DataFrame, rules: DataFrame, max_rules: int = SMALL_SIDE_ROWS) -> DataFrame:
+# Rule types whose conditions are expressions over columns of the rule table.
+COLUMN_TYPES = ["not_null", "range", "length", "enum", "regex"]
+
+
+def _limit(name: str) -> Column:
+    """A limit of ``rule_params`` as it is written: a whole number keeps its digits, another is a double."""
+    text = F.get_json_object("rule_params", f"$.{name}")
+    return F.when(text.rlike("^-?[0-9]+$"), text).otherwise(text.cast("double").cast("string"))
+
+
+def _compiled_messages(rows: DataFrame, rules: DataFrame) -> DataFrame | None:
+    """Events with a rule of their config that is no column expression, such as a custom condition, and its message.
+
+    Each distinct (type, field, params) is compiled once, in groups, however many tenants have it, and a row of the rule
+    table chooses its own. A condition may use any column of the event.
+    """
+    signs = ["rule_type", "field_name", "rule_params"]
+    others = rules.where(~F.col("rule_type").isin(COLUMN_TYPES) & F.col("rule_type").isin(list(RULES)))
+    distinct = others.select(*signs).distinct().orderBy(*signs).collect()
+    found = None
+    for at in range(0, len(distinct), RULES_AT_ONCE):
+        message, chosen = F.lit(None).cast("string"), F.lit(False)
+        for kind, name, params in distinct[at:at + RULES_AT_ONCE]:
+            is_it = (F.col("rule_type") == kind) & (F.col("field_name") == name) & F.col("rule_params").eqNullSafe(F.lit(params))
+            message = F.when(is_it, rule_message(Rule("", name, kind, json.loads(params or "{}")), map_field(name))).otherwise(message)
+            chosen = chosen | is_it
+        part = rows.join(others.where(chosen), "config_id").withColumn("message", message).withColumn(
+            "field_value", F.try_element_at("after", F.col("field_name")))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def rule_versions(versions: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Add ``valid_to`` to rules with ``valid_from``: a version counts until the next one of its rule, the last for good."""
+    window = Window.partitionBy(*(by or ["config_id", "id"])).orderBy("valid_from")
+    return versions.withColumn("valid_to", F.lead("valid_from").over(window))
+
+
+def validate_with_table(events: DataFrame, rules: DataFrame, max_rules: int = SMALL_SIDE_ROWS,
+                        masks: Iterable[Transform] = (), at: str | None = None) -> DataFrame:
     """Violation rows for rule sets too large to compile, such as rules of many tenants.
 
-    ``events``: config_id, row_key, seq, after (map). ``rules``: id, config_id, field_name,
-    rule_type, severity, is_enabled, min_value, max_value (double), pattern, allowed
-    (array of text). A field meets only the rules of its own config and name.
+    ``events``: config_id, row_key, seq, after (map) and what custom conditions use. ``rules``: id, config_id, field_name,
+    rule_type, severity, is_enabled and rule_params, JSON as the metadata tables hold it (or min_value, max_value, pattern
+    and allowed instead). A field meets only the rules of its own config and name. Messages, masks and what passes are those of ``validate``, for all types that are registered.
+    With ``at``, a time column of the events, rules have valid_from and valid_to as of ``rule_versions``, and an event
+    meets the versions of its time, so that a replay is checked by the rules of then.
     """
+    spans = ["valid_from", "valid_to"] if at else []
+    if "rule_params" not in rules.columns:
+        limits = [F.col(c).alias(n) for c, n in (("min_value", "min"), ("max_value", "max"), ("pattern", "pattern"), ("allowed", "values"))]
+        rules = rules.withColumn("rule_params", F.to_json(F.struct(*limits)))
     active = rules.where("is_enabled").select(
-        "config_id", F.col("id").alias("rule_id"), "field_name", "rule_type", "severity",
-        "min_value", "max_value", "pattern", "allowed",
-    )
+        "config_id", F.col("id").alias("rule_id"), "field_name", "rule_type", "severity", "rule_params", *spans)
     rows = events.where(F.col("after").isNotNull())
+    timed = [at] if at else []
+
+    def of_its_time(paired: DataFrame) -> DataFrame:
+        if not at:
+            return paired
+        return paired.where((F.col(at) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(at) < F.col("valid_to"))))
+
     # Each field meets its own rules only. Fields that a config requires and a row lacks are added as nulls.
     required = active.where(F.col("rule_type") == "not_null").groupBy("config_id").agg(
         F.collect_set("field_name").alias("_required"))
-    rows = lookup_join(rows, required, ["config_id"], "left", max_rules)
+    whole = lookup_join(rows.select("config_id", "row_key", "seq", "after", *timed), required, ["config_id"], "left", max_rules)
     lacking = F.array_except(F.coalesce("_required", F.array().cast("array<string>")), F.map_keys("after"))
     entries = F.concat(F.map_entries("after"), F.transform(
         lacking, lambda name: F.struct(name.alias("key"), F.lit(None).cast("string").alias("value"))))
-    fields = rows.select("config_id", "row_key", "seq", F.inline(entries).alias("field_name", "field_value"))
-    paired = lookup_join(fields, active, ["config_id", "field_name"], max_rows=max_rules)
-    x = F.col("field_value")
+    fields = whole.select("config_id", "row_key", "seq", *timed, F.inline(entries).alias("field_name", "field_value"))
+    allowed = F.from_json(F.get_json_object("rule_params", "$.values"), "array<string>")
+    plain = active.where(F.col("rule_type").isin(COLUMN_TYPES)).select(
+        "*", _limit("min").alias("_low"), _limit("max").alias("_high"),
+        F.coalesce(F.get_json_object("rule_params", "$.pattern"), F.lit("")).alias("_pattern"),
+        F.coalesce(allowed, F.array().cast("array<string>")).alias("_allowed"))
+    paired = of_its_time(lookup_join(fields, plain, ["config_id", "field_name"], max_rows=max_rules))
+    x, kind, size = F.col("field_value"), F.col("rule_type"), F.length("field_value")
     number = parse_float(x)
     number = F.when(~F.isnan(number), number)
-    kind, low, high = F.col("rule_type"), F.col("min_value"), F.col("max_value")
-    size = F.length(x)
+    low, high = F.col("_low").cast("double"), F.col("_high").cast("double")
+
+    def beyond(measure: str, shown: Column, side: str, limit: str) -> Column:
+        return F.concat(F.lit(f"{measure} "), shown.cast("string"), F.lit(f" {side} "), F.col(limit))
+
     problem = (
         F.when((kind == "not_null") & x.isNull(), F.lit("is null"))
-        .when((kind == "range") & (number < low), F.lit("below minimum"))
-        .when((kind == "range") & (number > high), F.lit("above maximum"))
-        .when((kind == "length") & (size < low), F.lit("length below minimum"))
-        .when((kind == "length") & (size > high), F.lit("length above maximum"))
-        .when((kind == "enum") & x.isNotNull() & ~F.coalesce(F.array_contains("allowed", x), F.lit(False)),
-              F.lit("not in allowed set"))
-        .when(
-            (kind == "regex") & ~F.rlike(x, F.concat(F.lit("(?U)^(?:"), F.col("pattern"), F.lit(")"))),
-            F.lit("doesn't match pattern"),
-        )
+        .when((kind == "range") & (number < low), beyond("value", x, "below minimum", "_low"))
+        .when((kind == "range") & (number > high), beyond("value", x, "above maximum", "_high"))
+        .when((kind == "length") & (size < low), beyond("length", size, "below minimum", "_low"))
+        .when((kind == "length") & (size > high), beyond("length", size, "above maximum", "_high"))
+        .when((kind == "enum") & x.isNotNull() & ~F.array_contains("_allowed", x),
+              F.concat(F.lit("value '"), x, F.lit("' not in allowed set")))
+        .when((kind == "regex") & ~F.rlike(x, F.concat(F.lit("(?U)^(?:"), F.col("_pattern"), F.lit(")"))),
+              F.concat(F.lit("doesn't match pattern '"), F.col("_pattern"), F.lit("'")))
     )
     message = F.concat(F.lit("Field '"), F.col("field_name"), F.lit("' "), problem)
-    return paired.withColumn("message", message).where(F.col("message").isNotNull()).select(
-        "rule_id", "config_id", "field_name", "field_value", "row_key",
-        F.col("rule_type").alias("violation_type"), "severity", "message", F.col("seq").alias("event_seq"),
+    columns = ["rule_id", "config_id", "field_name", "field_value", "row_key", "rule_type", "severity", "message", "seq"]
+    found = paired.withColumn("message", message).where(F.col("message").isNotNull()).select(*columns)
+    compiled = _compiled_messages(rows, active)
+    if compiled is not None:
+        found = found.unionByName(of_its_time(compiled).where(F.col("message").isNotNull()).select(*columns))
+    shown, told = F.col("field_value"), F.col("message")
+    for name, chain in chains(masks).items():
+        if any(t.transform_type == "mask" for t in chain):
+            here = F.col("field_name") == name
+            shown = F.when(here, fold_chain(F.col("field_value"), chain, in_text=True)).otherwise(shown)
+            hidden = F.concat(F.lit(f"Field '{name}' fails "), F.col("rule_type"))
+            told = F.when(here & (F.col("rule_type") != "not_null"), hidden).otherwise(told)
+    return found.select(
+        "rule_id", "config_id", "field_name", shown.alias("field_value"), "row_key",
+        F.col("rule_type").alias("violation_type"), "severity", told.alias("message"), F.col("seq").alias("event_seq"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,7 +142,7 @@ SELECT CAST(c_custkey AS VARCHAR) AS config_id, 'rule' || c_custkey AS rule_id,
        CASE c_custkey % 5 WHEN 0 THEN 'total' WHEN 1 THEN 'status' WHEN 2 THEN 'priority' WHEN 3 THEN 'priority'
             ELSE 'note' END AS field_name,
        CASE WHEN c_acctbal < 2000 THEN 'reject' ELSE 'warn' END AS severity, c_custkey % 7 <> 0 AS is_enabled,
-       c_acctbal
+       CAST(floor(c_acctbal) AS BIGINT) * 20 AS low
 FROM customer
 """
 
@@ -153,14 +155,16 @@ SELECT r.rule_id, r.config_id, r.field_name,
          AS violation_type,
        severity,
        'Field ''' || field_name || ''' ' || CASE kind
-         WHEN 0 THEN CASE WHEN o_totalprice < c_acctbal * 20 THEN 'below minimum' ELSE 'above maximum' END
-         WHEN 1 THEN 'not in allowed set'
-         WHEN 2 THEN CASE WHEN length(o_orderpriority) < 6 THEN 'length below minimum' ELSE 'length above maximum' END
-         WHEN 3 THEN 'doesn''t match pattern' ELSE 'is null' END AS message,
+         WHEN 0 THEN 'value ' || CAST(o_totalprice AS VARCHAR) ||
+           CASE WHEN o_totalprice < low THEN ' below minimum ' || low ELSE ' above maximum ' || (low + 100000) END
+         WHEN 1 THEN 'value ''' || o_orderstatus || ''' not in allowed set'
+         WHEN 2 THEN 'length ' || length(o_orderpriority) ||
+           CASE WHEN length(o_orderpriority) < 6 THEN ' below minimum 6' ELSE ' above maximum 8' END
+         WHEN 3 THEN 'doesn''t match pattern ''[12]-''' ELSE 'is null' END AS message,
        o_orderkey AS event_seq
 FROM orders o JOIN ({_RULES_SQL}) r ON r.config_id = CAST(o.o_custkey AS VARCHAR)
 WHERE is_enabled AND CASE kind
-  WHEN 0 THEN o_totalprice < c_acctbal * 20 OR o_totalprice > c_acctbal * 20 + 100000
+  WHEN 0 THEN o_totalprice < low OR o_totalprice > low + 100000
   WHEN 1 THEN o_orderstatus NOT IN ('O', 'P')
   WHEN 2 THEN length(o_orderpriority) < 6 OR length(o_orderpriority) > 8
   WHEN 3 THEN NOT regexp_matches(o_orderpriority, '^(?:[12]-)')
@@ -177,7 +181,8 @@ def _tenant_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
             result = result.when(kind == i, value)
         return result
 
-    low, none = F.col("c_acctbal") * 20, F.lit(None).cast("double")
+    low = F.floor("c_acctbal") * 20
+    limits = F.format_string('{"min": %d, "max": %d}', low, low + 100000)
     return load(spark, sf_dir, "customer").select(
         F.concat(F.lit("rule"), F.col("c_custkey").cast("string")).alias("id"),
         F.col("c_custkey").cast("string").alias("config_id"),
@@ -185,10 +190,8 @@ def _tenant_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(*map(F.lit, ("range", "enum", "length", "regex", "not_null"))).alias("rule_type"),
         F.when(F.col("c_acctbal") < 2000, "reject").otherwise("warn").alias("severity"),
         (F.col("c_custkey") % 7 != 0).alias("is_enabled"),
-        pick(low, none, F.lit(6.0), none, none).alias("min_value"),
-        pick(low + 100000, none, F.lit(8.0), none, none).alias("max_value"),
-        F.when(kind == 3, "[12]-").alias("pattern"),
-        F.when(kind == 1, F.array(F.lit("O"), F.lit("P"))).alias("allowed"),
+        pick(limits, F.lit('{"values": ["O", "P"]}'), F.lit('{"min": 6, "max": 8}'), F.lit('{"pattern": "[12]-"}'),
+             F.lit("{}")).alias("rule_params"),
     )
 
 
@@ -208,6 +211,88 @@ def quality_tenant_rules(spark, sf_dir):
     return _tenant_violations(spark, sf_dir)
 
 
+# The same rule set for all orders, once compiled and once as a table.
+_BOTH_RULES = [
+    Rule("t1", "total", "range", {"min": 20000, "max": 250000.5}, "reject"), Rule("t2", "status", "enum", {"values": ["O", "F"]}, "warn"),
+    Rule("t3", "priority", "regex", {"pattern": "[1-3]-"}, "quarantine"), Rule("t4", "priority", "length", {"max": 8}, "warn"),
+    Rule("t5", "note", "not_null", {}, "warn"),
+    Rule("t6", "total", "custom_sql", {"expr": "seq % 3 > 0 OR after['status'] = 'P'"}, "reject"),
+    Rule("t7", "customer", "custom_sql", {"expr": "after['customer'] < '5'"}, "warn")]
+_BOTH_MASKS = [Transform("customer", "mask", {"mask_type": "full"}), Transform("priority", "mask", {"mask_type": "full"})]
+
+_BOTH_SQL = """
+SELECT rule_id, field_name, message, field_value, o_orderkey AS event_seq FROM (
+  SELECT 't1' AS rule_id, 'total' AS field_name, CAST(o_totalprice AS VARCHAR) AS field_value, o_orderkey,
+    'Field ''total'' value ' || CAST(o_totalprice AS VARCHAR) ||
+    CASE WHEN o_totalprice < 20000 THEN ' below minimum 20000' ELSE ' above maximum 250000.5' END AS message
+  FROM orders WHERE o_totalprice < 20000 OR o_totalprice > 250000.5::DOUBLE
+  UNION ALL SELECT 't2', 'status', o_orderstatus, o_orderkey, 'Field ''status'' value ''' || o_orderstatus || ''' not in allowed set'
+  FROM orders WHERE o_orderstatus NOT IN ('O', 'F')
+  UNION ALL SELECT 't3', 'priority', '***REDACTED***', o_orderkey, 'Field ''priority'' fails regex' FROM orders
+  WHERE NOT regexp_matches(o_orderpriority, '^(?:[1-3]-)')
+  UNION ALL SELECT 't4', 'priority', '***REDACTED***', o_orderkey, 'Field ''priority'' fails length' FROM orders
+  WHERE length(o_orderpriority) > 8
+  UNION ALL SELECT 't5', 'note', NULL, o_orderkey, 'Field ''note'' is null' FROM orders
+  UNION ALL SELECT 't6', 'total', CAST(o_totalprice AS VARCHAR), o_orderkey,
+    'Field ''total'' fails condition seq % 3 > 0 OR after[''status''] = ''P''' FROM orders
+  WHERE NOT (o_orderkey % 3 > 0 OR o_orderstatus = 'P')
+  UNION ALL SELECT 't7', 'customer', '***REDACTED***', o_orderkey, 'Field ''customer'' fails custom_sql' FROM orders
+  WHERE NOT (CAST(o_custkey AS VARCHAR) < '5'))
+"""
+
+
+@query("quality_same_rules", f"SELECT 'table' AS path, * FROM ({_BOTH_SQL}) UNION ALL SELECT 'compiled', * FROM ({_BOTH_SQL})")
+def quality_same_rules(spark, sf_dir):
+    """One mixed rule set, custom conditions and masks included, compiled and as a table: the same violations."""
+    payload = F.create_map(
+        F.lit("total"), F.col("o_totalprice").cast("string"), F.lit("status"), F.col("o_orderstatus"),
+        F.lit("priority"), F.col("o_orderpriority"), F.lit("customer"), F.col("o_custkey").cast("string"))
+    events = load(spark, sf_dir, "orders").select(
+        F.lit("orders").alias("config_id"), F.col("o_orderkey").cast("string").alias("row_key"), F.col("o_orderkey").alias("seq"),
+        payload.alias("after"))
+    table = spark.createDataFrame(
+        [(r.id, "orders", r.field_name, r.rule_type, r.severity, True, json.dumps(r.params)) for r in _BOTH_RULES],
+        "id string, config_id string, field_name string, rule_type string, severity string, is_enabled boolean, rule_params string")
+    by_table = quality.validate_with_table(events, table, masks=_BOTH_MASKS)
+    compiled = quality.violation_rows(quality.validate(
+        events, _BOTH_RULES, F.col("row_key"), F.col("seq"), "orders", field=quality.map_field, masks=_BOTH_MASKS))
+    columns = ["rule_id", "field_name", "message", "field_value", "event_seq"]
+    return by_table.select(F.lit("table").alias("path"), *columns).unionByName(
+        compiled.select(F.lit("compiled").alias("path"), *columns))
+
+
+# Versions of one rule for each order status: the limit rises every two years, and the last version is switched off for P.
+_VERSIONS_SQL = """
+SELECT s AS status, make_timestamp(1994 + 2 * y, 1, 1, 0, 0, 0.0) AS valid_from,
+       CASE WHEN y < 3 THEN make_timestamp(1996 + 2 * y, 1, 1, 0, 0, 0.0) END AS valid_to, 20000 * (y + 1) AS low,
+       NOT (s = 'P' AND y = 3) AS is_on
+FROM (SELECT DISTINCT o_orderstatus AS s FROM orders), (SELECT unnest(range(0, 4)) AS y)
+"""
+
+
+@query("rules_as_of", f"""
+SELECT 'low-' || status AS rule_id, o_orderkey AS event_seq,
+       'Field ''total'' value ' || CAST(o_totalprice AS VARCHAR) || ' below minimum ' || low AS message
+FROM orders o JOIN ({_VERSIONS_SQL}) v ON o.o_orderstatus = v.status AND o.o_orderdate >= valid_from
+  AND (valid_to IS NULL OR o.o_orderdate < valid_to) WHERE is_on AND o_totalprice < low
+""")
+def rules_as_of(spark, sf_dir):
+    """Orders checked by the version of their status's rule that counted at the order's date."""
+    orders = load(spark, sf_dir, "orders")
+    events = orders.select(
+        F.col("o_orderstatus").alias("config_id"), F.col("o_orderkey").cast("string").alias("row_key"), F.col("o_orderkey").alias("seq"),
+        F.col("o_orderdate").cast("timestamp").alias("at"), F.create_map(F.lit("total"), F.col("o_totalprice").cast("string")).alias("after"))
+    version = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("version")
+    year, last = F.col("version") * 2 + 1994, (F.col("config_id") == "P") & (F.col("version") == 3)
+    versions = orders.select(F.col("o_orderstatus").alias("config_id")).distinct().select("*", version).select(
+        F.concat(F.lit("low-"), F.col("config_id")).alias("id"), "config_id", F.lit("total").alias("field_name"),
+        F.lit("range").alias("rule_type"), F.lit("warn").alias("severity"), (~last).alias("is_enabled"),
+        F.format_string('{"min": %d}', (F.col("version") + 1) * 20000).alias("rule_params"),
+        F.make_timestamp(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("valid_from"))
+    found = quality.validate_with_table(events, quality.rule_versions(versions), at="at")
+    return found.select("rule_id", "event_seq", "message")
+
+
 _STORED_SQL = f"SELECT *, event_seq % 4 = 0 AS resolved FROM ({_VIOLATIONS_SQL})"
 
 

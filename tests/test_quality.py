@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +146,45 @@ def test_any_number_of_rules(spark, monkeypatch):
     monkeypatch.setattr(quality, "RULES_AT_ONCE", 4)
     assert quality.validate_many(rows, rules, key, seq).collect() == whole
     assert [len(r.violations) for r in whole] == [12, 11]
+
+
+def mixed_rules():
+    return [Rule("1", "amount", "not_null", {}, "reject"), Rule("2", "amount", "range", {"min": 0, "max": 1000.5}),
+            Rule("3", "status", "enum", {"values": ["NEW"]}, "reject"), Rule("4", "status", "regex", {"pattern": "N"}, "quarantine"),
+            Rule("5", "status", "length", {"min": 4, "max": 5}), Rule("6", "amount", "custom_sql", {"expr": "seq % 2 = 0 AND after['status'] = 'NEW'"}),
+            Rule("7", "code", "custom_sql", {"expr": "length(after['code']) < 3"}), Rule("8", "code", "no_such_type"),
+            Rule("9", "code", "all_upper", {"than": 1}), Rule("10", "code", "custom_sql", {}), Rule("11", "status", "regex", {}),
+            Rule("12", "amount", "enum", {})]
+
+
+@pytest.mark.parametrize("at_once", [1, 250])
+def test_one_rule_set_by_both_paths(spark, monkeypatch, at_once):
+    """Custom conditions, registered types, masks and messages are the same compiled and as a table."""
+    register_rule("all_upper", lambda f, v, p: F.when(v != F.upper(v), F.concat(F.lit(f"{f} isn't upper: "), v)))
+    monkeypatch.setattr(quality, "RULES_AT_ONCE", at_once)
+    payloads = [{"amount": str(a), "status": s, "code": c} for a in (-1, 5, "x", 2000000) for s in ("NEW", "BAD") for c in ("abc", "AB")]
+    payloads += [{}, None, {"status": None, "amount": "7"}, {"code": "abcd"}]
+    rows = spark.createDataFrame([(i, "c", p) for i, p in enumerate(payloads)] + [(99, "other", payloads[0])],
+                                 "seq long, config_id string, after map<string,string>").withColumn("row_key", F.col("seq").cast("string"))
+    masks = [Transform("code", "mask", {"mask_type": "full"}), Transform("status", "upper", {})]
+    table = spark.createDataFrame(
+        [(r.id, "c", r.field_name, r.rule_type, r.severity, True, json.dumps(r.params)) for r in mixed_rules()],
+        "id string, config_id string, field_name string, rule_type string, severity string, is_enabled boolean, rule_params string")
+    compiled = quality.violation_rows(quality.validate(
+        rows.where("config_id = 'c'"), mixed_rules(), F.col("row_key"), F.col("seq"), "c", field=quality.map_field,
+        present=F.col("after").isNotNull(), masks=masks))
+    found = quality.validate_with_table(rows, table, masks=masks)
+    assert found.columns == compiled.columns
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, compiled.collect()), key=repr)
+    assert {r.rule_id for r in found.collect()} >= {"1", "2", "3", "4", "5", "6", "7", "9"}
+
+
+def test_rules_of_their_time(spark):
+    versions = spark.createDataFrame([
+        ("r", "c", "n", "range", "warn", True, '{"min": 10}', 0), ("r", "c", "n", "range", "warn", True, '{"min": 20}', 100),
+        ("r", "c", "n", "range", "warn", False, '{"min": 30}', 200), ("s", "c", "n", "custom_sql", "warn", True, '{"expr": "after[\'n\'] <> \'15\'"}', 150)],
+        "id string, config_id string, field_name string, rule_type string, severity string, is_enabled boolean, rule_params string, valid_from long")
+    rows = spark.createDataFrame([(i, "c", str(i), {"n": "15"}, t) for i, t in enumerate((-5, 0, 99, 100, 160, 200, 500))],
+                                 "seq long, config_id string, row_key string, after map<string,string>, t long")
+    found = quality.validate_with_table(rows, quality.rule_versions(versions), at="t")
+    assert sorted((r.event_seq, r.rule_id) for r in found.collect()) == [(3, "r"), (4, "r"), (4, "s"), (5, "s"), (6, "s")]
