@@ -29,6 +29,21 @@ def paused_configs(commands: DataFrame) -> DataFrame:
     return last.where(F.col("command") == "pause").select("config_id")
 
 
+def restarted(state: DataFrame, commands: DataFrame, known: DataFrame) -> DataFrame:
+    """State whose position is 0 again for configs that a restart among the new ``commands`` names; ``known`` are old ones."""
+    fresh = commands.where(F.col("command") == "restart").join(known.select("command_id"), "command_id", "left_anti")
+    named = fresh.select("config_id").distinct().withColumn("_restart", F.lit(True))
+    return state.join(named, "config_id", "left").withColumn(
+        "last_seq", F.when(F.col("_restart"), F.lit(0)).otherwise(F.col("last_seq")).cast("bigint")).select(*state.columns)
+
+
+def with_pauses(state: DataFrame, commands: DataFrame) -> DataFrame:
+    """State in which paused configs say so, and those no longer paused are active again."""
+    paused = paused_configs(commands).withColumn("_paused", F.lit(True))
+    status = F.when(F.col("_paused"), "paused").when(F.col("status") == "paused", "active").otherwise(F.col("status"))
+    return state.join(paused, "config_id", "left").withColumn("status", status).select(*state.columns)
+
+
 def without_paused(rows: DataFrame, commands: DataFrame) -> DataFrame:
     """Rows of configs that are not paused. The paused set is one row per config."""
     return lookup_join(rows, paused_configs(commands), ["config_id"], "left_anti")

@@ -11,13 +11,13 @@ from pyspark.sql import types as T
 
 from changeflow.functions.times import iso_text
 from changeflow.operators import costs, metrics, status
-from changeflow.plans.inputs import CHANGES_SQL, LOG_SQL, load, log_of
+from changeflow.plans.inputs import CHANGES_SQL, LOG_SQL, change_log, load, log_of
 from changeflow.plans.metric_queries import _BATCHES_SQL, _SUMS, _target
 from changeflow.plans.registry import query
 from changeflow.schemas import META_OP, META_SEQ, META_TS, Rule, Transform
 from changeflow.session import shared_dir
 from changeflow.sources import changelog, messages
-from changeflow.streaming import pipeline, windows
+from changeflow.streaming import late, many, pipeline, windows
 from changeflow.streaming.targets import create_target
 
 KEYS = ["user_id", "shard"]
@@ -204,3 +204,134 @@ def stream_rates(spark, sf_dir):
     panes = _updated(spark, windows.event_panes(rows, ["event_type"], "ts", "1 minute"), ["event_type", "pane_start"],
                      "stream-rates")
     return metrics.rates_of_panes(panes, ["event_type"], "pane_start", 300, 60).withColumnRenamed("window_start_s", "start_s")
+
+
+# A rule for each of five tables, from the regions: too small values are refused in two of them, and reported in the others.
+def _table_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("r_regionkey")
+    return load(spark, sf_dir, "region").select(
+        F.concat(F.lit("low"), key.cast("string")).alias("id"), F.concat(F.lit("events_"), key.cast("string")).alias("config_id"),
+        F.lit("k").alias("field_name"), F.lit("range").alias("rule_type"), F.when(key < 2, "reject").otherwise("warn").alias("severity"),
+        F.lit(True).alias("is_enabled"), F.lit('{"min": 10}').alias("rule_params"))
+
+
+def _table_messages(log: DataFrame) -> DataFrame:
+    events = changelog.envelope(changelog.decode(log), "src", "Shop", F.col("table_name"), KEYS)
+    return messages.to_records(events).select("value")
+
+
+@query("stream_many_tables", f"""
+SELECT table_name AS "table", split_part(row_key, '|', 1) AS user_id, split_part(row_key, '|', 2) AS shard, k, op AS _cdc_op,
+       ts_ms AS _cdc_ts, seq AS _cdc_seq
+FROM (SELECT * FROM ({CHANGES_SQL}) WHERE op = 'D' OR CAST(k AS DOUBLE) >= 10 OR table_name NOT IN ('events_0', 'events_1')
+      QUALIFY row_number() OVER (PARTITION BY table_name, row_key ORDER BY seq DESC) = 1)
+WHERE op <> 'D'
+""")
+def stream_many_tables(spark, sf_dir):
+    """All tables of a stream through one reduction and one write, with a rule for each."""
+    base = shared_dir(spark, "stream-many")
+    flow = many.ManyTables(spark, f"{base}/target", rules=lambda: _table_rules(spark, sf_dir))
+    source = _table_messages(log_of(_stream(spark, sf_dir)))
+    pipeline.start(source, many.many_tables_batches(flow, spread=8), f"{base}/checkpoint", every=None).awaitTermination()
+    rows = flow.read()
+    return rows.select("table", *[F.col("key")[k].alias(k) for k in KEYS], F.try_element_at("after", F.lit("k")).alias("k"),
+                       META_OP, META_TS, META_SEQ)
+
+
+def _in_turns(spark: SparkSession, rows: DataFrame, turn: str, turns: int, base: str, run, columns: list[str]) -> None:
+    """Write the rows of one turn after the other, and run the stream over what is new each time, from its checkpoint."""
+    for number in range(turns):
+        rows.where(F.col(turn) == number).select(*columns).write.mode("append").parquet(f"{base}/in")
+        source = pipeline.replay(spark, f"{base}/in", rows.select(*columns).schema, files_per_trigger=1_000_000)
+        pipeline.start(source, run, f"{base}/checkpoint", every=None).awaitTermination()
+
+
+# Switches of five configs: from which batch each is known.
+_SWITCHES = [(1, "events_1", "pause", 1), (2, "events_1", "resume", 3), (3, "events_2", "pause", 0), (4, "events_3", "pause", 1),
+             (5, "events_3", "restart", 2), (6, "events_4", "pause", 2), (7, "events_4", "resume", 3)]
+
+_TURNS_SQL = f"""
+SELECT *, (seq - min(seq) OVER ()) * 4 // (max(seq) OVER () - min(seq) OVER () + 1) AS turn FROM ({CHANGES_SQL})
+"""
+
+_PLACED_SQL = f"""
+SELECT table_name, seq, CASE
+  WHEN table_name = 'events_1' AND turn IN (1, 2) THEN 3 WHEN table_name = 'events_2' THEN NULL
+  WHEN table_name = 'events_3' AND turn = 1 THEN 2 WHEN table_name = 'events_4' AND turn = 2 THEN 3 ELSE turn END AS at_batch
+FROM ({_TURNS_SQL})
+"""
+
+
+@query("stream_paused", f"""
+WITH p AS ({_PLACED_SQL}), b AS (SELECT unnest(range(0, 4)) AS batch)
+SELECT table_name AS config_id, batch, count(*) FILTER (WHERE at_batch = batch) AS applied,
+       max(CASE WHEN table_name <> 'events_3' OR batch < 2 OR at_batch >= 2 THEN seq END) AS last_seq,
+       count(*) AS records_processed_total,
+       CASE WHEN table_name = 'events_1' AND batch IN (1, 2) OR table_name = 'events_3' AND batch = 1
+              OR table_name = 'events_4' AND batch = 2 THEN 'paused' ELSE 'active' END AS status
+FROM p JOIN b ON at_batch <= batch GROUP BY table_name, batch
+UNION ALL SELECT table_name, 4, count(*), max(seq), count(*), 'waiting' FROM p WHERE at_batch IS NULL GROUP BY table_name
+""")
+def stream_paused(spark, sf_dir):
+    """Four batches with pauses, a resume and a restart: what each batch applied, the state after it, and what still waits."""
+    base = shared_dir(spark, "stream-paused")
+    switches = spark.createDataFrame(_SWITCHES, "command_id long, config_id string, command string, known long").withColumn(
+        "issued_at", F.timestamp_seconds("command_id"))
+    flow = many.ManyTables(spark, f"{base}/target", commands=lambda batch: switches.where(F.col("known") <= batch))
+    log = change_log(spark, sf_dir)
+    first, last = log.agg(F.min("seq_id"), F.max("seq_id")).first()
+    turn = F.expr(f"(seq_id - {first}) * 4 div {last - first + 1}")
+    values = _table_messages(log).withColumn("seq_id", F.get_json_object("value", "$.seq").cast("bigint")).withColumn("turn", turn)
+    seen = []
+
+    def run(batch: DataFrame, number: int) -> None:
+        seen.append(number)
+        many.many_tables_batches(flow)(batch, number)
+
+    _in_turns(spark, values, "turn", 4, base, run, ["value"])
+    counts = flow.output("counts").select(F.col("table").alias("config_id"), F.col("batch").cast("bigint").alias("batch"), "applied")
+    states = flow.output("state").withColumn("batch", F.col("batch").cast("bigint"))
+    result = states.join(counts, ["config_id", "batch"], "left").select(
+        "config_id", "batch", F.coalesce("applied", F.lit(0)).cast("bigint").alias("applied"), "last_seq", "records_processed_total", "status")
+    waiting = flow.waiting(max(seen)).groupBy("config_id").agg(
+        F.count("*").alias("applied"), F.max("seq").alias("last_seq"))
+    return result.unionByName(waiting.select(
+        "config_id", F.lit(4).cast("bigint").alias("batch"), "applied", "last_seq", F.col("applied").alias("records_processed_total"),
+        F.lit("waiting").alias("status")))
+
+
+_ARRIVALS_SQL = """
+WITH a AS (SELECT event_id, event_type, CASE WHEN event_id % 97 > 0 THEN ts END AS ts,
+                  least(4, (epoch_us(ts) // 86400000000 - min(epoch_us(ts) // 86400000000) OVER () +
+                            CASE WHEN event_id % 10 = 0 THEN 3 ELSE 0 END) // 7) AS turn FROM events),
+m AS (SELECT b.turn, max(a.ts) - INTERVAL 1 HOUR AS mark FROM (SELECT DISTINCT turn FROM a) b LEFT JOIN a ON a.turn < b.turn GROUP BY b.turn)
+SELECT a.*, CASE WHEN ts IS NULL THEN 'undated' WHEN ts < mark THEN 'late' ELSE 'on_time' END AS arrival FROM a JOIN m USING (turn)
+"""
+
+
+@query("stream_late", f"""
+WITH r AS ({_ARRIVALS_SQL})
+SELECT 'window' AS kind, event_type, epoch_us(date_trunc('hour', ts)) // 1000000 AS at, count(*) AS n FROM r
+WHERE arrival = 'on_time' GROUP BY ALL
+UNION ALL SELECT arrival, event_type, turn, count(*) FROM r WHERE arrival <> 'on_time' GROUP BY ALL
+UNION ALL SELECT 'all', NULL, turn, count(*) FROM r GROUP BY ALL
+""")
+def stream_late(spark, sf_dir):
+    """Every tenth event comes three days late: hourly counts of what was on time, and what was not, by batch."""
+    base = shared_dir(spark, "stream-late")
+    events = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    day = F.expr("unix_micros(ts) div 86400000000")
+    first = events.agg(F.min(day)).first()[0]
+    turn = F.least(F.lit(4), F.floor((day - first + F.when(F.col("event_id") % 10 == 0, 3).otherwise(0)) / 7))
+    rows = events.withColumn("turn", turn).withColumn("ts", F.when(F.col("event_id") % 97 > 0, F.col("ts")))
+    flow = late.CountedWindows(spark, f"{base}/out", "ts", "1 hour")
+    run = late.windowed_batches(flow, ["event_type"], {"n": F.lit(1)})
+    _in_turns(spark, rows, "turn", 5, base, run, ["event_id", "event_type", "ts"])
+    hours = flow.windows(["event_type"], ["n"]).select(
+        F.lit("window").alias("kind"), "event_type", F.unix_seconds("window_start").alias("at"), "n")
+    others = flow.late_rows().groupBy(F.col("arrival").alias("kind"), "event_type", F.col("batch").cast("bigint").alias("at")).agg(
+        F.count("*").alias("n"))
+    every = flow.arrivals().select(
+        F.lit("all").alias("kind"), F.lit(None).cast("string").alias("event_type"), F.col("batch").cast("bigint").alias("at"),
+        (F.col("on_time") + F.col("late") + F.col("undated")).alias("n"))
+    return hours.unionByName(others).unionByName(every)
