@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changeflow.functions import text
 
@@ -133,12 +134,25 @@ def lineage_columns_per_table(lineage: DataFrame, by: list[str]) -> DataFrame:
 
 
 def orphans(child: DataFrame, foreign_key: str, parent: DataFrame, key: str) -> DataFrame:
-    """Foreign key values without a parent row and how many child rows hold each.
+    """Foreign key values without a parent row and how many child rows hold each."""
+    found = all_orphans(child, {"": (foreign_key, parent, key)})
+    return found.select(F.col("key_value").cast(child.schema[foreign_key].dataType).alias("key_value"), "child_rows")
 
-    Child rows are counted per value first, so a hot value crosses the join as one row.
+
+def all_orphans(child: DataFrame, parents: dict[str, tuple[str, DataFrame, str]]) -> DataFrame:
+    """(parent, key_value, child_rows): values of all foreign keys of a child without a parent row, in one scan of it.
+
+    ``parents`` maps a name to the foreign key column, the parent table and its key. Child rows are counted per key name
+    and value on the map side, so a hot value crosses the join as one row. Values are compared as text if the types of
+    the keys differ, and are of the common type of the keys otherwise; a null foreign key needs no parent.
     """
-    values = child.where(F.col(foreign_key).isNotNull()).groupBy(F.col(foreign_key).alias("key_value")).agg(
-        F.count("*").alias("child_rows")
-    )
-    parents = parent.select(F.col(key).alias("key_value"))
-    return values.join(parents, "key_value", "left_anti")
+    kinds = {child.schema[fk].dataType for fk, _, _ in parents.values()}
+    kind = kinds.pop() if len(kinds) == 1 else T.StringType()
+    names = F.array(*[F.struct(F.lit(n).alias("parent"), F.col(fk).cast(kind).alias("key_value")) for n, (fk, _, _) in parents.items()])
+    values = child.select(F.inline(names)).where(F.col("key_value").isNotNull()).groupBy("parent", "key_value").agg(
+        F.count("*").alias("child_rows"))
+    known = None
+    for name, (_, parent, key) in parents.items():
+        keys = parent.select(F.lit(name).alias("parent"), F.col(key).cast(kind).alias("key_value"))
+        known = keys if known is None else known.unionByName(keys)
+    return values.join(known, ["parent", "key_value"], "left_anti")

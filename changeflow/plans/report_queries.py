@@ -355,9 +355,7 @@ def fk_check(spark, sf_dir):
         "part": ("l_partkey", load(spark, sf_dir, "part").where(F.col("p_size") < 45), "p_partkey"),
         "supplier": ("l_suppkey", load(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 0), "s_suppkey"),
     }
-    found = [catalog.orphans(lines, fk, parent, key).withColumn("parent", F.lit(name))
-             for name, (fk, parent, key) in parents.items()]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    return catalog.all_orphans(lines, parents)
 
 
 _CONFIG_ROWS_SQL = """

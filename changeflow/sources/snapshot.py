@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeflow.functions.numbers import percent
-from changeflow.operators.sequence import running_totals
+from changeflow.operators.sequence import running_totals, sequence_gaps
 from changeflow.session import committed_folders
 
 
@@ -48,12 +48,33 @@ def keyless(table: DataFrame, key: str) -> DataFrame:
     return table.where(F.col(key).isNull())
 
 
+# Key ranges that a resumed load hands to the scan.
+MAX_RANGES = 200
+
+
+def open_ranges(plan: DataFrame, max_ranges: int = MAX_RANGES) -> list[tuple[int, int]]:
+    """Key ranges of the chunks in ``plan``, neighbours joined, in order.
+
+    Of more than ``max_ranges`` the ones with the narrowest holes between them are joined too, so that the filter of a scan
+    stays small; what it then reads beyond the plan has to be dropped after it.
+    """
+    first, last = plan.agg(F.min("start_pk"), F.max("end_pk")).first()
+    if first is None:
+        return []
+    holes = sequence_gaps(plan, [], "chunk_id").orderBy(F.desc("missing"), "after_seq").limit(max_ranges - 1)
+    edges = plan.select("chunk_id", "start_pk", "end_pk")
+    ends = holes.join(edges.withColumnRenamed("chunk_id", "after_seq").drop("start_pk"), "after_seq").join(
+        edges.withColumnRenamed("chunk_id", "next_seq").drop("end_pk"), "next_seq").orderBy("after_seq")
+    bounds = [first, *[key for row in ends.select("end_pk", "start_pk").collect() for key in row], last]
+    return list(zip(bounds[::2], bounds[1::2], strict=True))
+
+
 def chunk_read(table: DataFrame, key: str, chunk_size: int = 10_000, done: DataFrame | None = None,
                bounds: tuple[int, int] | None = None) -> DataFrame:
     """Rows in chunk order, sorted by key within a task; chunks in the ledger ``done`` are skipped.
 
-    The first and the last chunk that are left bound the keys that are read at all, as a filter of the scan; finished
-    chunks between them are dropped after it.
+    Chunks that are left are joined into key ranges, which reach the scan as one filter, so finished ones between them are
+    not read either.
     """
     bounds = bounds or key_bounds(table, key)
     low = bounds[0] if bounds else 0
@@ -61,8 +82,11 @@ def chunk_read(table: DataFrame, key: str, chunk_size: int = 10_000, done: DataF
     if done is not None and bounds:
         done = done.select("chunk_id").distinct()
         left = chunk_plan(table, key, chunk_size, bounds).join(done, "chunk_id", "left_anti")
-        first, last = left.agg(F.min("start_pk"), F.max("end_pk")).first()
-        rows = table.where(F.lit(False)) if first is None else table.where(F.col(key).between(first, last))
+        parts = open_ranges(left)
+        wanted = F.lit(False)
+        for first, last in parts:
+            wanted = wanted | F.col(key).between(first, last)
+        rows = table.where(F.col(key).between(parts[0][0], parts[-1][1]) & wanted if parts else wanted)
     rows = with_chunk(rows, key, chunk_size, low)
     if done is not None:
         rows = rows.join(done, "chunk_id", "left_anti")
@@ -103,23 +127,39 @@ def load_progress(table: DataFrame, key: str, chunk_size: int = 10_000) -> DataF
     )
 
 
-def bulk_append(rows: DataFrame, path: str, load_id: int = 0) -> DataFrame:
-    """Write rows (column ``chunk_id``) as one load, and count each chunk.
+def bulk_append(rows: DataFrame, path: str, load_id: int = 0, failed: Column | None = None) -> DataFrame:
+    """Write rows (column ``chunk_id``) as one load, and count each chunk in the ledger.
 
-    A load has a folder of its own, so a retry under the same id replaces it and doubles nothing.
+    A load has a folder of its own, so a retry under the same id replaces it and doubles nothing. Rows for which ``failed``
+    holds are kept apart and counted apart; the rest of their chunk is loaded. Counting reads the chunk numbers alone.
     """
-    folder = f"{path}/load={load_id}"
-    rows.write.mode("overwrite").parquet(folder)
-    written = rows.sparkSession.read.parquet(folder)
-    return written.groupBy("chunk_id").agg(F.count("*").alias("records_written"))
+    folder, spark = f"{path}/load={load_id}", rows.sparkSession
+    marked = rows.withColumn("_failed", F.lit(False) if failed is None else F.coalesce(failed, F.lit(False)))
+    marked.write.mode("overwrite").partitionBy("_failed").parquet(folder)
+    counts = spark.read.schema(marked.schema).parquet(folder).groupBy("chunk_id").agg(
+        F.count_if(~F.col("_failed")).alias("records_written"), F.count_if("_failed").alias("records_failed"))
+    counts.write.mode("overwrite").parquet(f"{path}/_ledger/load={load_id}")
+    ledger = spark.read.schema(counts.schema).parquet(f"{path}/_ledger/load={load_id}")
+    return ledger if failed is not None else ledger.drop("records_failed")
+
+
+def loaded_rows(spark: SparkSession, path: str, failed: bool = False) -> DataFrame:
+    """Rows of all finished loads, or those that failed, with ``chunk_id``."""
+    return spark.read.parquet(*committed_folders(spark, f"{path}/load=*")).where(F.col("_failed") == failed).drop("_failed")
+
+
+LEDGER = "chunk_id bigint, records_written bigint, records_failed bigint"
+
+
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """(chunk_id, records_written, records_failed) of all finished loads; a chunk of several loads has several rows."""
+    folders = committed_folders(spark, f"{path}/_ledger/load=*")
+    return spark.read.schema(LEDGER).parquet(*folders) if folders else spark.createDataFrame([], LEDGER)
 
 
 def finished_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger: chunks of all finished loads."""
-    folders = committed_folders(spark, f"{path}/load=*")
-    if not folders:
-        return spark.createDataFrame([], "chunk_id bigint")
-    return spark.read.parquet(*folders).select(F.col("chunk_id").cast("bigint").alias("chunk_id")).distinct()
+    """Chunks of all finished loads."""
+    return ledger(spark, path).select("chunk_id").distinct()
 
 
 def snapshot_as_changes(snapshot: DataFrame, ts_ms: int = 0) -> DataFrame:
