@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from changeflow.llm.common import append_columns, field, texts
+from changeflow.llm.common import append_columns, code_points, field, texts
 
 # Kinds in order, each with the words that start it and its pattern.
 PATTERNS = {
@@ -214,9 +214,12 @@ def find_secrets(raw: bytes) -> list[tuple[int, int, str]]:
             reached[kind] = match.end()
             if VALID[kind](match):
                 spans.append((start, match.end(), kind))
+    reached, start = 0, 0
     for a, b in runs:
-        start = a if text.isascii() else len(raw[:a].decode("utf-8", "replace"))
+        # Code points between neighbouring runs, so that the text is counted once.
+        start += code_points(raw[reached:a])
         spans.append((start, start + b - a, "hex"))
+        reached = a
     return sorted(spans, key=lambda s: (s[0], ORDER.index(s[2])))
 
 
