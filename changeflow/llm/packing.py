@@ -37,13 +37,24 @@ class Limits:
 
 @dataclass
 class Item:
-    """A part of an example: ids ``start`` to ``end``; ``sums`` has the loss-bearing ids before each place."""
+    """Ids ``start`` to ``end`` of those held; ``sums`` has the loss-bearing ids before each place.
+
+    What is held is an example of ``total`` ids, or a slice of it that begins at its place ``base``.
+    """
 
     key: object
     ids: np.ndarray
     sums: np.ndarray
     start: int
     end: int
+    base: int
+    total: int
+
+    def rest(self, start: int) -> Item:
+        """The ids from ``start`` on without those before, so that a waiting rest holds no whole example."""
+        own = slice(start, self.end)
+        return Item(self.key, self.ids[own].copy(), self.sums[start:self.end + 1] - self.sums[start], 0, self.end - start,
+                    self.base + start, self.total)
 
     def loss(self, start: int, end: int) -> int:
         return int(self.sums[end] - self.sums[start])
@@ -75,7 +86,7 @@ class Packer:
             start = end
             if start == item.end:
                 return
-        self._wait(Item(item.key, item.ids, item.sums, start, item.end))
+        self._wait(item.rest(start))
         if self.waiting >= POOL:
             self._fill(POOL // 2)
 
@@ -123,8 +134,8 @@ class Packer:
                     cut = item.start + 1
                 if cut > item.start:
                     self.emit(item, item.start, cut, self.sequence, offset, limits.segments - int(room[1]))
-                rest = Item(item.key, item.ids, item.sums, cut, item.end)
-                if rest.end > rest.start:
+                if item.end > cut:
+                    rest = item.rest(cut)
                     shape = (rest.end - rest.start, rest.loss(rest.start, rest.end))
                     self._wait(rest)
                     at = np.flatnonzero((shapes == shape).all(axis=1))
@@ -162,7 +173,7 @@ def _packed(df: DataFrame, key: str, limits: Limits, read: Callable, with_ids: b
 
         def emit(item, start, end, sequence, offset, segment):
             part = item.ids[start:end]
-            row = (item.key, start, end - start, zlib.crc32(part.astype("<u4").tobytes()), len(item.ids), sequence, offset,
+            row = (item.key, item.base + start, end - start, zlib.crc32(part.astype("<u4").tobytes()), item.total, sequence, offset,
                    segment, item.loss(start, end))
             rows.append((*row, part.astype(np.int32)) if with_ids else row)
 
@@ -205,7 +216,7 @@ def pack_documents(
         codes = encoder(path).many([(raw or b"").decode("utf-8", "replace") for raw in texts(batch, text)])
         for name, code in zip(batch.column(key).to_pylist(), codes, strict=True):
             ids = np.frombuffer(code + end_id.to_bytes(4, "little"), "<u4")
-            yield Item(name, ids, _plain_sums(len(ids)), 0, len(ids))
+            yield Item(name, ids, _plain_sums(len(ids)), 0, len(ids), 0, len(ids))
 
     return _packed(df.select(key, text), key, limits, read, with_ids)
 
@@ -226,6 +237,6 @@ def pack_examples(
                 bears = np.zeros(len(own) + 1, np.int64)
                 marks = np.array([bool(m) for m in marks or ()][:len(own)], np.int64)
                 bears[1:len(marks) + 1] = marks
-                yield Item(name, np.array(own, "<u4"), np.cumsum(bears), 0, len(own))
+                yield Item(name, np.array(own, "<u4"), np.cumsum(bears), 0, len(own), 0, len(own))
 
     return _packed(df.select(key, ids, loss), key, limits, read, with_ids)
