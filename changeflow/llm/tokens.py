@@ -27,6 +27,16 @@ KEPT_CHARS = 64
 TOGETHER_CHARS = 1 << 20
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which tokenizers of this family write each byte: printable ones as they are, the others from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -40,6 +50,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = self._word_tokenizer(path)
+        self.model = self.tokenizer.model
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.new: dict[str, bytes] = {}
@@ -50,10 +62,19 @@ class Encoder:
         words = Tokenizer.from_file(path)
         own = words.pre_tokenizer
         kind = {} if own is None else json.loads(own.__getstate__())
-        if kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space"):
+        self.byte_level = kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space")
+        if self.byte_level:
             words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         return words
 
+    def _words(self, pieces: list[str]) -> list[bytes]:
+        """Ids of chunks that are one word each: straight from the library's model where nothing stands before it."""
+        if not self.byte_level or self.tokenizer.normalizer is not None:
+            return self._encoded(pieces, self.words)
+        tokenize, code = self.model.tokenize, self.id_bytes
+        shown = MARK.join(pieces).encode().decode("latin-1").translate(BYTE_LETTERS).split(BYTE_LETTERS[ord(MARK)])
+        return [b"".join([code[t.id] for t in tokenize(word)]) for word in shown] if pieces else []
+
     def _encoded(self, pieces: list[str], tokenizer: Tokenizer) -> list[bytes]:
         """Ids of chunks; a bundle of them, with a mark after each, shares one result of the library."""
         if self.mark is None:
@@ -73,7 +94,7 @@ class Encoder:
         fresh = [c for c in missing if c not in own and not OTHER.search(c)]
         plain = [c for c in fresh if WORD.fullmatch(c)]
         mixed = [c for c in fresh if not WORD.fullmatch(c)]
-        own.update(zip(plain, self._encoded(plain, self.words), strict=True))
+        own.update(zip(plain, self._words(plain), strict=True))
         own.update(zip(mixed, self._encoded(mixed, self.tokenizer), strict=True))
         self.new.update((c, code) for c, code in own.items() if len(c) <= KEPT_CHARS)
         if len(self.new) > KEPT:
