@@ -25,6 +25,11 @@ BUNDLE = 2000
 KEPT = 600_000
 KEPT_CHARS = 64
 TOGETHER_CHARS = 1 << 20
+PIECE_BYTES = 1 << 21
+GAP = re.compile(rb"[^\t-\r ](?=[\t-\r ])")
+POWER = 0x9E3779B97F4A7C15
+# White space, letters and others by byte; bytes beyond ASCII are parts of letters in texts without other characters.
+KINDS = np.array([0 if c == 32 or 9 <= c <= 13 else 1 if c >= 128 or chr(c).isalpha() else 2 for c in range(256)], np.uint8)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -54,6 +59,7 @@ class Encoder:
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.powers = self.back = np.ones(0, np.uint64)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -88,15 +94,23 @@ class Encoder:
             out += [raw[start:end] for start, end in zip([0] + [end + 4 for end in ends], ends)]
         return out
 
-    def _learned(self, missing: set[str]) -> dict[str, bytes]:
+    def _learned(self, missing: list[str]) -> dict[str, bytes]:
         """Ids of chunks that the newer generation lacks; they enter it. One with other characters has no ids."""
-        own = {c: code for c in missing if (code := self.old.get(c)) is not None}
-        fresh = [c for c in missing if c not in own and not OTHER.search(c)]
-        plain = [c for c in fresh if WORD.fullmatch(c)]
-        mixed = [c for c in fresh if not WORD.fullmatch(c)]
+        own, plain, mixed = {}, [], []
+        old, is_word, other = self.old.get, WORD.fullmatch, OTHER.search
+        for chunk in missing:
+            code = old(chunk)
+            if code is not None:
+                own[chunk] = code
+            elif is_word(chunk):
+                plain.append(chunk)
+            elif not other(chunk):
+                mixed.append(chunk)
         own.update(zip(plain, self._words(plain), strict=True))
         own.update(zip(mixed, self._encoded(mixed, self.tokenizer), strict=True))
-        self.new.update((c, code) for c, code in own.items() if len(c) <= KEPT_CHARS)
+        self.new.update(own)
+        for chunk in [c for c in own if len(c) > KEPT_CHARS]:
+            del self.new[chunk]
         if len(self.new) > KEPT:
             self.old, self.new = self.new, {}
         return own
@@ -118,18 +132,86 @@ class Encoder:
             at = max(end, at + 1)
 
     def _together(self, given: list[str]) -> list[bytes]:
-        look = self.new.get
-        chunks = [None if any(t in text for t in self.special) else CHUNK.findall(text) for text in given]
-        codes = [None if own is None else list(map(look, own)) for own in chunks]
-        missing = {c for own, code in zip(chunks, codes, strict=True) if own is not None and None in code
-                   for c, x in zip(own, code, strict=True) if x is None}
-        known = self._learned(missing) if missing else {}
-        out = []
-        for text, own, code in zip(given, chunks, codes, strict=True):
-            if own is not None and None in code:
-                code = [known.get(c) if x is None else x for c, x in zip(own, code, strict=True)]
-            out.append(self._alone(text) if own is None or None in code else b"".join(code))
-        return out
+        out = [None if any(t in text for t in self.special) or OTHER.search(text) else b"" for text in given]
+        pieces = [(i, piece) for i, code in enumerate(out) if code is not None for piece in _pieces(given[i].encode())]
+        at = 0
+        while at < len(pieces):
+            end, size = at, 0
+            while end < len(pieces) and (end == at or size + len(pieces[end][1]) <= PIECE_BYTES):
+                size, end = size + len(pieces[end][1]), end + 1
+            for (i, _), code in zip(pieces[at:end], self._looked_up([p for _, p in pieces[at:end]]), strict=True):
+                out[i] = out[i] + code if out[i] else code
+            at = end
+        return [self._alone(text) if code is None else code for text, code in zip(given, out, strict=True)]
+
+    def _looked_up(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces without other characters: their chunks are found, told apart and put together as arrays."""
+        data = b"".join(pieces)
+        raw = np.frombuffer(data, np.uint8)
+        ends = np.cumsum([len(p) for p in pieces])
+        if not len(raw):
+            return [b""] * len(pieces)
+        firsts = np.concatenate([[0], ends[:-1]])
+        starts = _chunk_starts(raw, firsts[firsts < ends])
+        sizes = np.diff(np.append(starts, len(raw)))
+        # Equal chunks have equal sums of their bytes over powers of a number; that they are equal is then looked at.
+        _, index, kind = np.unique(self._sums(raw, starts, sizes), return_index=True, return_inverse=True)
+        first = starts[index]
+        shift = np.repeat(first[kind] - starts, sizes)
+        same = (sizes == sizes[index][kind]).all() and (raw[np.arange(len(raw)) + shift] == raw).all()
+        if not same:
+            return [self._alone(p.decode()) for p in pieces]
+        chunks = [data[a:b].decode() for a, b in zip(first.tolist(), (first + sizes[index]).tolist(), strict=True)]
+        codes = list(map(self.new.get, chunks))
+        missing = [c for c, code in zip(chunks, codes, strict=True) if code is None]
+        if missing:
+            learned = self._learned(missing)
+            codes = [learned[c] if code is None else code for c, code in zip(chunks, codes, strict=True)]
+        ids = np.frombuffer(b"".join(codes), "<u4")
+        counts = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        here = counts[kind]
+        upto = np.cumsum(here)
+        place = np.repeat((np.cumsum(counts) - counts)[kind] - (upto - here), here)
+        whole = ids[np.arange(len(place)) + place].tobytes()
+        cuts = np.concatenate([[0], upto])[np.searchsorted(starts, np.append(firsts, len(raw)))] * 4
+        return [whole[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def _sums(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        if len(self.powers) < len(raw):
+            self.powers, self.back = _powers(POWER, len(raw)), _powers(pow(POWER, -1, 1 << 64), len(raw))
+        before = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.powers[:len(raw)])])
+        return (before[starts + sizes] - before[starts]) * self.back[starts]
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _chunk_starts(raw: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Where the chunks of ``CHUNK`` start in texts without other characters, which begin at ``firsts``.
+
+    A run of white space, letters or others starts a chunk, unless white space stands before it, or the run is letters
+    after an apostrophe.
+    """
+    kind = KINDS[raw]
+    before, last = np.empty_like(kind), np.empty_like(raw)
+    before[0], last[0] = 0, 0
+    before[1:], last[1:] = kind[:-1], raw[:-1]
+    goes_on = (before == 0) | ((kind == 1) & (before == 2) & (last == 39))
+    begins = (kind != before) & ((kind == 0) | ~goes_on)
+    begins[firsts] = True
+    return np.flatnonzero(begins)
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """A long text in pieces that end before white space, where a chunk starts."""
+    at = 0
+    while len(data) - at > PIECE_BYTES and (gap := GAP.search(data, at + PIECE_BYTES // 2)):
+        yield data[at:gap.end()]
+        at = gap.end()
+    yield data[at:]
 
 
 @lru_cache(maxsize=2)
