@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from changeflow.llm.tokens import default_tokenizer, encoder
 
 # Rests that wait at most; half of them are left in the pool until the task's end, as choice for the next sequences.
 POOL = 4096
+# How byte-level tokenizers write a line break.
+LINE_BREAK = "\u010a"
 
 
 @dataclass(frozen=True)
@@ -31,7 +34,7 @@ class Limits:
 
     tokens: int = 2048
     segments: int = 64
-    loss: int = 2048
+    loss: int = 2016
     gap: int = 16
 
 
@@ -146,10 +149,31 @@ class Packer:
             self.sequence += 1
 
 
-def _plain_sums(n: int) -> np.ndarray:
-    """Every id but an example's first bears loss."""
-    sums = np.arange(-1, n, dtype=np.int64)
-    sums[0] = 0
+@lru_cache(maxsize=2)
+def _line_ends(path: str) -> np.ndarray:
+    """Whether an id's text holds a line break."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, number in tokenizer.get_vocab().items():
+        ends[number] = LINE_BREAK in token
+    return ends
+
+
+def _plain_sums(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Loss-bearing ids before each place: a document's first line is its prompt, and all that follows bears loss.
+
+    A document of one line has its first id as its prompt.
+    """
+    prompt = 1
+    for at in range(0, len(ids) - 1, 1024):
+        breaks = np.flatnonzero(ends[ids[at:min(at + 1024, len(ids) - 1)]])
+        if len(breaks):
+            prompt = at + int(breaks[0]) + 1
+            break
+    sums = np.arange(-prompt, len(ids) - prompt + 1, dtype=np.int64)
+    sums[:prompt] = 0
     return sums
 
 
@@ -206,17 +230,18 @@ def pack_documents(
     """Tokenise whole texts, end each with ``end_id`` and pack them; one row for each piece of a document.
 
     A piece has its document's key, its place in the document (``start``, ``length``), the CRC-32 of its ids, its
-    sequence, its ``offset`` and ``segment`` there, its loss-bearing ids (all but a document's first), and the ids
-    themselves if wanted. A null or empty text is its end id alone. Repeated rows and null keys are packed like others;
+    sequence, its ``offset`` and ``segment`` there, its loss-bearing ids (all after a document's first line, which is its
+    prompt, or after its first id if it has one line), and the ids themselves if wanted. A null or empty text is its end id alone. Repeated rows and null keys are packed like others;
     other columns of ``df`` are left out. An empty table gives no rows.
     """
     path = tokenizer or default_tokenizer()
 
     def read(batch: pa.RecordBatch):
+        ends = _line_ends(path)
         codes = encoder(path).many([(raw or b"").decode("utf-8", "replace") for raw in texts(batch, text)])
         for name, code in zip(batch.column(key).to_pylist(), codes, strict=True):
             ids = np.frombuffer(code + end_id.to_bytes(4, "little"), "<u4")
-            yield Item(name, ids, _plain_sums(len(ids)), 0, len(ids), 0, len(ids))
+            yield Item(name, ids, _plain_sums(ids, ends), 0, len(ids), 0, len(ids))
 
     return _packed(df.select(key, text), key, limits, read, with_ids)
 
