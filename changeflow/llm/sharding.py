@@ -56,15 +56,19 @@ def shuffle_to_shards(
                   drawn.alias("shard"))
         .select("record", "position", "shard",
                 F.pmod(F.xxhash64("k", "position", F.lit(seed)), F.get(counts, F.col("shard"))).alias("bucket")), "shard-scatter", compression="zstd")
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = scattered.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select(
-        "shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    # As many partitions as buckets: a task holds a few buckets at any size of the table.
-    dealt = scattered.repartition(max(shards, sum(buckets.values())), "shard", "bucket")
-    gathered = dealt.groupBy("shard", "bucket").agg(F.collect_list(F.struct("position", "record")).alias("records"))
-    ordered = gathered.join(starts, ["shard", "bucket"]).select("shard", "bucket", "first", F.expr(
+    # Buckets are numbered through all shards, and a bucket's number is its task's, so no task holds two.
+    firsts, total = [], 0
+    for shard in range(shards):
+        firsts.append(total)
+        total += int(buckets.get(shard, 1))
+    numbered = scattered.withColumn("id", (F.get(F.array(*[F.lit(n) for n in firsts]), F.col("shard")) + F.col("bucket")).cast("int"))
+    before = Window.partitionBy("shard").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    starts = numbered.groupBy("shard", "id").agg(F.count("*").alias("n")).select(
+        "shard", "id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    gathered = numbered.repartitionById(total, "id").groupBy("id").agg(F.collect_list(F.struct("position", "record")).alias("records"))
+    ordered = gathered.join(starts, "id").select("shard", "first", F.expr(
         "array_sort(records, (x, y) -> CASE WHEN x.position < y.position THEN -1 WHEN x.position > y.position THEN 1 ELSE 0 END)"
-    ).alias("records")).sortWithinPartitions("shard", "bucket")
+    ).alias("records"))
     mixed = ordered.select("shard", "first", F.posexplode(F.shuffle("records", seed)).alias("at", "drawn"))
     return mixed.select("drawn.record.*", F.col("shard").cast("int").alias("shard"),
                         (F.col("first") + F.col("at")).cast("long").alias("slot"))
@@ -79,10 +83,10 @@ def record_bytes(df: DataFrame) -> Column:
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: int = 16) -> None:
     """Write whole records with their slot into a folder for each shard, in slot order within each file.
 
-    A task writes the buckets that it ordered, so texts are not dealt again; a file is as large as these buckets.
+    A task writes the bucket that it ordered, so texts are not dealt again; a file is as large as a bucket.
     """
     placed = shuffle_to_shards(df.withColumn(SIZE, record_bytes(df)), key, SIZE, shards).drop(SIZE)
-    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
