@@ -1,153 +1,218 @@
-"""Benchmark decontamination: a prefix-filtered join of document shingles with windows of benchmark items.
+"""Benchmark decontamination: a prefix-filtered set join of document shingles with windows of benchmark items.
 
 A window is contained only if all its shingles are, so one of them, the rarest over all documents, is the necessary
-prefix. A document shingle that is some window's prefix is joined with that window; the window's place follows from the
-prefix's position in it, bounds discard places that leave the document, and the words there are compared one by one.
+prefix. One pass over the documents counts the benchmark's shingles, which orders them by rarity. A second one finds the
+places of prefixes; these are joined with the windows by Spark, as an equality join of any size. A window's place follows
+from the prefix's position in it, bounds discard places that leave the document, and the words there are compared.
+
+Tasks know shingles by 64-bit hashes and the sets of them by bitmaps of fixed size, so what is broadcast doesn't grow with
+the benchmark. Both can only let more places into the join, where words decide.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeflow.llm.common import append_columns, field, letter_words, prepared, texts
+from changeflow.llm.collocations import Words, bitmap_of, has, mixed
+from changeflow.llm.common import WORD_BYTES, append_columns, field, letter_words, prepared, stored, texts
 
 WINDOW = 10
 SHINGLE = 3
-# Benchmark items that one pass over the documents searches for. It bounds what is broadcast: items beyond it form
-# further blocks, each searched in all documents, so that a larger benchmark takes more passes and no more memory.
-BLOCK_BYTES = 8 << 20
-
-
-class Index:
-    """The windows of one block of items, as numbers of the block's words."""
-
-    def __init__(self, items: list[tuple[str, bytes]], window: int, shingle: int):
-        self.window, self.shingle = window, shingle
-        words: dict[bytes, int] = {}
-        places: dict[tuple[int, ...], set[str]] = {}
-        for name, text in items:
-            ids = [words.setdefault(w, len(words) + 1) for w in letter_words(text)]
-            for i in range(max(1, len(ids) - window + 1)) if ids else ():
-                places.setdefault(tuple(ids[i:i + window]), set()).add(name)
-        self.words = words
-        self.windows = sorted(places)
-        self.items = [sorted(places[w]) for w in self.windows]
-        self.base = np.uint64(len(words) + 1)
-        # Items shorter than a shingle have one shingle of all their words, padded with word 0.
-        self.grams = [self._of(w) for w in self.windows]
-        self.shorts = sorted({len(w) for w in self.windows if len(w) < shingle})
-        self.known = np.unique(np.concatenate(self.grams)) if self.grams else np.zeros(0, np.uint64)
-
-    def codes(self, ids: np.ndarray, size: int) -> np.ndarray:
-        """Shingles of ``size`` words as exact numbers in base ``words + 1``."""
-        n = len(ids) - size + 1
-        out = np.zeros(max(0, n), np.uint64)
-        for j in range(size):
-            out = out * self.base + ids[j:j + len(out)]
-        return out
-
-    def _of(self, window: tuple[int, ...]) -> np.ndarray:
-        return self.codes(np.array(window, np.uint64), min(len(window), self.shingle))
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Word numbers; 0 for a word that no item has, which no window can contain."""
-        get = self.words.get
-        return np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-
-    def shingled(self, ids: np.ndarray):
-        """(positions, codes) of the shingles that some window has, for each shingle size in use."""
-        for size in {*self.shorts, self.shingle}:
-            code = self.codes(ids, size)
-            if not len(code):
-                continue
-            full = ids[:len(code)] > 0
-            for j in range(1, size):
-                full &= ids[j:j + len(code)] > 0
-            at = np.flatnonzero(full)
-            found = np.searchsorted(self.known, code[at])
-            found[found == len(self.known)] = 0
-            at = at[self.known[found] == code[at]] if len(self.known) else at[:0]
-            yield size, at, code[at]
-
-    def prefixes(self, counts: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """Rarest shingle -> (window number, its position in the window)."""
-        out: dict[int, list[tuple[int, int]]] = {}
-        for number, grams in enumerate(self.grams):
-            values = grams.tolist()
-            best = min(range(len(values)), key=lambda i: (counts.get(values[i], 0), values[i], i))
-            out.setdefault(values[best], []).append((number, best))
-        return out
-
+# Bytes of text that are taken at once.
+SECTION = 2 << 20
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
-@lru_cache(maxsize=4)
-def _index(items: tuple[tuple[str, bytes], ...], window: int, shingle: int) -> Index:
-    return Index(list(items), window, shingle)
 
+def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, keys) of all shingles of ``size`` words that lie in one text."""
+    n = max(0, len(words.starts) - size + 1)
+    key, fits = mixed(words.hashes[:n] ^ np.uint64(size)), np.ones(n, bool)
+    for j in range(1, size):
+        key = mixed(key * _BASE + words.hashes[j:j + n])
+        fits &= words.joined[j - 1:j - 1 + n]
+    firsts = np.flatnonzero(fits)
+    return firsts, key[firsts]
 
-def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[tuple[tuple[str, bytes], ...]]:
-    """The distinct items in blocks of bounded size, one at a time. The benchmark is the stated query set."""
-    rows = benchmark.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).cast("binary").alias("t"))
-    rows = rows.filter(F.col("t").isNotNull()).distinct()
-    total = rows.agg(F.sum(F.octet_length("t") + F.octet_length("k") + 64)).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    for i in range(blocks):
-        part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == i)
-        items = tuple(sorted((r["k"], bytes(r["t"])) for r in part.collect()))
-        if items:
-            yield items
-        del items
 
+class Part:
+    """Some texts, or a section of a long one with ``margin`` words around it.
 
-def _rarity(docs: DataFrame, text: str, items: tuple, window: int, shingle: int) -> DataFrame:
-    """Occurrences of the block's shingles in all documents."""
+    ``text`` numbers each word's text, ``place`` its place there, and ``own`` says whether it is inside.
+    """
 
-    def count(batches):
-        index = _index(items, window, shingle)
+    def __init__(self, words: Words, own: np.ndarray, place: np.ndarray):
+        self.words, self.own, self.place, self.text = words, own, place, words.language
+
+
+def parts(given: list[bytes | None], margin: int) -> Iterator[Part]:
+    """The words of all texts, about ``SECTION`` bytes at a time."""
+    held, size = [], 0
+    for number, raw in enumerate(given):
+        text = (raw or b"").translate(WORD_BYTES)
+        if len(text) > SECTION:
+            yield from _sections(text, number, margin)
+            continue
+        held.append((text, len(text), number))
+        size += len(text)
+        if size >= SECTION:
+            yield _whole(held)
+            held, size = [], 0
+    if held:
+        yield _whole(held)
+
+
+def _whole(held: list[tuple[bytes, int, int]]) -> Part:
+    words = Words(held)
+    counts = np.bincount(words.language, minlength=held[-1][2] + 1)
+    before = np.concatenate([[0], np.cumsum(counts)])[words.language]
+    return Part(words, np.ones(len(words.starts), bool), np.arange(len(words.starts)) - before)
+
+
+def _sections(text: bytes, number: int, margin: int) -> Iterator[Part]:
+    ahead = re.compile(rb"(?: *[^ ]+){0,%d}" % margin)
+    at, head, first = 0, 0, 0
+    while at < len(text):
+        gap = text.find(b" ", at + SECTION)
+        end = len(text) if gap < 0 else gap
+        data = text[head:ahead.match(text, end).end()]
+        words = Words([(data, len(data), number)])
+        own = (words.starts >= at - head) & (words.starts < end - head)
+        place = np.arange(len(words.starts)) + first
+        yield Part(words, own, place)
+        # The next section begins with the last words of this one.
+        inside = int(np.searchsorted(words.starts, end - head))
+        back = max(0, inside - margin)
+        if inside:
+            first, head = first + back, head + int(words.starts[back])
+        at = end
+
+
+def _count(docs: DataFrame, text: str, sizes: list[int], known) -> DataFrame:
+    """(key, n): occurrences of the benchmark's shingles in all documents; each task adds up first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for raw in texts(batch, text):
-                if raw:
-                    found += [codes for _, _, codes in index.shingled(index.numbers(letter_words(raw)))]
+            for part in parts(texts(batch, text), max(sizes)):
+                for size in sizes:
+                    firsts, keys = shingles(part.words, size)
+                    keys = keys[part.own[firsts]]
+                    found.append(keys[has(known.value, keys)])
             if found:
-                code, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n)], names=["code", "n"])
-
-    return prepared(docs.select(text)).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def hits(words: list[bytes], index: Index, prefixes: dict[int, list[tuple[int, int]]], keys: np.ndarray):
-    """Which words of a document lie in an occurrence of a window, and the items with one."""
-    ids = index.numbers(words)
-    steps = np.zeros(len(ids) + 1, np.int32)
-    items: set[str] = set()
-    for size, at, code in index.shingled(ids):
-        slot = np.searchsorted(keys, code)
-        slot[slot == len(keys)] = 0
-        chosen = np.flatnonzero(keys[slot] == code)
-        for position, value in zip(at[chosen].tolist(), code[chosen].tolist(), strict=True):
-            for number, offset in prefixes[value]:
-                window = index.windows[number]
-                start, end = position - offset, position - offset + len(window)
-                if min(len(window), index.shingle) != size or start < 0 or end > len(ids):
-                    continue
-                if ids[start:end].tolist() == list(window):
-                    steps[start] += 1
-                    steps[end] -= 1
-                    items.update(index.items[number])
-    return np.cumsum(steps[:-1]) > 0, items
+                key, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    return prepared(docs.select(text)).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _places(docs: DataFrame, text: str, sizes: list[int], margin: int, prefixes) -> DataFrame:
+    """(digest, place, key, before, context): where a prefix stands, with up to ``margin`` words on both sides of it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = batch.column("digest").to_pylist()
+            rows = []
+            for part in parts(texts(batch, text), margin + max(sizes)):
+                words = part.words
+                last = len(words.starts) - 1
+                for size in sizes:
+                    firsts, keys = shingles(words, size)
+                    chosen = part.own[firsts] & has(prefixes.value, keys)
+                    for i, key in zip(firsts[chosen].tolist(), keys[chosen].view(np.int64).tolist(), strict=True):
+                        number = part.text[i]
+                        low, high = max(0, i - margin), min(last, i + margin)
+                        while part.text[low] != number:
+                            low += 1
+                        while part.text[high] != number:
+                            high -= 1
+                        context = words.data[words.starts[low]:words.ends[high]]
+                        rows.append((digests[number], int(part.place[i]), key, i - low, b" ".join(context.split())))
+            if rows:
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns[:-1] + [columns[-1].cast(pa.string())],
+                                                 names=["digest", "place", "key", "before", "context"])
+
+    found = prepared(docs.select("digest", text)).mapInArrow(run, "digest binary, place long, key long, before int, context string")
+    # Copies of a text have the same places.
+    return found.dropDuplicates(["digest", "place", "key"])
+
+
+def windows_of(benchmark: DataFrame, item: str, text: str, window: int) -> DataFrame:
+    """(window, size, items): the distinct windows of all items, words joined by spaces, with the items that have them."""
+    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch.column("item").to_pylist(), texts(batch, "text"), strict=True):
+                words = letter_words(raw) if raw else []
+                for at in range(0, max(1, len(words) - window + 1) if words else 0, 10_000):
+                    some = [words[i:i + window] for i in range(at, min(at + 10_000, max(1, len(words) - window + 1)))]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([b" ".join(w) for w in some], pa.binary()).cast(pa.string()),
+                        pa.array([len(w) for w in some], pa.int32()), pa.array([name] * len(some), pa.string())],
+                        names=["window", "size", "item"])
+
+    found = prepared(rows).mapInArrow(run, "window string, size int, item string").distinct()
+    return found.groupBy("window", "size").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def _shingled(windows: DataFrame, shingle: int) -> DataFrame:
+    """(window, offset, key): all shingles of all windows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = texts(batch, "window")
+            for part in parts(given, 0):
+                for size in range(1, shingle + 1):
+                    firsts, keys = shingles(part.words, size)
+                    # A window shorter than a shingle has one of all its words.
+                    if size < shingle:
+                        lengths = np.bincount(part.text, minlength=len(given))
+                        whole = lengths[part.text[firsts]] == size
+                        firsts, keys = firsts[whole], keys[whole]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("window").take(pa.array(part.text[firsts])), pa.array(part.place[firsts].astype(np.int32)),
+                         pa.array(keys.view(np.int64))], names=["window", "offset", "key"])
+
+    return prepared(windows.select("window")).mapInArrow(run, "window string, offset int, key long")
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, window: int, shingle: int) -> DataFrame | None:
+    """(digest, spans, found) of each different text with a window in it; ``spans`` are (place, size)."""
+    context = docs.sparkSession.sparkContext
+    windows = stored(windows_of(benchmark, item, item_text, window), "benchmark-windows")
+    sizes = [r["size"] for r in windows.select(F.least("size", F.lit(shingle)).alias("size")).distinct().collect()]
+    if not sizes:
+        return None
+    grams = stored(_shingled(windows, shingle), "benchmark-shingles")
+    known = context.broadcast(bitmap_of(grams.select("key")))
+    counts = stored(_count(docs, text, sorted(sizes), known), "benchmark-rarity")
+    rarest = grams.join(counts, "key", "left").groupBy("window").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "offset")).alias("rarest"))
+    # A window whose rarest shingle is nowhere can't be anywhere.
+    prefixes = stored(rarest.filter("rarest.n > 0").select("window", "rarest.key", "rarest.offset").join(windows, "window"),
+                      "benchmark-prefixes")
+    wanted = context.broadcast(bitmap_of(prefixes.select("key")))
+    places = _places(docs, text, sorted(sizes), window - 1, wanted)
+    start = F.col("before") - F.col("offset")
+    there = F.array_join(F.slice(F.split("context", " "), F.greatest(start, F.lit(0)) + 1, F.col("size")), " ")
+    met = places.join(prefixes, "key").filter((start >= 0) & (there == F.col("window")))
+    spans = met.select("digest", F.struct((F.col("place") - F.col("offset")).alias("at"), "size").alias("span"), "items")
+    return stored(spans.groupBy("digest").agg(
+        F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("found")),
+        "benchmark-hits")
 
 
 FIELDS = [
     field("n_words", "long"), field("n_hit", "long"), field("n_items", "long"), field("items_sha256", "string"),
     field("contaminated", "boolean"), field("items", "array string"), field("hit_words", "array int"),
 ]
+OWN = ["__digest", "__spans", "__found"]
 
 
 def find_benchmark(
@@ -159,46 +224,33 @@ def find_benchmark(
     A window is ``window`` consecutive words of an item; a shorter item is one window, one without words none. A null or
     empty text has no words and is clean; an item without an id counts under the empty id; repeated items count once and
     repeated documents one by one. Columns of ``docs`` with a result's name are replaced. An empty benchmark leaves all
-    documents clean. Documents are never shuffled: only shingle counts are.
+    documents clean. The documents are read three times, whatever the size of the benchmark: for rarity, for places, and
+    for the result, to which hits are joined by the text's SHA-256.
     """
-    carried, again = docs, False
-    for items in _blocks(benchmark, item, item_text):
-        counts = {np.uint64(r["code"] & (2**64 - 1)).item(): r["n"]
-                  for r in _rarity(docs, text, items, window, shingle).collect()}
-        carried, again = _search(carried, text, items, counts, window, shingle, again), True
-        del items, counts  # before the next block is read
-    return carried if again else _search(docs, text, (), {}, window, shingle, False)
-
-
-def _search(df: DataFrame, text: str, items: tuple, counts: dict, window: int, shingle: int, again: bool) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast((items, counts))
-
+    digest = F.unhex(F.sha2(F.col(text).cast("binary"), 256))
+    hits = _hits(docs.select(F.col(text), digest.alias("digest")), benchmark, text, item, item_text, window, shingle)
+    names = {f.name for f in FIELDS} - {text}
+    kept = docs.drop(*names).withColumn("__digest", digest)
+    if hits is None:
+        empty = "array<struct<at:bigint,size:int>>"
+        joined = kept.withColumns({"__spans": F.lit(None).cast(empty), "__found": F.lit(None).cast("array<string>")})
+    else:
+        joined = kept.join(hits.toDF(*OWN), "__digest", "left")
+    return append_columns(joined, FIELDS, _results(text), drop=OWN)
+
+
+def _results(text: str):
     def make(batch: pa.RecordBatch) -> list[list]:
-        items, counts = shared.value
-        index = _index(items, window, shingle)
-        prefixes = _prefixes(items, window, shingle, tuple(sorted(counts.items())))
-        keys = np.array(sorted(prefixes), np.uint64)
         out: list[list] = [[] for _ in FIELDS]
-        before = batch.column("items").to_pylist() if again else None
-        where = batch.column("hit_words").to_pylist() if again else None
-        for i, raw in enumerate(texts(batch, text)):
-            words = letter_words(raw) if raw else []
-            mask, names = hits(words, index, prefixes, keys) if words and len(keys) else (np.zeros(len(words), bool), set())
-            if again:
-                mask[where[i]] = True
-                names |= set(before[i])
-            listed = sorted(names)
-            place = np.flatnonzero(mask)
-            digest = hashlib.sha256(",".join(listed).encode()).hexdigest()
-            for column, value in zip(
-                out, (len(words), len(place), len(listed), digest, len(place) > 0, listed, place.tolist()), strict=True
-            ):
+        columns = [texts(batch, text), batch.column("__spans").to_pylist(), batch.column("__found").to_pylist()]
+        for raw, spans, found in zip(*columns, strict=True):
+            space = np.frombuffer((raw or b"").translate(WORD_BYTES), np.uint8) == 32
+            n_words = int(np.count_nonzero(~space & np.concatenate([[True], space[:-1]]))) if len(space) else 0
+            place = sorted({i for s in spans or () for i in range(s["at"], s["at"] + s["size"])})
+            digest = hashlib.sha256(",".join(found or ()).encode()).hexdigest()
+            row = (n_words, len(place), len(found or ()), digest, bool(place), found or [], place)
+            for column, value in zip(out, row, strict=True):
                 column.append(value)
         return out
 
-    return append_columns(df, FIELDS, make)
-
-
-@lru_cache(maxsize=4)
-def _prefixes(items: tuple, window: int, shingle: int, counts: tuple) -> dict[int, list[tuple[int, int]]]:
-    return _index(items, window, shingle).prefixes(dict(counts))
+    return make
