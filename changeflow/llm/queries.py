@@ -180,6 +180,83 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op11_conversation_repair")
+def _edit(way: str, cost: str, letter: str) -> str:
+    return f"CASE WHEN {way} IS NOT NULL THEN {{'c': {way}.c + {cost}, 'a': {way}.a || '{letter}'}} END"
+
+
+def _kept(way: str, *initials: str) -> str:
+    """A row is kept if its role's initial fits after the state, and rerolled to the only role that does otherwise."""
+    keep = _edit(way, "late", "K")
+    reroll = _edit(way, "2 + late", "R") if initials != ("s",) else "NULL"
+    fits = ", ".join(f"'{i}'" for i in initials)
+    return f"CASE WHEN must_go THEN NULL WHEN initial IN ({fits}) THEN {keep} ELSE {reroll} END"
+
+
+# The state machine of the grammar, written out: w0 nothing yet, w1 after s, w2 after u, w3 after a; a way is its cost and letters.
+REPAIR_SQL = f"""
+WITH RECURSIVE steps(i, c, k) AS (
+  SELECT CAST(i AS UINTEGER), CAST(i AS UINTEGER), 0 FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
+), crc_table AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+drawn AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295::UINTEGER, list_reduce(
+    list_concat([4294967295::UINTEGER], list_transform(string_split(
+      coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: ascii(x)::UINTEGER)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % 20 AS kind
+  FROM conversations, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM drawn
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         left(role, 1) AS initial, regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g') AS seen FROM damaged
+), faults AS (
+  SELECT *, seen = '' AS blank, seen <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate,
+         seen <> '' AND right(seen, 1) NOT IN ('.', '!', '?') AS open_ended, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed
+), rows AS (
+  SELECT *, blank OR duplicate AS must_go, CASE WHEN open_ended AND NOT duplicate THEN 1 ELSE 0 END AS late FROM faults
+), sizes AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+         count_if(duplicate) AS duplicate, sum(late) AS truncated,
+         count_if(before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id
+), ways AS (
+  SELECT conv_id, 0 AS i, {{'c': 0, 'a': ''}} AS w0, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR)) AS w1,
+         CAST(NULL AS STRUCT(c INTEGER, a VARCHAR)) AS v2, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR)) AS v3 FROM sizes
+  UNION ALL
+  SELECT conv_id, i, {_edit("w0", "3", "D")}, list_min([{_edit("w1", "3", "D")}, {_kept("w0", "s")}]),
+         list_min([{_edit("w2", "3", "D")}, {_kept("w0", "u")}, {_kept("w1", "u")}, {_kept("w3", "u")}]),
+         list_min([{_edit("w3", "3", "D")}, {_kept("w2", "a")}])
+  FROM (SELECT *, list_min([v3, {_edit("w2", "2", "I")}]) AS w3 FROM (
+    SELECT r.conv_id, r.i, r.initial, r.must_go, r.late, w0, w1, v3,
+           list_min([v2, {_edit("w0", "2", "I")}, {_edit("w1", "2", "I")}, {_edit("v3", "2", "I")}]) AS w2
+    FROM ways w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1))
+), ends AS (
+  SELECT conv_id, list_min([w0, v3, {_edit("w2", "2", "I")}]) AS way FROM (
+    SELECT w.conv_id, w0, v3, list_min([v2, {_edit("w0", "2", "I")}, {_edit("w1", "2", "I")}, {_edit("v3", "2", "I")}]) AS w2
+    FROM ways w JOIN sizes s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.n = w.i)
+), written AS (
+  SELECT conv_id, way.a AS audit, 0 AS k, CAST(0 AS BIGINT) AS i, 0 AS state, CAST([] AS VARCHAR[]) AS lines FROM ends
+  UNION ALL
+  SELECT w.conv_id, audit, k + 1, CASE WHEN letter = 'I' THEN w.i ELSE w.i + 1 END,
+         CASE WHEN letter = 'D' THEN state WHEN letter = 'K' AND r.initial = 's' THEN 1 WHEN state = 2 THEN 3 ELSE 2 END,
+         CASE letter WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, r.role || ':' || r.text)
+           ELSE list_append(lines, CASE WHEN state = 2 THEN 'assistant:' ELSE 'user:' END || CASE WHEN letter = 'R' THEN r.text ELSE '' END) END
+  FROM (SELECT *, substr(audit, k + 1, 1) AS letter FROM written WHERE k < length(audit)) w
+  LEFT JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1
+)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(way.c, 0) AS BIGINT) AS cost, coalesce(e.way.a, '') AS audit,
+       sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sizes s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN written w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND k = length(w.audit)
+"""
+
+
+@query("op11_conversation_repair", REPAIR_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_report(repair.damaged(load(spark, sf_dir, "conversations")))

@@ -460,3 +460,42 @@ def test_contaminated_documents_go(spark, sf_dir):
     docs = spark.createDataFrame([(1, "before " + item + " after", "en", "s", 1), (2, "nothing of it", "en", "s", 1)],
                                  "doc_id long, text string, lang string, source string, n_chars long")
     assert [r["doc_id"] for r in corpus_pipeline.decontamination(spark, docs, sf_dir).collect()] == [2]
+
+
+def test_loss_limit_decides_a_placement(spark):
+    """Two examples fit by tokens and segments, and only their loss-bearing ids keep them apart."""
+    limits = packing.Limits(tokens=20, segments=8, loss=10, gap=0)
+    rows = [("a", [1] * 9, [True] * 9), ("b", [2] * 9, [True] * 9), ("c", [3] * 9, [False] * 9)]
+    df = spark.createDataFrame(rows, "example_id string, ids array<int>, loss array<boolean>").coalesce(1)
+    placed = packing.pack_examples(df, limits=limits).collect()
+    by_sequence = defaultdict(set)
+    for r in placed:
+        by_sequence[r["sequence_id"]].add(r["example_id"])
+    assert sum(r["n_loss"] for r in placed) == 18
+    assert all(sum(r["n_loss"] for r in placed if r["sequence_id"] == s) <= 10 for s in by_sequence)
+    without = packing.pack_examples(df, limits=packing.Limits(tokens=20, segments=8, loss=20, gap=0)).collect()
+    together = {r["example_id"] for r in without if r["sequence_id"] == next(x["sequence_id"] for x in without if x["example_id"] == "a")}
+    assert "b" in together and not any({"a", "b"} <= names and len(names) == 2 for names in by_sequence.values())
+
+
+def test_first_lines_are_prompts(spark, encode):
+    text = "A first line of words\nand then the rest of it\nand more"
+    rows = packing.pack_documents(spark.createDataFrame([(1, text), (2, "one line only")], SCHEMA).coalesce(1)).collect()
+    loss = {r["doc_id"]: r["n_loss"] for r in rows}
+    first = encode("A first line of words\n")
+    assert loss[1] == len(encode(text)) + 1 - len(first) and loss[2] == len(encode("one line only"))
+
+
+def test_waiting_rests_hold_their_own_ids_only():
+    sums = np.arange(250_001)
+    item = packing.Item("k", np.zeros(250_000, "<u4"), sums, 0, 250_000, 0, 250_000)
+    rest = item.rest(249_000)
+    assert rest.ids.base is None and len(rest.ids) == 1000 and len(rest.sums) == 1001
+    assert (rest.base, rest.total, rest.start, rest.end, rest.loss(0, 1000)) == (249_000, 250_000, 0, 1000, 1000)
+
+
+def test_one_bucket_is_one_task(spark):
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(100).alias("size"), F.lit("x").alias("t"))
+    placed = sharding.shuffle_to_shards(rows, shards=3, bucket_bytes=2000, bucket_rows=1000).withColumn("task", F.spark_partition_id())
+    tasks = placed.groupBy("task").agg(F.count("*").alias("n"), F.count_distinct("shard").alias("shards")).collect()
+    assert len(tasks) >= 20 and max(r["n"] for r in tasks) <= 60 and {r["shards"] for r in tasks} == {1}

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -161,3 +162,11 @@ def test_edits_any(rows, size):
 def test_grammars_whose_stacks_grow_are_refused():
     with pytest.raises((ValueError, RecursionError)):
         repair.Automaton({"Talk": [["u", "Talk", "a"], ["u", "a"]]}, "Talk")
+
+
+def test_sql_says_the_same(sf_dir):
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
+    rows = duck.sql("SELECT conv_id, turn, role, text FROM conversations").fetchall()
+    found_by_sql = duck.sql(f"SELECT {', '.join(NAMES)} FROM ({queries.REPAIR_SQL})").fetchall()
+    assert sorted(found_by_sql, key=repr) == report(rows, damage(rows))

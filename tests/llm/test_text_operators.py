@@ -14,7 +14,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from changeflow.llm import decontaminate, language, licenses, quality_lines, queries, secret_scan
+from changeflow.llm import collocations, decontaminate, language, licenses, quality_lines, queries, secret_scan
+from changeflow.llm.common import letter_words
 
 AWKWARD = [
     (1, None), (2, ""), (3, "   \n\t\n"), (4, "a"), (4, "a"), (None, "token = abcdefgh1 and AKIA" + "Z9" * 8),
@@ -206,26 +207,66 @@ def items(spark, sf_dir):
     return rows + [(900, "x y z x y"), (901, None), (902, ""), (None, "menu home"), (903, "q"), (900, "x y z x y"), (904, "Under THE mit")]
 
 
-@pytest.mark.parametrize("block", [None, 4000])
-def test_benchmark(spark, frame, documents, items, block, monkeypatch):
-    if block:
-        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("full", [False, True])
+def test_benchmark(spark, frame, documents, items, full, monkeypatch):
+    if full:
+        # A bitmap with all bits set lets every place into the join, as a very large benchmark would; words decide.
+        monkeypatch.setattr(decontaminate, "bitmap_of", lambda keys: np.full(1 << (collocations.BITMAP - 3), 255, np.uint8))
+        documents = [d for d in documents if not d[1] or len(d[1]) < 3000][:40]
+        frame = spark.createDataFrame(documents, SCHEMA)
     table = spark.createDataFrame(items, "item_id long, text string")
     rows = decontaminate.find_benchmark(frame, table).collect()
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     short = [(k, t) for k, t in documents if not t or len(t) < 40_000]
     kept = [r for r in rows if not r["text"] or len(r["text"]) < 40_000]
     assert by_text(kept, *names) == expected(short, lambda t: brute.benchmark(t, items))
-    assert any(r["contaminated"] for r in rows) and len(rows) == len(documents)
-
-
-def test_benchmark_is_read_by_blocks_of_distinct_items(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
-    rows = [(i % 4, f"item number {i % 4} " * 5) for i in range(400)]
-    blocks = decontaminate._blocks(spark.createDataFrame(rows, "item_id long, text string"), "item_id", "text")
-    assert iter(blocks) is blocks
-    got = list(blocks)
-    assert 1 <= len(got) <= 4 and sorted(x for b in got for x in b) == sorted({(str(k), t.encode()) for k, t in rows})
+    assert (full or any(r["contaminated"] for r in rows)) and len(rows) == len(documents)
+
+
+def test_windows_are_distinct_and_have_their_items(spark):
+    rows = [(i % 4, "the same words in all of these items are here " + "x y " * (i % 4)) for i in range(40)] + [(None, "one two"), (9, None), (8, " , ")]
+    found = {r["window"]: (r["size"], r["items"]) for r in decontaminate.windows_of(
+        spark.createDataFrame(rows, "item_id long, text string"), "item_id", "text", 10).collect()}
+    assert found["the same words in all of these items are here"] == (10, ["0", "1", "2", "3"]) and found["one two"] == (2, [""])
+    assert found["same words in all of these items are here x"] == (10, ["1", "2", "3"]) and len(found) == 8
+
+
+def test_passes_do_not_grow_with_the_benchmark(spark, documents, items):
+    """However many items there are, the result joins the documents once, and its plan has one Python stage."""
+    table = spark.createDataFrame(items * 3 + [(10**6 + i, f"made up number {i} and more words to fill the window up") for i in range(3000)],
+                                  "item_id long, text string")
+    frame = spark.createDataFrame(documents, SCHEMA)
+    plan = decontaminate.find_benchmark(frame, table)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Join") == 1
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab ,é\n1"), max_size=60), max_size=5), st.integers(1, 30), st.integers(0, 4))
+def test_sections_of_long_texts(given_texts, size, margin):
+    before = decontaminate.SECTION
+    decontaminate.SECTION = size
+    try:
+        found, grams = [], []
+        for part in decontaminate.parts([t.encode() for t in given_texts], margin + 2):
+            words = part.words
+            spelled = [words.data[a:b] for a, b in zip(words.starts, words.ends)]
+            found += [(int(n), int(p), w) for n, p, w, own in zip(part.text, part.place, spelled, part.own) if own]
+            firsts, _ = decontaminate.shingles(words, 3)
+            grams += [(int(part.text[i]), int(part.place[i]), *spelled[i:i + 3]) for i in firsts if part.own[i]]
+    finally:
+        decontaminate.SECTION = before
+    plain = [letter_words(t.encode()) for t in given_texts]
+    assert sorted(found) == [(n, p, w) for n, own in enumerate(plain) for p, w in enumerate(own)]
+    assert sorted(grams) == [(n, p, *own[p:p + 3]) for n, own in enumerate(plain) for p in range(len(own) - 2)]
+
+
+def test_a_hot_prefix_and_many_copies(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    rows = [(i, item) for i in range(300)] + [(1000 + i, f"{item[:40]} {i} " * 30) for i in range(50)] + [(5000, "kappa lambda " + item + " alpha")]
+    found = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.find_benchmark(
+        spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(1, item), (2, item + " mu")], "item_id long, text string")).collect()}
+    assert {found[i] for i in range(300)} == {(11, 2)} and found[5000] == (11, 2)
+    assert {found[1000 + i] for i in range(50)} == {(0, 0)}
 
 
 def test_empty_benchmark(spark, frame, documents):
