@@ -238,7 +238,7 @@ def pack_documents(
 
     def read(batch: pa.RecordBatch):
         ends = _line_ends(path)
-        codes = encoder(path).many([(raw or b"").decode("utf-8", "replace") for raw in texts(batch, text)])
+        codes = encoder(path).many_raw([raw or b"" for raw in texts(batch, text)])
         for name, code in zip(batch.column(key).to_pylist(), codes, strict=True):
             ids = np.frombuffer(code + end_id.to_bytes(4, "little"), "<u4")
             yield Item(name, ids, _plain_sums(ids, ends), 0, len(ids), 0, len(ids))

@@ -21,11 +21,9 @@ OTHER = re.compile("[\x1c-\x1f]|[^\0-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u024f]")
 WORD = re.compile(f" ?[{LETTERS}]+")
 MARK = "\x1e"
 BUNDLE = 2000
-# Chunks kept in one of the two generations of a worker's memory, and the longest that is kept.
-KEPT = 600_000
-KEPT_CHARS = 64
-TOGETHER_CHARS = 1 << 20
-PIECE_BYTES = 1 << 21
+# Chunks that a worker knows before it begins anew.
+KEPT = 2_500_000
+TOGETHER_BYTES = 1 << 22
 GAP = re.compile(rb"[^\t-\r ](?=[\t-\r ])")
 POWER = 0x9E3779B97F4A7C15
 # White space, letters and others by byte; bytes beyond ASCII are parts of letters in texts without other characters.
@@ -42,26 +40,96 @@ def _byte_letters() -> dict[int, str]:
 BYTE_LETTERS = _byte_letters()
 
 
+# First bytes that only other characters have; two more, and those from U+0250 on, begin as letters do.
+OTHER_BYTES = bytes([*range(0x1C, 0x20), *range(0xC0, 0xC3), *range(0xCA, 0x100)])
+
+
+def has_others(data: bytes) -> bool:
+    """Whether ``OTHER`` finds a character in a text."""
+    if len(data.translate(None, OTHER_BYTES)) != len(data):
+        return True
+    if data.isascii():
+        return False
+    return b"\xc3\x97" in data or b"\xc3\xb7" in data or b"\xc9" in data and OTHER.search(data.decode("utf-8", "replace")) is not None
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Growing:
+    """An array that is added to at its end."""
+
+    def __init__(self, kind: str):
+        self.held, self.n = np.empty(1024, kind), 0
+
+    def add(self, data: bytes) -> None:
+        new = np.frombuffer(data, self.held.dtype)
+        if self.n + len(new) > len(self.held):
+            more = np.empty(2 * (self.n + len(new)), self.held.dtype)
+            more[:self.n] = self.held[:self.n]
+            self.held = more
+        self.held[self.n:self.n + len(new)] = new
+        self.n += len(new)
+
+
+class Known:
+    """Chunks with their ids, sorted by key: where a chunk's text stands and how long it is, where its ids stand and how many."""
+
+    def __init__(self):
+        self.keys = np.empty(0, np.uint64)
+        self.at, self.sizes, self.firsts, self.counts = (np.empty(0, np.int64) for _ in range(4))
+        self.texts, self.ids = Growing("u1"), Growing("<u4")
+
+    def find(self, keys: np.ndarray, raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray | None:
+        """Places of chunks, -1 for unknown ones; None if a key is that of another chunk. ``keys`` ascend."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        slot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[slot] == keys
+        here, n = slot[hit], size[hit]
+        if (self.sizes[here] != n).any():
+            return None
+        before = np.cumsum(n) - n
+        at = np.arange(int(n.sum()))
+        if (raw[at + np.repeat(first[hit] - before, n)] != self.texts.held[at + np.repeat(self.at[here] - before, n)]).any():
+            return None
+        return np.where(hit, slot, -1)
+
+    def add(self, keys: np.ndarray, chunks: list[bytes], codes: list[bytes]) -> None:
+        """Add unknown chunks; ``keys`` ascend."""
+        place = np.searchsorted(self.keys, keys)
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        counts = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        self.at = np.insert(self.at, place, self.texts.n + np.cumsum(sizes) - sizes)
+        self.firsts = np.insert(self.firsts, place, self.ids.n + np.cumsum(counts) - counts)
+        self.sizes, self.counts = np.insert(self.sizes, place, sizes), np.insert(self.counts, place, counts)
+        self.keys = np.insert(self.keys, place, keys)
+        self.texts.add(b"".join(chunks))
+        self.ids.add(b"".join(codes))
+
+
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = self._word_tokenizer(path)
         self.model = self.tokenizer.model
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.powers = self.back = np.ones(0, np.uint64)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = Known()
+
+    @property
+    def new(self) -> list[str]:
+        """The chunks that are known."""
+        known, text = self.known, self.known.texts.held
+        return [text[a:a + n].tobytes().decode() for a, n in zip(known.at.tolist(), known.sizes.tolist(), strict=True)]
 
     def _word_tokenizer(self, path: str) -> Tokenizer:
         """The same tokenizer without its search for words, where that is the byte-level one."""
@@ -94,55 +162,45 @@ class Encoder:
             out += [raw[start:end] for start, end in zip([0] + [end + 4 for end in ends], ends)]
         return out
 
-    def _learned(self, missing: list[str]) -> dict[str, bytes]:
-        """Ids of chunks that the newer generation lacks; they enter it. One with other characters has no ids."""
-        own, plain, mixed = {}, [], []
-        old, is_word, other = self.old.get, WORD.fullmatch, OTHER.search
-        for chunk in missing:
-            code = old(chunk)
-            if code is not None:
-                own[chunk] = code
-            elif is_word(chunk):
-                plain.append(chunk)
-            elif not other(chunk):
-                mixed.append(chunk)
-        own.update(zip(plain, self._words(plain), strict=True))
-        own.update(zip(mixed, self._encoded(mixed, self.tokenizer), strict=True))
-        self.new.update(own)
-        for chunk in [c for c in own if len(c) > KEPT_CHARS]:
-            del self.new[chunk]
-        if len(self.new) > KEPT:
-            self.old, self.new = self.new, {}
-        return own
+    def _learned(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks without other characters, in order."""
+        words = [WORD.fullmatch(c) is not None for c in chunks]
+        plain = iter(self._words([c for c, word in zip(chunks, words, strict=True) if word]))
+        mixed = iter(self._encoded([c for c, word in zip(chunks, words, strict=True) if not word], self.tokenizer))
+        return [next(plain if word else mixed) for word in words]
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        return self._together([text])[0]
+        return self._together([text.encode()])[0]
 
     def many(self, given: list[str]) -> Iterator[bytes]:
-        """Ids of each text, in order; texts of about a million characters are looked up together."""
+        """Ids of each text, in order."""
+        return self.many_raw([text.encode() for text in given])
+
+    def many_raw(self, given: list[bytes]) -> Iterator[bytes]:
+        """The same for texts in UTF-8; a few million bytes are looked up together."""
         at = 0
         while at < len(given):
             end, size = at, 0
-            while end < len(given) and (size := size + len(given[end])) <= TOGETHER_CHARS:
+            while end < len(given) and (size := size + len(given[end])) <= TOGETHER_BYTES:
                 end += 1
             yield from self._together(given[at:max(end, at + 1)])
             at = max(end, at + 1)
 
-    def _together(self, given: list[str]) -> list[bytes]:
-        out = [None if any(t in text for t in self.special) or OTHER.search(text) else b"" for text in given]
-        pieces = [(i, piece) for i, code in enumerate(out) if code is not None for piece in _pieces(given[i].encode())]
+    def _together(self, given: list[bytes]) -> list[bytes]:
+        out = [None if any(t in data for t in self.special) or has_others(data) else b"" for data in given]
+        pieces = [(i, piece) for i, code in enumerate(out) if code is not None for piece in _pieces(given[i])]
         at = 0
         while at < len(pieces):
             end, size = at, 0
-            while end < len(pieces) and (end == at or size + len(pieces[end][1]) <= PIECE_BYTES):
+            while end < len(pieces) and (end == at or size + len(pieces[end][1]) <= TOGETHER_BYTES):
                 size, end = size + len(pieces[end][1]), end + 1
             for (i, _), code in zip(pieces[at:end], self._looked_up([p for _, p in pieces[at:end]]), strict=True):
                 out[i] = out[i] + code if out[i] else code
             at = end
-        return [self._alone(text) if code is None else code for text, code in zip(given, out, strict=True)]
+        return [self._alone(data.decode("utf-8", "replace")) if code is None else code for data, code in zip(given, out, strict=True)]
 
     def _looked_up(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pieces without other characters: their chunks are found, told apart and put together as arrays."""
@@ -155,24 +213,23 @@ class Encoder:
         starts = _chunk_starts(raw, firsts[firsts < ends])
         sizes = np.diff(np.append(starts, len(raw)))
         # Equal chunks have equal sums of their bytes over powers of a number; that they are equal is then looked at.
-        _, index, kind = np.unique(self._sums(raw, starts, sizes), return_index=True, return_inverse=True)
-        first = starts[index]
-        shift = np.repeat(first[kind] - starts, sizes)
-        same = (sizes == sizes[index][kind]).all() and (raw[np.arange(len(raw)) + shift] == raw).all()
-        if not same:
+        keys, index, kind = np.unique(self._sums(raw, starts, sizes), return_index=True, return_inverse=True)
+        first, size = starts[index], sizes[index]
+        same = (sizes == size[kind]).all() and (raw[np.arange(len(raw)) + np.repeat(first[kind] - starts, sizes)] == raw).all()
+        if same and len(self.known.keys) > KEPT:
+            self.known = Known()
+        slot = self.known.find(keys, raw, first, size) if same else None
+        if slot is None:
             return [self._alone(p.decode()) for p in pieces]
-        chunks = [data[a:b].decode() for a, b in zip(first.tolist(), (first + sizes[index]).tolist(), strict=True)]
-        codes = list(map(self.new.get, chunks))
-        missing = [c for c, code in zip(chunks, codes, strict=True) if code is None]
-        if missing:
-            learned = self._learned(missing)
-            codes = [learned[c] if code is None else code for c, code in zip(chunks, codes, strict=True)]
-        ids = np.frombuffer(b"".join(codes), "<u4")
-        counts = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
-        here = counts[kind]
+        if (slot < 0).any():
+            new = np.flatnonzero(slot < 0)
+            chunks = [data[a:b] for a, b in zip(first[new].tolist(), (first + size)[new].tolist(), strict=True)]
+            self.known.add(keys[new], chunks, self._learned([c.decode() for c in chunks]))
+            slot = np.searchsorted(self.known.keys, keys)
+        here = self.known.counts[slot][kind]
         upto = np.cumsum(here)
-        place = np.repeat((np.cumsum(counts) - counts)[kind] - (upto - here), here)
-        whole = ids[np.arange(len(place)) + place].tobytes()
+        place = np.repeat(self.known.firsts[slot][kind] - (upto - here), here)
+        whole = self.known.ids.held[np.arange(len(place)) + place].tobytes()
         cuts = np.concatenate([[0], upto])[np.searchsorted(starts, np.append(firsts, len(raw)))] * 4
         return [whole[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
@@ -208,7 +265,7 @@ def _chunk_starts(raw: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 def _pieces(data: bytes) -> Iterator[bytes]:
     """A long text in pieces that end before white space, where a chunk starts."""
     at = 0
-    while len(data) - at > PIECE_BYTES and (gap := GAP.search(data, at + PIECE_BYTES // 2)):
+    while len(data) - at > TOGETHER_BYTES and (gap := GAP.search(data, at + TOGETHER_BYTES // 2)):
         yield data[at:gap.end()]
         at = gap.end()
     yield data[at:]

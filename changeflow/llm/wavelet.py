@@ -207,7 +207,7 @@ def write_token_files(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encode = encoder(path).many
+        encode = encoder(path).many_raw
         made, written, shard = [], 0, 0
         keys, lengths, parts, n, kind = [], [], [], 0, None
 
@@ -222,7 +222,7 @@ def write_token_files(
 
         for batch in batches:
             kind = batch.column("k").type
-            codes = encode([(raw or b"").decode("utf-8", "replace") for raw in texts(batch, "t")])
+            codes = encode([raw or b"" for raw in texts(batch, "t")])
             for name, code in zip(batch.column("k").to_pylist(), codes, strict=True):
                 ids = code + end
                 keys.append(name)
