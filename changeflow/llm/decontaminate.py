@@ -27,6 +27,8 @@ WINDOW = 10
 SHINGLE = 3
 # Bytes of text that are taken at once.
 SECTION = 2 << 20
+# Hits are broadcast to the documents up to this size; beyond it the documents are shuffled once.
+BROADCAST_BYTES = 32 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -225,7 +227,7 @@ def find_benchmark(
     empty text has no words and is clean; an item without an id counts under the empty id; repeated items count once and
     repeated documents one by one. Columns of ``docs`` with a result's name are replaced. An empty benchmark leaves all
     documents clean. The documents are read three times, whatever the size of the benchmark: for rarity, for places, and
-    for the result, to which hits are joined by the text's SHA-256.
+    for the result, to which hits are joined by the text's SHA-256; they are broadcast up to ``BROADCAST_BYTES``.
     """
     digest = F.unhex(F.sha2(F.col(text).cast("binary"), 256))
     hits = _hits(docs.select(F.col(text), digest.alias("digest")), benchmark, text, item, item_text, window, shingle)
@@ -235,7 +237,10 @@ def find_benchmark(
         empty = "array<struct<at:bigint,size:int>>"
         joined = kept.withColumns({"__spans": F.lit(None).cast(empty), "__found": F.lit(None).cast("array<string>")})
     else:
-        joined = kept.join(hits.toDF(*OWN), "__digest", "left")
+        size = F.octet_length("digest") + 24 * F.size("spans") + F.aggregate("found", F.lit(0), lambda n, name: n + F.octet_length(name) + 24)
+        total = hits.agg(F.sum(size)).first()[0] or 0
+        found = hits.toDF(*OWN)
+        joined = kept.join(F.broadcast(found) if total <= BROADCAST_BYTES else found, "__digest", "left")
     return append_columns(joined, FIELDS, _results(text), drop=OWN)
 
 
