@@ -20,6 +20,8 @@ SEED = 17
 BUCKET_BYTES = 32 << 20
 # Records of a bucket, however small they are.
 BUCKET_ROWS = 200_000
+# Buckets whose first slots are broadcast; they stand for 3 TB.
+BROADCAST_BUCKETS = 100_000
 # Column that carries a record's bytes while it is dealt.
 SIZE = "__record_bytes"
 
@@ -66,6 +68,8 @@ def shuffle_to_shards(
     starts = numbered.groupBy("shard", "id").agg(F.count("*").alias("n")).select(
         "shard", "id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     gathered = numbered.repartitionById(total, "id").groupBy("id").agg(F.collect_list(F.struct("position", "record")).alias("records"))
+    # A row for each bucket; beyond that many it is an ordinary join.
+    starts = F.broadcast(starts) if total <= BROADCAST_BUCKETS else starts
     ordered = gathered.join(starts, "id").select("shard", "first", F.expr(
         "array_sort(records, (x, y) -> CASE WHEN x.position < y.position THEN -1 WHEN x.position > y.position THEN 1 ELSE 0 END)"
     ).alias("records"))
