@@ -53,14 +53,24 @@ def in_dollars(cost: Column, places: int = 4) -> Column:
     return F.round(cost.cast("decimal(38,12)"), places).cast("double")
 
 
+# Ten-thousandths of a dollar for a unit of usage, from the prices above, as parts of one common denominator.
+_PARTS = 225 << 27
+_PARTS_OF = {"records_usd": _PARTS // 200, "transfer_usd": 125 * (_PARTS >> 27), "compute_usd": _PARTS // 7200}
+
+
+def _dollars(parts: Column) -> Column:
+    """Parts as dollars with four places, a half rounded up; whole numbers until the last step."""
+    doubled = parts * F.lit(2) + F.lit(_PARTS).cast("decimal(12,0)")
+    units = F.call_function("div", doubled, F.lit(2 * _PARTS).cast("decimal(12,0)"))
+    return (units.cast("decimal(20,0)") * F.lit("0.0001").cast("decimal(4,4)")).cast("decimal(18,4)")
+
+
 def usage_cost(records: Column, byte_count: Column, compute_ms: Column) -> dict[str, Column]:
-    """Cost of each component in dollars, and their sum."""
-    by_records = records.cast("double") / 1_000_000 * USD_PER_MILLION_RECORDS
-    by_bytes = byte_count.cast("double") / (1024**3) * USD_PER_GIB
-    by_compute = compute_ms.cast("double") / 1000 / 3600 * USD_PER_COMPUTE_HOUR
-    return {
-        "records_usd": by_records,
-        "transfer_usd": by_bytes,
-        "compute_usd": by_compute,
-        "cost_usd": by_records + by_bytes + by_compute,
-    }
+    """Cost of each component in dollars, and of all, as decimals of the stored scale of four places.
+
+    The cost of all is the exact sum rounded once, so it may differ from the rounded components in the last place.
+    """
+    amounts = zip(_PARTS_OF.items(), (records, byte_count, compute_ms), strict=True)
+    exact = {name: amount.cast("decimal(20,0)") * F.lit(parts).cast("decimal(10,0)") for (name, parts), amount in amounts}
+    first, second, third = exact.values()
+    return {name: _dollars(parts) for name, parts in exact.items()} | {"cost_usd": _dollars(first + second + third)}

@@ -17,6 +17,7 @@ from changeflow.schemas import Rule
 
 Builder = Callable[[str, Column, dict[str, Any]], Column]
 
+# The wording of all messages below.
 
 def _message(field: str, *parts: str | Column) -> Column:
     columns = [F.lit(p) if isinstance(p, str) else p for p in parts]

@@ -267,19 +267,22 @@ def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"))
 
 
-_COST_COLUMNS = """
-       CAST(records_processed AS DOUBLE) / 1000000 * CAST(0.5 AS DOUBLE) AS records_usd,
-       CAST(bytes_transferred AS DOUBLE) / 1073741824 * CAST(0.1 AS DOUBLE) AS transfer_usd,
-       CAST(compute_ms AS DOUBLE) / 1000 / 3600 * CAST(0.05 AS DOUBLE) AS compute_usd,
-       CAST(records_processed AS DOUBLE) / 1000000 * CAST(0.5 AS DOUBLE) +
-       CAST(bytes_transferred AS DOUBLE) / 1073741824 * CAST(0.1 AS DOUBLE) +
-       CAST(compute_ms AS DOUBLE) / 1000 / 3600 * CAST(0.05 AS DOUBLE) AS cost_usd
-"""
+# Dollars with four places by whole numbers: each component and the sum of all in parts of one denominator.
+_PARTS_SQL = {"records_usd": "records_processed::HUGEINT * 150994944", "transfer_usd": "bytes_transferred::HUGEINT * 28125",
+              "compute_usd": "compute_ms::HUGEINT * 4194304"}
+_PARTS_SQL["cost_usd"] = " + ".join(_PARTS_SQL.values())
+_COST_COLUMNS = ", ".join(
+    f"CAST((2 * ({parts}) + 30198988800) // 60397977600 AS DOUBLE) / 10000 AS {name}" for name, parts in _PARTS_SQL.items())
 _SUMS = ", ".join(f"CAST(sum({a}) AS BIGINT) AS {b}" for a, b in (
     ("records", "records_processed"), ("bytes", "bytes_transferred"), ("compute_ms", "compute_ms")))
 _NOW = "2024-01-31"
 
 
+def _as_doubles(rows: DataFrame) -> DataFrame:
+    """Decimal dollars as doubles, which the checks compare."""
+    return rows.withColumns({c: F.col(c).cast("double") for c in rows.columns if c.endswith("_usd")})
+
+
 @query("cost_hourly", f"""
 SELECT config_id, org_id, target_type, strftime(h, '%Y-%m-%dT%H:%M:%S') AS period_start,
        strftime(h + INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%S') AS period_end, records_processed, bytes_transferred,
@@ -287,23 +290,17 @@ SELECT config_id, org_id, target_type, strftime(h, '%Y-%m-%dT%H:%M:%S') AS perio
 FROM (SELECT config_id, org_id, target_type, date_trunc('hour', ts) AS h, {_SUMS} FROM ({_BATCHES_SQL}) GROUP BY ALL)
 """)
 def cost_hourly(spark, sf_dir):
-    hours = costs.hourly_costs(_batches(spark, sf_dir))
+    hours = _as_doubles(costs.hourly_costs(_batches(spark, sf_dir)))
     return hours.withColumn("period_start", iso_text(F.col("period_start"))).withColumn(
         "period_end", iso_text(F.col("period_end")))
 
 
-_ROUNDED = ", ".join(
-    f"CAST(round(CAST({c} AS DECIMAL(38, 12)), 4) AS DOUBLE) AS {c}"
-    for c in ("records_usd", "transfer_usd", "compute_usd", "cost_usd"))
-
-
 @query("cost_summary", f"""
-SELECT target_type, records_processed, bytes_transferred, compute_ms, {_ROUNDED} FROM (
-  SELECT target_type, records_processed, bytes_transferred, compute_ms, {_COST_COLUMNS} FROM (
+SELECT target_type, records_processed, bytes_transferred, compute_ms, {_COST_COLUMNS} FROM (
   SELECT COALESCE(target_type, 'unknown') AS target_type, {_SUMS} FROM ({_BATCHES_SQL})
   WHERE org_id = 'o3' AND date_trunc('hour', ts) >= TIMESTAMP '{_NOW}' - INTERVAL 20 DAY GROUP BY 1
   UNION ALL SELECT 'all', {_SUMS} FROM ({_BATCHES_SQL})
-  WHERE org_id = 'o3' AND date_trunc('hour', ts) >= TIMESTAMP '{_NOW}' - INTERVAL 20 DAY))
+  WHERE org_id = 'o3' AND date_trunc('hour', ts) >= TIMESTAMP '{_NOW}' - INTERVAL 20 DAY)
 """)
 def cost_summary(spark, sf_dir):
     hours = costs.hourly_usage(_batches(spark, sf_dir))
@@ -318,4 +315,4 @@ FROM (SELECT date_trunc('day', ts) AS day, target_type, {_SUMS} FROM ({_BATCHES_
 """)
 def cost_daily(spark, sf_dir):
     days = costs.daily_costs(costs.hourly_usage(_batches(spark, sf_dir)), at(_NOW), days=20)
-    return days.withColumn("day", iso_text(F.col("day")))
+    return _as_doubles(days).withColumn("day", iso_text(F.col("day")))

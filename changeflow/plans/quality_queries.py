@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeflow.operators import quality, status
-from changeflow.plans.inputs import load
+from changeflow.operators.transform import map_columns
+from changeflow.plans.inputs import CHANGES_SQL, changes, load
 from changeflow.plans.registry import query
-from changeflow.schemas import Rule, Transform
+from changeflow.schemas import Mapping, Rule, Transform
+from changeflow.sources import metadata
+from changeflow.streaming import pipeline
 
 ORDER_RULES = [
     Rule("r1", "o_totalprice", "range", {"min": 10000, "max": 400000}, "warn"),
@@ -261,6 +264,45 @@ def quality_same_rules(spark, sf_dir):
         compiled.select(F.lit("compiled").alias("path"), *columns))
 
 
+# Metadata tables of a config for each region, made from the nations: a rule and a transform for each of them.
+_METADATA_SQL = """
+SELECT 'n' || n_nationkey AS rule_id, n_nationkey AS low FROM nation WHERE n_regionkey = 2 AND n_nationkey % 4 <> 1
+"""
+
+
+def _metadata_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nation, key = load(spark, sf_dir, "nation"), F.col("n_nationkey")
+    config = F.concat(F.lit("region"), F.col("n_regionkey").cast("string")).alias("config_id")
+    rules = nation.select(
+        F.concat(F.lit("n"), key.cast("string")).alias("id"), config, F.lit("k").alias("field_name"), F.lit("range").alias("rule_type"),
+        F.format_string('{"min": %d}', key).alias("rule_params"), F.lit(None).cast("string").alias("severity"), (key % 4 != 1).alias("is_enabled"))
+    # Of a config's transforms, in their order, only the first finds what it replaces.
+    transforms = nation.select(
+        config, F.lit("k").alias("source_field"), F.lit("replace").alias("transform_type"),
+        F.lit('{"pattern": "1", "replacement": "one"}').alias("transform_params"), key.alias("execution_order"), F.lit(True).alias("is_enabled"))
+    mapping = F.array(F.struct(F.lit("k").alias("source"), F.lit("kind").alias("target"), F.lit("uppercase").alias("transform")))
+    configs = nation.select(F.concat(F.lit("region"), F.col("n_regionkey").cast("string")).alias("id"), mapping.alias("field_mappings")).distinct()
+    return rules, transforms, configs
+
+
+@query("metadata_settings", f"""
+SELECT seq, rule_id, 'warn' AS severity, replace(k, '1', 'one') AS k, upper(replace(k, '1', 'one')) AS kind
+FROM ({CHANGES_SQL}) JOIN ({_METADATA_SQL}) ON CAST(k AS DOUBLE) < low WHERE op <> 'D'
+""")
+def metadata_settings(spark, sf_dir):
+    """Rules, transforms and mappings of one config as its metadata tables hold them, applied to the log."""
+    rules, transforms, configs = _metadata_tables(spark, sf_dir)
+    settings = pipeline.settings_from_tables(lambda: (rules, transforms), "region2")()
+    events = changes(spark, sf_dir).select(
+        "op", "seq", F.create_map(F.lit("seq"), F.col("seq").cast("string")).alias("key"),
+        F.when(F.col("op") != "D", F.create_map(F.lit("k"), F.col("k"))).alias("after"))
+    found = pipeline.checked(events, settings).select("seq", F.explode("violations").alias("v"), F.try_element_at("after", F.lit("k")).alias("k"))
+    rows = found.select("seq", "v.rule_id", "v.severity", "k")
+    mapped = map_columns(rows.select("seq", "rule_id", "k"), [Mapping("seq", "seq"), Mapping("rule_id", "rule_id"),
+                                                              *metadata.load_mappings(configs, "region2")])
+    return rows.join(mapped, ["seq", "rule_id"])
+
+
 # Versions of one rule for each order status: the limit rises every two years, and the last version is switched off for P.
 _VERSIONS_SQL = """
 SELECT s AS status, make_timestamp(1994 + 2 * y, 1, 1, 0, 0, 0.0) AS valid_from,

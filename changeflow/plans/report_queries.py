@@ -10,6 +10,7 @@ from changeflow.functions.times import iso_text
 from changeflow.operators import catalog, reports, status
 from changeflow.plans.inputs import at, load, samples
 from changeflow.plans.registry import query
+from changeflow.sources import catalog as catalog_source
 
 _AUDIT_SQL = """
 SELECT event_id, ts, event_type AS entity_type, 'e' || (user_id % 20) AS entity_id,
@@ -180,6 +181,20 @@ def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("position"), kind.alias("data_type"), "p", "s", "keyed")
 
 
+_SCANNED = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id"], "customer": ["c_custkey"]}
+
+
+@query("catalog_scan", " UNION ALL ".join(
+    f"SELECT 'shop' AS schema_name, table_name, 'TABLE' AS table_type, column_name, column_index - 1 AS position, data_type, is_nullable, "
+    f"list_contains({keys}, column_name) AS is_primary_key, (SELECT count(*) FROM {name}) AS record_count "
+    f"FROM duckdb_columns() WHERE table_name = '{name}'" for name, keys in _SCANNED.items()))
+def catalog_scan(spark, sf_dir):
+    """Columns of the given tables as a catalog lists them, beside the tables' row counts."""
+    tables = {name: load(spark, sf_dir, name) for name in _SCANNED}
+    fields = catalog_source.field_rows(spark, "shop", tables, _SCANNED)
+    return fields.join(catalog_source.table_counts(tables, "shop"), ["schema_name", "table_name"])
+
+
 @query("catalog_fields", f"""
 SELECT config_id, column_name, position, data_type, keyed AND position < 4 AS is_primary_key FROM ({_FIELDS_SQL})
 """)

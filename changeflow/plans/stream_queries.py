@@ -125,6 +125,27 @@ def stream_state_written(spark, sf_dir):
     return state.join(samples, "config_id")
 
 
+@query("stream_positions", f"""
+SELECT 'dead_letters' AS output, "partition", "offset" FROM (SELECT *, seq % 6 AS "partition", seq // 6 AS "offset" FROM ({CHANGES_SQL}))
+WHERE seq % 29 = 0
+UNION ALL SELECT 'held', "partition", "offset" FROM (SELECT *, seq % 6 AS "partition", seq // 6 AS "offset" FROM ({CHANGES_SQL}))
+WHERE seq % 29 <> 0 AND (CAST(k AS DOUBLE) < 10 OR CAST(k AS DOUBLE) > 95)
+""")
+def stream_positions(spark, sf_dir):
+    """Where the messages stood that could not be parsed or were held back: six partitions, dealt by sequence."""
+    base = shared_dir(spark, "stream-positions")
+    target = create_target("patch", spark, f"{base}/target", KEYS)
+    flow = pipeline.Pipeline(target, f"{base}/side", _settings, None, spread=8)
+    seq = F.regexp_extract("value", '"seq":([0-9]+)', 1).cast("bigint")
+    records = messages.to_records(changelog.envelope(changelog.decode(log_of(_stream(spark, sf_dir))), "src", "Shop", "Events", KEYS))
+    placed = records.select("value", seq.alias("seq")).select(
+        F.when(F.col("seq") % 29 == 0, F.left("value", F.lit(40))).otherwise(F.col("value")).alias("value"),
+        (F.col("seq") % 6).alias("partition"), F.floor(F.col("seq") / 6).alias("offset"))
+    pipeline.start(placed, pipeline.parsed_batches(flow), f"{base}/checkpoint", every=None).awaitTermination()
+    both = [flow.side_output(n).select(F.lit(n).alias("output"), "partition", "offset") for n in ("dead_letters", "held")]
+    return both[0].unionByName(both[1])
+
+
 def _updated(spark: SparkSession, rows: DataFrame, by: list[str], name: str) -> DataFrame:
     """Run an update query, keep the changed windows of each batch, and read the newest state of every window.
 

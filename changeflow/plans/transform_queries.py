@@ -11,6 +11,7 @@ from changeflow.functions import text
 from changeflow.operators.transform import map_columns, transform_columns, transform_payload
 from changeflow.plans.inputs import LOG_SQL, change_log, load
 from changeflow.plans.registry import query
+from changeflow.plans.sha512 import sha512_sql
 from changeflow.schemas import Mapping, Transform
 from changeflow.sources import changelog
 
@@ -116,7 +117,7 @@ def transform_hash_sha512(spark, sf_dir):
     return transform_columns(region, [_t("h_sha512", "hash", algorithm="sha512")])
 
 
-@query("transform_hash_sha512_customer")
+@query("transform_hash_sha512_customer", f"SELECT c_custkey, digest AS h_sha512 FROM ({sha512_sql('customer', 'c_custkey', 'c_name')})")
 def transform_hash_sha512_customer(spark, sf_dir):
     return _hash_input(spark, sf_dir, ["sha512"])
 
@@ -174,6 +175,16 @@ def mask_pii(spark, sf_dir):
     return transform_columns(_pii(spark, sf_dir), [_t(f, "mask", mask_type=kind) for f, kind in kinds.items()])
 
 
+@query("mask_unknown", """
+SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN '***MASKED***' END AS secret, '***MASKED***' AS c_name FROM customer
+""")
+def mask_unknown(spark, sf_dir):
+    """A kind of mask that isn't known hides the value whole; null stays null."""
+    key = F.col("c_custkey")
+    customer = load(spark, sf_dir, "customer").select("c_custkey", F.when(key % 3 > 0, F.col("c_name")).alias("secret"), "c_name")
+    return transform_columns(customer, [_t("secret", "mask", mask_type="no_such_mask"), _t("c_name", "mask", mask_type="iban")])
+
+
 @query("mask_documents", """
 SELECT doc_id, length(masked) AS masked_chars, md5(masked) AS masked_md5 FROM (
   SELECT doc_id, array_to_string(list_transform(

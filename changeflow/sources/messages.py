@@ -43,6 +43,15 @@ def parse(messages: DataFrame, value: str = "value") -> DataFrame:
     return parsed.withColumn("parse_error", error).drop("_broken")
 
 
+# Columns of a message source that say where a message stood.
+POSITION = ["partition", "offset"]
+
+
+def positions(columns: list[str]) -> list[str]:
+    """Those of the position columns that a source has."""
+    return [c for c in POSITION if c in columns]
+
+
 def good_events(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("parse_error").isNull()).drop("parse_error")
 

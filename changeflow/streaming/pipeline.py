@@ -18,9 +18,9 @@ from changeflow.operators.transform import transform_payload
 from changeflow.schemas import Rule, Transform
 from changeflow.session import committed_folders
 from changeflow.sources import messages, metadata
+from changeflow.streaming.held import Held
 from changeflow.streaming.targets import Target
 
-
 STATE = "config_id string, consumer_group string, last_seq long, records_processed_total long, status string, updated_at timestamp"
 FAILURE = "config_id string, consumer_group string, status string, error_message string"
 # An error message is a note for lists; the log has the whole.
@@ -64,7 +64,8 @@ class Pipeline:
     ``columns`` are the payload columns of a replace target; None feeds a patch target. ``spread`` deals the messages of
     a batch over that many tasks; 0 leaves them as the source splits them. With ``compact_every`` the target is compacted
     after every so many batches. Side outputs are violations, held, skipped, counts, latency (bucket counts of the time
-    from change to apply), state and errors; a repeated batch replaces its own.
+    from change to apply), state and errors; a repeated batch replaces its own. ``commands`` gives the switches known at a
+    batch: while the pipeline's config is paused, its events are held, and the first batch after the pause applies them.
     """
 
     target: Target
@@ -74,12 +75,18 @@ class Pipeline:
     spread: int = 0
     compact_every: int = 0
     consumer_group: str = "target"
+    commands: Callable[[int], DataFrame] | None = None
 
     def process(self, events: DataFrame, batch_id: int) -> None:
         """Apply one batch. An error stops the query, and the batch is replayed from its checkpoint."""
         settings = self.settings()
+        if self.commands is not None:
+            named = events.withColumn("config_id", F.lit(settings.config_id))
+            held = Held(self.target.spark, f"{self.side_path}/pause")
+            events = held.split(named, self.commands(batch_id), batch_id).drop("config_id")
         rows = checked(events, settings).persist()
         try:
+            where = messages.positions(rows.columns)
             passed = rows.where(F.col("route") == PASS)
             applied = apply.effective(passed)
             self.target.apply(keyed_payload(applied, self.target.key_columns, self.columns), batch_id)
@@ -87,9 +94,9 @@ class Pipeline:
             if settings.rules:
                 self._side(violation_rows(rows), "violations", batch_id)
                 held = rows.where(F.col("route") != PASS)
-                self._side(held.select("route", "key", "after", "op", "ts_ms", "seq"), "held", batch_id)
+                self._side(held.select("route", "key", "after", "op", "ts_ms", "seq", *where), "held", batch_id)
             self._side(apply.op_counts(passed, ["table"]), "counts", batch_id)
-            skipped = apply.ineffective(passed).select("table", "key", "after", "op", "ts_ms", "seq")
+            skipped = apply.ineffective(passed).select("table", "key", "after", "op", "ts_ms", "seq", *where)
             self._side(skipped, "skipped", batch_id)
             if self.compact_every and (batch_id + 1) % self.compact_every == 0:
                 self.target.compact()
@@ -112,8 +119,13 @@ class Pipeline:
 
     def _state_before(self, batch_id: int | None = None) -> tuple[int, DataFrame]:
         """The newest state before a batch, with the batch it stands for; -1 and no rows if there is none."""
-        found = {n: f for n, f in self._batches("state").items() if batch_id is None or n < batch_id}
         spark = self.target.spark
+        if batch_id:
+            # The batch before, without a look at all others.
+            folder = f"{self.side_path}/state/batch={batch_id - 1}"
+            if committed_folders(spark, folder):
+                return batch_id - 1, spark.read.schema(STATE).parquet(folder)
+        found = {n: f for n, f in self._batches("state").items() if batch_id is None or n < batch_id}
         if not found:
             return -1, spark.createDataFrame([], STATE)
         return max(found), spark.read.schema(STATE).parquet(found[max(found)])
@@ -122,7 +134,13 @@ class Pipeline:
         """State after a batch. It starts from the batches before, so that a repeated batch counts once."""
         batch = rows.select(F.lit(config_id).alias("config_id"), F.lit(self.consumer_group).alias("consumer_group"), "seq",
                             F.timestamp_millis("ts_ms").alias("at"))
-        return status.advance_state(self._state_before(batch_id)[1], batch, only_newer=False)
+        before = self._state_before(batch_id)[1]
+        if self.commands is None:
+            return status.advance_state(before, batch, only_newer=False)
+        commands = self.commands(batch_id)
+        known = self.commands(batch_id - 1) if batch_id else commands.limit(0)
+        after = status.advance_state(status.restarted(before, commands, known), batch, only_newer=False)
+        return status.with_pauses(after, commands)
 
     def _failure(self, config_id: str, error: Exception) -> DataFrame:
         row = [(config_id, self.consumer_group, "error", str(error)[:ERROR_CHARS])]
@@ -147,18 +165,22 @@ class Pipeline:
 
 
 def _parsed(batch: DataFrame, value: str, spread: int) -> DataFrame:
-    texts = batch.select(value)
+    texts = batch.select(value, *messages.positions(batch.columns))
     if spread:
         texts = texts.repartition(spread)
     return messages.parse(texts, value).persist()
 
 
 def parsed_batches(pipeline: Pipeline, value: str = "value") -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function over JSON messages; bad ones go to ``dead_letters``."""
+    """A ``foreachBatch`` function over JSON messages; bad ones go to ``dead_letters``.
+
+    Partition and offset of a message, where the source has them, stay with it in all outputs that hold messages.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
         parsed = _parsed(batch, value, pipeline.spread)
         try:
-            pipeline._side(messages.dead_letters(parsed, [value]), "dead_letters", batch_id)
+            dead = messages.dead_letters(parsed, [value, *messages.positions(parsed.columns)])
+            pipeline._side(dead, "dead_letters", batch_id)
             pipeline.process(messages.good_events(parsed).drop(value), batch_id)
         finally:
             parsed.unpersist()
@@ -177,7 +199,7 @@ def routed_batches(routes: dict[str, Pipeline], side_path: str, value: str = "va
         try:
             lost = F.when(~F.col("table").isin(list(routes)), F.lit("no pipeline for table"))
             known = parsed.withColumn("parse_error", F.coalesce("parse_error", lost))
-            dead = messages.dead_letters(known, [value])
+            dead = messages.dead_letters(known, [value, *messages.positions(known.columns)])
             dead.write.mode("overwrite").parquet(f"{side_path}/dead_letters/batch={batch_id}")
             good = messages.good_events(known).drop(value)
             for table, flow in routes.items():

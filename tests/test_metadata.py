@@ -56,7 +56,7 @@ def test_unit_prices(spark):
                                  "config_id string, org_id string, target_type string, records long, bytes long, "
                                  "compute_ms long, ts timestamp")
     row = costs.hourly_costs(rows).first()
-    assert row.cost_usd == pytest.approx(0.65) and row.records_usd == 0.5 and row.compute_seconds == 3600
+    assert float(row.cost_usd) == pytest.approx(0.65) and row.records_usd == 0.5 and row.compute_seconds == 3600
     hours = costs.hourly_usage(rows.withColumn("target_type", F.lit(None).cast("string")))
     summary = {r.target_type: r.cost_usd for r in costs.cost_summary(hours, at("2024-01-02")).collect()}
     assert set(summary) == {"unknown", "all"}

@@ -298,3 +298,19 @@ def test_state_and_errors_of_batches(spark):
     flow.target.apply = apply_rows
     flow.process(events(spark, [(10, "I", "c", {"v": "1"})]), 2)
     assert seen() == (10, 5, "active") and flow.state().first().error_message is None
+
+
+def test_a_paused_pipeline_holds_its_events(spark):
+    base = shared_dir(spark, "paused")
+    switches = spark.createDataFrame([(1, "c", "pause", 1), (2, "c", "resume", 3), (3, "other", "pause", 0)],
+                                     "command_id long, config_id string, command string, known long").withColumn(
+        "issued_at", F.timestamp_seconds("command_id"))
+    flow = replace_pipeline(spark, base, lambda: pipeline.Settings("c"))
+    flow.commands = lambda batch: switches.where(F.col("known") <= batch)
+    seen = []
+    for batch in (0, 1, 2, 2, 3):
+        flow.process(events(spark, [(10 * batch + 1, "I", f"k{batch}", {"v": str(batch)})]), batch)
+        state = flow.state().first()
+        seen.append((sorted(r.id for r in flow.target.read().collect()), state.last_seq, state.status))
+    assert seen == [(["k0"], 1, "active"), (["k0"], 1, "paused"), (["k0"], 1, "paused"), (["k0"], 1, "paused"),
+                    (["k0", "k1", "k2", "k3"], 31, "active")]
