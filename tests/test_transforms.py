@@ -149,7 +149,7 @@ def test_percent_rounds_ties_to_even(spark):
 def test_sha512_of_all_customers(spark):
     import hashlib
 
-    from changeflow.plans import QUERIES
+    from changeflow.plans import QUERIES, transform_queries  # noqa: F401
 
     folder = "/root/testdata/sf0.001"
     names = {r["c_custkey"]: r["c_name"] for r in spark.read.parquet(f"{folder}/customer.parquet").collect()}
