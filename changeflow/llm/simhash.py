@@ -271,7 +271,9 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", distance
     rows without a key are compared like others and come last in their group. Of rows with one key, the smallest
     fingerprint, then the hashes of text and row decide; of rows that are the same in all columns one stays.
     """
-    whole = F.xxhash64(*df.columns, *[F.col(c).isNull() for c in df.columns])
+    # Maps have no hash of their own.
+    shown = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in df.schema.fields]
+    whole = F.xxhash64(*shown, *[F.col(c).isNull() for c in df.columns])
     marked = df.withColumns({TEXT_HASH: F.xxhash64(text), ROW_HASH: whole})
     prints = with_fingerprint(marked.select(key, text, TEXT_HASH, ROW_HASH), text, name="__fp")
     rows = stored(prints.select(F.col(key).alias("k"), F.col("__fp").alias("fp"), TEXT_HASH, ROW_HASH), "simhash-rows")

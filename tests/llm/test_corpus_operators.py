@@ -499,3 +499,9 @@ def test_one_bucket_is_one_task(spark):
     placed = sharding.shuffle_to_shards(rows, shards=3, bucket_bytes=2000, bucket_rows=1000).withColumn("task", F.spark_partition_id())
     tasks = placed.groupBy("task").agg(F.count("*").alias("n"), F.count_distinct("shard").alias("shards")).collect()
     assert len(tasks) >= 20 and max(r["n"] for r in tasks) <= 60 and {r["shards"] for r in tasks} == {1}
+
+
+def test_rows_with_maps_are_told_apart(spark):
+    rows = [(1, "one two three four", {"a": 1}), (1, "one two three four", {"a": 2}), (2, "something else entirely here", None)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 2]
