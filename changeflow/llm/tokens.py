@@ -22,8 +22,8 @@ WORD = re.compile(f" ?[{LETTERS}]+")
 MARK = "\x1e"
 BUNDLE = 2000
 # Chunks that a worker knows before it begins anew.
-KEPT = 2_500_000
-TOGETHER_BYTES = 1 << 22
+KEPT = 1_500_000
+TOGETHER_BYTES = 1 << 21
 GAP = re.compile(rb"[^\t-\r ](?=[\t-\r ])")
 POWER = 0x9E3779B97F4A7C15
 # White space, letters and others by byte; bytes beyond ASCII are parts of letters in texts without other characters.
