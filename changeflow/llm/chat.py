@@ -14,28 +14,32 @@ from changeflow.llm.common import stored
 
 # Turns of a conversation that one task orders, and that one rendered row holds.
 BLOCK = 512
+# Characters of a text that bounds of ranges may hold.
+HEAD = 64
 START, END = "<|im_start|>", "<|im_end|>"
 
 
 def numbered_turns(turns: DataFrame) -> DataFrame:
     """(conv_id, position, role, text, h1, h2): turns numbered from 0 by turn number, then by role and text.
 
-    Exact repeats of a turn count once. Null turn numbers come first; a null role is ``unknown``, a null text empty.
-    Blocks of turn numbers are ordered on their own, so that no conversation has to be ordered in one task.
+    Exact repeats of a turn count once. Null turn numbers come first; a null role is ``unknown``, a null text empty. All
+    turns are put in one order by sampled ranges, whatever conversations and numbers they have, so that no conversation has
+    to be ordered in one task, not even the one of all rows without conv_id or without numbers.
     """
     clean = turns.select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text")).distinct()
-    block = F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK)
-    parts = clean.withColumn("block", block)
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = parts.groupBy("conv_id", "block").agg(F.count("*").alias("n")).select(
-        F.col("conv_id").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    ranked = parts.withColumn("rank", F.row_number().over(inside) - 1)
-    placed = ranked.join(firsts, ranked["conv_id"].eqNullSafe(firsts["c"]) & (ranked["block"] == firsts["b"]))
-    position = F.col("first") + F.col("rank")
-    return placed.select(
+    # Bounds are sampled from the first characters of texts only.
+    ranges = clean.withColumn("head", F.left("text", F.lit(HEAD))).repartitionByRange("conv_id", "turn", "role", "head").drop("head")
+    ordered = ranges.sortWithinPartitions("conv_id", "turn", "role", "text").withColumn("place", F.monotonically_increasing_id())
+    placed = stored(ordered, "chat-places").withColumn("range", F.shiftright("place", 33))
+    # A row for each range and conversation: how many turns of it come before, and where it begins.
+    before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("conv_id", "range").agg(F.count("*").alias("n"), F.min("place").alias("begin")).select(
+        F.col("conv_id").alias("c"), F.col("range").alias("r"), "begin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    met = placed.join(parts, placed["conv_id"].eqNullSafe(parts["c"]) & (placed["range"] == parts["r"]))
+    position = F.col("first") + F.col("place") - F.col("begin")
+    return met.select(
         "conv_id", position.alias("position"), "role", "text",
         F.xxhash64(F.lit(1), position, "role", "text").alias("h1"),
         F.xxhash64(F.lit(2), F.reverse("text"), position, "role").alias("h2"))
