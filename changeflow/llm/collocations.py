@@ -167,6 +167,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     flat, weights = np.concatenate(keys), np.concatenate(counts)
+    if not len(flat):
+        return flat, weights
     order = np.argsort(flat)
     flat, weights = flat[order], weights[order]
     first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
