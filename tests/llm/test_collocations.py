@@ -18,13 +18,13 @@ SCHEMA = "lang string, text string, phrase string, n int, key string, size int"
 
 def expected(rows, support=30, top=2000):
     f, n = defaultdict(Counter), Counter()
-    for lang, text in rows:
+    for lang, text in ((("und" if lang is None else lang), text) for lang, text in rows):
         low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
             words = re.findall(r"[^\x20\x09]+", piece)
-            n[lang or "und"] += len(words)
+            n[lang] += len(words)
             for k in range(1, 5):
-                f[lang or "und"].update(tuple(words[i:i + k]) for i in range(len(words) - k + 1))
+                f[lang].update(tuple(words[i:i + k]) for i in range(len(words) - k + 1))
     out = []
     for lang, counts in f.items():
         kept = {p: a for p, a in counts.items() if len(p) > 1 and a >= support}
