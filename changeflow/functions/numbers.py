@@ -30,6 +30,11 @@ def parse_float(x: Column) -> Column:
     )
 
 
+def without_nan(number: Column) -> Column:
+    """A double, null where it is NaN, which Spark orders above every number; ``number`` is worked out once."""
+    return F.nanvl(number, F.lit(None).cast("double"))
+
+
 def parse_int(x: Column) -> Column:
     """Text to whole number by way of double, cutting the fraction; null when it is no number."""
     return parse_float(x).try_cast("bigint")

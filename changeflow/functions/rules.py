@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from changeflow.functions.numbers import parse_float
+from changeflow.functions.numbers import parse_float, without_nan
 from changeflow.schemas import Rule
 
 Builder = Callable[[str, Column, dict[str, Any]], Column]
@@ -28,13 +28,16 @@ def _bounds(measure: Column, params: dict[str, Any], convert: Callable[[Any], An
             field: str) -> Column:
     """Below is tested before above; both ends are inside the range."""
     low, high = params.get("min"), params.get("max")
-    result = F.lit(None).cast("string")
-    if high is not None:
-        result = F.when(measure > F.lit(convert(high)), _message(field, *describe, f" above maximum {high}"))
+    # One flat case, in which the measure of both conditions is worked out once.
+    cases = []
     if low is not None:
-        below = _message(field, *describe, f" below minimum {low}")
-        result = F.when(measure < F.lit(convert(low)), below).otherwise(result)
-    return result
+        cases.append((measure < F.lit(convert(low)), _message(field, *describe, f" below minimum {low}")))
+    if high is not None:
+        cases.append((measure > F.lit(convert(high)), _message(field, *describe, f" above maximum {high}")))
+    result = F
+    for condition, text in cases:
+        result = result.when(condition, text)
+    return result if cases else F.lit(None).cast("string")
 
 
 def _not_null(field: str, value: Column, params: dict[str, Any]) -> Column:
@@ -42,9 +45,7 @@ def _not_null(field: str, value: Column, params: dict[str, Any]) -> Column:
 
 
 def _range(field: str, value: Column, params: dict[str, Any]) -> Column:
-    number = value.cast("double") if params.get("_numeric") else parse_float(value)
-    # Spark orders NaN above every number, so it has to be set aside.
-    number = F.when(~F.isnan(number), number)
+    number = without_nan(value.cast("double") if params.get("_numeric") else parse_float(value))
     return _bounds(number, params, float, ["value ", value.cast("string")], field)
 
 

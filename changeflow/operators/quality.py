@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeflow.functions.numbers import parse_float
+from changeflow.functions.numbers import parse_float, without_nan
 from changeflow.functions.rules import RULES, rule_message
 from changeflow.functions.transforms import chains, fold_chain
 from changeflow.schemas import VIOLATION, Rule, Transform
@@ -42,6 +42,8 @@ def validate(
     """
     masking = {name: chain for name, chain in chains(masks).items() if any(t.transform_type == "mask" for t in chain)}
     numeric = {f.name for f in rows.schema.fields if isinstance(f.dataType, T.NumericType)} if field is F.col else set()
+    fields = ",".join(column.strip().replace(" ", ":") for column in VIOLATION.split(","))
+    empty = F.array().cast(f"array<struct<{fields}>>")
     messages, found = {}, []
     for rule in (r for r in rules if r.is_enabled):
         value = field(rule.field_name)
@@ -64,12 +66,11 @@ def validate(
             F.col(name).alias("message"),
             seq.cast("bigint").alias("event_seq"),
         )
-        found.append(F.when(F.col(name).isNotNull(), struct))
-    fields = ",".join(column.strip().replace(" ", ":") for column in VIOLATION.split(","))
-    empty = F.array().cast(f"array<struct<{fields}>>")
-    # Messages are columns of their own first, so that each rule is evaluated once per row.
+        found.append(F.when(F.col(name).isNotNull(), F.array(struct)).otherwise(empty))
+    # Messages are columns of their own first, so that each rule is evaluated once per row. Lists of none or one are joined,
+    # as a list with nulls could only be rid of them by a function that is interpreted for every row.
     checked = rows.withColumns(messages) if messages else rows
-    violations = F.array_compact(F.array(*found)) if found else empty
+    violations = F.concat(*found) if found else empty
     return checked.withColumn("violations", violations).drop(*messages)
 
 
@@ -96,6 +97,15 @@ def violation_rows(validated: DataFrame) -> DataFrame:
     return exploded.where(F.col("_v").isNotNull()).select("_v.*")
 
 
+def _with_message(paired: DataFrame, message: Column) -> DataFrame:
+    """The rows that have a message, with it.
+
+    A plain filter would be pushed into the join before it and work out every message there a second time.
+    """
+    told = paired.withColumn("_told", message)
+    return told.withColumn("message", F.explode_outer(F.array("_told"))).drop("_told").where(F.col("message").isNotNull())
+
+
 def with_route(validated: DataFrame, quarantine_blocks: bool = True) -> DataFrame:
     """Add ``route``: reject, quarantine or pass. Warnings pass.
 
@@ -120,8 +130,9 @@ def _limit(name: str) -> Column:
     return F.when(text.rlike("^-?[0-9]+$"), text).otherwise(text.cast("double").cast("string"))
 
 
-def _compiled_messages(rows: DataFrame, rules: DataFrame) -> DataFrame | None:
-    """Events with a rule of their config that is no column expression, such as a custom condition, and its message.
+def _compiled_messages(rows: DataFrame, rules: DataFrame, max_rules: int,
+                       meet: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """Events that violate a rule of their config that is no column expression, such as a custom condition, and its message.
 
     Each distinct (type, field, params) is compiled once, in groups, however many tenants have it, and a row of the rule
     table chooses its own. A condition may use any column of the event.
@@ -136,8 +147,9 @@ def _compiled_messages(rows: DataFrame, rules: DataFrame) -> DataFrame | None:
             is_it = (F.col("rule_type") == kind) & (F.col("field_name") == name) & F.col("rule_params").eqNullSafe(F.lit(params))
             message = F.when(is_it, rule_message(Rule("", name, kind, json.loads(params or "{}")), map_field(name))).otherwise(message)
             chosen = chosen | is_it
-        part = rows.join(others.where(chosen), "config_id").withColumn("message", message).withColumn(
-            "field_value", F.try_element_at("after", F.col("field_name")))
+        # Without a known size of the rules, a join on a single config would send the events to all tasks.
+        paired = meet(lookup_join(rows, others.where(chosen), ["config_id"], max_rows=max_rules))
+        part = _with_message(paired, message).withColumn("field_value", F.try_element_at("after", F.col("field_name")))
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -187,8 +199,7 @@ def validate_with_table(events: DataFrame, rules: DataFrame, max_rules: int = SM
         F.coalesce(allowed, F.array().cast("array<string>")).alias("_allowed"))
     paired = of_its_time(lookup_join(fields, plain, ["config_id", "field_name"], max_rows=max_rules))
     x, kind, size = F.col("field_value"), F.col("rule_type"), F.length("field_value")
-    number = parse_float(x)
-    number = F.when(~F.isnan(number), number)
+    number = without_nan(parse_float(x))
     low, high = F.col("_low").cast("double"), F.col("_high").cast("double")
 
     def beyond(measure: str, shown: Column, side: str, limit: str) -> Column:
@@ -207,10 +218,10 @@ def validate_with_table(events: DataFrame, rules: DataFrame, max_rules: int = SM
     )
     message = F.concat(F.lit("Field '"), F.col("field_name"), F.lit("' "), problem)
     columns = ["rule_id", "config_id", "field_name", "field_value", "row_key", "rule_type", "severity", "message", "seq"]
-    found = paired.withColumn("message", message).where(F.col("message").isNotNull()).select(*columns)
-    compiled = _compiled_messages(rows, active)
+    found = _with_message(paired, message).select(*columns)
+    compiled = _compiled_messages(rows, active, max_rules, of_its_time)
     if compiled is not None:
-        found = found.unionByName(of_its_time(compiled).where(F.col("message").isNotNull()).select(*columns))
+        found = found.unionByName(compiled.select(*columns))
     shown, told = F.col("field_value"), F.col("message")
     for name, chain in chains(masks).items():
         if any(t.transform_type == "mask" for t in chain):

@@ -188,3 +188,30 @@ def test_rules_of_their_time(spark):
                                  "seq long, config_id string, row_key string, after map<string,string>, t long")
     found = quality.validate_with_table(rows, quality.rule_versions(versions), at="t")
     assert sorted((r.event_seq, r.rule_id) for r in found.collect()) == [(3, "r"), (4, "r"), (4, "s"), (5, "s"), (6, "s")]
+
+
+def test_rules_are_checked_once_and_events_stay_where_they_are(spark):
+    """No join on a single config sends the events to all tasks, no filter repeats a message in the join, and no list is interpreted."""
+    events = spark.range(50).select(
+        F.lit("c").alias("config_id"), F.col("id").cast("string").alias("row_key"), F.col("id").alias("seq"),
+        F.create_map(F.lit("x"), F.col("id").cast("string")).alias("after"))
+    rules = [Rule("low", "x", "range", {"min": 10, "max": 40}, "warn"), Rule("own", "x", "custom_sql", {"expr": "seq % 5 > 0"}, "warn")]
+    table = spark.createDataFrame([(r.id, "c", r.field_name, r.rule_type, r.severity, True, json.dumps(r.params)) for r in rules],
+                                  "id string, config_id string, field_name string, rule_type string, severity string, is_enabled boolean, rule_params string")
+    by_table = quality.validate_with_table(events, table)
+    compiled = quality.violation_rows(quality.validate(events, rules, F.col("row_key"), F.col("seq"), "c", field=quality.map_field))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (by_table, compiled)]
+    assert "BuildLeft" not in plans[0]
+    assert not [line for line in plans[0].splitlines() if "Join" in line and "CASE WHEN" in line]
+    assert "lambda" not in plans[1]
+    found = [sorted((r.rule_id, r.event_seq, r.message) for r in df.collect()) for df in (by_table, compiled)]
+    assert found[0] == found[1] and len(found[0]) == 10 + 9 + 10
+
+
+@pytest.mark.parametrize("params,expected", [
+    ({"min": 0, "max": 10}, [None, "below minimum 0", "above maximum 10", None, None]),
+    ({"min": 20, "max": 10}, ["below minimum 20", "below minimum 20", "above maximum 10", None, None]),
+    ({"max": 10}, [None, None, "above maximum 10", None, None]), ({}, [None] * 5)])
+def test_bounds_with_and_without_ends(spark, params, expected):
+    rows = check(spark, ["5", "-1", "30", "NaN", None], [Rule("r", "x", "range", params)]).orderBy("seq").collect()
+    assert [r.violations[0].message.split(" ", 4)[-1] if r.violations else None for r in rows] == expected
