@@ -13,6 +13,7 @@ from changeflow.schemas import ENVELOPE, META_OP, META_SEQ, META_TS
 from changeflow.session import committed_folders, same_join
 from changeflow.sources import messages
 from changeflow.streaming.held import Held
+from changeflow.streaming.pipeline import spread_out
 
 UNIT = ["table", "row_key"]
 ROWS = "row_key string, key map<string,string>, after map<string,string>, op string, ts_ms long, seq long, batch long, `table` string"
@@ -121,8 +122,7 @@ class ManyTables:
 def many_tables_batches(flow: ManyTables, value: str = "value", spread: int = 0) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function over JSON messages of any tables; bad ones go to ``dead_letters``."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        texts = batch.select(value)
-        parsed = messages.parse(texts.repartition(spread) if spread else texts, value).persist()
+        parsed = messages.parse(spread_out(batch.select(value), spread), value).persist()
         try:
             flow._write(messages.dead_letters(parsed, [value]), "dead_letters", batch_id)
             flow.process(messages.good_events(parsed).drop(value), batch_id)

@@ -62,8 +62,8 @@ class Pipeline:
     """Applies micro-batches of events to a target and keeps side outputs by batch id.
 
     ``columns`` are the payload columns of a replace target; None feeds a patch target. ``spread`` deals the messages of
-    a batch over that many tasks; 0 leaves them as the source splits them. With ``compact_every`` the target is compacted
-    after every so many batches. Side outputs are violations, held, skipped, counts, latency (bucket counts of the time
+    a batch over that many tasks for each partition of the source; 0 leaves them as the source splits them. With
+    ``compact_every`` the target is compacted after every so many batches. Side outputs are violations, held, skipped, counts, latency (bucket counts of the time
     from change to apply), state and errors; a repeated batch replaces its own. ``commands`` gives the switches known at a
     batch: while the pipeline's config is paused, its events are held, and the first batch after the pause applies them.
     """
@@ -164,10 +164,16 @@ class Pipeline:
         return self.target.spark.read.parquet(f"{self.side_path}/{name}")
 
 
+def spread_out(texts: DataFrame, spread: int) -> DataFrame:
+    """Messages dealt over ``spread`` tasks for each partition of their source; 0 leaves them as the source splits them.
+
+    A source bounds its partitions, so tasks grow in number and not in size, and a small batch has few of them.
+    """
+    return texts.repartition(spread * max(1, texts.rdd.getNumPartitions())) if spread else texts
+
+
 def _parsed(batch: DataFrame, value: str, spread: int) -> DataFrame:
-    texts = batch.select(value, *messages.positions(batch.columns))
-    if spread:
-        texts = texts.repartition(spread)
+    texts = spread_out(batch.select(value, *messages.positions(batch.columns)), spread)
     return messages.parse(texts, value).persist()
 
 

@@ -314,3 +314,22 @@ def test_a_paused_pipeline_holds_its_events(spark):
         seen.append((sorted(r.id for r in flow.target.read().collect()), state.last_seq, state.status))
     assert seen == [(["k0"], 1, "active"), (["k0"], 1, "paused"), (["k0"], 1, "paused"), (["k0"], 1, "paused"),
                     (["k0", "k1", "k2", "k3"], 31, "active")]
+
+
+def test_tasks_of_a_batch_grow_with_its_source(spark):
+    base = shared_dir(spark, "spread")
+    flow = replace_pipeline(spark, base)
+    batch = spark.range(0, 600, 1, 5).select(F.concat(F.lit("bad"), F.col("id").cast("string")).alias("value"))
+    pipeline.parsed_batches(flow)(batch, 0)
+    dead = spark.read.parquet(f"{base}/side/dead_letters")
+    assert dead.count() == 600
+    # Two tasks for each of five partitions, each of which wrote a file.
+    files = dead.groupBy(F.input_file_name().alias("f")).count().collect()
+    assert len(files) == 10 and all(40 <= r["count"] <= 80 for r in files)
+
+
+def test_spread_is_off_without_a_number_and_takes_an_empty_source(spark):
+    texts = spark.range(0, 10, 1, 3).select(F.col("id").cast("string").alias("value"))
+    assert pipeline.spread_out(texts, 0) is texts
+    empty = spark.createDataFrame(spark.sparkContext.emptyRDD(), "value string")
+    assert empty.rdd.getNumPartitions() >= 0 and pipeline.spread_out(empty, 4).count() == 0
