@@ -307,7 +307,7 @@ def stream_paused(spark, sf_dir):
 
     def run(batch: DataFrame, number: int) -> None:
         seen.append(number)
-        many.many_tables_batches(flow)(batch, number)
+        many.many_tables_batches(flow, spread=8)(batch, number)
 
     _in_turns(spark, values, "turn", 4, base, run, ["value"])
     counts = flow.output("counts").select(F.col("table").alias("config_id"), F.col("batch").cast("bigint").alias("batch"), "applied")
