@@ -3,9 +3,12 @@
 A phrase that occurs ``support`` times in a language occurs at least ``support * w / W`` times in one shard, where ``w`` and
 ``W`` are the shard's and the language's words. So each shard is mined completely at that lowered support, and the union
 of what shards find holds every frequent phrase. Shards are a fixed number of groups of tasks, so that the local support
-stays well over one at any size; their counts are added up by a shuffle of what each task has added up before. Mining knows
-phrases by 64-bit hashes and the union by a bitmap of fixed size. Both can only let more phrases through, as the last
-count takes them as strings and is exact. Longer phrases are mined where all their word pairs are in the pairs' bitmap.
+stays well over one at any size; their counts are added up by a shuffle of what each task has added up before, and stand
+side by side, so that a phrase of the union is counted everywhere without another pass over the texts.
+
+Words that occur ``support`` times have numbers, told apart by their bytes. Phrases are known by the numbers of their words,
+so that all counts are exact; a phrase with a rarer word is not frequent. Longer phrases are mined where all their word pairs
+are in a bitmap of the frequent ones, which has a fixed size and only lets more phrases through.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +32,7 @@ SHARDS = 8
 BITMAP, SEGMENT = 28, 22
 # Bytes of text that are taken at once, and keys or strings that a task adds up before it passes them on.
 SECTION = 2 << 20
-HELD_KEYS, HELD_STRINGS = 4 << 20, 1 << 19
+HELD_KEYS, HELD_STRINGS = 3 << 20, 1 << 19
 # Rows of a batch that a task passes on.
 BATCH = 1 << 15
 
@@ -59,11 +63,25 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+_FACTOR = 0xD6E8FEB86659FD93
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(_FACTOR)
     return h ^ (h >> np.uint64(29))
 
 
+def unmixed(h: np.ndarray) -> np.ndarray:
+    """What ``mixed`` made these of; it maps no two values to one."""
+    h = (h ^ (h >> np.uint64(29)) ^ (h >> np.uint64(58))) * np.uint64(pow(_FACTOR, -1, 1 << 64))
+    return h ^ (h >> np.uint64(32))
+
+
+def _eights(data: bytes) -> np.ndarray:
+    """The eight bytes from each place on as a number; zeros follow the end."""
+    return np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))
+
+
 class Words:
     """Words of some sections: where they start and end, their hashes, and how many follow in the same piece."""
 
@@ -104,6 +122,26 @@ class Words:
             firsts = np.flatnonzero(fits & self.own[:n])
             yield length, firsts, key[firsts]
 
+    def numbered(self, vocabulary: Vocabulary, allowed: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(length, first words, key, rest) of the phrases of two to four known words that start in own text.
+
+        ``key`` is of the numbers of the first two words and ``rest`` has those of the others, so both tell phrases apart.
+        """
+        ids = vocabulary.find(self)
+        n = max(0, len(ids) - 1)
+        fits = self.joined[:n] & (ids[:n] > 0) & (ids[1:] > 0)
+        key = mixed(ids[:n] << np.uint64(32) | ids[1:])
+        if allowed is not None:
+            fits[fits] = has(allowed, key[fits])
+        pair, after = fits, np.concatenate([ids[2:] << np.uint64(32), np.zeros(2, np.uint64)])
+        for length in (2, 3, 4):
+            if length > 2:
+                n = max(0, len(ids) - length + 1)
+                fits = fits[:n] & pair[length - 2:length - 2 + n]
+            firsts = np.flatnonzero(fits & self.own[:n])
+            rest = after[firsts] if length > 2 else np.zeros(len(firsts), np.uint64)
+            yield length, firsts, key[firsts], rest | ids[firsts + 3] if length > 3 else rest
+
     def strings(self, firsts: np.ndarray, length: int) -> list[bytes]:
         """The phrases as text, with one space between words."""
         a, b = self.starts[firsts], self.ends[firsts + length - 1]
@@ -113,6 +151,72 @@ class Words:
                 for i, j, plain in zip(a.tolist(), b.tolist(), (b - a == size).tolist(), strict=True)]
 
 
+class Vocabulary:
+    """Words of languages, numbered from 1 and found by hash, then by their bytes."""
+
+    def __init__(self, languages: np.ndarray, words: list[bytes]):
+        """A word and its language stand at the place of its number; no two are equal."""
+        self.data = b"".join(words)
+        self.lengths = np.array([len(w) for w in words], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.languages = np.asarray(languages, np.int64)
+        keys = np.zeros(len(words), np.uint64)
+        ends, at = self.starts + self.lengths, 0
+        while at < len(words):
+            to = max(at + 1, int(np.searchsorted(ends, self.starts[at] + SECTION)))
+            some = b" ".join(words[at:to])
+            keys[at:to] = self.keys(Words([(some, len(some), 0)]).hashes, self.languages[at:to])
+            at = to
+        self.order = np.argsort(keys)
+        self.sorted = keys[self.order]
+        # Words of one hash stand side by side.
+        same = np.flatnonzero(np.concatenate([[True], self.sorted[1:] != self.sorted[:-1]])) if len(words) else np.zeros(0, int)
+        self.most = int(np.diff(same, append=len(words)).max(initial=0))
+
+    @staticmethod
+    def keys(hashes: np.ndarray, languages: np.ndarray) -> np.ndarray:
+        return mixed(hashes ^ mixed(languages.astype(np.uint64) + np.uint64(7)))
+
+    def find(self, words: Words) -> np.ndarray:
+        """The number of each word, 0 for those that are not known."""
+        ids = np.zeros(len(words.starts), np.uint64)
+        if not len(self.sorted):
+            return ids
+        keys = self.keys(words.hashes, words.language)
+        at = np.searchsorted(self.sorted, keys)
+        lengths = words.ends - words.starts
+        mine, theirs = _eights(words.data), _eights(self.data)
+        for step in range(self.most):
+            place = np.minimum(at + step, len(self.sorted) - 1)
+            some = np.flatnonzero((ids == 0) & (at + step < len(self.sorted)) & (self.sorted[place] == keys))
+            number = self.order[place[some]]
+            alike = (self.lengths[number] == lengths[some]) & (self.languages[number] == words.language[some])
+            some, number = some[alike], number[alike]
+            equal = self._equal(words, mine, theirs, some, number)
+            ids[some[equal]] = (number[equal] + 1).astype(np.uint64)
+        return ids
+
+    def _equal(self, words: Words, mine: np.ndarray, theirs: np.ndarray, some: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Whether words have the bytes of known ones of their length: eight by eight, and what is over 64 bytes at once."""
+        equal, left = np.ones(len(some), bool), np.arange(len(some))
+        for at in range(0, 64, 8):
+            here = words.starts[some[left]] + at
+            rest = np.minimum(self.lengths[number[left]] - at, 8)
+            mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - 8 * rest).astype(np.uint64)
+            good = (mine[here] ^ theirs[self.starts[number[left]] + at]) & mask == 0
+            equal[left[~good]] = False
+            left = left[good & (self.lengths[number[left]] > at + 8)]
+        for i in left.tolist():
+            a, b, n = int(words.starts[some[i]]), int(self.starts[number[i]]), int(self.lengths[number[i]])
+            equal[i] = words.data[a + 64:a + n] == self.data[b + 64:b + n]
+        return equal
+
+    def strings(self) -> pa.Array:
+        """All words, at the places of their numbers."""
+        offsets = np.append(self.starts, len(self.data)).astype(np.int64)
+        return pa.LargeStringArray.from_buffers(len(self.starts), pa.py_buffer(offsets), pa.py_buffer(self.data))
+
+
 def has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = keys >> np.uint64(64 - BITMAP)
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -165,24 +269,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counts.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
 
-def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    flat, weights = np.concatenate(keys), np.concatenate(counts)
-    if not len(flat):
-        return flat, weights
-    order = np.argsort(flat)
-    flat, weights = flat[order], weights[order]
-    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    return flat[first], np.add.reduceat(weights, first)
+def _added(keys: list[np.ndarray], rests: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key, rest, weights = np.concatenate(keys), np.concatenate(rests), np.concatenate(counts)
+    if not len(key):
+        return key, rest, weights
+    # What falls between equal rows here is added up by Spark.
+    order = np.argsort(mixed(key + rest * np.uint64(_BASE)))
+    key, rest, weights = key[order], rest[order], weights[order]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (rest[1:] != rest[:-1])]))
+    return key[first], rest[first], np.add.reduceat(weights, first)
 
 
 def mine_shards(docs: DataFrame, languages: DataFrame, support: int, lengths: tuple[int, ...], pairs=None,
-                shards: int = SHARDS) -> DataFrame:
-    """(key,): hashes of the phrases that are frequent in some shard at its share of ``support``, and may be over all.
-
-    They may be if what the shards that report a phrase counted, and the most that it can occur in all others, make up
-    the support.
+                shards: int = SHARDS, vocabulary=None) -> DataFrame:
+    """(lang_id, key, rest, f): phrases that are frequent in some shard at its share of ``support``, and so over all shards.
 
-    ``docs`` has (lang_id, text), ``languages`` (lang_id, n). A task's documents belong to the shard of its number.
+    ``docs`` has (lang_id, text), ``languages`` (lang_id, n). A task's documents belong to the shard of its number. With a
+    broadcast ``vocabulary`` phrases are numbers of its words and ``f`` is exact; without one ``key`` is a hash, ``rest`` is 0.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() % shards
@@ -190,53 +293,60 @@ def mine_shards(docs: DataFrame, languages: DataFrame, support: int, lengths: tu
         held: dict[int, list] = {}
         words: Counter = Counter()
 
-        def rows(language, keys, counts):
-            group = np.full(len(keys), language * shards + shard, np.int64)
+        def rows(language, keys, rests, counts):
+            n = len(keys)
             return pa.RecordBatch.from_arrays(
-                [pa.array(group), pa.array(keys.view(np.int64)), pa.array(counts)], names=["share", "key", "n"])
+                [pa.array(np.full(n, language, np.int64)), pa.array(np.full(n, shard, np.int32)), pa.array(keys.view(np.int64)),
+                 pa.array(rests.view(np.int64)), pa.array(counts)], names=["lang_id", "shard", "key", "rest", "n"])
 
         def passed_on(language):
-            keys, counts = _added(*zip(*held.pop(language), strict=True))
-            for at in range(0, len(keys), BATCH):
-                yield rows(language, keys[at:at + BATCH], counts[at:at + BATCH])
+            added = _added(*zip(*held.pop(language), strict=True))
+            for at in range(0, len(added[0]), BATCH):
+                yield rows(language, *(x[at:at + BATCH] for x in added))
 
         for chunk in _chunks(batches):
             found = Words(chunk)
-            keys, langs = [], []
-            for length, firsts, some in found.phrases(allowed):
+            if vocabulary is None:
+                phrases = ((length, firsts, some, np.zeros_like(some)) for length, firsts, some in found.phrases(allowed))
+            else:
+                phrases = found.numbered(vocabulary.value, allowed)
+            keys, rests, langs = [], [], []
+            for length, firsts, some, rest in phrases:
                 if length in lengths:
                     keys.append(some)
+                    rests.append(rest)
                     langs.append(found.language[firsts])
-            keys, langs = np.concatenate(keys), np.concatenate(langs)
+            keys, rests, langs = np.concatenate(keys), np.concatenate(rests), np.concatenate(langs)
             for language in np.unique(found.language[found.own]).tolist():
                 words[language] += int(np.count_nonzero(found.own & (found.language == language)))
-                some, n = np.unique(keys[langs == language], return_counts=True)
+                mine = langs == language
                 parts = held.setdefault(language, [])
-                parts.append((some, n))
-                if sum(len(k) for k, _ in parts) >= HELD_KEYS:
+                parts.append(_added([keys[mine]], [rests[mine]], [np.ones(np.count_nonzero(mine), np.int64)]))
+                if sum(len(p[0]) for p in parts) >= HELD_KEYS:
                     parts[:] = [_added(*zip(*parts, strict=True))]
                     if len(parts[0][0]) >= HELD_KEYS // 2:
                         yield from passed_on(language)
-            while held and sum(len(k) for parts in held.values() for k, _ in parts) >= 2 * HELD_KEYS:
-                yield from passed_on(max(held, key=lambda g: sum(len(k) for k, _ in held[g])))
+            while held and sum(len(p[0]) for parts in held.values() for p in parts) >= 2 * HELD_KEYS:
+                yield from passed_on(max(held, key=lambda g: sum(len(p[0]) for p in held[g])))
         for language in list(held):
             yield from passed_on(language)
         for language, n in words.items():
             # The words of the shard come in the same table, under no key.
             yield pa.RecordBatch.from_arrays(
-                [pa.array([language * shards + shard], pa.int64()), pa.array([None], pa.int64()), pa.array([n], pa.int64())],
-                names=["share", "key", "n"])
-
-    counts = prepared(docs.select("lang_id", "text")).mapInArrow(run, "share long, key long, n long")
-    summed = stored(counts.repartition("share", "key").groupBy("share", "key").agg(F.sum("n").alias("n")), "phrase-shards")
-    words = summed.filter("key IS NULL").select("share", F.col("n").alias("w"), F.floor(F.col("share") / shards).alias("lang_id"))
-    need = F.expr(f"cast((cast(w AS decimal(19,0)) * {support} + n - 1) div n AS bigint)")
-    needs = stored(words.join(languages, "lang_id").select("share", "lang_id", need.alias("need")), "phrase-needs")
-    # In a shard that doesn't report it, a phrase occurs less often than needed there.
-    most = needs.groupBy("lang_id").agg(F.sum(F.col("need") - 1).alias("most"))
-    frequent = summed.filter("key IS NOT NULL").join(needs, "share").filter("n >= need")
-    union = frequent.groupBy("lang_id", "key").agg(F.sum("n").alias("n"), F.sum(F.col("need") - 1).alias("own"))
-    return union.join(most, "lang_id").filter(F.col("n") + F.col("most") - F.col("own") >= support).select("key")
+                [pa.array([language], pa.int64()), pa.array([shard], pa.int32()), pa.array([None], pa.int64()),
+                 pa.array([None], pa.int64()), pa.array([n], pa.int64())], names=["lang_id", "shard", "key", "rest", "n"])
+
+    counts = prepared(docs.select("lang_id", "text")).mapInArrow(run, "lang_id long, shard int, key long, rest long, n long")
+    # Counts of a phrase in all shards stand in one row.
+    summed = stored(counts.repartition("lang_id", "key", "rest").groupBy("lang_id", "key", "rest").agg(
+        *[F.sum(F.when(F.col("shard") == i, F.col("n"))).alias(f"n{i}") for i in range(shards)]), "phrase-shards")
+    needs = stored(summed.filter("key IS NULL").join(languages, "lang_id").select("lang_id", *[
+        F.expr(f"cast((cast(n{i} AS decimal(19,0)) * {support} + n - 1) div n AS bigint)").alias(f"need{i}")
+        for i in range(shards)]), "phrase-needs")
+    somewhere = " OR ".join(f"n{i} >= need{i}" for i in range(shards))
+    everywhere = " + ".join(f"coalesce(n{i}, 0)" for i in range(shards))
+    union = summed.filter("key IS NOT NULL").join(needs, "lang_id").filter(somewhere)
+    return union.select("lang_id", "key", "rest", F.expr(everywhere).alias("f")).filter(F.col("f") >= support)
 
 
 def bitmap_of(keys: DataFrame) -> np.ndarray:
@@ -271,34 +381,27 @@ def bitmap_of(keys: DataFrame) -> np.ndarray:
     return whole
 
 
-def exact_counts(docs: DataFrame, candidates) -> DataFrame:
-    """(lang_id, phrase, size, f): occurrences of all phrases whose hash is in the broadcast bitmap, counted as strings."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, int], Counter] = {}
+def vocabulary_of(words: DataFrame) -> Vocabulary:
+    """The words of (lang_id, phrase); they pass through the driver, and every task holds them with 32 bytes for each."""
+    table = words.select("lang_id", F.col("phrase").cast("binary").alias("phrase")).toArrow()
+    return Vocabulary(table.column("lang_id").to_numpy(), table.column("phrase").to_pylist())
 
-        def rows():
-            for (language, size), phrases in found.items():
-                for some in batched(phrases.items(), BATCH):
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([language] * len(some), pa.int64()), pa.array([size] * len(some), pa.int32()),
-                        pa.array([p for p, _ in some], pa.binary()).cast(pa.string()), pa.array([n for _, n in some], pa.int64()),
-                    ], names=["lang_id", "size", "phrase", "n"])
-            found.clear()
 
-        for chunk in _chunks(batches):
-            words = Words(chunk)
-            for size, firsts, keys in words.phrases():
-                firsts = firsts[has(candidates.value, keys)]
-                langs = words.language[firsts]
-                for language in np.unique(langs).tolist():
-                    mine = found.setdefault((language, size), Counter())
-                    mine.update(words.strings(firsts[langs == language], size))
-                if sum(map(len, found.values())) >= HELD_STRINGS:
-                    yield from rows()
-        yield from rows()
+def phrase_strings(phrases: DataFrame, vocabulary) -> DataFrame:
+    """(lang_id, size, phrase, f) from (lang_id, key, rest, f), with the words of the broadcast vocabulary."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary.value.strings()
+        for batch in batches:
+            key, rest = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("key", "rest"))
+            ids = [half.astype(np.int64) for both in (unmixed(key), rest) for half in (both >> np.uint64(32), both & np.uint64(0xFFFFFFFF))]
+            parts = [words.take(pa.array(i - 1, mask=i == 0)) for i in ids]
+            phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", words.type), null_handling="skip")
+            size = sum((i > 0).astype(np.int32) for i in ids)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang_id"), pa.array(size, pa.int32()), phrase.cast(pa.string()), batch.column("f")],
+                names=["lang_id", "size", "phrase", "f"])
 
-    counts = prepared(docs.select("lang_id", "text")).mapInArrow(run, "lang_id long, size int, phrase string, n long")
-    return counts.groupBy("lang_id", "size", "phrase").agg(F.sum("n").alias("f"))
+    return prepared(phrases.select("lang_id", "key", "rest", "f")).mapInArrow(run, "lang_id long, size int, phrase string, f long")
 
 
 def _joined(words: Column, first: int, length: int) -> Column:
@@ -347,13 +450,13 @@ def collocations(
     known = docs.filter("text IS NOT NULL").join(languages.select("lang", "lang_id"), "lang")
     context = df.sparkSession.sparkContext
     sizes = languages.select("lang_id", "n")
-    pairs = stored(mine_shards(known, sizes, support, (2,), shards=shards), "phrase-pairs")
+    single = stored(words.filter((F.col("f") >= support) & F.col("phrase").isNotNull()).join(
+        languages.select("lang", "lang_id"), "lang").select("lang_id", F.lit(1).alias("size"), "phrase", "f"), "phrase-singles")
+    vocabulary = context.broadcast(vocabulary_of(single))
+    pairs = stored(mine_shards(known, sizes, support, (2,), shards=shards, vocabulary=vocabulary), "phrase-pairs")
     allowed = context.broadcast(bitmap_of(pairs))
-    more = mine_shards(known, sizes, support, (3, 4), allowed, shards)
-    candidates = context.broadcast(bitmap_of(pairs.union(more)))
-    counted = exact_counts(known, candidates).filter(F.col("f") >= support)
-    single = words.filter((F.col("f") >= support) & F.col("phrase").isNotNull()).join(languages.select("lang", "lang_id"), "lang")
-    frequent = stored(counted.unionByName(single.select("lang_id", F.lit(1).alias("size"), "phrase", "f")), "phrase-counts")
+    more = mine_shards(known, sizes, support, (3, 4), allowed, shards, vocabulary)
+    frequent = stored(phrase_strings(pairs.unionByName(more), vocabulary).unionByName(single), "phrase-counts")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     salted = scored(frequent).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(64)))
     some = salted.withColumn("place", F.row_number().over(Window.partitionBy("lang_id", "salt").orderBy(*order))).filter(

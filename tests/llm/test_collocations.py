@@ -127,3 +127,76 @@ def test_phrases_any(some, size):
             w = re.findall(r"[^ \t]+", piece)
             want.update(" ".join(w[i:i + k]).encode() for k in (2, 3, 4) for i in range(len(w) - k + 1))
     assert got == want
+
+
+def plain_counts(rows):
+    counts = Counter()
+    for _, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            counts.update(" ".join(w[i:i + k]) for k in (1, 2, 3, 4) for i in range(len(w) - k + 1))
+    return counts
+
+
+def test_shards_count_everywhere(spark):
+    """What shards find has its exact count over all of them, so that texts aren't counted again, and nothing rarer is left."""
+    rows = made_up(5, 400)
+    counts = plain_counts(rows)
+    docs = frame(spark, [(None, t) for _, t in rows], 8).selectExpr("0L AS lang_id", "text")
+    sizes = spark.createDataFrame([(0, sum(n for p, n in counts.items() if " " not in p))], "lang_id long, n long")
+    single = spark.createDataFrame([(0, p) for p, n in counts.items() if n >= 30 and " " not in p], "lang_id long, phrase string")
+    words = spark.sparkContext.broadcast(collocations.vocabulary_of(single))
+    mined = collocations.mine_shards(docs, sizes, 30, (2, 3, 4), vocabulary=words)
+    got = {r["phrase"]: (r["size"], r["f"]) for r in collocations.phrase_strings(mined, words).collect()}
+    assert got == {p: (p.count(" ") + 1, n) for p, n in counts.items() if n >= 30 and " " in p}
+
+
+def test_passes_over_texts(spark, monkeypatch):
+    """Words, pairs and longer phrases are each counted once; no task sends strings of the phrases that all other tasks send too."""
+    kind = type(spark.range(1))
+    made, plain = [], kind.mapInArrow
+
+    def spied(df, function, schema, *args):
+        if "text" in df.columns:
+            made.append(schema)
+        return plain(df, function, schema, *args)
+
+    monkeypatch.setattr(kind, "mapInArrow", spied)
+    rows = made_up(6, 100)
+    assert found(collocations.collocations(frame(spark, rows), support=5)) == expected(rows, 5)
+    assert len(made) == 3 and ["phrase" in schema for schema in made] == [True, False, False]
+
+
+def test_words_of_one_hash(spark):
+    """Words that the hash can't tell apart are told apart by their bytes."""
+    one, other = b"a", b"b"
+    for _ in range(11):
+        one, other = one + other, other + one
+    known = collocations.Words([(b" ".join([one, other]), 2 * len(one) + 1, 0)])
+    assert known.hashes[0] == known.hashes[1]
+    rows = [("en", f"x {w.decode()} y {w.decode()}") for w, n in ((one, 4), (other, 7)) for _ in range(n)]
+    assert found(collocations.collocations(frame(spark, rows), support=3)) == expected(rows, 3)
+
+
+some_words = st.text(st.sampled_from("abé"), min_size=1, max_size=4).flatmap(
+    lambda w: st.integers(1, 30).map(lambda n: (w * n).encode()))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), some_words), max_size=12, unique=True),
+       st.lists(st.tuples(st.integers(0, 2), some_words), min_size=1, max_size=12), st.booleans())
+def test_vocabulary_any(entries, others, alike):
+    with pytest.MonkeyPatch.context() as patch:
+        if alike:
+            patch.setattr(collocations.Vocabulary, "keys", staticmethod(lambda hashes, languages: np.zeros(len(hashes), np.uint64)))
+        known = collocations.Vocabulary(np.array([g for g, _ in entries], np.int64), [w for _, w in entries])
+        asked = entries + others
+        ids = known.find(collocations.Words([(w, len(w), g) for g, w in asked]))
+    assert ids.tolist() == [entries.index(x) + 1 if x in entries else 0 for x in asked]
+    assert known.strings().to_pylist() == [w.decode() for _, w in entries]
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1))
+def test_unmixed(values):
+    h = np.array(values, np.uint64)
+    assert collocations.unmixed(collocations.mixed(h)).tolist() == values
