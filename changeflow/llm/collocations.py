@@ -122,7 +122,9 @@ class Words:
             firsts = np.flatnonzero(fits & self.own[:n])
             yield length, firsts, key[firsts]
 
-    def numbered(self, vocabulary: Vocabulary, allowed: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def numbered(
+        self, vocabulary: Vocabulary, allowed: np.ndarray | None = None,
+    ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(length, first words, key, rest) of the phrases of two to four known words that start in own text.
 
         ``key`` is of the numbers of the first two words and ``rest`` has those of the others, so both tell phrases apart.
@@ -382,7 +384,7 @@ def bitmap_of(keys: DataFrame) -> np.ndarray:
 
 
 def vocabulary_of(words: DataFrame) -> Vocabulary:
-    """The words of (lang_id, phrase); they pass through the driver, and every task holds them with 32 bytes for each."""
+    """The words of (lang_id, phrase); they pass through the driver, and every task holds them with 40 bytes for each."""
     table = words.select("lang_id", F.col("phrase").cast("binary").alias("phrase")).toArrow()
     return Vocabulary(table.column("lang_id").to_numpy(), table.column("phrase").to_pylist())
 
